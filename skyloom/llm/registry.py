@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .mixing import OP2_SQL, op2_mixing
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_mixing": op2_mixing,
 }
 
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
+    "op2_mixing": OP2_SQL,
 }
