@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .mixing import OP2_SQL, op2_mixing
+from .quality import op7_quality
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
+    "op7_quality": op7_quality,
 }
 
 ORACLE = {
