@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._spark import partitions
+from ._spark import summed_table, table_rows
 
-ROWS, SHAPES, DIM, BLOCK = 1 << 14, 3 * 4 * 2 * 6 * 2, 32, 1 << 9
+ROWS, SHAPES, DIM, BLOCKS = 1 << 14, 3 * 4 * 2 * 6 * 2, 32, 16
 _rng = np.random.default_rng(7)
 _AT = _rng.integers(0, DIM, (ROWS + SHAPES, 2))
 _SIGN = _rng.choice([-1, 1], (ROWS + SHAPES, 2)).astype(np.float64)
@@ -93,21 +93,11 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
                     table += np.bincount(at, add, minlength=cells)
                     some = True
         if some:
-            parts = np.array_split(table, -(-cells // (BLOCK * DIM)))
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "sums": pa.array([x.tobytes() for x in parts], pa.binary())})
+            yield table_rows(table, BLOCKS)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(x)
-                sums[k] = sums[k] + x if k in sums else x
-        if sums:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
-
-    parts = docs.select(text).mapInArrow(gather, "block int, sums binary").repartition(min(16, partitions(docs.sparkSession)), "block")
-    rows = sorted(parts.mapInArrow(add, "block int, sums binary").collect())  # the one table
-    table = np.concatenate([np.frombuffer(bytes(x)) for _, x in rows]).reshape(-1, DIM) if rows else np.zeros((ROWS + SHAPES, DIM))
+    table = summed_table(docs.select(text).mapInArrow(gather, "block int, sums binary"), BLOCKS).reshape(-1, DIM)
+    if not len(table):
+        table = np.zeros((ROWS + SHAPES, DIM))
     norm = np.linalg.norm(table, axis=1, keepdims=True)
     mean = table.sum(0) / max(1.0, norm.sum())
     centred = table / np.maximum(norm, 1e-9) - mean * (norm > 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .jaccard import OP5_SQL, op5_jaccard
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op7_quality
 
@@ -10,9 +11,11 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
     "op7_quality": op7_quality,
+    "op5_jaccard": op5_jaccard,
 }
 
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op2_mixing": OP2_SQL,
+    "op5_jaccard": OP5_SQL,
 }
