@@ -6,12 +6,14 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard import OP5_SQL, op5_jaccard
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op7_quality
+from .suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
     "op7_quality": op7_quality,
     "op5_jaccard": op5_jaccard,
+    "op3_suffix_dedup": op3_suffix_dedup,
 }
 
 ORACLE = {
