@@ -12,7 +12,8 @@ document's shingles and keep the documents that occur at least T times.
    counts give one global order, rare first.
 3. Two linked sets share a shingle among their first ``n - ceil(p n / q) + 1``.
    These prefixes are dealt by shingle; sets of compatible sizes that share one
-   meet in the block of the smallest id among them.
+   meet in the block of the smallest fingerprint among them.  A set whose shared
+   prefix shingles are too few for a link with any set that it met is left out.
 4. Each block gets the whole sets of its members.  A block of more than
    ``SLICE`` members is dealt as pairs of slices, each of which is a bounded
    task.  In a block, each set queries the inverted lists with DivideSkip: the
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -43,6 +44,8 @@ from ._spark import connected_components, materialize, partitions, summed_table,
 
 COUNTERS, COUNTER_BLOCKS = 1 << 20, 32
 SLICE = 512
+#: Bits of the filter that texts pass before they are dealt to blocks.
+FILTER_BITS = 24
 #: DivideSkip's weight of a probe against a merge step when choosing how many lists are long.
 MU = 0.0085
 
@@ -79,95 +82,151 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return np.minimum(table, 2**31 - 1).astype(np.int32) if len(table) else np.zeros(COUNTERS, np.int32)
 
 
-def _sketches(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """``_id, n, k1, k2`` (the set's size and fingerprint) and the set's ``prefix``, rare shingles first."""
-    rank = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
+def _fingerprints(val: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set."""
+    run, other = np.zeros(len(val) + 1, np.uint64), np.zeros(len(val) + 1, np.uint64)
+    np.cumsum(val, out=run[1:])
+    np.cumsum(t.mix(val + t.U(0x9E3779B97F4A7C15)), out=other[1:])
+    return (run[at[1:]] - run[at[:-1]]).view(np.int64), (other[at[1:]] - other[at[:-1]]).view(np.int64)
+
+
+def _named(k: int):
+    """``_id, n, k1, k2``: the size and fingerprint of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, k1, k2, prefix = [], [], [], []
-            for a, b, val, at in _sets(batch, "_text", k):
-                freq = rank.value[_cell(val)]
-                other = t.mix(val + t.U(0x9E3779B97F4A7C15))
-                for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    size = j - i
-                    n.append(size)
-                    k1.append(int(val[i:j].sum(dtype=np.uint64).astype(np.int64)) if size else 0)
-                    k2.append(int(other[i:j].sum(dtype=np.uint64).astype(np.int64)) if size else 0)
-                    if size:
-                        own = val[i:j]
-                        keep = size - needed_self(size, p, q) + 1
-                        order = np.argsort(freq[i:j], kind="stable")[:keep]  # ties by the hash, as sets are sorted
-                        prefix.append(own[order].tobytes())
-                    else:
-                        prefix.append(b"")
-            yield pa.RecordBatch.from_pydict({"_id": batch.column("_id").cast(pa.int64()), "n": pa.array(n, pa.int64()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "prefix": pa.array(prefix, pa.binary())})
-
-    return docs.select("_id", "_text").mapInArrow(run, "_id long, n long, k1 long, k2 long, prefix binary")
+            n, k1, k2 = [], [], []
+            for _, _, val, at in _sets(batch, "_text", k):
+                x, y = _fingerprints(val, at)
+                n.append(np.diff(at))
+                k1.append(x)
+                k2.append(y)
+            if n:
+                yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "n": pa.array(np.concatenate(n), pa.int64()), "k1": pa.array(np.concatenate(k1)), "k2": pa.array(np.concatenate(k2))})
 
+    return run
 
-def needed_self(n: int, p: int, q: int) -> int:
-    """The least overlap of a set of size n with any linked set: ceil(p n / q)."""
-    return -((-p * n) // q)
 
+def _prefixes(rank, k: int, p: int, q: int, buckets: int):
+    """Prefix shingles, rare first, dealt by hash: rows of one bucket with the fingerprints, sizes and shingles of many sets.
 
-def _postings(reps: DataFrame, buckets: int) -> DataFrame:
-    """Prefix shingles dealt by hash: rows of one bucket with the ids, sizes and shingles of many sets."""
+    Equal sets of a batch are sent once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tok, offs = t.ragged(batch.column("prefix"))
-            tok, count = tok.view(np.uint64) if tok.flags.aligned and tok.ctypes.data % 8 == 0 else np.frombuffer(tok.tobytes(), np.uint64), np.diff(offs) // 8
-            ids, n = batch.column("_id").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
-            if not len(tok):
+            sent: set[tuple[int, int]] = set()
+            names, sizes, counts, tokens = [], [], [], []
+            for _, _, val, at in _sets(batch, "_text", k):
+                freq = rank.value[_cell(val)]
+                k1, k2 = _fingerprints(val, at)
+                for x, y, i, j in zip(k1.tolist(), k2.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if i == j or (x, y) in sent:
+                        continue
+                    sent.add((x, y))
+                    keep = j - i - needed_self(j - i, p, q) + 1
+                    order = np.argsort(freq[i:j], kind="stable")[:keep]  # ties by the hash, as sets are sorted
+                    names.append(x)
+                    sizes.append(j - i)
+                    counts.append(keep)
+                    tokens.append(val[i:j][order])
+            if not names:
                 continue
-            doc = np.repeat(np.arange(len(ids)), count)
+            tok, name, size = np.concatenate(tokens), np.array(names, np.int64), np.array(sizes, np.int32)
+            doc = np.repeat(np.arange(len(name)), counts)
             bucket = (tok % t.U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = {"bucket": [], "ids": [], "sizes": [], "counts": [], "tokens": []}
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                own = order[cut[k] : cut[k + 1]]
+            out = {"bucket": [], "sets": [], "sizes": [], "counts": [], "tokens": []}
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                own = order[cut[b] : cut[b + 1]]
                 d, c = np.unique(doc[own], return_counts=True)
-                out["bucket"].append(k)
-                out["ids"].append(ids[d].astype(np.int64).tobytes())
-                out["sizes"].append(n[d].astype(np.int32).tobytes())
+                out["bucket"].append(b)
+                out["sets"].append(name[d].tobytes())
+                out["sizes"].append(size[d].tobytes())
                 out["counts"].append(c.astype(np.int32).tobytes())
                 out["tokens"].append(tok[own].tobytes())
-            kinds = {"bucket": pa.int32(), "ids": pa.binary(), "sizes": pa.binary(), "counts": pa.binary(), "tokens": pa.binary()}
-            yield pa.RecordBatch.from_pydict({c: pa.array(x, kinds[c]) for c, x in out.items()})
+            yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int32() if c == "bucket" else pa.binary()) for c, x in out.items()})
 
-    return reps.mapInArrow(run, "bucket int, ids binary, sizes binary, counts binary, tokens binary")
+    return run
+
+
+def needed_self(n: int, p: int, q: int) -> int:
+    """The least overlap of a set of size n with any linked set: ceil(p n / q)."""
+    return -((-p * n) // q)
+
+
+def _shared_at_least(n: np.ndarray, m: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Prefix shingles that linked sets of sizes n and m share.
+
+    A shared shingle outside the prefix of the set whose prefix ends first in
+    the global order is one of that set's ``ceil(p n / q) - 1`` others, so at
+    least ``T - ceil(p max(n, m) / q) + 1`` are in both prefixes.
+    """
+    return np.maximum(1, needed(n, m, p, q) - needed_self(np.maximum(n, m), p, q) + 1)
 
 
 def _meetings(p: int, q: int):
-    """Sets of compatible sizes that share a prefix shingle, with the smallest id among them."""
+    """Sets of compatible sizes that share a prefix shingle, with the smallest among them.
+
+    ``least`` counts, by the number of shared shingles that a link with a set of
+    the group needs at least, the set's groups.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n, tok = [], [], []
+        name, n, tok = [], [], []
         for batch in batches:
-            for i, s, c, k in zip(*(batch.column(x).to_pylist() for x in ("ids", "sizes", "counts", "tokens")), strict=True):
+            for i, s, c, k in zip(*(batch.column(x).to_pylist() for x in ("sets", "sizes", "counts", "tokens")), strict=True):
                 c = np.frombuffer(c, np.int32)
-                ids.append(np.repeat(np.frombuffer(i, np.int64), c))
+                name.append(np.repeat(np.frombuffer(i, np.int64), c))
                 n.append(np.repeat(np.frombuffer(s, np.int32), c))
                 tok.append(np.frombuffer(k, np.uint64))
         if not tok:
             return
-        ids, n, tok = np.concatenate(ids), np.concatenate(n).astype(np.int64), np.concatenate(tok)
-        order = np.lexsort((n, tok))
-        ids, n, tok = ids[order], n[order], tok[order]
+        name, n, tok = np.concatenate(name), np.concatenate(n).astype(np.int64), np.concatenate(tok)
+        order = np.lexsort((name, n, tok))
+        name, n, tok = name[order], n[order], tok[order]
+        fresh = np.ones(len(tok), bool)  # equal sets of several batches are one
+        fresh[1:] = (tok[1:] != tok[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1])
+        name, n, tok = name[fresh], n[fresh], tok[fresh]
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (p * n[1:] > q * n[:-1])  # no set of the group is near enough in size
         at = np.flatnonzero(new)
-        pivot = np.minimum.reduceat(ids, at)
         size = np.diff(np.append(at, len(tok)))
-        shared = np.repeat(size > 1, size)
-        pairs = np.unique(np.stack([ids[shared], np.repeat(pivot, size)[shared]], 1), axis=0)
-        yield pa.RecordBatch.from_pydict({"_doc": pa.array(pairs[:, 0]), "pivot": pa.array(pairs[:, 1])})
+        pivot = np.repeat(np.minimum.reduceat(name, at), size)
+        group = np.repeat(np.arange(len(at)), size)
+        many = size[group] > 1
+        name, n, pivot, group = name[many], n[many], pivot[many], group[many]
+        if not len(name):
+            return
+        # the smallest and the largest compatible sizes in the group: the further, the fewer shared shingles are needed
+        wide = int(n.max()) + 1
+        code = group * (wide + 1) + n
+        low = n[np.searchsorted(code, group * (wide + 1) + needed_self(n, p, q))]
+        high = n[np.searchsorted(code, group * (wide + 1) + np.minimum(n * q // p, wide), "right") - 1]
+        least = np.minimum(_shared_at_least(n, low, p, q), _shared_at_least(n, high, p, q))
+        order = np.lexsort((least, pivot, name))
+        name, n, pivot, least = name[order], n[order], pivot[order], least[order]
+        lead = np.ones(len(name), bool)
+        lead[1:] = (name[1:] != name[:-1]) | (pivot[1:] != pivot[:-1]) | (least[1:] != least[:-1])
+        at = np.flatnonzero(lead)
+        yield pa.RecordBatch.from_pydict({"k1": pa.array(name[at]), "pivot": pa.array(pivot[at]), "least": pa.array(least[at]), "groups": pa.array(np.diff(np.append(at, len(name))))})
 
     return run
 
 
+def _enough(meet: DataFrame) -> DataFrame:
+    """``k1, pivot`` of the sets that share enough.
+
+    A link that needs c shared shingles has c groups, each of which needs at
+    most c; so some c has at least c groups that need at most c.
+    """
+    w = Window.partitionBy("k1").orderBy("least").rangeBetween(Window.unboundedPreceding, 0)
+    counts = meet.groupBy("k1", "least").agg(F.sum("groups").alias("groups"))
+    fit = counts.withColumn("have", F.sum("groups").over(w)).filter(F.col("have") >= F.col("least")).select("k1").distinct()
+    return meet.select("k1", "pivot").distinct().join(fit, "k1", "left_semi")
+
+
 class Forest:
     """Union-find over the members of a block."""
 
@@ -303,7 +362,7 @@ def _block_search(p: int, q: int):
 
 
 def _blocks(meet: DataFrame) -> DataFrame:
-    """Per document the blocks it goes to: ``(pivot, i, j, side)``, slices of large blocks against each other."""
+    """Per representative the blocks it goes to: ``(pivot, i, j, side)``, slices of large blocks against each other."""
     sized = meet.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
     rows = meet.join(sized, "pivot").withColumn("s", F.ceil(F.col("m") / SLICE).cast("int")).withColumn("own", F.pmod(F.xxhash64("_doc"), F.col("s").cast("long")).cast("int"))
     one = F.array(F.struct("pivot", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
@@ -314,6 +373,27 @@ def _blocks(meet: DataFrame) -> DataFrame:
     return rows.select("_doc", F.explode(F.when(F.col("s") <= 1, one).otherwise(pairs)).alias("x")).groupBy("_doc").agg(F.collect_list("x").alias("blocks"))
 
 
+def _wanted(blocks: DataFrame):
+    """A filter of fixed size (2 MB) that every id of ``blocks`` passes, and few others while they are few."""
+    h = F.xxhash64("_doc")
+    word = F.shiftrightunsigned(h, 64 - FILTER_BITS + 6)
+    bits = blocks.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(_doc), %d) & 63 as int))" % (64 - FILTER_BITS))).alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for w, b in bits.collect():  # at most 2**18 words
+        table[w] = b
+    return blocks.sparkSession.sparkContext.broadcast(table)
+
+
+def _pass(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("_h").to_numpy().view(np.uint64) >> t.U(64 - FILTER_BITS)
+            ok = (table.value[(h >> t.U(6)).astype(np.int64)].view(np.uint64) >> (h & t.U(63))) & t.U(1)
+            yield batch.select(["_id", "_text"]).filter(pa.array(ok.astype(bool)))
+
+    return run
+
+
 def _members(k: int):
     """The whole sets of documents, one row for each block they go to."""
 
@@ -336,14 +416,16 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     n_parts = partitions(spark)
-    sketch = materialize(_sketches(plain, k, p, q))
+    sketch = materialize(plain.mapInArrow(_named(k), "_id long, n long, k1 long, k2 long"))
     named = sketch.filter(F.col("n") > 0)
     classes = named.groupBy("k1", "k2", "n").agg(F.min("_id").alias("rep"))
-    # the representative's own row of each class
-    lead = named.join(classes.filter(F.col("rep").isNotNull()), ["k1", "k2", "n"]).filter(F.col("_id") == F.col("rep")).select("_id", "n", "prefix")
-    dealt = _postings(lead, 4 * n_parts).repartition(n_parts, "bucket")
-    meet = materialize(dealt.mapInArrow(_meetings(p, q), "_doc long, pivot long").distinct())
-    texts = plain.join(_blocks(meet), F.col("_id") == F.col("_doc")).select("_doc", "blocks", "_text")
+    rank = spark.sparkContext.broadcast(_frequencies(plain, k))
+    dealt = plain.filter(F.col("_id").isNotNull()).mapInArrow(_prefixes(rank, k, p, q, 4 * n_parts), "bucket int, sets binary, sizes binary, counts binary, tokens binary")
+    meet = materialize(dealt.repartition(n_parts, "bucket").mapInArrow(_meetings(p, q), "k1 long, pivot long, least long, groups long"))
+    ids = classes.filter(F.col("rep").isNotNull()).select("k1", F.col("rep").alias("_doc"))
+    blocks = materialize(_blocks(_enough(meet).join(ids, "k1").select("_doc", "pivot").distinct()))
+    some = plain.withColumn("_h", F.xxhash64("_id")).mapInArrow(_pass(_wanted(blocks)), "_id long, _text string")
+    texts = some.join(blocks, F.col("_id") == F.col("_doc")).select("_doc", "blocks", "_text")
     members = texts.mapInArrow(_members(k), "pivot long, i int, j int, _doc long, side int, shingles binary")
     blocks = members.repartition(n_parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
     links = blocks.mapInArrow(_block_search(p, q), "a long, b long")
