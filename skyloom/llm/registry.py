@@ -7,6 +7,7 @@ from .jaccard import OP5_SQL, op5_jaccard
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op7_quality
 from .suffix_dedup import op3_suffix_dedup
+from .url_reputation import OP8_SQL, op8_url_reputation
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -14,10 +15,12 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op5_jaccard": op5_jaccard,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op8_url_reputation": op8_url_reputation,
 }
 
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op2_mixing": OP2_SQL,
     "op5_jaccard": OP5_SQL,
+    "op8_url_reputation": OP8_SQL,
 }
