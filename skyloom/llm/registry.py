@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard import OP5_SQL, op5_jaccard
+from .licenses import op6_licenses
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op7_quality
 from .suffix_dedup import op3_suffix_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_jaccard": op5_jaccard,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op8_url_reputation": op8_url_reputation,
+    "op6_licenses": op6_licenses,
 }
 
 ORACLE = {
