@@ -59,8 +59,7 @@ class Shape:
         self.length = length
         self.gram = (length + 2) // 2
         self.width = length - self.gram + 1  # grams of a string
-        self.left = self.width - 1  # bytes that a string can have before its anchor
-        self.around = self.left + length
+        self.around = self.width - 1 + length  # bytes of all strings with one anchor
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -73,8 +72,11 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all strings that lie inside a document."""
+def anchors(buf: np.ndarray, offs: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of all strings that lie inside a document: positions, hashes, and what they are anchors of.
+
+    Those are the strings that start ``low`` to ``high`` bytes before the anchor.
+    """
     starts, ends = [], []
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         while b - a > PIECE:
@@ -84,7 +86,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, shape: Shape) -> tuple[np.ndarray
         if b - a >= shape.length:
             starts.append(a)
             ends.append(b)
-    at, hashes, i = [], [], 0
+    at, hashes, lows, highs, i = [], [], [], [], 0
     while i < len(starts):
         j = i + 1
         while j < len(starts) and ends[j] - starts[i] <= PIECE and starts[j] >= ends[j - 1]:
@@ -103,14 +105,26 @@ def anchors(buf: np.ndarray, offs: np.ndarray, shape: Shape) -> tuple[np.ndarray
         padded = np.zeros(n + shape.width - 1, np.uint32)
         padded[shape.width - 1 : shape.width - 1 + len(least)] = least
         own = np.flatnonzero(h == _sliding(padded, shape.width, np.maximum))
+        low, high, mine = np.full(len(own), shape.width), np.zeros(len(own), np.int64), h[own]
+        for r in range(shape.width):
+            begin = own - r
+            here = least[np.clip(begin, 0, len(least) - 1)] == mine
+            here &= (begin >= 0) & (begin < len(least))
+            high[here] = r
+            low[here & (low > r)] = r
         at.append(own + lo)
         hashes.append(t.mix(full[own]))
+        lows.append(low)
+        highs.append(high)
         i = j
     if not at:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at, hashes = np.concatenate(at), np.concatenate(hashes)
-    at, first = np.unique(at, return_index=True)
-    return at, hashes[first]
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    at, hashes, low, high = (np.concatenate(x) for x in (at, hashes, lows, highs))
+    # where pieces overlap an anchor can have been found twice, with neighbouring ranges
+    order = np.argsort(at, kind="stable")
+    at, hashes, low, high = at[order], hashes[order], low[order], high[order]
+    head = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[head], hashes[head], np.minimum.reduceat(low, head), np.maximum.reduceat(high, head)
 
 
 class Batch:
@@ -125,10 +139,10 @@ class Batch:
         self.known = ~np.asarray(ids.is_null()) if len(table) else np.empty(0, bool)
         self.ids = ids.fill_null(0).to_numpy().astype(np.int64)
         if find:
-            self.at, self.hash = anchors(buf, self.offs, shape)
-            self.doc = np.searchsorted(self.offs, self.at, "right") - 1
-            ok = self.known[self.doc]
-            self.at, self.hash, self.doc = self.at[ok], self.hash[ok], self.doc[ok]
+            at, h, low, high = anchors(buf, self.offs, shape)
+            doc = np.searchsorted(self.offs, at, "right") - 1
+            ok = self.known[doc]
+            self.at, self.hash, self.doc, self.low, self.high = at[ok], h[ok], doc[ok], low[ok], high[ok]
             self.distinct, self.which = np.unique(self.hash, return_inverse=True)
 
 
@@ -169,14 +183,12 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array(out["batch"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "bits": pa.array(out["bits"], pa.binary())})
 
 
-def _valid(left: np.ndarray, right: np.ndarray, shape: Shape) -> np.ndarray:
-    """Bit r: the string that starts r bytes before the anchor lies inside the document."""
-    r = np.arange(shape.width)
-    ok = (r <= left[:, None]) & (shape.length - r <= right[:, None])
-    return (ok * (t.U(1) << r.astype(np.uint64))).sum(1, dtype=np.uint64)
+def _starts(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bits ``low`` to ``high``: bit r is the string that starts r bytes before the anchor."""
+    return (t.U(2) << high.astype(np.uint64)) - (t.U(1) << low.astype(np.uint64))
 
 
-ROW = np.dtype([("id", "<i8"), ("doc", "<u4"), ("at", "<u4"), ("hash", "<u8"), ("left", "<u2"), ("right", "<u2")])
+ROW = np.dtype([("id", "<i8"), ("doc", "<u4"), ("at", "<u4"), ("low", "u1"), ("high", "u1")])
 GONE = np.dtype([("doc", "<u4"), ("at", "<u4"), ("starts", "<u8")])
 _SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("decided", pa.bool_()), ("rows", pa.binary()), ("bytes", pa.binary())])
 
@@ -208,30 +220,26 @@ def _send(shape: Shape, buckets: int):
 
 
 def self_decided(batch: Batch, sel: np.ndarray, shape: Shape, buckets: int, number: int) -> list[tuple]:
-    at, doc, h = batch.at[sel], batch.doc[sel], batch.hash[sel]
-    left = np.minimum(at - batch.offs[doc], shape.left)
-    right = np.minimum(batch.offs[doc + 1] - at, shape.length)
+    at, doc, h, low, high = batch.at[sel], batch.doc[sel], batch.hash[sel], batch.low[sel], batch.high[sel]
     prefix = t.prefix_hash(batch.buf)
-    whole = t.mix(t.span_hash(prefix, at - left, at + right)) ^ (left * 1009 + right).astype(np.uint64)
+    whole = t.mix(t.span_hash(prefix, at - high, at - low + shape.length)) ^ (high * 1009 + low).astype(np.uint64)
     order = np.lexsort((at, whole))  # `at` ascends with the id
-    at, doc, h, left, right, whole = at[order], doc[order], h[order], left[order], right[order], whole[order]
+    at, doc, h, low, high, whole = at[order], doc[order], h[order], low[order], high[order], whole[order]
+    span = high - low + shape.length
+    begin = at - high
     new = np.ones(len(at), bool)
     new[1:] = whole[1:] != whole[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
     later = np.flatnonzero(batch.ids[doc] > batch.ids[doc[head]])
     near = np.zeros(len(at), bool)
+    w, last = np.arange(shape.around), len(batch.buf) - 1
     for part in np.array_split(later, max(1, len(later) // SORT_ROWS)):
-        w = np.arange(shape.around)
-        span = left[part] + right[part]
-        mine = at[part, None] - left[part, None] + w
-        theirs = at[head[part], None] - left[head[part], None] + w
-        inside = w < span[:, None]
-        last = len(batch.buf) - 1
-        same = (batch.buf[np.minimum(mine, last)] == batch.buf[np.minimum(theirs, last)]) | ~inside
-        near[part] = same.all(1) & (left[part] == left[head[part]]) & (right[part] == right[head[part]])
+        mine, theirs = np.minimum(begin[part, None] + w, last), np.minimum(begin[head[part], None] + w, last)
+        same = (batch.buf[mine] == batch.buf[theirs]) | (w >= span[part, None])
+        near[part] = same.all(1) & (low[part] == low[head[part]]) & (high[part] == high[head[part]])
     gone = np.empty(int(near.sum()), GONE)
     gone["doc"], gone["at"] = doc[near], at[near] - batch.offs[doc[near]]
-    gone["starts"] = _valid(left[near], right[near], shape)
+    gone["starts"] = _starts(low[near], high[near])
     out = []
     if len(gone):
         out.append((number % buckets, number, True, gone.tobytes(), b""))
@@ -239,15 +247,24 @@ def self_decided(batch: Batch, sel: np.ndarray, shape: Shape, buckets: int, numb
     keep = keep[np.argsort(h[keep], kind="stable")]
     rows = np.empty(len(keep), ROW)
     rows["id"], rows["doc"], rows["at"] = batch.ids[doc[keep]], doc[keep], at[keep] - batch.offs[doc[keep]]
-    rows["hash"], rows["left"], rows["right"] = h[keep], left[keep], right[keep]
+    rows["low"], rows["high"] = low[keep], high[keep]
     cut = np.searchsorted(_bucket(h[keep], buckets), np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(cut)).tolist():
         a, b = cut[k], cut[k + 1]
         own = keep[a:b]
-        span = left[own] + right[own]
-        total = np.concatenate(([0], np.cumsum(span)))
-        where = np.arange(total[-1]) + np.repeat(at[own] - left[own] - total[:-1], span)
-        out.append((k, number, False, rows[a:b].tobytes(), batch.buf[where].tobytes()))
+        total = np.concatenate(([0], np.cumsum(span[own])))
+        where = np.arange(total[-1]) + np.repeat(begin[own] - total[:-1], span[own])
+        out.append((k, number, False, b"".join(rows[a:b][c].tobytes() for c in ROW.names), batch.buf[where].tobytes()))
+    return out
+
+
+def _rows(data: bytes) -> np.ndarray:
+    """The rows of a blob, which has them column by column."""
+    n, at = len(data) // ROW.itemsize, 0
+    out = np.empty(n, ROW)
+    for c in ROW.names:
+        out[c] = np.frombuffer(data, ROW[c], n, at)
+        at += n * ROW[c].itemsize
     return out
 
 
@@ -334,43 +351,42 @@ class Suffixes:
         return order, new
 
 
-def judge(rows: np.ndarray, frame: np.ndarray, shape: Shape) -> np.ndarray:
+def judge(rows: np.ndarray, h: np.ndarray, frame: np.ndarray, shape: Shape) -> np.ndarray:
     """For each anchor the strings (bit r) that a smaller id has too.
 
-    ``rows`` ascend by hash; ``frame`` has each one's surroundings in
-    ``shape.around`` bytes, zeros where the document ends.
+    ``h``, the anchors' hashes, ascends; ``frame`` has each one's surroundings in
+    ``shape.around`` bytes, filled with zeros.
     """
     n, size = len(rows), shape.around
     out = np.zeros(n, np.uint64)
     buf = np.concatenate([frame.ravel(), np.zeros(size, np.uint8)])
-    valid = _valid(rows["left"].astype(np.int64), rows["right"].astype(np.int64), shape)
-    # whole surroundings: runs of one anchor and one clipping
-    key = rows["left"].astype(np.int64) * (shape.length + 1) + rows["right"]
-    base = np.lexsort((rows["id"], key, rows["hash"]))
-    run = np.concatenate(([0], np.cumsum((rows["hash"][base][1:] != rows["hash"][base][:-1]) | (key[base][1:] != key[base][:-1]))))
+    low, high = rows["low"].astype(np.int64), rows["high"].astype(np.int64)
+    # whole surroundings: runs of one anchor and one range of strings
+    key = low * (shape.width + 1) + high
+    base = np.lexsort((rows["id"], key, h))
+    run = np.concatenate(([0], np.cumsum((h[base][1:] != h[base][:-1]) | (key[base][1:] != key[base][:-1]))))
     order, new = Suffixes(buf, size).classes(base * size, run)
     sorted_ = base[order]  # within a class ids ascend: the sort is stable
     at = np.flatnonzero(new)
     head_ = sorted_[np.repeat(at, np.diff(np.append(at, n)))]
     later_ = rows["id"][sorted_] > rows["id"][head_]
-    out[sorted_[later_]] = valid[sorted_[later_]]
+    out[sorted_[later_]] = _starts(low, high)[sorted_[later_]]
     # one of each class for the strings inside, where its anchor has more than one class
     rep = sorted_[at]
-    rep = rep[np.argsort(rows["hash"][rep], kind="stable")]
-    h = rows["hash"][rep]
+    rep = rep[np.argsort(h[rep], kind="stable")]
     many = np.zeros(len(rep), bool)
-    same = h[1:] == h[:-1]
+    same = h[rep][1:] == h[rep][:-1]
     many[1:] |= same
     many[:-1] |= same
     rep = rep[many]
     if len(rep):
-        who, r = np.nonzero((valid[rep][:, None] >> np.arange(shape.width, dtype=np.uint64)) & t.U(1))
-        item = rep[who]
-        srt = np.lexsort((rows["id"][item], r, rows["hash"][item]))
+        count = high[rep] - low[rep] + 1
+        item = np.repeat(rep, count)
+        r = np.arange(len(item)) - np.repeat(np.cumsum(count) - count - low[rep], count)
+        srt = np.lexsort((rows["id"][item], r, h[item]))
         item, r = item[srt], r[srt]
-        hi = rows["hash"][item]
-        run = np.concatenate(([0], np.cumsum((hi[1:] != hi[:-1]) | (r[1:] != r[:-1]))))
-        order, new = Suffixes(buf, shape.length).classes(item * size + shape.left - r, run)
+        run = np.concatenate(([0], np.cumsum((h[item][1:] != h[item][:-1]) | (r[1:] != r[:-1]))))
+        order, new = Suffixes(buf, shape.length).classes(item * size + high[item] - r, run)
         item, r = item[order], r[order]
         at = np.flatnonzero(new)
         head = item[np.repeat(at, np.diff(np.append(at, len(item))))]
@@ -393,23 +409,27 @@ def _judged(shape: Shape):
                 out["batch"].append(batches[i])
                 out["gone"].append(rows[i])
         if own:
-            every = np.concatenate([np.frombuffer(rows[i], ROW) for i in own])
+            every = np.concatenate([_rows(rows[i]) for i in own])
             source = np.repeat(np.array([batches[i] for i in own]), [len(rows[i]) // ROW.itemsize for i in own])
             flat = np.frombuffer(b"".join(data[i] for i in own), np.uint8)
-            span = every["left"].astype(np.int64) + every["right"]
+            span = every["high"].astype(np.int64) - every["low"] + shape.length
             begin = np.concatenate(([0], np.cumsum(span)[:-1]))
-            order = np.argsort(every["hash"], kind="stable")
-            h = every["hash"][order]
+            h = np.empty(len(every), np.uint64)  # of the anchors' grams, from the bytes
+            for part in np.array_split(np.arange(len(every)), max(1, len(every) // SORT_ROWS)):
+                gram = t.prefix_hash(flat[begin[part[0]] : begin[part[-1]] + span[part[-1]]])
+                at = begin[part] - begin[part[0]] + every["high"][part]
+                h[part] = t.span_hash(gram, at, at + shape.gram)
+            order = np.argsort(h, kind="stable")
+            hashes, h = h, h[order]
             edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
             masks = np.zeros(len(every), np.uint64)
             i = 0
             while i < len(edge) - 1:  # whole groups of one anchor, about SORT_ROWS at once
                 j = max(i + 1, int(np.searchsorted(edge, edge[i] + SORT_ROWS, "right")) - 1)
                 part = order[edge[i] : edge[j]]
-                w = np.arange(shape.around) - shape.left + every["left"][part, None].astype(np.int64)
-                inside = (w >= 0) & (w < span[part, None])
-                frame = np.where(inside, flat[np.clip(begin[part, None] + w, 0, len(flat) - 1)], 0).astype(np.uint8)
-                masks[part] = judge(every[part], frame, shape)
+                w = np.arange(shape.around)
+                frame = np.where(w < span[part, None], flat[np.minimum(begin[part, None] + w, len(flat) - 1)], 0).astype(np.uint8)
+                masks[part] = judge(every[part], hashes[part], frame, shape)
                 i = j
             hit = np.flatnonzero(masks)
             gone = np.empty(len(hit), GONE)
