@@ -8,6 +8,7 @@ from .licenses import op6_licenses
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op7_quality
 from .suffix_dedup import op3_suffix_dedup
+from .toxicity import op9_toxicity
 from .url_reputation import OP8_SQL, op8_url_reputation
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op8_url_reputation": op8_url_reputation,
     "op6_licenses": op6_licenses,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE = {
