@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard import OP5_SQL, op5_jaccard
 from .licenses import op6_licenses
@@ -12,6 +14,7 @@ from .toxicity import op9_toxicity
 from .url_reputation import OP8_SQL, op8_url_reputation
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
     "op7_quality": op7_quality,
