@@ -10,6 +10,7 @@ from .licenses import op6_licenses
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op7_quality
 from .suffix_dedup import op3_suffix_dedup
+from .topk_search import OP4_SQL, op4_topk_search
 from .toxicity import op9_toxicity
 from .url_reputation import OP8_SQL, op8_url_reputation
 
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_url_reputation": op8_url_reputation,
     "op6_licenses": op6_licenses,
     "op9_toxicity": op9_toxicity,
+    "op4_topk_search": op4_topk_search,
 }
 
 ORACLE = {
@@ -30,4 +32,5 @@ ORACLE = {
     "op2_mixing": OP2_SQL,
     "op5_jaccard": OP5_SQL,
     "op8_url_reputation": OP8_SQL,
+    "op4_topk_search": OP4_SQL,
 }
