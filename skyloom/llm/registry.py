@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard import OP5_SQL, op5_jaccard
+from .language_id import op10_language_id
 from .licenses import op6_licenses
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op7_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op9_toxicity": op9_toxicity,
     "op4_topk_search": op4_topk_search,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
