@@ -1,24 +1,8 @@
-"""The registered queries of the catalog engine and their SQL equivalents."""
+"""All registered queries of the catalog engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .registry import ORACLE, QUERIES
+from .workload import events, orders
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under ``name`` with the SQL that must give the same rows."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        if name in QUERIES:
-            raise ValueError(f"query {name} is already registered")
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE", "QUERIES", "events", "orders"]
