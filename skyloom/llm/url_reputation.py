@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
+SALTS = 16
+
+
 def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -111,16 +114,20 @@ def filter_urls(pages: DataFrame, rules: DataFrame | None = None, *, page_id: st
         .groupBy("_at").agg(F.collect_list("r").alias("rules"))
     )
     host, path = url_parts(F.col(url))
-    rows = pages.select(F.col(page_id).alias("_id"), host.alias("host"), path.alias("path"))
+    # a hot host's pages are dealt to SALTS tasks; what joins them has a copy for each
+    salt = F.pmod(F.xxhash64(F.col(page_id), path), F.lit(SALTS)).cast("int")
+    rows = pages.select(F.col(page_id).alias("_id"), host.alias("host"), path.alias("path"), salt.alias("_salt"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     # the rules of each host: distinct hosts (pre-aggregated) against the rules' hosts
     fits = (
         rows.select("host").distinct().withColumn("_at", F.explode(host_suffixes(F.col("host"))))
         .join(by_host, "_at").groupBy("host").agg(F.flatten(F.collect_list("rules")).alias("rules"))
     )
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["prefix"])))
-    judged = rows.join(fits, "host", "left").select("_id", "host", "path", best.alias("best"))
+    judged = rows.join(fits.select("host", "rules", copies), ["host", "_salt"], "left").select("_id", "host", "path", "_salt", best.alias("best"))
     judged = judged.withColumn("bad", F.when(F.col("best.verdict") == "block", 1).when(F.col("best.verdict") == "allow", 0).otherwise(F.lit(unruled).cast("int")))
-    out = judged.join(reputations(judged.select("host", "bad"), z), "host", "left")
+    known = reputations(judged.select("host", "bad"), z)
+    out = judged.join(known.select("*", copies), ["host", "_salt"], "left")
     verdict = F.coalesce("best.verdict", F.when(F.col("bound") > limit, "block").otherwise("allow"))
     return out.select(F.col("_id").alias(page_id), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "rate", "bound")
 
