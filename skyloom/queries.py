@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLE, QUERIES
-from .workload import events, orders
+from .workload import events, matching, orders, texts
 
-__all__ = ["ORACLE", "QUERIES", "events", "orders"]
+__all__ = ["ORACLE", "QUERIES", "events", "matching", "orders", "texts"]
