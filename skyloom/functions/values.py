@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 def merge_maps(base: Column, patch: Column) -> Column:
     """The patch's values win; keys that the patch maps to null go."""
-    merged = F.map_zip_with(base, patch, lambda k, a, b: F.when(F.array_contains(F.map_keys(patch), k), b).otherwise(a))
-    return F.map_filter(merged, lambda k, v: v.isNotNull())
+    return F.map_filter(over(base, patch), lambda k, v: v.isNotNull())
+
+
+def over(base: Column, layer: Column) -> Column:
+    """The layer's values win key by key."""
+    return F.map_zip_with(base, layer, lambda k, a, b: F.when(F.array_contains(F.map_keys(layer), k), b).otherwise(a))
 
 
 def layered(*layers: Column) -> Column:
     """Later layers win key by key."""
     out = layers[0]
     for layer in layers[1:]:
-        over = layer
-        out = F.map_zip_with(out, over, lambda k, a, b, over=over: F.when(F.array_contains(F.map_keys(over), k), b).otherwise(a))
+        out = over(out, layer)
     return out
 
 

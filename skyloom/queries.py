@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import ORACLE, QUERIES
-from .workload import events, matching, orders, texts
+from .workload import events, history, images, matching, orders, planning, sky, storage, streams, texts
 
-__all__ = ["ORACLE", "QUERIES", "events", "matching", "orders", "texts"]
+__all__ = ["ORACLE", "QUERIES", "events", "history", "images", "matching", "orders", "planning", "sky", "storage", "streams", "texts"]

@@ -16,13 +16,13 @@ def _case(column: str, values: dict[str, str]) -> str:
 
 @query("classify_rules", """WITH h AS (SELECT p_partkey, upper(p_brand) AS creator, lower(p_type) AS kind, p_size FROM part)
 SELECT p_partkey, CASE WHEN starts_with(creator, 'BRAND#1') THEN 'dwarf' WHEN starts_with(creator, 'BRAND#2') THEN 'asiair' WHEN starts_with(creator, 'BRAND#3') THEN 'nina' END AS scope,
- CASE WHEN kind LIKE '%steel' THEN 'LIGHT' WHEN kind LIKE '%tin' THEN 'DARK' WHEN kind LIKE '%brass' THEN 'FLAT' END AS image_type, p_size >= 45 AS derived, CASE WHEN p_partkey % 10 = 0 THEN 'failed' ELSE 'good' END AS quality
-FROM h WHERE NOT (p_size >= 45) AND (starts_with(creator, 'BRAND#1') OR starts_with(creator, 'BRAND#2') OR starts_with(creator, 'BRAND#3')) AND (kind LIKE '%steel' OR kind LIKE '%tin' OR kind LIKE '%brass')""")
+ CASE WHEN kind LIKE '%economy' THEN 'LIGHT' WHEN kind LIKE '%small' THEN 'DARK' WHEN kind LIKE '%large' THEN 'FLAT' END AS image_type, p_size >= 45 AS derived, CASE WHEN p_partkey % 10 = 0 THEN 'failed' ELSE 'good' END AS quality
+FROM h WHERE NOT (p_size >= 45) AND (starts_with(creator, 'BRAND#1') OR starts_with(creator, 'BRAND#2') OR starts_with(creator, 'BRAND#3')) AND (kind LIKE '%economy' OR kind LIKE '%small' OR kind LIKE '%large')""")
 def classify_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scope by the first prefix rule, type by alias, derived frames rejected, quality by the file's name."""
     creator, kind = F.upper("p_brand"), F.substring_index(F.lower("p_type"), " ", -1)
     scope = F.when(creator.startswith("BRAND#1"), "dwarf").when(creator.startswith("BRAND#2"), "asiair").when(creator.startswith("BRAND#3"), "nina")
-    image = F.try_element_at(tx.literal_map({"steel": "LIGHT", "tin": "DARK", "brass": "FLAT"}), kind)
+    image = F.try_element_at(tx.literal_map({"economy": "LIGHT", "small": "DARK", "large": "FLAT"}), kind)
     derived = F.coalesce(F.col("p_size").try_cast("int") >= 45, F.lit(False))
     name = F.concat(F.when(F.col("p_partkey") % 10 == 0, "failed_").otherwise("raw_"), F.col("p_partkey").cast("string"))
     x = table(spark, sf_dir, "part").select("p_partkey", scope.alias("scope"), image.alias("image_type"), derived.alias("derived"), F.when(name.startswith("failed_"), "failed").otherwise("good").alias("quality"))
@@ -65,9 +65,9 @@ def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(tx.alias_keys(name)).alias("alias"), tx.canonical_id(name).alias("canonical"))
 
 
-@query("search_compact", r"WITH p AS (SELECT p_partkey, lower(regexp_replace(coalesce(p_name, ''), '\s+', ' ', 'g')) AS a, lower(regexp_replace(coalesce(p_type, ''), '\s+', ' ', 'g')) AS b FROM part) SELECT p_partkey FROM p WHERE contains(a, 'promo b') OR contains(replace(a, ' ', ''), 'promob') OR contains(b, 'promo b') OR contains(replace(b, ' ', ''), 'promob')")
+@query("search_compact", r"WITH p AS (SELECT p_partkey, lower(regexp_replace(coalesce(p_name, ''), '\s+', ' ', 'g')) AS a, lower(regexp_replace(coalesce(p_type, ''), '\s+', ' ', 'g')) AS b FROM part) SELECT p_partkey FROM p WHERE contains(a, 'small r') OR contains(replace(a, ' ', ''), 'smallr') OR contains(b, 'small r') OR contains(replace(b, ' ', ''), 'smallr')")
 def search_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter(tx.matches_search("  Promo   B ", F.col("p_name"), F.col("p_type"))).select("p_partkey")
+    return table(spark, sf_dir, "part").filter(tx.matches_search("  Small   R ", F.col("p_name"), F.col("p_type"))).select("p_partkey")
 
 
 @query("type_group", "SELECT CASE split_part(lower(p_type), ' ', 1) WHEN 'promo' THEN 'nebula' WHEN 'large' THEN 'galaxy' WHEN 'small' THEN 'cluster' WHEN 'medium' THEN 'cluster' ELSE 'other' END AS grp, count(*) AS n FROM part GROUP BY 1")
