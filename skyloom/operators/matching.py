@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-INFINITY = F.lit(float("inf"))
+def infinity() -> Column:
+    return F.lit(float("inf"))
 
 
 def temperature_bin(value: Column, width: float) -> Column:
@@ -38,9 +39,9 @@ def nearest_by_temperature(sessions: DataFrame, masters: DataFrame, session_key:
     Within ``tolerance`` only, or with ``fallback`` the nearest outside it where
     nothing is inside; an unknown temperature is infinitely far.
     """
-    delta = F.coalesce(F.abs(session_t - master_t), INFINITY)
+    delta = F.coalesce(F.abs(session_t - master_t), infinity())
     inside = delta <= tolerance
-    step = F.when(delta < INFINITY, F.floor(delta / bin_width).cast("double")).otherwise(INFINITY)
+    step = F.when(delta < infinity(), F.floor(delta / bin_width).cast("double")).otherwise(infinity())
     cond = on if fallback else on & inside
     rank = [(~inside).alias("out"), step.alias("step"), (-depth).alias("depth"), F.col(master_id).alias("id")]
     pairs = sessions.join(masters, cond, "inner").withColumn("_delta", delta).withColumn("_out", ~inside)

@@ -24,14 +24,15 @@ def masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("mid"), F.col("p_brand").alias("m_instrument"), (F.col("p_size").cast("double") - 5).alias("m_temp"), F.floor("p_retailprice").alias("depth"), F.when(F.col("p_partkey") % 7 != 0, F.lit("cam")).alias("m_camera"), F.col("p_type"))
 
 
-_ON = (F.col("instrument") == F.col("m_instrument")) & op.wildcard_equal(F.col("camera"), F.col("m_camera"))
+def _settings():
+    return (F.col("instrument") == F.col("m_instrument")) & op.wildcard_equal(F.col("camera"), F.col("m_camera"))
 
 
 @query("nearest_master", f"""WITH {_SESSION}, {_MASTER}, c AS (SELECT s.sid, m.mid, abs(s.temp - m.temp) AS delta, row_number() OVER (PARTITION BY s.sid ORDER BY floor(abs(s.temp - m.temp) / 2.0), m.depth DESC, m.mid) AS r
 FROM s JOIN m ON s.instrument = m.instrument AND (s.camera = m.camera OR s.camera IS NULL OR m.camera IS NULL) AND abs(s.temp - m.temp) <= 5.0)
 SELECT s.sid, c.mid, c.delta, CASE WHEN c.mid IS NULL THEN 'none' WHEN c.delta <= 2.0 THEN 'exact' ELSE 'approx' END AS quality FROM s LEFT JOIN c ON c.sid = s.sid AND c.r = 1""")
 def nearest_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = op.nearest_by_temperature(sessions(spark, sf_dir), masters(spark, sf_dir), "sid", _ON, F.col("temp"), F.col("m_temp"), F.col("depth"), "mid")
+    x = op.nearest_by_temperature(sessions(spark, sf_dir), masters(spark, sf_dir), "sid", _settings(), F.col("temp"), F.col("m_temp"), F.col("depth"), "mid")
     quality = F.when(F.col("best").isNull(), "none").when(F.col("best.delta") <= 2.0, "exact").otherwise("approx")
     return x.select("sid", F.col("best.id").alias("mid"), F.col("best.delta").alias("delta"), quality.alias("quality"))
 
@@ -83,7 +84,7 @@ def frame_dark_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame"), (F.col("l_quantity").cast("long") % 10).alias("gain"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("temp"))
     d = table(spark, sf_dir, "part").filter("p_partkey <= 100").select(F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_partkey") % 10).alias("d_gain"), F.col("p_size").cast("double").alias("d_temp"))
     d = d.withColumn("gain", F.explode(F.when(F.col("d_gain").isNull(), F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).otherwise(F.array("d_gain"))))
-    rank = F.struct(F.coalesce(F.abs(F.col("temp") - F.col("d_temp")), op.INFINITY), F.col("pos"))
+    rank = F.struct(F.coalesce(F.abs(F.col("temp") - F.col("d_temp")), op.infinity()), F.col("pos"))
     return f.join(F.broadcast(d), "gain").groupBy("frame").agg(F.min_by("pos", rank).alias("pos"))
 
 
