@@ -36,11 +36,11 @@ def fov_diagonal(focal_mm: Column, pixel_x: Column, pixel_y: Column, width: Colu
 
 
 def auto_tolerance(envelope: Column) -> Column:
-    return F.coalesce(F.least(F.lit(3.0), F.greatest(F.lit(0.3), envelope)), F.lit(1.0))
+    return F.when(envelope.isNull(), 1.0).otherwise(F.least(F.lit(3.0), F.greatest(F.lit(0.3), envelope)))
 
 
 def suggest_tolerance(envelope: Column) -> Column:
-    return F.coalesce(F.least(F.lit(5.0), F.greatest(F.lit(0.5), 1.5 * envelope)), F.lit(2.0))
+    return F.when(envelope.isNull(), 2.0).otherwise(F.least(F.lit(5.0), F.greatest(F.lit(0.5), 1.5 * envelope)))
 
 
 def sexagesimal(text: Column, per_unit: float) -> Column:

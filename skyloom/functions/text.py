@@ -70,7 +70,7 @@ def progress(line: Column) -> Column:
     percent = F.regexp_extract(line, r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double") / 100
     done, total = (F.regexp_extract(line, r"(\d+)\s*/\s*(\d+)", i).try_cast("double") for i in (1, 2))
     value = F.coalesce(percent, F.when(total > 0, done / total))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))  # least and greatest skip nulls
 
 
 def hours_label(hours: Column) -> Column:

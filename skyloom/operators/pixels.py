@@ -45,18 +45,6 @@ def mad_of(a: Column) -> Column:
     return quantile(F.transform(a, lambda v: F.abs(v - m)), 0.5)
 
 
-def clip_rounds(a: Column, sigma: float, rounds: int) -> Column:
-    """Values within ``sigma`` standard deviations of the median, round after round."""
-    for _ in range(rounds):
-        a = _clip_once(a, sigma)
-    return a
-
-
-def _clip_once(a: Column, sigma: float) -> Column:
-    m, s = quantile(a, 0.5), std_of(a)
-    return F.when(s > 0, F.filter(a, lambda v: F.abs(v - m) <= sigma * s)).otherwise(a)
-
-
 def stack(pixels: DataFrame, keys: list[str], method: str = "mean") -> DataFrame:
     """Reduce a sequence's pixel rows by place: mean, median, min, max or sum."""
     how = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum}[method]

@@ -182,7 +182,14 @@ def resolved(kind: Kind, *layers: Mapping[str, Any]) -> dict[str, Any]:
     return out
 
 
-def hashes(t: Template, external: Mapping[str, str] | None = None, overrides: Mapping[str, Mapping[str, Any]] | None = None) -> dict[str, str]:
+def parameters(n: Node, profile: Mapping[str, Mapping[str, Any]], overrides: Mapping[str, Mapping[str, Any]]) -> dict[str, Any]:
+    """A node's parameters: the profile's (by kind, by template node, by copy), the template's, then the job's overrides."""
+    base = n.id.split("@", 1)[0]
+    ids = [base, n.id] if base != n.id else [n.id]
+    return resolved(KINDS[n.kind], *(profile.get(k, {}) for k in (n.kind, *ids)), n.params, *(overrides.get(k, {}) for k in ids))
+
+
+def hashes(t: Template, external: Mapping[str, str] | None = None, overrides: Mapping[str, Mapping[str, Any]] | None = None, profile: Mapping[str, Mapping[str, Any]] | None = None) -> dict[str, str]:
     """The content address of each node: kind, version, parameters and the addresses of its inputs.
 
     The order of a list port's inputs does not matter; a list of one differs
@@ -191,8 +198,7 @@ def hashes(t: Template, external: Mapping[str, str] | None = None, overrides: Ma
     external, overrides, out = external or {}, overrides or {}, {}
     for n in order(t):
         kind = KINDS[n.kind]
-        base = n.id.split("@", 1)[0]
-        params = resolved(kind, overrides.get(n.kind, {}), overrides.get(base, {}), n.params, overrides.get(n.id, {}) if n.id != base else {})
+        params = parameters(n, profile or {}, overrides)
         params = {k: canonical(v, kind.precision.get(k, 6)) for k, v in params.items()}
         inputs: dict[str, Any] = {}
         for port, refs in sorted(n.inputs.items()):
@@ -246,9 +252,9 @@ class Store:
         fs.delete(place, True)
 
 
-def run(t: Template, store: Store, inputs: Mapping[str, DataFrame], external: Mapping[str, str], overrides: Mapping[str, Mapping[str, Any]] | None = None, events: Callable[[dict], None] = lambda e: None, force: bool = False) -> dict[str, DataFrame]:
+def run(t: Template, store: Store, inputs: Mapping[str, DataFrame], external: Mapping[str, str], overrides: Mapping[str, Mapping[str, Any]] | None = None, profile: Mapping[str, Mapping[str, Any]] | None = None, events: Callable[[dict], None] = lambda e: None, force: bool = False) -> dict[str, DataFrame]:
     """Run what must run, rehydrate the rest, and return the outputs."""
-    address = hashes(t, external, overrides)
+    address = hashes(t, external, overrides, profile)
     todo = set(plan(t, address, [h for h in address.values() if store.has(h)], force))
     made: dict[str, Mapping[str, DataFrame]] = {}
     overrides = overrides or {}
@@ -268,9 +274,7 @@ def run(t: Template, store: Store, inputs: Mapping[str, DataFrame], external: Ma
                 raise ValueError(f"{n.id}: input {port} is missing")
             args[port] = found if want in LIST_TYPES else (found[0] if found else None)
         events({"type": "node_started", "node": n.id})
-        base = n.id.split("@", 1)[0]
-        params = resolved(kind, overrides.get(n.kind, {}), overrides.get(base, {}), n.params, overrides.get(n.id, {}) if n.id != base else {})
-        made[n.id] = store.commit(address[n.id], kind.body(**args, **params))
+        made[n.id] = store.commit(address[n.id], kind.body(**args, **parameters(n, profile or {}, overrides)))
         events({"type": "node_done", "node": n.id})
     return {name: made[src][port] for name, (src, port) in t.outputs.items()}
 

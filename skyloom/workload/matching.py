@@ -32,7 +32,7 @@ def _settings():
 FROM s JOIN m ON s.instrument = m.instrument AND (s.camera = m.camera OR s.camera IS NULL OR m.camera IS NULL) AND abs(s.temp - m.temp) <= 5.0)
 SELECT s.sid, c.mid, c.delta, CASE WHEN c.mid IS NULL THEN 'none' WHEN c.delta <= 2.0 THEN 'exact' ELSE 'approx' END AS quality FROM s LEFT JOIN c ON c.sid = s.sid AND c.r = 1""")
 def nearest_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = op.nearest_by_temperature(sessions(spark, sf_dir), masters(spark, sf_dir), "sid", _settings(), F.col("temp"), F.col("m_temp"), F.col("depth"), "mid")
+    x = op.nearest_by_temperature(sessions(spark, sf_dir), masters(spark, sf_dir), "sid", _settings(), "temp", "m_temp", "depth", "mid", ["m_instrument", "m_camera"])
     quality = F.when(F.col("best").isNull(), "none").when(F.col("best.delta") <= 2.0, "exact").otherwise("approx")
     return x.select("sid", F.col("best.id").alias("mid"), F.col("best.delta").alias("delta"), quality.alias("quality"))
 
@@ -44,7 +44,7 @@ def binned_master_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temperature buckets, each with the nearest master, in tolerance if there is one."""
     b = sessions(spark, sf_dir).groupBy("instrument", op.temperature_bin(F.col("temp"), 4.0).alias("bin")).agg(F.count(F.lit(1)).alias("frames"))
     b = b.withColumn("key", F.concat_ws("|", "instrument", F.col("bin").cast("string")))
-    x = op.nearest_by_temperature(b, masters(spark, sf_dir), "key", F.col("instrument") == F.col("m_instrument"), F.col("bin"), F.col("m_temp"), F.col("depth"), "mid", fallback=True)
+    x = op.nearest_by_temperature(b, masters(spark, sf_dir), "key", F.col("instrument") == F.col("m_instrument"), "bin", "m_temp", "depth", "mid", ["m_instrument"], fallback=True)
     return x.select("instrument", "bin", "frames", F.col("best.id").alias("mid"), F.coalesce("best.fallback", F.lit(False)).alias("fallback"))
 
 

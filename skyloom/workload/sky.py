@@ -156,14 +156,11 @@ def sexagesimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("fov_tolerance", """WITH f AS (SELECT p_partkey, CASE WHEN p_size % 10 <> 0 THEN p_size * 10.0e0 END AS focal FROM part), d AS (SELECT p_partkey, CASE WHEN focal > 0 THEN sqrt(power(2 * degrees(atan(3008 * 2.0e0 / 1000 / 2 / focal)), 2) + power(2 * degrees(atan(2008 * 2.0e0 / 1000 / 2 / focal)), 2)) END AS fov FROM f)
-SELECT p_partkey, round(fov, 6) AS fov, round(coalesce(least(3.0e0, greatest(0.3e0, fov)), 1.0e0), 6) AS auto_tol, round(coalesce(least(5.0e0, greatest(0.5e0, 1.5e0 * fov)), 2.0e0), 6) AS suggest_tol FROM d""")
+SELECT p_partkey, round(fov, 6) AS fov, round(CASE WHEN fov IS NULL THEN 1.0e0 ELSE least(3.0e0, greatest(0.3e0, fov)) END, 6) AS auto_tol, round(CASE WHEN fov IS NULL THEN 2.0e0 ELSE least(5.0e0, greatest(0.5e0, 1.5e0 * fov)) END, 6) AS suggest_tol FROM d""")
 def fov_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     focal = F.when(F.col("p_size") % 10 != 0, F.col("p_size") * 10.0)
     fov = sp.fov_diagonal(focal, F.lit(2.0), F.lit(None).cast("double"), F.lit(3008), F.lit(2008))
-    # DuckDB's least and greatest skip nulls as Spark's do, so the fallback is tested on the field itself
-    auto = F.when(fov.isNull(), sp.auto_tolerance(F.lit(0.0))).otherwise(sp.auto_tolerance(fov))
-    suggest = F.when(fov.isNull(), sp.suggest_tolerance(F.lit(0.0))).otherwise(sp.suggest_tolerance(fov))
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(fov, 6).alias("fov"), F.round(auto, 6).alias("auto_tol"), F.round(suggest, 6).alias("suggest_tol"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(fov, 6).alias("fov"), F.round(sp.auto_tolerance(fov), 6).alias("auto_tol"), F.round(sp.suggest_tolerance(fov), 6).alias("suggest_tol"))
 
 
 @query("noise_advice", "SELECT o_orderkey, h.hours, round(1 - sqrt(o_totalprice / (o_totalprice + h.hours * 3600)), 9) AS noise_drop FROM orders, (VALUES (1.0e0), (2.0e0), (4.0e0), (8.0e0)) h(hours) WHERE o_orderkey % 5 = 0")
