@@ -3,7 +3,8 @@
 For each page the log-posterior of a language adds up
 
 * the text: naive Bayes over hashed words of the visible text, whose counts per
-  declared language are one table of fixed size, summed over all pages; long
+  declared language (where the address does not contradict it) are one table of
+  fixed size, summed over all pages; long
   texts are tempered to ``EFFECTIVE`` independent words;
 * the markup: the language that ``<html lang>`` declares, right with ``TRUST``;
 * the address: the language that the path's first segment or a country suffix
@@ -74,18 +75,21 @@ def identify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", ht
     segment, suffix = F.regexp_extract(path, r"(?i)^/([a-z]{2})(?:/|$)", 1), F.substring_index(host, ".", -1)
     named = F.when(_one_of(segment, languages) >= 0, _one_of(segment, languages)).otherwise(_one_of(suffix, languages))
     rows = pages.select(F.col(page_id).alias("_id"), host.alias("host"), _one_of(declared, languages).alias("declared"), named.alias("named"), F.col(html).cast("binary").alias("_html"))
+    # what the words and the hosts are learned from: declarations that the address does not contradict
+    sure = F.when((F.col("named") < 0) | (F.col("named") == F.col("declared")), F.col("declared")).otherwise(-1)
+    rows = rows.withColumn("sure", sure)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size * CELLS)
         for batch in batches:
-            label = batch.column("declared").to_numpy()
+            label = batch.column("sure").to_numpy()
             for a, b, cell, first in _cells(batch.column("_html")):
                 own = np.repeat(label[a:b], np.diff(first))
                 table += np.bincount(own[own >= 0] * CELLS + cell[own >= 0], minlength=size * CELLS)
         if table.any():
             yield table_rows(table, TABLE_BLOCKS)
 
-    table = summed_table(rows.select("declared", "_html").mapInArrow(gather, "block int, sums binary"), TABLE_BLOCKS)
+    table = summed_table(rows.select("sure", "_html").mapInArrow(gather, "block int, sums binary"), TABLE_BLOCKS)
     table = (table if len(table) else np.zeros(size * CELLS)).reshape(size, CELLS)
     # a language's words, smoothed towards all words; one without pages says nothing
     overall = (table.sum(0) + 0.5) / (table.sum() + 0.5 * CELLS)
@@ -104,12 +108,12 @@ def identify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", ht
                     total = np.add.reduceat(model.value[:, cell].astype(np.float64), first[:-1][some], axis=1).T
                     out[a + some] = total * np.minimum(1.0, EFFECTIVE / n[some])[:, None]
             out -= out.max(1, keepdims=True) if len(out) else 0
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("_id", "host", "declared", "named")} | {"text": pa.array(list(out), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("_id", "host", "declared", "named", "sure")} | {"text": pa.array(list(out), pa.list_(pa.float64()))})
 
     kind = rows.schema["_id"].dataType.simpleString()
-    scored = rows.mapInArrow(likelihoods, f"_id {kind}, host string, declared int, named int, text array<double>")
+    scored = rows.mapInArrow(likelihoods, f"_id {kind}, host string, declared int, named int, sure int, text array<double>")
     salted = scored.withColumn("_salt", F.pmod(F.xxhash64("_id", "text"), F.lit(SALTS)).cast("int"))
-    priors = host_priors(rows.select("host", "declared"), size).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    priors = host_priors(rows.select("host", "sure"), size).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     joined = salted.join(priors, ["host", "_salt"], "left")
 
     def said(column: str, trust: float):
@@ -117,8 +121,8 @@ def identify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", ht
         return lambda i: F.when(F.col(column) < 0, 0.0).when(F.col(column) == i, float(np.log(trust))).otherwise(float(np.log(wrong)))
 
     # the host's prior without the page's own declaration
-    own = lambda i: (F.col("declared") == i).cast("double")
-    prior = lambda i: F.log((F.col("counts")[i] - own(i) + WEIGHT * F.col("parent")[i]) / (F.col("n") - (F.col("declared") >= 0).cast("double") + WEIGHT))
+    own = lambda i: (F.col("sure") == i).cast("double")
+    prior = lambda i: F.log((F.col("counts")[i] - own(i) + WEIGHT * F.col("parent")[i]) / (F.col("n") - (F.col("sure") >= 0).cast("double") + WEIGHT))
     log_post = F.array(*(F.col("text")[i] + said("declared", TRUST)(i) + said("named", ADDRESS_TRUST)(i) + prior(i) for i in range(size)))
     out = joined.withColumn("post", log_post).withColumn("top", F.array_max("post"))
     names = F.array(*map(F.lit, languages))
@@ -132,8 +136,8 @@ def identify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", ht
 
 
 def host_priors(rows: DataFrame, size: int) -> DataFrame:
-    """Per host: declared pages ``n``, their ``counts`` per language and the ``parent`` prior of its domain."""
-    one = [F.sum((F.col("declared") == i).cast("double")) for i in range(size)]
+    """Per host: surely declared pages ``n``, their ``counts`` per language and the ``parent`` prior of its domain."""
+    one = [F.sum((F.col("sure") == i).cast("double")) for i in range(size)]
     hosts = rows.groupBy("host").agg(*(c.alias(f"c{i}") for i, c in enumerate(one)))
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
 
