@@ -1,0 +1,367 @@
+"""Bodies of the image nodes: DataFrames of images in, DataFrames of images out.
+
+An image is a row ``img, idx, c, h, w, px`` (planes one after another) with its
+settings ``temp, exptime, gain``.  Kernels that look at one image run in Arrow
+batches; reducers across a sequence shuffle image *rows* (a line of pixels of
+one frame), so a task stacks one line of all frames.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import dag
+
+SCHEMA = "img string, idx int, c int, h int, w int, px array<float>, temp double, exptime double, gain int"
+_ARROW = pa.schema([("img", pa.string()), ("idx", pa.int32()), ("c", pa.int32()), ("h", pa.int32()), ("w", pa.int32()), ("px", pa.list_(pa.float32())), ("temp", pa.float64()), ("exptime", pa.float64()), ("gain", pa.int32())])
+_COLUMNS = [f.name for f in _ARROW]
+
+
+def _rows(batch: pa.RecordBatch, px: str = "px") -> Iterator[tuple[dict, np.ndarray]]:
+    for r in batch.to_pylist():
+        yield r, np.asarray(r[px], np.float64).reshape(r["c"], r["h"], r["w"])
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+
+def _row(r: dict, a: np.ndarray) -> dict:
+    return {k: r.get(k) for k in _COLUMNS} | {"c": a.shape[0], "h": a.shape[1], "w": a.shape[2], "px": a.astype(np.float32).ravel()}
+
+
+def per_image(df: DataFrame, kernel: Callable[[np.ndarray, dict], np.ndarray]) -> DataFrame:
+    """``kernel`` on each image's (c, h, w) array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([_row(r, kernel(a, r)) for r, a in _rows(batch)])
+
+    return df.select(*_COLUMNS).mapInArrow(run, SCHEMA)
+
+
+def per_pair(a: DataFrame, b: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``kernel`` on two images of the same ``idx``."""
+    other = b.select("idx", F.col("px").alias("px2"), F.col("c").alias("c2"), F.col("h").alias("h2"), F.col("w").alias("w2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([_row(r, kernel(x, np.asarray(r["px2"], np.float64).reshape(r["c2"], r["h2"], r["w2"]))) for r, x in _rows(batch)])
+
+    return a.select(*_COLUMNS).join(other, "idx").select(*_COLUMNS, "px2", "c2", "h2", "w2").mapInArrow(run, SCHEMA)
+
+
+# sequences ---------------------------------------------------------------------------------------
+
+
+def convert_lights(lights: DataFrame) -> dict[str, DataFrame]:
+    """Whole frames, numbered in the order of their names."""
+    whole = lights.filter(F.size("px") == F.col("c") * F.col("h") * F.col("w"))
+    return {"sequence": whole.withColumn("idx", F.row_number().over(Window.orderBy("img"))).select(*_COLUMNS)}
+
+
+def calibrate(sequence: DataFrame, dark: list, flat: DataFrame | None, bias: DataFrame | None, max_temp_delta: float, drop_uncalibratable: bool) -> dict[str, DataFrame]:
+    """(light - dark) / flat.  A frame takes the dark of its exposure and gain (an unknown gain fits all) nearest in temperature."""
+    out = sequence
+    if dark:
+        d = dark[0].select(*_COLUMNS)
+        for more in dark[1:]:
+            d = d.unionByName(more.select(*_COLUMNS))
+        d = d.select(F.col("img").alias("d_img"), F.col("px").alias("d_px"), F.col("temp").alias("d_temp"), F.col("exptime").alias("d_exp"), F.col("gain").alias("d_gain"))
+        fits = (F.abs(F.col("exptime") - F.col("d_exp")) < 0.001) & ((F.col("gain") == F.col("d_gain")) | F.col("gain").isNull() | F.col("d_gain").isNull())
+        delta = F.coalesce(F.abs(F.col("temp") - F.col("d_temp")), F.lit(float("inf")))
+        # masters are a handful of images; frames meet their settings, and then one dark's pixels
+        names = sequence.select("img", "temp", "exptime", "gain").join(F.broadcast(d.drop("d_px")), fits).groupBy("img").agg(F.min_by(F.struct("d_img", delta.alias("delta")), F.struct(delta, "d_img")).alias("b"))
+        picked = out.join(names, "img", "inner" if drop_uncalibratable else "left").withColumn("ok", F.col("b.delta") <= max_temp_delta)
+        joined = picked.join(d.select("d_img", "d_px"), F.col("b.d_img") == F.col("d_img"), "left")
+        out = joined.withColumn("px", F.when(F.col("d_px").isNotNull(), F.zip_with("px", "d_px", lambda a, b: a - b)).otherwise(F.col("px"))).select(*_COLUMNS)
+    elif bias is not None:
+        b = bias.select(F.col("px").alias("b_px"))  # one image
+        out = out.crossJoin(F.broadcast(b)).withColumn("px", F.zip_with("px", "b_px", lambda a, c: a - c)).select(*_COLUMNS)
+    if flat is not None:
+        f = flat.select(F.col("px").alias("f_px"), (F.aggregate("px", F.lit(0.0), lambda s, v: s + v) / F.size("px")).alias("f_mean"))  # one image
+        out = out.crossJoin(F.broadcast(f)).withColumn("px", F.zip_with("px", "f_px", lambda a, c: (a / F.when(c > 0, c / F.col("f_mean")).otherwise(1.0)).cast("float"))).select(*_COLUMNS)
+    return {"sequence": out}
+
+
+def seq_offset(sequence: DataFrame, pedestal: float) -> dict[str, DataFrame]:
+    return {"sequence": sequence.withColumn("px", F.transform("px", lambda v: (v + pedestal).cast("float")))}
+
+
+def halve(a: np.ndarray, _: dict) -> np.ndarray:
+    c, h, w = a.shape
+    return a[:, : h // 2 * 2, : w // 2 * 2].reshape(c, h // 2, 2, w // 2, 2).mean((2, 4))
+
+
+def seq_resample(sequence: DataFrame, scale: float) -> dict[str, DataFrame]:
+    if scale not in (0.5, 1.0):
+        raise NotImplementedError("only halving by area means")
+    return {"sequence": sequence if scale == 1.0 else per_image(sequence, halve)}
+
+
+def sky_plane(a: np.ndarray, degree: int) -> np.ndarray:
+    """A polynomial sky fitted to the medians of 8x8 blocks."""
+    c, h, w = a.shape
+    ys, xs = np.meshgrid(np.arange(h) / max(1, h - 1) - 0.5, np.arange(w) / max(1, w - 1) - 0.5, indexing="ij")
+    terms = [ys**i * xs**j for i in range(degree + 1) for j in range(degree + 1 - i)]
+    out = np.empty_like(a)
+    cells = [(slice(y, y + 8), slice(x, x + 8)) for y in range(0, h, 8) for x in range(0, w, 8)]
+    design = np.array([[t[s].mean() for t in terms] for s in cells])
+    for k in range(c):
+        fit, *_ = np.linalg.lstsq(design, np.array([np.median(a[k][s]) for s in cells]), rcond=None)
+        out[k] = sum(f * t for f, t in zip(fit, terms, strict=True))
+    return out
+
+
+def seq_bg_extract(sequence: DataFrame, degree: int) -> dict[str, DataFrame]:
+    def flatten(a: np.ndarray, _: dict) -> np.ndarray:
+        sky = sky_plane(a, degree)
+        return a - sky + sky.mean((1, 2), keepdims=True)
+
+    return {"sequence": per_image(sequence, flatten)}
+
+
+def _reduce(lines: np.ndarray, weights: np.ndarray, method: str, rejection: str, low: float, high: float) -> np.ndarray:
+    """Frames by pixels to pixels."""
+    if method in ("median", "min", "max", "sum"):
+        return {"median": np.median, "min": np.min, "max": np.max, "sum": np.sum}[method](lines, axis=0)
+    keep = np.ones(lines.shape, bool)
+    if rejection == "sigma":
+        for _ in range(3):
+            masked = np.ma.array(lines, mask=~keep)
+            mid, sd = np.ma.median(masked, axis=0).filled(0), masked.std(0).filled(0)
+            keep &= (sd == 0) | ((lines >= mid - low * sd) & (lines <= mid + high * sd))
+    elif rejection == "percentile":
+        lo, hi = np.quantile(lines, [0.1, 0.9], axis=0)
+        keep = (lines >= lo) & (lines <= hi)
+    elif rejection != "none":
+        raise NotImplementedError(f"rejection {rejection}")
+    w = weights[:, None] * keep
+    return (w * lines).sum(0) / np.maximum(w.sum(0), 1e-12)
+
+
+def stack_lines(images: DataFrame, method: str, rejection: str, low: float, high: float, weighted: bool) -> DataFrame:
+    """One image from all: lines of pixels are shuffled, stacked, and put together again."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"c": [], "h": [], "w": [], "line": [], "weight": [], "v": []}
+            for r, a in _rows(batch):
+                d = np.diff(a, axis=2)
+                noise = float(np.median(np.abs(d - np.median(d)))) if d.size else 0.0
+                for k in range(r["c"]):
+                    for y in range(r["h"]):
+                        for key, x in (("c", r["c"]), ("h", r["h"]), ("w", r["w"]), ("line", k * r["h"] + y), ("weight", 1 / max(noise, 1e-9) ** 2 if weighted else 1.0), ("v", a[k, y].tobytes())):
+                            out[key].append(x)
+            kinds = {"c": pa.int32(), "h": pa.int32(), "w": pa.int32(), "line": pa.int32(), "weight": pa.float64(), "v": pa.binary()}
+            yield pa.RecordBatch.from_pydict({k: pa.array(x, kinds[k]) for k, x in out.items()})
+
+    def reduce(table: pa.Table) -> pa.Table:
+        lines = np.array([np.frombuffer(x) for x in table.column("v").to_pylist()])
+        order = np.lexsort((*lines.T[:4], table.column("weight").to_numpy()))  # sums in one order
+        out = _reduce(lines[order], table.column("weight").to_numpy()[order], method, rejection, low, high)
+        return pa.table({k: table.column(k)[:1] for k in ("c", "h", "w", "line")} | {"v": pa.array([out.astype(np.float32).tolist()], pa.list_(pa.float32()))})
+
+    lines = images.select(*_COLUMNS).mapInArrow(cut, "c int, h int, w int, line int, weight double, v binary")
+    done = lines.groupBy("c", "h", "w", "line").applyInArrow(reduce, "c int, h int, w int, line int, v array<float>")
+    whole = done.groupBy("c", "h", "w").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "v"))), lambda x: x["v"])).alias("px"))  # one image
+    none = F.lit(None)
+    return whole.select(F.lit("stack").alias("img"), F.lit(1).alias("idx"), "c", "h", "w", "px", none.cast("double").alias("temp"), none.cast("double").alias("exptime"), none.cast("int").alias("gain"))
+
+
+def seq_stack(sequence: DataFrame, method: str, rejection: str, low: float, high: float) -> dict[str, DataFrame]:
+    return {"image": stack_lines(sequence, method, rejection, low, high, False)}
+
+
+def combine_stacks(images: list[DataFrame], weighting: str) -> dict[str, DataFrame]:
+    """Nights weighted by their noise; outliers go from five nights on."""
+    every = images[0].select(*_COLUMNS)
+    for more in images[1:]:
+        every = every.unionByName(more.select(*_COLUMNS))
+    return {"image": stack_lines(every, "mean", "sigma" if len(images) >= 5 else "none", 3.0, 3.0, weighting == "noise")}
+
+
+# images ------------------------------------------------------------------------------------------
+
+
+def trim(a: np.ndarray) -> np.ndarray:
+    """Without the dark border."""
+    lit = (a > 0).any(0)
+    ys, xs = np.flatnonzero(lit.any(1)), np.flatnonzero(lit.any(0))
+    return a[:, ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1] if len(ys) else a
+
+
+def crop(image: DataFrame, auto_trim: bool, x: int, y: int, width: int, height: int) -> dict[str, DataFrame]:
+    return {"image": per_image(image, lambda a, _: a[:, y : y + height, x : x + width] if width and height else trim(a) if auto_trim else a)}
+
+
+def midtones(a: np.ndarray, target: float) -> np.ndarray:
+    """The midtones transfer that takes the median to ``target``."""
+    lo, hi = a.min(), a.max()
+    u = (a - lo) / (hi - lo) if hi > lo else np.zeros_like(a)
+    m = float(np.median(u))
+    if not 0 < m < 1:
+        return u
+    k = m * (target - 1) / (2 * m * target - target - m)
+    return np.where(u <= 0, 0.0, np.where(u >= 1, 1.0, (k - 1) * u / np.where((2 * k - 1) * u - k == 0, 1, (2 * k - 1) * u - k)))
+
+
+def saturate(a: np.ndarray, amount: float) -> np.ndarray:
+    return a if len(a) != 3 or amount == 1 else np.clip(a.mean(0) + amount * (a - a.mean(0)), 0, 1)
+
+
+def stretch(image: DataFrame, mode: str, target: float, saturation: float) -> dict[str, DataFrame]:
+    how = {"auto": lambda a: midtones(a, target), "asinh": lambda a: np.arcsinh(10 * np.clip(a, 0, 1)) / np.arcsinh(10), "none": lambda a: a}
+    if mode not in how:
+        raise NotImplementedError(f"stretch {mode}")
+    return {"image": per_image(image, lambda a, _: saturate(how[mode](a), saturation))}
+
+
+def auto_bp_shift(image: DataFrame, enabled: bool, neutral_sky: bool, clip_fraction: float) -> dict[str, DataFrame]:
+    """Black at a global quantile; the channels' sky levels made equal first."""
+
+    def shift(a: np.ndarray, _: dict) -> np.ndarray:
+        if neutral_sky:
+            sky = np.quantile(a, 0.3, axis=(1, 2), keepdims=True)
+            a = a - sky + sky.min()
+        black = np.quantile(a, clip_fraction)
+        return np.clip((a - black) / max(a.max() - black, 1e-12), 0, 1)
+
+    return {"image": per_image(image, shift) if enabled else image}
+
+
+def channel_map(image: DataFrame, smooth: int) -> dict[str, DataFrame]:
+    """Red as hydrogen, the mean of green and blue as oxygen, levels matched to red's."""
+
+    def hoo(a: np.ndarray, _: dict) -> np.ndarray:
+        if len(a) != 3:
+            return a
+        ha, oiii = a[0], a[1:].mean(0)
+        mad = lambda v: max(float(np.median(np.abs(v - np.median(v)))), 1e-12)
+        oiii = (oiii - np.median(oiii)) * mad(ha) / mad(oiii) + np.median(ha)
+        if smooth:
+            pad = np.pad(oiii, smooth, mode="edge")
+            oiii = np.median(np.lib.stride_tricks.sliding_window_view(pad, (2 * smooth + 1, 2 * smooth + 1)), axis=(2, 3))
+        return np.stack([ha, oiii, oiii])
+
+    return {"image": per_image(image, hoo)}
+
+
+def color_balance(image: DataFrame, amount: float) -> dict[str, DataFrame]:
+    """Average-neutral green."""
+    return {"image": per_image(image, lambda a, _: a if len(a) != 3 else np.stack([a[0], a[1] + amount * (np.minimum(a[1], (a[0] + a[2]) / 2) - a[1]), a[2]]))}
+
+
+def starnet_extract(image: DataFrame, enabled: bool) -> dict[str, DataFrame]:
+    if enabled:
+        raise NotImplementedError("star removal needs an external program")
+    return {"starless": image, "stars": image.withColumn("px", F.transform("px", lambda v: v * 0))}
+
+
+def starnet_recombine(starless: DataFrame, stars: DataFrame, mode: str, amount: float) -> dict[str, DataFrame]:
+    def blend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        b = np.clip(b, 0, None) ** (1 / amount) if amount > 0 else b * 0
+        return {"add": np.minimum(a + b, 1), "screen": 1 - (1 - a) * (1 - b), "max": np.maximum(a, b)}[mode]
+
+    return {"image": per_pair(starless, stars, blend)}
+
+
+def narrowband_extract(sequence: DataFrame) -> dict[str, DataFrame]:
+    """Hydrogen from the red pixels, oxygen from the others, of a Bayer frame; stacked."""
+    red = per_image(sequence, lambda a, _: a[:, 0::2, 0::2])
+    rest = per_image(sequence, lambda a, _: (a[:, 0::2, 1::2] + a[:, 1::2, 0::2] + a[:, 1::2, 1::2]) / 3)
+    return {"ha": stack_lines(red, "mean", "sigma", 3.0, 3.0, False), "oiii": stack_lines(rest, "mean", "sigma", 3.0, 3.0, False)}
+
+
+def _matched(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+    mad = lambda v: max(float(np.median(np.abs(v - np.median(v)))), 1e-12)
+    return o * mad(h) / mad(o) - mad(h) / mad(o) * np.median(o) + np.median(h)
+
+
+#: Channels of the palettes as weights of hydrogen and oxygen.
+PALETTES = {"hoo": ((1, 0), (0, 1), (0, 1)), "ohh": ((0, 1), (1, 0), (1, 0)), "hoh": ((1, 0), (0, 1), (1, 0)), "hho": ((1, 0), (1, 0), (0, 1)), "ooh": ((0, 1), (0, 1), (1, 0)), "oho": ((0, 1), (1, 0), (0, 1)), "mixed": ((1, 0), (0.5, 0.5), (0, 1))}
+
+
+def narrowband_compose(ha: DataFrame, oiii: DataFrame, palette: str) -> dict[str, DataFrame]:
+    mix = PALETTES[palette]
+    return {"image": per_pair(ha, oiii, lambda h, o: np.concatenate([a * h[:1] + b * _matched(h[:1], o[:1]) for a, b in mix]))}
+
+
+def narrowband_pack(ha: DataFrame, oiii: DataFrame) -> dict[str, DataFrame]:
+    """Oxygen shifted onto hydrogen, packed as (ha, oiii, oiii)."""
+    from ..operators.pixels import best_shift
+
+    def pack(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+        o = np.roll(o[0], best_shift(h[0], o[0]), (0, 1))
+        return np.stack([h[0], o, o])
+
+    return {"image": per_pair(ha, oiii, pack)}
+
+
+def downscale(image: DataFrame, long_edge: int) -> dict[str, DataFrame]:
+    """By area means to at most ``long_edge``."""
+
+    def shrink(a: np.ndarray, _: dict) -> np.ndarray:
+        k = -(-max(a.shape[1:]) // long_edge)
+        h, w = a.shape[1] // k * k, a.shape[2] // k * k
+        return a if k <= 1 else a[:, :h, :w].reshape(a.shape[0], h // k, k, w // k, k).mean((2, 4))
+
+    return {"image": per_image(image, shrink)}
+
+
+def coverage(a: np.ndarray, block: int = 8) -> np.ndarray:
+    """Noise of each block by the spread of neighbour differences: less covered parts are noisier."""
+    h, w = a.shape[0] // block * block, a.shape[1] // block * block
+    d = np.diff(a[:h, :w], axis=1, append=a[:h, w - 1 : w])
+    cells = d.reshape(h // block, block, w // block, block).transpose(0, 2, 1, 3).reshape(h // block, w // block, -1)
+    return np.median(np.abs(cells - np.median(cells, -1, keepdims=True)), -1)
+
+
+def components(mask: np.ndarray) -> np.ndarray:
+    """4-connected components, each labelled by its smallest place + 1; 0 is outside."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    big = mask.size + 1
+    while True:
+        x = np.pad(np.where(mask, label, big), 1, constant_values=big)
+        least = np.minimum.reduce([x[1:-1, 1:-1], x[:-2, 1:-1], x[2:, 1:-1], x[1:-1, :-2], x[1:-1, 2:]])
+        new = np.where(mask, least, 0)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _external(name: str, why: str):
+    def body(**_: object):
+        raise NotImplementedError(f"{name}: {why} needs an external program")
+
+    return body
+
+
+def _register() -> None:
+    seq, img = "sequence", "image"
+    one, bodies = {"image": img}, {"convert_lights": convert_lights, "calibrate": calibrate, "seq_offset": seq_offset, "seq_stack": seq_stack, "combine_stacks": combine_stacks, "crop": crop, "stretch": stretch, "starnet_recombine": starnet_recombine, "narrowband_compose": narrowband_compose, "color_balance": color_balance}
+    for name, body in bodies.items():
+        dag.KINDS[name] = dag.replace(dag.KINDS[name], body=body)
+    for kind in (
+        dag.Kind("seq_resample", {"sequence": seq}, {"sequence": seq}, {"scale": 0.5}, body=seq_resample),
+        dag.Kind("seq_bg_extract", {"sequence": seq}, {"sequence": seq}, {"degree": 1}, body=seq_bg_extract),
+        dag.Kind("seq_register", {"sequence": seq}, {"sequence": seq}, body=_external("seq_register", "plate solving and star matching")),
+        dag.Kind("graxpert", one, one, {"strength": 0.5}, version=3, tier="keep", body=_external("graxpert", "denoising")),
+        dag.Kind("channel_map", one, one, {"smooth": 1}, version=6, tier="keep", body=channel_map),
+        dag.Kind("auto_bp_shift", one, one, {"enabled": True, "neutral_sky": True, "clip_fraction": 0.01}, {"clip_fraction": 5}, version=2, tier="keep", body=auto_bp_shift),
+        dag.Kind("starnet_extract", one, {"starless": img, "stars": img}, {"enabled": False}, version=2, tier="keep", body=starnet_extract),
+        dag.Kind("starnet_replace", {"starless": img, "stars": img}, one, tier="keep", body=_external("starnet_replace", "star synthesis")),
+        dag.Kind("narrowband_extract", {"sequence": seq}, {"ha": img, "oiii": img}, version=2, tier="keep", body=narrowband_extract),
+        dag.Kind("narrowband_pack", {"ha": img, "oiii": img}, one, version=2, tier="keep", body=narrowband_pack),
+        dag.Kind("downscale", one, one, {"long_edge": 2048}, tier="keep", body=downscale),
+        dag.Kind("save_image", one, one, tier="keep", body=lambda image: {"image": image}),
+    ):
+        dag.register(kind)
+
+
+_register()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sphere as sp
 from ..functions import values as va
 from ..operators import sessions as op
-from ..plans import dag
+from ..plans import dag, nodes  # noqa: F401  (registers the bodies)
 from ..registry import query
 from ..sources.tables import micros, table
 from .sky import _ALT, _GRID, _LST, _TGT, DUSK, LAT, LON, _grid, targets
