@@ -307,18 +307,19 @@ def must_run(edges: DataFrame, misses: DataFrame, outputs: DataFrame) -> DataFra
     return found.distinct()
 
 
+# Port types, parameters and defaults are the node contract of existing templates: fixed values.
 _SEQ, _IMG = "sequence", "image"
 for _k in (
     Kind("convert_lights", {"lights": _SEQ}, {"sequence": _SEQ}),
-    Kind("calibrate", {"sequence": _SEQ, "dark": "masters", "flat": "master", "bias": "master"}, {"sequence": _SEQ}, {"max_temp_delta": 5.0, "drop_uncalibratable": True}, version=2, optional=frozenset({"dark", "flat", "bias"})),
-    Kind("seq_offset", {"sequence": _SEQ}, {"sequence": _SEQ}, {"pedestal": 0.0}),
-    Kind("seq_stack", {"sequence": _SEQ}, {"image": _IMG}, {"method": "mean", "rejection": "sigma", "low": 3.0, "high": 3.0}, tier="keep"),
-    Kind("combine_stacks", {"images": "images"}, {"image": _IMG}, {"weighting": "noise"}, version=5, tier="keep"),
-    Kind("crop", {"image": _IMG}, {"image": _IMG}, {"auto_trim": True, "x": 0, "y": 0, "width": 0, "height": 0}, version=5, tier="keep"),
-    Kind("stretch", {"image": _IMG}, {"image": _IMG}, {"mode": "auto", "target": 0.25, "saturation": 1.0}, {"target": 4}, version=2, tier="keep"),
-    Kind("starnet_recombine", {"starless": _IMG, "stars": _IMG}, {"image": _IMG}, {"mode": "screen", "amount": 1.0}, tier="keep"),
-    Kind("narrowband_compose", {"ha": _IMG, "oiii": _IMG}, {"image": _IMG}, {"palette": "hoo"}, tier="keep"),
-    Kind("color_balance", {"image": _IMG}, {"image": _IMG}, {"amount": 1.0}, tier="keep"),
+    Kind("calibrate", {"sequence": _SEQ, "dark": "masters", "flat": "master", "bias": "master"}, {"sequence": _SEQ}, {"exclude_uncalibratable": False}, version=2, optional=frozenset({"dark", "flat", "bias"})),
+    Kind("seq_offset", {"sequence": _SEQ}, {"sequence": _SEQ}, {"pedestal": 0.01}, {"pedestal": 4}),
+    Kind("seq_stack", {"sequence": _SEQ}, {"image": _IMG}, {"method": "rej", "sigma_low": 3.0, "sigma_high": 3.0, "rejection_type": "w", "norm": "addscale"}, tier="keep"),
+    Kind("combine_stacks", {"images": "images"}, {"image": _IMG}, {"weight": "noise", "min_for_rejection": 5}, version=5, tier="keep"),
+    Kind("crop", {"image": _IMG}, {"image": _IMG}, {"enabled": True, "x": 0.0, "y": 0.0, "width": 0.0, "height": 0.0, "rotation": 0.0, "threshold": 0.001, "padding": 0}, {"x": 4, "y": 4, "width": 4, "height": 4, "rotation": 3}, version=5, tier="keep"),
+    Kind("stretch", {"image": _IMG}, {"image": _IMG}, {"method": "autostretch", "linked": True, "shadows_clip": -2.8, "target_bg": 0.25, "saturation": 1.0, "mtf_shadows": 0.0, "mtf_midtones": 0.25, "mtf_highlights": 1.0, "asinh_stretch": 10.0, "asinh_offset": 0.0}, {"shadows_clip": 3, "target_bg": 3, "saturation": 3, "mtf_shadows": 4, "mtf_midtones": 4, "mtf_highlights": 4, "asinh_stretch": 2, "asinh_offset": 4}, version=2, tier="keep"),
+    Kind("starnet_recombine", {"starless": _IMG, "stars": _IMG}, {"image": _IMG}, {"enabled": True, "blend": "add", "amount": 1.0}, {"amount": 3}, tier="keep"),
+    Kind("narrowband_compose", {"ha": _IMG, "oiii": _IMG}, {"image": _IMG}, {"mode": "hoo"}, tier="keep"),
+    Kind("color_balance", {"image": _IMG}, {"image": _IMG}, {"enabled": True, "amount": 0.85}, {"amount": 2}, tier="keep"),
 ):
     register(_k)
 

@@ -65,8 +65,12 @@ def convert_lights(lights: DataFrame) -> dict[str, DataFrame]:
     return {"sequence": whole.withColumn("idx", F.row_number().over(Window.orderBy("img"))).select(*_COLUMNS)}
 
 
-def calibrate(sequence: DataFrame, dark: list, flat: DataFrame | None, bias: DataFrame | None, max_temp_delta: float, drop_uncalibratable: bool) -> dict[str, DataFrame]:
-    """(light - dark) / flat.  A frame takes the dark of its exposure and gain (an unknown gain fits all) nearest in temperature."""
+def calibrate(sequence: DataFrame, dark: list, flat: DataFrame | None, bias: DataFrame | None, exclude_uncalibratable: bool) -> dict[str, DataFrame]:
+    """(light - dark) / flat.
+
+    A frame takes the dark of its exposure and gain (an unknown gain fits all)
+    nearest in temperature; one without any passes as it is, or is left out.
+    """
     out = sequence
     if dark:
         d = dark[0].select(*_COLUMNS)
@@ -77,7 +81,7 @@ def calibrate(sequence: DataFrame, dark: list, flat: DataFrame | None, bias: Dat
         delta = F.coalesce(F.abs(F.col("temp") - F.col("d_temp")), F.lit(float("inf")))
         # masters are a handful of images; frames meet their settings, and then one dark's pixels
         names = sequence.select("img", "temp", "exptime", "gain").join(F.broadcast(d.drop("d_px")), fits).groupBy("img").agg(F.min_by(F.struct("d_img", delta.alias("delta")), F.struct(delta, "d_img")).alias("b"))
-        picked = out.join(names, "img", "inner" if drop_uncalibratable else "left").withColumn("ok", F.col("b.delta") <= max_temp_delta)
+        picked = out.join(names, "img", "inner" if exclude_uncalibratable else "left")
         joined = picked.join(d.select("d_img", "d_px"), F.col("b.d_img") == F.col("d_img"), "left")
         out = joined.withColumn("px", F.when(F.col("d_px").isNotNull(), F.zip_with("px", "d_px", lambda a, b: a - b)).otherwise(F.col("px"))).select(*_COLUMNS)
     elif bias is not None:
@@ -98,10 +102,10 @@ def halve(a: np.ndarray, _: dict) -> np.ndarray:
     return a[:, : h // 2 * 2, : w // 2 * 2].reshape(c, h // 2, 2, w // 2, 2).mean((2, 4))
 
 
-def seq_resample(sequence: DataFrame, scale: float) -> dict[str, DataFrame]:
-    if scale not in (0.5, 1.0):
-        raise NotImplementedError("only halving by area means")
-    return {"sequence": sequence if scale == 1.0 else per_image(sequence, halve)}
+def seq_resample(sequence: DataFrame, enabled: bool, interp: str) -> dict[str, DataFrame]:
+    if enabled and interp != "area":
+        raise NotImplementedError(f"resampling by {interp}")
+    return {"sequence": per_image(sequence, halve) if enabled else sequence}
 
 
 def sky_plane(a: np.ndarray, degree: int) -> np.ndarray:
@@ -126,100 +130,182 @@ def seq_bg_extract(sequence: DataFrame, degree: int) -> dict[str, DataFrame]:
     return {"sequence": per_image(sequence, flatten)}
 
 
+def _rejected(lines: np.ndarray, kind: str, low: float, high: float) -> np.ndarray:
+    """Which values to keep: s sigma, w winsorized sigma, m median deviation, p percentile, n all."""
+    if kind == "n":
+        return np.ones(lines.shape, bool)
+    if kind == "p":
+        lo, hi = np.quantile(lines, [0.1, 0.9], axis=0)
+        return (lines >= lo) & (lines <= hi)
+    if kind not in "swm":
+        raise NotImplementedError(f"rejection {kind}")
+    keep = np.ones(lines.shape, bool)
+    for _ in range(3):
+        held = np.where(keep, lines, np.nan)
+        mid = np.nanmedian(held, axis=0)
+        if kind == "m":
+            sd = 1.4826 * np.nanmedian(np.abs(held - mid), axis=0)
+        else:
+            sd = np.nanstd(held, axis=0)
+            if kind == "w":  # outliers drawn in before the spread is measured
+                sd = 1.134 * np.nanstd(np.clip(held, mid - 1.5 * sd, mid + 1.5 * sd), axis=0)
+        keep &= (sd == 0) | ((lines >= mid - low * sd) & (lines <= mid + high * sd))
+    return keep
+
+
 def _reduce(lines: np.ndarray, weights: np.ndarray, method: str, rejection: str, low: float, high: float) -> np.ndarray:
     """Frames by pixels to pixels."""
     if method in ("median", "min", "max", "sum"):
         return {"median": np.median, "min": np.min, "max": np.max, "sum": np.sum}[method](lines, axis=0)
-    keep = np.ones(lines.shape, bool)
-    if rejection == "sigma":
-        for _ in range(3):
-            masked = np.ma.array(lines, mask=~keep)
-            mid, sd = np.ma.median(masked, axis=0).filled(0), masked.std(0).filled(0)
-            keep &= (sd == 0) | ((lines >= mid - low * sd) & (lines <= mid + high * sd))
-    elif rejection == "percentile":
-        lo, hi = np.quantile(lines, [0.1, 0.9], axis=0)
-        keep = (lines >= lo) & (lines <= hi)
-    elif rejection != "none":
-        raise NotImplementedError(f"rejection {rejection}")
+    keep = _rejected(lines, rejection if method == "rej" else "n", low, high)
     w = weights[:, None] * keep
-    return (w * lines).sum(0) / np.maximum(w.sum(0), 1e-12)
+    return (w * lines).sum(0) / np.maximum(w.sum(0), 1e-300)
+
 
+def stack_lines(images: DataFrame, method: str, rejection: str = "n", low: float = 3.0, high: float = 3.0, weighted: bool = False, norm: str = "no") -> DataFrame:
+    """One image from all: lines of pixels are shuffled, stacked, and put together again.
 
-def stack_lines(images: DataFrame, method: str, rejection: str, low: float, high: float, weighted: bool) -> DataFrame:
-    """One image from all: lines of pixels are shuffled, stacked, and put together again."""
+    ``norm`` (add, mul, with or without scale) brings each frame's level and
+    spread to the frames' mean level and spread.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"c": pa.int32(), "h": pa.int32(), "w": pa.int32(), "line": pa.int32(), "weight": pa.float64(), "level": pa.float64(), "spread": pa.float64(), "v": pa.binary()}
         for batch in batches:
-            out: dict[str, list] = {"c": [], "h": [], "w": [], "line": [], "weight": [], "v": []}
+            out: dict[str, list] = {k: [] for k in kinds}
             for r, a in _rows(batch):
                 d = np.diff(a, axis=2)
                 noise = float(np.median(np.abs(d - np.median(d)))) if d.size else 0.0
-                for k in range(r["c"]):
-                    for y in range(r["h"]):
-                        for key, x in (("c", r["c"]), ("h", r["h"]), ("w", r["w"]), ("line", k * r["h"] + y), ("weight", 1 / max(noise, 1e-9) ** 2 if weighted else 1.0), ("v", a[k, y].tobytes())):
-                            out[key].append(x)
-            kinds = {"c": pa.int32(), "h": pa.int32(), "w": pa.int32(), "line": pa.int32(), "weight": pa.float64(), "v": pa.binary()}
+                level = float(np.median(a))
+                spread = max(float(np.median(np.abs(a - level))), 1e-12) if norm.endswith("scale") else 1.0
+                for line, v in enumerate(a.reshape(-1, r["w"])):
+                    for key, x in (("c", r["c"]), ("h", r["h"]), ("w", r["w"]), ("line", line), ("weight", 1 / max(noise, 1e-9) ** 2 if weighted else 1.0), ("level", level), ("spread", spread), ("v", v.tobytes())):
+                        out[key].append(x)
             yield pa.RecordBatch.from_pydict({k: pa.array(x, kinds[k]) for k, x in out.items()})
 
     def reduce(table: pa.Table) -> pa.Table:
         lines = np.array([np.frombuffer(x) for x in table.column("v").to_pylist()])
-        order = np.lexsort((*lines.T[:4], table.column("weight").to_numpy()))  # sums in one order
-        out = _reduce(lines[order], table.column("weight").to_numpy()[order], method, rejection, low, high)
+        weight, level, spread = (table.column(c).to_numpy() for c in ("weight", "level", "spread"))
+        order = np.lexsort((*lines.T[:4], weight))  # sums in one order
+        lines, weight, level, spread = lines[order], weight[order], level[order], spread[order]
+        to, by = level.mean(), spread.mean()
+        if norm.startswith("add"):
+            lines = (lines - level[:, None]) * (by / spread)[:, None] + to
+        elif norm.startswith("mul"):
+            lines = lines * (np.where(level == 0, 1, to / np.where(level == 0, 1, level)) * by / spread)[:, None]
+        out = _reduce(lines, weight, method, rejection, low, high)
         return pa.table({k: table.column(k)[:1] for k in ("c", "h", "w", "line")} | {"v": pa.array([out.astype(np.float32).tolist()], pa.list_(pa.float32()))})
 
-    lines = images.select(*_COLUMNS).mapInArrow(cut, "c int, h int, w int, line int, weight double, v binary")
+    lines = images.select(*_COLUMNS).mapInArrow(cut, "c int, h int, w int, line int, weight double, level double, spread double, v binary")
     done = lines.groupBy("c", "h", "w", "line").applyInArrow(reduce, "c int, h int, w int, line int, v array<float>")
     whole = done.groupBy("c", "h", "w").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "v"))), lambda x: x["v"])).alias("px"))  # one image
     none = F.lit(None)
     return whole.select(F.lit("stack").alias("img"), F.lit(1).alias("idx"), "c", "h", "w", "px", none.cast("double").alias("temp"), none.cast("double").alias("exptime"), none.cast("int").alias("gain"))
 
 
-def seq_stack(sequence: DataFrame, method: str, rejection: str, low: float, high: float) -> dict[str, DataFrame]:
-    return {"image": stack_lines(sequence, method, rejection, low, high, False)}
+def seq_stack(sequence: DataFrame, method: str, sigma_low: float, sigma_high: float, rejection_type: str, norm: str) -> dict[str, DataFrame]:
+    return {"image": stack_lines(sequence, method, rejection_type, sigma_low, sigma_high, False, norm)}
 
 
-def combine_stacks(images: list[DataFrame], weighting: str) -> dict[str, DataFrame]:
-    """Nights weighted by their noise; outliers go from five nights on."""
+def combine_stacks(images: list[DataFrame], weight: str, min_for_rejection: int) -> dict[str, DataFrame]:
+    """Nights weighted by their noise; outliers go from ``min_for_rejection`` nights on."""
+    if weight not in ("noise", "none"):
+        raise NotImplementedError(f"weights by {weight}")
     every = images[0].select(*_COLUMNS)
     for more in images[1:]:
         every = every.unionByName(more.select(*_COLUMNS))
-    return {"image": stack_lines(every, "mean", "sigma" if len(images) >= 5 else "none", 3.0, 3.0, weighting == "noise")}
+    return {"image": stack_lines(every, "rej", "s" if len(images) >= min_for_rejection else "n", weighted=weight == "noise")}
 
 
 # images ------------------------------------------------------------------------------------------
 
 
-def trim(a: np.ndarray) -> np.ndarray:
-    """Without the dark border."""
-    lit = (a > 0).any(0)
+def trim(a: np.ndarray, threshold: float, padding: int) -> np.ndarray:
+    """Without the dark border, but for ``padding`` pixels."""
+    lit = (a > threshold).any(0)
     ys, xs = np.flatnonzero(lit.any(1)), np.flatnonzero(lit.any(0))
-    return a[:, ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1] if len(ys) else a
+    if not len(ys):
+        return a
+    h, w = lit.shape
+    return a[:, max(0, ys[0] - padding) : min(h, ys[-1] + 1 + padding), max(0, xs[0] - padding) : min(w, xs[-1] + 1 + padding)]
+
+
+def _cubic(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of the four neighbours at a fraction t (Catmull-Rom)."""
+    return [((-0.5 * t + 1.0) * t - 0.5) * t, (1.5 * t - 2.5) * t * t + 1, ((-1.5 * t + 2.0) * t + 0.5) * t, (0.5 * t - 0.5) * t * t]
+
+
+def rotated(a: np.ndarray, cy: float, cx: float, height: int, width: int, degrees: float) -> np.ndarray:
+    """A box of the given size and rotation around a centre, by cubic interpolation; edges repeat."""
+    angle = np.deg2rad(degrees)
+    ys, xs = np.meshgrid(np.arange(height) - (height - 1) / 2, np.arange(width) - (width - 1) / 2, indexing="ij")
+    y, x = cy + ys * np.cos(angle) + xs * np.sin(angle), cx - ys * np.sin(angle) + xs * np.cos(angle)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    out = np.zeros((len(a), height, width))
+    for i, wy in enumerate(_cubic(y - y0)):
+        for j, wx in enumerate(_cubic(x - x0)):
+            out += a[:, np.clip(y0 - 1 + i, 0, a.shape[1] - 1), np.clip(x0 - 1 + j, 0, a.shape[2] - 1)] * (wy * wx)
+    return out
+
+
+def crop(image: DataFrame, enabled: bool, x: float, y: float, width: float, height: float, rotation: float, threshold: float, padding: int) -> dict[str, DataFrame]:
+    """A box in fractions of the canvas (its upper left corner before rotation); without a size the dark border is trimmed."""
+
+    def cut(a: np.ndarray, _: dict) -> np.ndarray:
+        if not (width and height):
+            return trim(a, threshold, padding)
+        h, w = a.shape[1:]
+        top, left, rows, cols = round(y * h), round(x * w), max(1, round(height * h)), max(1, round(width * w))
+        if rotation:
+            return rotated(a, top + (rows - 1) / 2, left + (cols - 1) / 2, rows, cols, rotation)
+        return a[:, top : top + rows, left : left + cols]
 
+    return {"image": per_image(image, cut) if enabled else image}
 
-def crop(image: DataFrame, auto_trim: bool, x: int, y: int, width: int, height: int) -> dict[str, DataFrame]:
-    return {"image": per_image(image, lambda a, _: a[:, y : y + height, x : x + width] if width and height else trim(a) if auto_trim else a)}
+
+def transfer(u: np.ndarray, m: float) -> np.ndarray:
+    """Midtones transfer of values in [0, 1]: m goes to a half."""
+    low = (2 * m - 1) * u - m
+    return np.where(u <= 0, 0.0, np.where(u >= 1, 1.0, (m - 1) * u / np.where(low == 0, -1, low)))
 
 
 def midtones(a: np.ndarray, target: float) -> np.ndarray:
-    """The midtones transfer that takes the median to ``target``."""
+    """From the darkest to the brightest, the median at ``target``."""
     lo, hi = a.min(), a.max()
     u = (a - lo) / (hi - lo) if hi > lo else np.zeros_like(a)
     m = float(np.median(u))
-    if not 0 < m < 1:
-        return u
-    k = m * (target - 1) / (2 * m * target - target - m)
-    return np.where(u <= 0, 0.0, np.where(u >= 1, 1.0, (k - 1) * u / np.where((2 * k - 1) * u - k == 0, 1, (2 * k - 1) * u - k)))
+    return transfer(u, m * (target - 1) / (2 * m * target - target - m)) if 0 < m < 1 else u
+
+
+def screen_transfer(a: np.ndarray, shadows_clip: float, target: float, linked: bool) -> np.ndarray:
+    """Shadows at so many deviations from the median, the rest of it at ``target``; channels together or each."""
+    out = np.clip(a, 0, 1)
+    med = np.median(out, axis=(1, 2))
+    mad = 1.4826 * np.median(np.abs(out - med[:, None, None]), axis=(1, 2))
+    if linked:
+        med, mad = np.full_like(med, med.mean()), np.full_like(mad, mad.mean())
+    for k in range(len(out)):
+        c = float(np.clip(med[k] + shadows_clip * mad[k], 0, 1))
+        u = np.clip((out[k] - c) / max(1 - c, 1e-12), 0, 1)
+        m = float(np.clip((med[k] - c) / max(1 - c, 1e-12), 1e-9, 1 - 1e-9))
+        out[k] = transfer(u, m * (target - 1) / (2 * m * target - target - m))
+    return out
 
 
 def saturate(a: np.ndarray, amount: float) -> np.ndarray:
     return a if len(a) != 3 or amount == 1 else np.clip(a.mean(0) + amount * (a - a.mean(0)), 0, 1)
 
 
-def stretch(image: DataFrame, mode: str, target: float, saturation: float) -> dict[str, DataFrame]:
-    how = {"auto": lambda a: midtones(a, target), "asinh": lambda a: np.arcsinh(10 * np.clip(a, 0, 1)) / np.arcsinh(10), "none": lambda a: a}
-    if mode not in how:
-        raise NotImplementedError(f"stretch {mode}")
-    return {"image": per_image(image, lambda a, _: saturate(how[mode](a), saturation))}
+def stretch(image: DataFrame, method: str, linked: bool, shadows_clip: float, target_bg: float, saturation: float, mtf_shadows: float, mtf_midtones: float, mtf_highlights: float, asinh_stretch: float, asinh_offset: float) -> dict[str, DataFrame]:
+    how = {
+        "autostretch": lambda a: screen_transfer(a, shadows_clip, target_bg, linked),
+        "auto": lambda a: midtones(a, target_bg),
+        "mtf": lambda a: transfer(np.clip((a - mtf_shadows) / max(mtf_highlights - mtf_shadows, 1e-12), 0, 1), mtf_midtones),
+        "asinh": lambda a: np.arcsinh(asinh_stretch * np.clip(a - asinh_offset, 0, 1)) / np.arcsinh(asinh_stretch),
+    }
+    if method not in how:
+        raise ValueError(f"no stretch {method}")
+    return {"image": per_image(image, lambda a, _: saturate(how[method](a), saturation))}
 
 
 def auto_bp_shift(image: DataFrame, enabled: bool, neutral_sky: bool, clip_fraction: float) -> dict[str, DataFrame]:
@@ -235,26 +321,26 @@ def auto_bp_shift(image: DataFrame, enabled: bool, neutral_sky: bool, clip_fract
     return {"image": per_image(image, shift) if enabled else image}
 
 
-def channel_map(image: DataFrame, smooth: int) -> dict[str, DataFrame]:
-    """Red as hydrogen, the mean of green and blue as oxygen, levels matched to red's."""
+def channel_map(image: DataFrame, enabled: bool, oiii_strength: float, smooth: int = 1) -> dict[str, DataFrame]:
+    """Red as hydrogen, the mean of green and blue as oxygen, its level and spread matched to red's and then strengthened."""
 
     def hoo(a: np.ndarray, _: dict) -> np.ndarray:
         if len(a) != 3:
             return a
         ha, oiii = a[0], a[1:].mean(0)
         mad = lambda v: max(float(np.median(np.abs(v - np.median(v)))), 1e-12)
-        oiii = (oiii - np.median(oiii)) * mad(ha) / mad(oiii) + np.median(ha)
+        oiii = (oiii - np.median(oiii)) * mad(ha) / mad(oiii) * oiii_strength + np.median(ha)
         if smooth:
             pad = np.pad(oiii, smooth, mode="edge")
             oiii = np.median(np.lib.stride_tricks.sliding_window_view(pad, (2 * smooth + 1, 2 * smooth + 1)), axis=(2, 3))
         return np.stack([ha, oiii, oiii])
 
-    return {"image": per_image(image, hoo)}
+    return {"image": per_image(image, hoo) if enabled else image}
 
 
-def color_balance(image: DataFrame, amount: float) -> dict[str, DataFrame]:
+def color_balance(image: DataFrame, enabled: bool, amount: float) -> dict[str, DataFrame]:
     """Average-neutral green."""
-    return {"image": per_image(image, lambda a, _: a if len(a) != 3 else np.stack([a[0], a[1] + amount * (np.minimum(a[1], (a[0] + a[2]) / 2) - a[1]), a[2]]))}
+    return {"image": image if not enabled else per_image(image, lambda a, _: a if len(a) != 3 else np.stack([a[0], a[1] + amount * (np.minimum(a[1], (a[0] + a[2]) / 2) - a[1]), a[2]]))}
 
 
 def starnet_extract(image: DataFrame, enabled: bool) -> dict[str, DataFrame]:
@@ -263,19 +349,19 @@ def starnet_extract(image: DataFrame, enabled: bool) -> dict[str, DataFrame]:
     return {"starless": image, "stars": image.withColumn("px", F.transform("px", lambda v: v * 0))}
 
 
-def starnet_recombine(starless: DataFrame, stars: DataFrame, mode: str, amount: float) -> dict[str, DataFrame]:
-    def blend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def starnet_recombine(starless: DataFrame, stars: DataFrame, enabled: bool, blend: str, amount: float) -> dict[str, DataFrame]:
+    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         b = np.clip(b, 0, None) ** (1 / amount) if amount > 0 else b * 0
-        return {"add": np.minimum(a + b, 1), "screen": 1 - (1 - a) * (1 - b), "max": np.maximum(a, b)}[mode]
+        return {"add": np.minimum(a + b, 1), "screen": 1 - (1 - a) * (1 - b), "max": np.maximum(a, b)}[blend]
 
-    return {"image": per_pair(starless, stars, blend)}
+    return {"image": per_pair(starless, stars, both) if enabled else starless}
 
 
 def narrowband_extract(sequence: DataFrame) -> dict[str, DataFrame]:
     """Hydrogen from the red pixels, oxygen from the others, of a Bayer frame; stacked."""
     red = per_image(sequence, lambda a, _: a[:, 0::2, 0::2])
     rest = per_image(sequence, lambda a, _: (a[:, 0::2, 1::2] + a[:, 1::2, 0::2] + a[:, 1::2, 1::2]) / 3)
-    return {"ha": stack_lines(red, "mean", "sigma", 3.0, 3.0, False), "oiii": stack_lines(rest, "mean", "sigma", 3.0, 3.0, False)}
+    return {"ha": stack_lines(red, "rej", "s"), "oiii": stack_lines(rest, "rej", "s")}
 
 
 def _matched(h: np.ndarray, o: np.ndarray) -> np.ndarray:
@@ -283,12 +369,15 @@ def _matched(h: np.ndarray, o: np.ndarray) -> np.ndarray:
     return o * mad(h) / mad(o) - mad(h) / mad(o) * np.median(o) + np.median(h)
 
 
-#: Channels of the palettes as weights of hydrogen and oxygen.
-PALETTES = {"hoo": ((1, 0), (0, 1), (0, 1)), "ohh": ((0, 1), (1, 0), (1, 0)), "hoh": ((1, 0), (0, 1), (1, 0)), "hho": ((1, 0), (1, 0), (0, 1)), "ooh": ((0, 1), (0, 1), (1, 0)), "oho": ((0, 1), (1, 0), (0, 1)), "mixed": ((1, 0), (0.5, 0.5), (0, 1))}
+#: Channels of the palettes as weights of hydrogen and oxygen.
+PALETTES = {
+    "hoo": ((1, 0), (0, 1), (0, 1)), "ohh": ((0, 1), (1, 0), (1, 0)), "hho": ((1, 0), (1, 0), (0, 1)), "ooh": ((0, 1), (0, 1), (1, 0)),
+    "hoh": ((1, 0), (0, 1), (1, 0)), "oho": ((0, 1), (1, 0), (0, 1)), "hso": ((1, 0), (0.7, 0.3), (0, 1)),
+}
 
 
-def narrowband_compose(ha: DataFrame, oiii: DataFrame, palette: str) -> dict[str, DataFrame]:
-    mix = PALETTES[palette]
+def narrowband_compose(ha: DataFrame, oiii: DataFrame, mode: str) -> dict[str, DataFrame]:
+    mix = PALETTES[mode]
     return {"image": per_pair(ha, oiii, lambda h, o: np.concatenate([a * h[:1] + b * _matched(h[:1], o[:1]) for a, b in mix]))}
 
 
@@ -303,11 +392,11 @@ def narrowband_pack(ha: DataFrame, oiii: DataFrame) -> dict[str, DataFrame]:
     return {"image": per_pair(ha, oiii, pack)}
 
 
-def downscale(image: DataFrame, long_edge: int) -> dict[str, DataFrame]:
-    """By area means to at most ``long_edge``."""
+def downscale(image: DataFrame, target_size_px: int) -> dict[str, DataFrame]:
+    """By area means to a long edge of at most ``target_size_px``."""
 
     def shrink(a: np.ndarray, _: dict) -> np.ndarray:
-        k = -(-max(a.shape[1:]) // long_edge)
+        k = -(-max(a.shape[1:]) // target_size_px)
         h, w = a.shape[1] // k * k, a.shape[2] // k * k
         return a if k <= 1 else a[:, :h, :w].reshape(a.shape[0], h // k, k, w // k, k).mean((2, 4))
 
@@ -335,9 +424,13 @@ def components(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _external(name: str, why: str):
-    def body(**_: object):
-        raise NotImplementedError(f"{name}: {why} needs an external program")
+def _external(name: str, why: str, port: str, passes: str):
+    """A step of an external program: disabled, it passes its input on."""
+
+    def body(enabled: bool = True, **inputs: DataFrame) -> dict[str, DataFrame]:
+        if enabled:
+            raise NotImplementedError(f"{name}: {why} needs an external program")
+        return {port: inputs[passes]}
 
     return body
 
@@ -348,17 +441,17 @@ def _register() -> None:
     for name, body in bodies.items():
         dag.KINDS[name] = dag.replace(dag.KINDS[name], body=body)
     for kind in (
-        dag.Kind("seq_resample", {"sequence": seq}, {"sequence": seq}, {"scale": 0.5}, body=seq_resample),
+        dag.Kind("seq_resample", {"sequence": seq}, {"sequence": seq}, {"enabled": False, "interp": "cubic"}, body=seq_resample),
         dag.Kind("seq_bg_extract", {"sequence": seq}, {"sequence": seq}, {"degree": 1}, body=seq_bg_extract),
-        dag.Kind("seq_register", {"sequence": seq}, {"sequence": seq}, body=_external("seq_register", "plate solving and star matching")),
-        dag.Kind("graxpert", one, one, {"strength": 0.5}, version=3, tier="keep", body=_external("graxpert", "denoising")),
-        dag.Kind("channel_map", one, one, {"smooth": 1}, version=6, tier="keep", body=channel_map),
+        dag.Kind("seq_register", {"sequence": seq}, {"sequence": seq}, body=_external("seq_register", "plate solving and star matching", "sequence", "sequence")),
+        dag.Kind("graxpert", one, one, {"enabled": False}, version=3, tier="keep", body=_external("graxpert", "denoising", "image", "image")),
+        dag.Kind("channel_map", one, one, {"enabled": False, "oiii_strength": 1.4}, {"oiii_strength": 3}, version=6, tier="keep", body=channel_map),
         dag.Kind("auto_bp_shift", one, one, {"enabled": True, "neutral_sky": True, "clip_fraction": 0.01}, {"clip_fraction": 5}, version=2, tier="keep", body=auto_bp_shift),
         dag.Kind("starnet_extract", one, {"starless": img, "stars": img}, {"enabled": False}, version=2, tier="keep", body=starnet_extract),
-        dag.Kind("starnet_replace", {"starless": img, "stars": img}, one, tier="keep", body=_external("starnet_replace", "star synthesis")),
+        dag.Kind("starnet_replace", {"starless": img, "stars": img}, one, {"enabled": False}, tier="keep", body=_external("starnet_replace", "star synthesis", "image", "starless")),
         dag.Kind("narrowband_extract", {"sequence": seq}, {"ha": img, "oiii": img}, version=2, tier="keep", body=narrowband_extract),
         dag.Kind("narrowband_pack", {"ha": img, "oiii": img}, one, version=2, tier="keep", body=narrowband_pack),
-        dag.Kind("downscale", one, one, {"long_edge": 2048}, tier="keep", body=downscale),
+        dag.Kind("downscale", one, one, {"target_size_px": 1024}, tier="keep", body=downscale),
         dag.Kind("save_image", one, one, tier="keep", body=lambda image: {"image": image}),
     ):
         dag.register(kind)

@@ -22,38 +22,48 @@ def test_stacks(spark):
     a[3, 0, 2, 2] = 900
     seq = frames(spark, a)
     for how, f in (("median", np.median), ("max", np.max), ("min", np.min), ("sum", np.sum)):
-        assert np.allclose(image(nodes.seq_stack(seq, how, "none", 3, 3)["image"]), f(a, axis=0), rtol=1e-5)
-    assert np.allclose(image(nodes.seq_stack(seq, "mean", "none", 3, 3)["image"]), a.mean(0), rtol=1e-5)
-    clipped = image(nodes.seq_stack(seq, "mean", "sigma", 2.0, 2.0)["image"])
-    assert abs(clipped[0, 2, 2] - np.delete(a, 3, 0).mean(0)[0, 2, 2]) < 1.0
+        assert np.allclose(image(nodes.seq_stack(seq, how, 3, 3, "n", "no")["image"]), f(a, axis=0), rtol=1e-5)
+    assert np.allclose(image(nodes.seq_stack(seq, "mean", 3, 3, "w", "no")["image"]), a.mean(0), rtol=1e-5)
+    for kind in "swm":
+        clipped = image(nodes.seq_stack(seq, "rej", 2.0, 2.0, kind, "no")["image"])
+        assert abs(clipped[0, 2, 2] - np.delete(a, 3, 0).mean(0)[0, 2, 2]) < 1.0
+    # frames of other levels and spreads are brought together
+    apart = frames(spark, [a[0] * k + b for k, b in ((1, 0), (2, 5), (3, -4))])
+    flat = image(nodes.seq_stack(apart, "mean", 3, 3, "n", "addscale")["image"])
+    assert np.allclose((flat - np.median(flat)) / flat.std(), (a[0] - np.median(a[0])) / a[0].std(), atol=1e-3)
     with pytest.raises(NotImplementedError):
-        dag.KINDS["graxpert"].body(image=seq, strength=0.5)
+        dag.KINDS["graxpert"].body(image=seq, enabled=True)
+    assert dag.KINDS["graxpert"].body(image=seq, enabled=False)["image"] is seq
 
 
 def test_calibrate_takes_the_nearest_dark(spark):
     light = frames(spark, [np.full((1, 2, 2), 10.0)], temp=22.0, exptime=30.0, gain=60)
     dark = lambda name, t, v: spark.createDataFrame([(name, 0, 1, 2, 2, [v] * 4, t, 30.0, 60)], nodes.SCHEMA)
     flat = frames(spark, [np.array([[[1.0, 2.0], [2.0, 3.0]]])])
-    out = nodes.calibrate(light, [dark("a", 20.0, 4.0), dark("b", 23.0, 2.0)], flat, None, 5.0, True)["sequence"]
+    out = nodes.calibrate(light, [dark("a", 20.0, 4.0), dark("b", 23.0, 2.0)], flat, None, True)["sequence"]
     assert np.allclose(image(out), 8.0 / (np.array([[1, 2], [2, 3]]) / 2))
-    assert nodes.calibrate(frames(spark, [np.ones((1, 2, 2))], exptime=99.0), [dark("a", 20.0, 4.0)], None, None, 5.0, True)["sequence"].count() == 0
+    assert nodes.calibrate(frames(spark, [np.ones((1, 2, 2))], exptime=99.0), [dark("a", 20.0, 4.0)], None, None, True)["sequence"].count() == 0
 
 
 def test_kernels(spark):
     rng = np.random.default_rng(2)
     a = rng.random((3, 8, 8)).astype(np.float32)
     im = frames(spark, [a])
-    assert image(nodes.seq_resample(im, 0.5)["sequence"]).shape == (3, 4, 4)
-    out = image(nodes.stretch(im, "auto", 0.25, 1.0)["image"])
+    assert image(nodes.seq_resample(im, True, "area")["sequence"]).shape == (3, 4, 4)
+    go = lambda method: image(nodes.stretch(im, method, True, -2.8, 0.25, 1.0, 0.0, 0.25, 1.0, 10.0, 0.0)["image"])
+    assert abs(np.median(go("autostretch")) - 0.25) < 0.05 and go("mtf").max() <= 1 and go("asinh").min() >= 0
+    out = go("auto")
     assert abs(np.median(out) - 0.25) < 1e-3 and out.min() == 0 and out.max() == 1
-    g = image(nodes.color_balance(im, 1.0)["image"])
+    g = image(nodes.color_balance(im, True, 1.0)["image"])
     assert (g[1] <= (a[0] + a[2]) / 2 + 1e-6).all()
     b = np.zeros((1, 6, 6), np.float32)
     b[0, 2:5, 1:4] = 1
-    assert image(nodes.crop(frames(spark, [b]), True, 0, 0, 0, 0)["image"]).shape == (1, 3, 3)
-    assert image(nodes.crop(im, True, 1, 2, 3, 4)["image"]).tolist() == a[:, 2:6, 1:4].tolist()
+    assert image(nodes.crop(frames(spark, [b]), True, 0, 0, 0, 0, 0, 0.001, 0)["image"]).shape == (1, 3, 3)
+    assert image(nodes.crop(im, True, 0.125, 0.25, 0.375, 0.5, 0, 0, 0)["image"]).tolist() == a[:, 2:6, 1:4].tolist()
+    turned = nodes.rotated(a, 3.5, 3.5, 8, 8, 90.0)
+    assert np.allclose(turned, np.rot90(a, -1, (1, 2))) or np.allclose(turned, np.rot90(a, 1, (1, 2)))
     stars = nodes.starnet_extract(im, False)
-    assert np.allclose(image(nodes.starnet_recombine(stars["starless"], stars["stars"], "screen", 1.0)["image"]), a)
+    assert np.allclose(image(nodes.starnet_recombine(stars["starless"], stars["stars"], True, "screen", 1.0)["image"]), a)
     ramp = np.tile(np.linspace(0, 1, 32), (32, 1))[None] + rng.normal(0, 0.001, (1, 32, 32))
     assert image(nodes.seq_bg_extract(frames(spark, [ramp]), 1)["sequence"]).std() < 0.01
     h, o = rng.random((1, 8, 8)), None
@@ -63,7 +73,7 @@ def test_kernels(spark):
     composed = image(nodes.narrowband_compose(frames(spark, [h]), frames(spark, [3 * h + 1]), "hoo")["image"])
     assert np.allclose(composed[0], composed[1], atol=1e-5)
     assert image(nodes.downscale(im, 4)["image"]).shape == (3, 4, 4)
-    for f in (lambda: nodes.channel_map(im, 1), lambda: nodes.auto_bp_shift(im, True, True, 0.01)):
+    for f in (lambda: nodes.channel_map(im, True, 1.4), lambda: nodes.auto_bp_shift(im, True, True, 0.01)):
         assert np.isfinite(image(f()["image"])).all()
     mask = np.array([[1, 1, 0], [0, 0, 1], [1, 0, 1]], bool)
     assert nodes.components(mask).tolist() == [[1, 1, 0], [0, 0, 6], [7, 0, 6]]
