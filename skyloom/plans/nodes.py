@@ -60,9 +60,10 @@ def per_pair(a: DataFrame, b: DataFrame, kernel: Callable[[np.ndarray, np.ndarra
 
 
 def convert_lights(lights: DataFrame) -> dict[str, DataFrame]:
-    """Whole frames, numbered in the order of their names."""
+    """Whole frames, numbered in the order of their names (names alone are ordered; pixels stay where they are)."""
     whole = lights.filter(F.size("px") == F.col("c") * F.col("h") * F.col("w"))
-    return {"sequence": whole.withColumn("idx", F.row_number().over(Window.orderBy("img"))).select(*_COLUMNS)}
+    numbers = whole.select("img").distinct().select("img", F.row_number().over(Window.orderBy("img")).alias("_no"))
+    return {"sequence": whole.join(numbers, "img").withColumn("idx", F.col("_no")).select(*_COLUMNS)}
 
 
 def calibrate(sequence: DataFrame, dark: list, flat: DataFrame | None, bias: DataFrame | None, exclude_uncalibratable: bool) -> dict[str, DataFrame]:
@@ -80,7 +81,7 @@ def calibrate(sequence: DataFrame, dark: list, flat: DataFrame | None, bias: Dat
         fits = (F.abs(F.col("exptime") - F.col("d_exp")) < 0.001) & ((F.col("gain") == F.col("d_gain")) | F.col("gain").isNull() | F.col("d_gain").isNull())
         delta = F.coalesce(F.abs(F.col("temp") - F.col("d_temp")), F.lit(float("inf")))
         # masters are a handful of images; frames meet their settings, and then one dark's pixels
-        names = sequence.select("img", "temp", "exptime", "gain").join(F.broadcast(d.drop("d_px")), fits).groupBy("img").agg(F.min_by(F.struct("d_img", delta.alias("delta")), F.struct(delta, "d_img")).alias("b"))
+        names = sequence.select("img", "temp", "exptime", "gain").join(d.drop("d_px"), fits).groupBy("img").agg(F.min_by(F.struct("d_img", delta.alias("delta")), F.struct(delta, "d_img")).alias("b"))
         picked = out.join(names, "img", "inner" if exclude_uncalibratable else "left")
         joined = picked.join(d.select("d_img", "d_px"), F.col("b.d_img") == F.col("d_img"), "left")
         out = joined.withColumn("px", F.when(F.col("d_px").isNotNull(), F.zip_with("px", "d_px", lambda a, b: a - b)).otherwise(F.col("px"))).select(*_COLUMNS)

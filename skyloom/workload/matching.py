@@ -62,7 +62,7 @@ def dark_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest date, then the deepest, then the smallest id.  Masters are reduced per setting before the join."""
     m = masters(spark, sf_dir).groupBy("m_instrument").agg(F.max_by("mid", F.struct("depth", -F.col("mid"))).alias("mid"))
-    return sessions(spark, sf_dir).join(F.broadcast(m), F.col("instrument") == F.col("m_instrument")).select("sid", "mid")
+    return sessions(spark, sf_dir).join(m, F.col("instrument") == F.col("m_instrument")).select("sid", "mid")
 
 
 @query("deepest_bias", f"WITH {_SESSION}, {_MASTER} SELECT s.sid, max(m.depth) AS depth FROM s LEFT JOIN m ON s.instrument = m.instrument GROUP BY s.sid")

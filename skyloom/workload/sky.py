@@ -86,7 +86,7 @@ def target_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest distance from the centre plus half the upper median of the fields of view."""
     t = targets(spark, sf_dir).withColumn("fov", F.abs("bal") / 5000)
     centre = t.groupBy("grp").agg(sp.mean_ra(F.col("ra")).alias("m_ra"), F.median("dec").alias("m_dec"))
-    x = t.join(F.broadcast(centre), "grp")  # one row per group of the catalog's fixed groups
+    x = t.join(centre, "grp")
     fovs = F.array_sort(F.collect_list("fov"))
     far = F.max(sp.separation(F.col("ra"), F.col("dec"), F.col("m_ra"), F.col("m_dec")))
     return x.groupBy("grp").agg(far.alias("far"), fovs.alias("fovs")).select("grp", F.round(F.col("far") + 0.5 * F.element_at("fovs", (F.floor(F.size("fovs") / 2) + 1).cast("int")), 6).alias("radius"))
