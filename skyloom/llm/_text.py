@@ -9,6 +9,8 @@ objects.  Hashes are 64-bit prefix polynomial hashes: ``P[i]`` is the sum of
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -163,3 +165,11 @@ def document_sets(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     keep[offs[:-1][counts > 0]] = True
     kept = np.concatenate(([0], np.cumsum(keep)))
     return val[keep], kept[offs]
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a reused worker stays small (glibc; elsewhere nothing happens)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -133,6 +133,8 @@ def _prefixes(rank, k: int, p: int, q: int, buckets: int):
             if not names:
                 continue
             tok, name, size = np.concatenate(tokens), np.array(names, np.int64), np.array(sizes, np.int32)
+            del tokens
+            t.release()
             doc = np.repeat(np.arange(len(name)), counts)
             bucket = (tok % t.U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -353,6 +355,7 @@ def _block_search(p: int, q: int):
                 ids.append(d)
                 sets.append(np.frombuffer(x, np.uint64))
                 side.append(s)
+            t.release()
             if len(found) > 10_000:
                 yield flush()
         close()

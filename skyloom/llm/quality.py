@@ -86,12 +86,13 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
         table, some = np.zeros(cells), False
         for batch in batches:
             buf, offs = t.ragged(batch.column(0))
-            for a, b in t.chunks(offs):
+            for a, b in t.chunks(offs, t.CHUNK // 2):
                 word, shape, first = units(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 if len(word):
                     at, add = _neighbours(word, shape, first)
                     table += np.bincount(at, add, minlength=cells)
                     some = True
+            t.release()
         if some:
             yield table_rows(table, BLOCKS)
 
@@ -199,6 +200,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_i
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {c: batch.column(c) for c in names}
+            t.release()
             yield pa.RecordBatch.from_pydict(out | {"score": pa.array(net.value.score(pooled(table.value, *t.ragged(batch.column("_text")))))})
 
     out = plain.mapInArrow(scored, schema)
