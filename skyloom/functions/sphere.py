@@ -79,3 +79,42 @@ def interleave(x: Column, y: Column, bits: int) -> Column:
     for i in range(bits):
         out = out.bitwiseOR(F.shiftleft(F.shiftright(x, i).bitwiseAND(1).cast("long"), 2 * i)).bitwiseOR(F.shiftleft(F.shiftright(y, i).bitwiseAND(1).cast("long"), 2 * i + 1))
     return out
+
+
+def healpix(ra: Column, dec: Column, order: int) -> Column:
+    """The nested HEALPix index of a position at ``2**order`` pixels a side: equal areas, so also a fair join bucket."""
+    n = 1 << order
+    z, quarter = F.sin(F.radians(dec)), F.pmod(ra, F.lit(360.0)) / 90.0
+    whole = lambda c: F.floor(c).cast("long")
+    # the equatorial belt: ascending and descending edge lines
+    up, down = n * (0.5 + quarter) - n * z * 0.75, n * (0.5 + quarter) + n * z * 0.75
+    p, m = whole(up), whole(down)
+    fp, fm = whole(p / n), whole(m / n)
+    belt = F.when(fp == fm, fp % 4 + 4).when(fp < fm, fp).otherwise(fm + 8)
+    bx, by = F.pmod(m, F.lit(n)), n - 1 - F.pmod(p, F.lit(n))
+    # the polar caps
+    cap = F.least(F.lit(3).cast("long"), whole(quarter))
+    rest, size = quarter - cap, n * F.sqrt(3 * (1 - F.abs(z)))
+    jp, jm = F.least(F.lit(n - 1).cast("long"), whole(rest * size)), F.least(F.lit(n - 1).cast("long"), whole((1 - rest) * size))
+    north = z >= 0
+    polar = F.abs(z) > 2 / 3
+    face = F.when(polar, F.when(north, cap).otherwise(cap + 8)).otherwise(belt)
+    x = F.when(polar, F.when(north, n - jm - 1).otherwise(jp)).otherwise(bx)
+    y = F.when(polar, F.when(north, n - jp - 1).otherwise(jm)).otherwise(by)
+    return face * n * n + interleave(x, y, max(1, order))
+
+
+def tangent_plane(ra: Column, dec: Column, ra0: Column, dec0: Column) -> tuple[Column, Column]:
+    """Standard coordinates (degrees, east and north) about a centre; null on the far side."""
+    d, a, b = F.radians(ra - ra0), F.radians(dec), F.radians(dec0)
+    cos_c = F.sin(b) * F.sin(a) + F.cos(b) * F.cos(a) * F.cos(d)
+    x, y = F.cos(a) * F.sin(d) / cos_c, (F.cos(b) * F.sin(a) - F.sin(b) * F.cos(a) * F.cos(d)) / cos_c
+    return F.when(cos_c > 0, F.degrees(x)), F.when(cos_c > 0, F.degrees(y))
+
+
+def from_tangent_plane(x: Column, y: Column, ra0: Column, dec0: Column) -> tuple[Column, Column]:
+    """The position of standard coordinates."""
+    x, y, b = F.radians(x), F.radians(y), F.radians(dec0)
+    low = F.cos(b) - y * F.sin(b)
+    ra = F.pmod(ra0 + F.degrees(F.atan2(x, low)), F.lit(360.0))
+    return ra, F.degrees(F.atan2(F.sin(b) + y * F.cos(b), F.hypot(x, low)))

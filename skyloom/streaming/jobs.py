@@ -105,3 +105,24 @@ def simulate(spark: SparkSession, nights: int, ticks: int, seed: int = 1) -> Dat
         F.expr(f"timestamp_seconds(1704067200 + (id div {ticks}) * 86400 + (id % {ticks}) * 60)").alias("ts"),
         F.when(h < 150, "error").when(h < 200, "purchase").otherwise("view").alias("event_type"), (h / 10).alias("value"),
     )
+
+
+def _latch(ttl_s: float):
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+        out = []
+        for event, ts in zip(rows["event_id"], rows["ts"], strict=True):
+            at = ts.timestamp()
+            if last is None or at - last >= ttl_s:
+                out.append((event, *key))
+                last = at
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "event_type"])
+
+    return run
+
+
+def alerts_once(events: DataFrame, ttl_s: float) -> DataFrame:
+    """The first event of each (user, type), and then no other for ``ttl_s`` seconds."""
+    return events.groupBy("user_id", "event_type").applyInPandasWithState(_latch(ttl_s), "event_id long, user_id long, event_type string", "last double", "append", GroupStateTimeout.NoTimeout)

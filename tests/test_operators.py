@@ -137,3 +137,24 @@ def test_pixels(spark):
 def test_alias_keys_and_wildcards(spark):
     assert one(spark, text.alias_keys(F.lit("NGC0007")))[0] == "ngc0007"
     assert one(spark, matching.wildcard_equal(F.lit("a"), F.lit(None).cast("string"))) is True
+
+
+def test_healpix_is_equal_area_and_nested(spark):
+    rng = np.random.default_rng(5)
+    n = 48_000
+    pos = [(float(a), float(b)) for a, b in zip(rng.uniform(0, 360, n), np.degrees(np.arcsin(rng.uniform(-1, 1, n))), strict=True)]
+    df = spark.createDataFrame(pos, "ra double, dec double").select(sphere.healpix(F.col("ra"), F.col("dec"), 0).alias("p0"), sphere.healpix(F.col("ra"), F.col("dec"), 1).alias("p1"), sphere.healpix(F.col("ra"), F.col("dec"), 2).alias("p2"))
+    for c, pixels_ in (("p0", 12), ("p1", 48), ("p2", 192)):
+        counts = {r[c]: r["count"] for r in df.groupBy(c).count().collect()}
+        assert set(counts) == set(range(pixels_)) and max(counts.values()) < 1.4 * n / pixels_ and min(counts.values()) > 0.6 * n / pixels_
+    assert df.filter("p1 div 4 <> p0 OR p2 div 4 <> p1").count() == 0
+    assert one(spark, sphere.healpix(F.lit(45.0), F.lit(89.0), 0)) == 0 and one(spark, sphere.healpix(F.lit(0.0), F.lit(0.0), 0)) == 4
+
+
+def test_tangent_plane_round_trip(spark):
+    df = spark.createDataFrame([(10.0, 20.0), (11.5, 19.0), (359.0, 22.0)], "ra double, dec double")
+    x, y = sphere.tangent_plane(F.col("ra"), F.col("dec"), F.lit(10.0), F.lit(20.0))
+    ra, dec = sphere.from_tangent_plane(F.col("x"), F.col("y"), F.lit(10.0), F.lit(20.0))
+    for r in df.withColumn("x", x).withColumn("y", y).withColumn("r2", ra).withColumn("d2", dec).collect():
+        assert r.r2 == pytest.approx(r.ra) and r.d2 == pytest.approx(r.dec)
+    assert one(spark, sphere.tangent_plane(F.lit(190.0), F.lit(-20.0), F.lit(10.0), F.lit(20.0))[0]) is None

@@ -74,3 +74,11 @@ def test_tail_and_verdicts(spark, tmp_path):
     fresh = spark.createDataFrame([(1, "n1", 4, 0, 100), (3, "n1", 9, 0, 4_000_000_000)], "user_id long, night string, good int, rescued int, newest long")
     got = {r.user_id: r.verdict for r in jobs.verdicts(fresh, known, 4_100_000_000).collect()}
     assert got == {1: "keep", 2: "keep", 3: "waiting"}
+
+
+def test_alerts_come_once_per_ttl(spark, tmp_path):
+    src = str(tmp_path / "src")
+    rows = [(i, 1, s, "error") for i, s in enumerate([0, 10, 50, 70, 200])]
+    spark.createDataFrame(rows, "event_id long, user_id long, s long, event_type string").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"), "event_type").write.parquet(src)
+    got = jobs.run_once(jobs.alerts_once(jobs.read_events(spark, src), 60), "t-alerts", "append")
+    assert sorted(r.event_id for r in got.collect()) == [0, 3, 4]
