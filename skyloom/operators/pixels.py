@@ -7,7 +7,7 @@ before the shuffle; kernels with no column form are Arrow-batched numpy.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,28 +21,44 @@ def explode_pixels(images: DataFrame, key: str, px: str, width: int) -> DataFram
     return rows.select(key, F.expr(f"cast(_i div {width} as int)").alias("y"), F.expr(f"cast(_i % {width} as int)").alias("x"), F.col("_v").cast("double").alias("v"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A column that a lambda reads may be inlined into it by the optimizer and
+    then be computed for every element; a lambda's argument is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mean_of(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
 
 def quantile(a: Column, q: float) -> Column:
     """Linear interpolation between order statistics."""
-    s = F.array_sort(a)
-    at = (F.size(a) - 1) * F.lit(q)
-    lo = F.floor(at).cast("int")
-    x, y = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(a) - 1))
-    return x + (y - x) * (at - lo)
+
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(q)
+        lo = F.floor(at).cast("int")
+        x, y = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(s) - 1))
+        return x + (y - x) * (at - lo)
+
+    return let(F.array_sort(a), between)
 
 
 def std_of(a: Column) -> Column:
     """Population standard deviation."""
-    m = mean_of(a)
-    return F.sqrt(mean_of(F.transform(a, lambda v: (v - m) * (v - m))))
+    return let(a, lambda b: let(mean_of(b), lambda m: F.sqrt(mean_of(F.transform(b, lambda v: (v - m) * (v - m))))))
 
 
 def mad_of(a: Column) -> Column:
-    m = quantile(a, 0.5)
-    return quantile(F.transform(a, lambda v: F.abs(v - m)), 0.5)
+    return let(a, lambda b: let(quantile(b, 0.5), lambda m: quantile(F.transform(b, lambda v: F.abs(v - m)), 0.5)))
+
+
+def near_median(a: Column, sigma: float) -> Column:
+    """The values within ``sigma`` standard deviations of the median (all, if there is no spread)."""
+    limits = lambda b: F.struct(quantile(b, 0.5).alias("m"), std_of(b).alias("s"))
+    return let(a, lambda b: let(limits(b), lambda x: F.filter(b, lambda v: (x["s"] <= 0) | (F.abs(v - x["m"]) <= sigma * x["s"]))))
 
 
 def stack(pixels: DataFrame, keys: list[str], method: str = "mean") -> DataFrame:
@@ -54,9 +70,8 @@ def stack(pixels: DataFrame, keys: list[str], method: str = "mean") -> DataFrame
 def stack_sigma_clip(pixels: DataFrame, keys: list[str], sigma: float = 3.0, rounds: int = 2) -> DataFrame:
     """Mean without outliers; a place's values are one array, as long as the sequence has frames."""
     a = pixels.groupBy(*keys, "y", "x").agg(F.array_sort(F.collect_list("v")).alias("a"))
-    for i in range(rounds):  # a column per round keeps the plan from nesting
-        a = a.withColumn("m", quantile(F.col("a"), 0.5)).withColumn("s", std_of(F.col("a")))
-        a = a.withColumn("a", F.when(F.col("s") > 0, F.filter("a", lambda v: F.abs(v - F.col("m")) <= sigma * F.col("s"))).otherwise(F.col("a"))).drop("m", "s")
+    for _ in range(rounds):
+        a = a.withColumn("a", near_median(F.col("a"), sigma))
     return a.select(*keys, "y", "x", mean_of(F.col("a")).alias("v"))
 
 

@@ -21,14 +21,14 @@ def preview_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy(F.col("o_custkey").alias("project")).agg(F.min_by("o_orderkey", rank).alias("pick"))
 
 
-@query("render_update", """WITH h AS (SELECT o_custkey, o_orderkey, lag(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders)
-SELECT o_custkey, max(o_orderkey) AS newest, arg_max(coalesce(previous, -1), o_orderkey) AS previous FROM h WHERE o_orderkey % 4 <> 0 GROUP BY o_custkey""")
+@query("render_update", """WITH h AS (SELECT o_custkey, o_orderkey, o_orderpriority, lag(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders)
+SELECT o_custkey, max(o_orderkey) AS newest, arg_max(coalesce(previous, -1), o_orderkey) AS previous FROM h WHERE NOT starts_with(o_orderpriority, '5') GROUP BY o_custkey""")
 def render_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest entry that touches a session, and the last render before it."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     done = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))
     h = table(spark, sf_dir, "orders").withColumn("previous", F.lag(done, 1).over(w)).withColumn("previous", F.last(done, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return h.filter("o_orderkey % 4 <> 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("newest"), F.max_by(F.coalesce("previous", F.lit(-1).cast("long")), "o_orderkey").alias("previous"))
+    return h.filter(~F.col("o_orderpriority").startswith("5")).groupBy("o_custkey").agg(F.max("o_orderkey").alias("newest"), F.max_by(F.coalesce("previous", F.lit(-1).cast("long")), "o_orderkey").alias("previous"))
 
 
 @query("layered_params", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'id' WHEN p_size > 10 THEN 'kind' ELSE 'default' END AS mode, CASE WHEN p_size > 10 THEN '2' ELSE '1' END AS sigma FROM part")
@@ -61,10 +61,10 @@ def legacy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("m", m).select("o_custkey", F.try_element_at("m", F.lit("a")).alias("a"), F.try_element_at("m", F.lit("b")).alias("b"))
 
 
-@query("orphans_by_scan", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderkey % 2 = 1")
+@query("orphans_by_scan", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus <> 'P'")
 def orphans_by_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows under the scanned root that this scan did not touch."""
-    return table(spark, sf_dir, "orders").filter((micros("o_orderdate") < 820_454_400_000_000) & (F.col("o_orderkey") % 2 == 1)).select("o_orderkey")
+    return table(spark, sf_dir, "orders").filter((micros("o_orderdate") < 820_454_400_000_000) & (F.col("o_orderstatus") != "P")).select("o_orderkey")
 
 
 @query("scan_breakdown", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'added' WHEN o_orderstatus = 'O' THEN 'unchanged' ELSE 'updated' END AS action, o_orderpriority AS scope, count(*) AS n FROM orders GROUP BY ALL")
@@ -99,8 +99,9 @@ def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat_ws("|", "p_name", "p_type"), 256).alias("key"), F.md5("p_brand").alias("brand_key"))
 
 
-@query("plan_order", "SELECT CAST(row_number() OVER (ORDER BY p_type, coalesce(CASE WHEN p_size > 5 THEN p_brand END, ''), p_partkey) AS INTEGER) AS pos, p_partkey FROM part WHERE p_size = 7")
+@query("plan_order", "SELECT CAST(row_number() OVER (ORDER BY p_type, coalesce(CASE WHEN p_size > 5 THEN p_brand END, ''), p_partkey) AS INTEGER) AS pos, p_partkey FROM part QUALIFY pos <= 100")
 def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stable order by target and filter, an unknown filter first."""
-    w = Window.orderBy("p_type", F.coalesce(F.when(F.col("p_size") > 5, F.col("p_brand")), F.lit("")), "p_partkey")
-    return table(spark, sf_dir, "part").filter("p_size = 7").select(F.row_number().over(w).alias("pos"), "p_partkey")
+    """A stable order by target and filter, an unknown filter first; the first page."""
+    order = ["p_type", F.coalesce(F.when(F.col("p_size") > 5, F.col("p_brand")), F.lit("")), "p_partkey"]
+    page = table(spark, sf_dir, "part").orderBy(*order).limit(100)
+    return page.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), "p_partkey")

@@ -39,9 +39,10 @@ s2 AS (SELECT vec_id, median(v) AS m, stddev_pop(v) AS s FROM b GROUP BY vec_id)
 SELECT vec_id, round(median(v), 6) AS level, round(stddev_pop(v), 6) AS sigma, count(*) AS n FROM c GROUP BY vec_id""")
 def background_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sky level and noise: what is near the 30th percentile, clipped round after round."""
-    im = images(spark, sf_dir).withColumn("m0", px.quantile(F.col("px"), 0.3)).withColumn("a", F.filter("px", lambda v: v <= F.col("m0") + 1))
+    low = px.let(px.quantile(F.col("px"), 0.3), lambda m: F.filter("px", lambda v: v <= m + 1))
+    im = images(spark, sf_dir).withColumn("a", low)
     for _ in range(2):
-        im = im.withColumn("m", px.quantile(F.col("a"), 0.5)).withColumn("s", px.std_of(F.col("a"))).withColumn("a", F.filter("a", lambda v: (F.col("s") <= 0) | (F.abs(v - F.col("m")) <= 1.5 * F.col("s"))))
+        im = im.withColumn("a", px.near_median(F.col("a"), 1.5))
     return im.select("vec_id", F.round(px.quantile(F.col("a"), 0.5), 6).alias("level"), F.round(px.std_of(F.col("a")), 6).alias("sigma"), F.size("a").cast("long").alias("n"))
 
 
@@ -112,12 +113,12 @@ def noise_weighted_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("palette_compose", f"""WITH {_P}, s AS (SELECT vec_id, median(v) AS med FROM p GROUP BY vec_id), d AS (SELECT vec_id, median(abs(v - med)) AS mad FROM p JOIN s USING (vec_id) GROUP BY vec_id),
 t AS (SELECT p.vec_id, x, y, v, med, mad FROM p JOIN s USING (vec_id) JOIN d USING (vec_id))
-SELECT h.vec_id, CAST(h.y AS INTEGER) AS y, CAST(h.x AS INTEGER) AS x, round(h.v, 6) AS r, round(o.v * h.mad / o.mad - h.mad / o.mad * o.med + h.med, 5) AS g FROM t h JOIN t o ON o.vec_id = h.vec_id + 1 AND o.x = h.x AND o.y = h.y WHERE h.vec_id % 2 = 0""")
+SELECT h.vec_id, CAST(h.y AS INTEGER) AS y, CAST(h.x AS INTEGER) AS x, round(h.v, 6) AS r, round(o.v * h.mad / o.mad - h.mad / o.mad * o.med + h.med, 5) AS g FROM t h JOIN t o ON o.vec_id = h.vec_id + 1 AND o.x = h.x AND o.y = h.y""")
 def palette_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two narrowband images to one palette, the second matched in median and spread: a join of images, not of pixels."""
+    """Each image and the next as narrowband channels of one palette, the second matched in median and spread: a join of images, not of pixels."""
     im = images(spark, sf_dir).select("vec_id", "px", px.quantile(F.col("px"), 0.5).alias("med"), px.mad_of(F.col("px")).alias("mad"))
-    h = im.filter("vec_id % 2 = 0")
-    o = im.filter("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("px").alias("o_px"), F.col("med").alias("o_med"), F.col("mad").alias("o_mad"))
+    h = im
+    o = im.select((F.col("vec_id") - 1).alias("vec_id"), F.col("px").alias("o_px"), F.col("med").alias("o_med"), F.col("mad").alias("o_mad"))
     both = h.join(o, "vec_id")
     g = F.transform("o_px", lambda v: px.normalize_to(v, F.col("o_med"), F.col("o_mad"), F.col("med"), F.col("mad")))
     rows = both.select("vec_id", F.posexplode(F.arrays_zip(F.col("px").alias("r"), g.alias("g"))).alias("i", "z"))
@@ -140,14 +141,20 @@ def scnr_green(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n.vec_id, round(max(b.k), 6) AS midtones, round(avg(CASE WHEN u <= 0 THEN 0 WHEN u >= 1 THEN 1 ELSE (k - 1) * u / ((2 * k - 1) * u - k) END), 6) AS mean FROM n JOIN b USING (vec_id) GROUP BY n.vec_id""")
 def auto_mtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The midtones balance that takes the median to a quarter, applied."""
-    im = images(spark, sf_dir).withColumn("u", F.transform("px", lambda v: 1 / (1 + F.exp(-v)))).withColumn("k", va.midtones_for(px.quantile(F.col("u"), 0.5), F.lit(0.25)))
-    return im.select("vec_id", F.round("k", 6).alias("midtones"), F.round(px.mean_of(F.transform("u", lambda v: va.mtf(v, F.col("k")))), 6).alias("mean"))
+    u = F.transform("px", lambda v: 1 / (1 + F.exp(-v)))
+
+    def stretched(b):
+        return px.let(va.midtones_for(px.quantile(b, 0.5), F.lit(0.25)), lambda k: F.struct(k.alias("midtones"), px.mean_of(F.transform(b, lambda v: va.mtf(v, k))).alias("mean")))
+
+    im = images(spark, sf_dir).withColumn("s", px.let(u, stretched))
+    return im.select("vec_id", F.round("s.midtones", 6).alias("midtones"), F.round("s.mean", 6).alias("mean"))
 
 
 @query("black_point", f"WITH {_P}, q AS (SELECT vec_id, quantile_cont(v, 0.01) AS lo, max(v) AS hi FROM p GROUP BY vec_id) SELECT p.vec_id, round(avg(greatest(0.0, (v - lo) / (hi - lo))), 6) AS mean FROM p JOIN q USING (vec_id) GROUP BY p.vec_id")
 def black_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    im = images(spark, sf_dir).withColumn("lo", px.quantile(F.col("px"), 0.01)).withColumn("hi", F.array_max("px"))
-    return im.select("vec_id", F.round(px.mean_of(F.transform("px", lambda v: F.greatest(F.lit(0.0), (v - F.col("lo")) / (F.col("hi") - F.col("lo"))))), 6).alias("mean"))
+    ends = F.struct(px.quantile(F.col("px"), 0.01).alias("lo"), F.array_max("px").alias("hi"))
+    mean = px.let(ends, lambda e: px.mean_of(F.transform("px", lambda v: F.greatest(F.lit(0.0), (v - e["lo"]) / (e["hi"] - e["lo"])))))
+    return images(spark, sf_dir).select("vec_id", F.round(mean, 6).alias("mean"))
 
 
 @query("auto_trim_bbox", f"WITH {_P} SELECT vec_id, CAST(min(y) AS INTEGER) AS top, CAST(max(y) AS INTEGER) AS bottom, CAST(min(x) AS INTEGER) AS lft, CAST(max(x) AS INTEGER) AS rgt FROM p WHERE v > 0.2 GROUP BY vec_id")
@@ -199,4 +206,4 @@ def align_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-pixel shifts between neighbouring images by FFT cross-correlation."""
     im = images(spark, sf_dir)
     other = im.select((F.col("vec_id") - 1).alias("vec_id"), F.col("px").alias("other"))
-    return px.align_pairs(im.filter("vec_id % 2 = 0").join(other, "vec_id"), "vec_id", "px", "other", W)
+    return px.align_pairs(im.join(other, "vec_id"), "vec_id", "px", "other", W)

@@ -71,21 +71,22 @@ def deepest_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).join(m, F.col("instrument") == F.col("m_instrument"), "left").select("sid", "depth")
 
 
-@query("frame_dark_pick", """WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS frame, CAST(l_quantity AS BIGINT) % 10 AS gain, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS temp FROM lineitem WHERE l_orderkey % 10 = 0),
-d AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_partkey % 10 END AS gain, CAST(p_size AS DOUBLE) AS temp FROM part WHERE p_partkey <= 100),
+@query("frame_dark_pick", """WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS frame, CAST(l_quantity AS BIGINT) % 10 AS gain, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS temp FROM lineitem),
+d AS (SELECT min(p_partkey) AS pos, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_partkey % 10 END AS gain, CAST(p_size AS DOUBLE) AS temp FROM part GROUP BY 2, 3),
 r AS (SELECT f.frame, d.pos, row_number() OVER (PARTITION BY f.frame ORDER BY coalesce(abs(f.temp - d.temp), CAST('inf' AS DOUBLE)), d.pos) AS r FROM f JOIN d ON d.gain = f.gain OR d.gain IS NULL)
 SELECT frame, pos FROM r WHERE r = 1""")
 def frame_dark_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-frame dark: equal gain (an unknown one fits all), nearest temperature, first seen.
 
-    The wildcard is a value of the equi-join key: darks of unknown gain are
-    copied to every gain, so there is no theta join.
+    Darks alike in gain and temperature are reduced to the first seen.  The
+    wildcard is a value of the equi-join key: darks of unknown gain are copied to
+    every gain, so there is no theta join.
     """
-    f = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame"), (F.col("l_quantity").cast("long") % 10).alias("gain"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("temp"))
-    d = table(spark, sf_dir, "part").filter("p_partkey <= 100").select(F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 13 != 0, F.col("p_partkey") % 10).alias("d_gain"), F.col("p_size").cast("double").alias("d_temp"))
+    f = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame"), (F.col("l_quantity").cast("long") % 10).alias("gain"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("temp"))
+    d = table(spark, sf_dir, "part").groupBy(F.when(F.col("p_partkey") % 13 != 0, F.col("p_partkey") % 10).alias("d_gain"), F.col("p_size").cast("double").alias("d_temp")).agg(F.min("p_partkey").alias("pos"))
     d = d.withColumn("gain", F.explode(F.when(F.col("d_gain").isNull(), F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).otherwise(F.array("d_gain"))))
     rank = F.struct(F.coalesce(F.abs(F.col("temp") - F.col("d_temp")), op.infinity()), F.col("pos"))
-    return f.join(F.broadcast(d), "gain").groupBy("frame").agg(F.min_by("pos", rank).alias("pos"))
+    return f.join(d, "gain").groupBy("frame").agg(F.min_by("pos", rank).alias("pos"))
 
 
 @query("master_by_kind", "SELECT o_orderkey AS sid, p_partkey AS mid, p_name AS path FROM orders JOIN part ON p_partkey = o_custkey WHERE p_size = 10")

@@ -1,4 +1,4 @@
-"""Cache queries: line items as entries (quantity is size), orders as jobs, customers as projects."""
+"""Cache queries: orders as entries (the customer's number is the size), line items as their uses, suppliers as projects."""
 
 from __future__ import annotations
 
@@ -9,18 +9,17 @@ from ..operators import storage as op
 from ..registry import query
 from ..sources.tables import micros, table
 
-_USE = "u AS (SELECT l_partkey AS entry, o_custkey AS project, o_orderstatus AS st, epoch_us(o_orderdate) AS at_us, l_quantity AS q FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 0)"
-_ENT = "x AS (SELECT p_partkey AS entry, CAST(p_size AS BIGINT) AS bytes, p_size % 2 = 0 AS bulk FROM part)"
+_USE = "u AS (SELECT l_orderkey AS entry, l_suppkey AS project, epoch_us(l_shipdate) AS at_us FROM lineitem)"
+_ENT = "x AS (SELECT o_orderkey AS entry, o_custkey AS bytes, o_orderstatus = 'F' AS bulk FROM orders)"
 _OWN = "o AS (SELECT entry, count(DISTINCT project) AS owners, CASE WHEN count(DISTINCT project) = 1 THEN min(project) END AS sole, max(at_us) AS used FROM u GROUP BY entry)"
 
 
 def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_partkey").alias("entry"), F.col("o_custkey").alias("project"), micros("o_orderdate").alias("at_us"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry"), F.col("l_suppkey").alias("project"), micros("l_shipdate").alias("at_us"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.col("p_size").cast("long").alias("bytes"), (F.col("p_size") % 2 == 0).alias("bulk"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry"), F.col("o_custkey").alias("bytes"), (F.col("o_orderstatus") == "F").alias("bulk"))
 
 
 @query("reachability", f"WITH {_USE}, {_ENT}, {_OWN} SELECT x.entry, coalesce(o.owners, 0) AS owners, o.sole AS sole_owner FROM x LEFT JOIN o USING (entry)")
@@ -50,24 +49,24 @@ def evict_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(F.col("sole_owner").alias("project")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@query("evict_budget", f"""WITH {_USE}, {_ENT}, {_OWN}, c AS (SELECT x.entry, x.bytes, coalesce(sum(x.bytes) OVER (ORDER BY coalesce(o.owners, 0) > 0, NOT x.bulk, o.used NULLS LAST, x.entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, (SELECT sum(bytes) FROM x) - 30000 AS excess FROM x LEFT JOIN o USING (entry))
+@query("evict_budget", f"""WITH {_USE}, {_ENT}, {_OWN}, c AS (SELECT x.entry, x.bytes, coalesce(sum(x.bytes) OVER (ORDER BY coalesce(o.owners, 0) > 0, NOT x.bulk, o.used NULLS LAST, x.entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, (SELECT sum(bytes) // 2 FROM x) AS excess FROM x LEFT JOIN o USING (entry))
 SELECT entry, bytes, CAST(freed AS BIGINT) AS freed_before FROM c WHERE freed < excess""")
 def evict_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans first, bulk before kept, longest unused first, until the budget holds."""
     e, u = entries(spark, sf_dir), uses(spark, sf_dir)
     x = op.owners(e, u, "entry", "project").join(u.groupBy("entry").agg(F.max("at_us").alias("used")), "entry", "left")
-    total = e.agg((F.sum("bytes") - 30_000).alias("excess"))  # one row
+    total = e.agg(F.expr("sum(bytes) div 2").alias("excess"))  # one row
     x = x.crossJoin(F.broadcast(total))
     order = [F.col("owners") > 0, ~F.col("bulk"), F.col("used").isNull(), F.col("used"), F.col("entry")]
     return op.evict(x, order, "bytes", F.col("excess"), buckets=8).select("entry", "bytes", "freed_before")
 
 
-@query("cleanup_age_then_space", """WITH s AS (SELECT o_orderkey AS id, CAST(o_custkey AS BIGINT) AS bytes, epoch_us(o_orderdate) AS at_us FROM orders WHERE o_orderkey % 10 = 0),
+@query("cleanup_age_then_space", """WITH s AS (SELECT o_orderkey AS id, CAST(o_custkey AS BIGINT) AS bytes, epoch_us(o_orderdate) AS at_us FROM orders),
 old AS (SELECT id, bytes FROM s WHERE at_us < 820454400000000), rest AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY at_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM s WHERE at_us >= 820454400000000)
 SELECT id, 'age' AS rule FROM old UNION ALL SELECT id, 'space' FROM rest WHERE freed < 100000""")
 def cleanup_age_then_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything too old; then the oldest of the rest while space is low."""
-    s = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("bytes"), micros("o_orderdate").alias("at_us"))
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("bytes"), micros("o_orderdate").alias("at_us"))
     old = s.filter("at_us < 820454400000000").select("id", F.lit("age").alias("rule"))
     more = op.evict(s.filter("at_us >= 820454400000000"), [F.col("at_us"), F.col("id")], "bytes", F.lit(100_000), buckets=8)
     return old.unionByName(more.select("id", F.lit("space").alias("rule")))

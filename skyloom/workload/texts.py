@@ -157,9 +157,9 @@ def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct(F.lower("p_type")).alias("alias_keys"), F.count_if(F.col("p_name").contains(" ")).alias("named"))
 
 
-@query("human_labels", "SELECT p_partkey, CASE WHEN p_size / 20.0 < 1 THEN CAST(CAST(round(p_size / 20.0 * 60) AS INTEGER) AS VARCHAR) || ' min' ELSE printf('%.1f', p_size / 20.0) || ' h' END AS hours FROM part WHERE p_size % 2 = 0")
+@query("human_labels", "SELECT p_partkey, CASE WHEN p_size / 10.0 < 1 THEN CAST(CAST(round(p_size / 10.0 * 60) AS INTEGER) AS VARCHAR) || ' min' ELSE printf('%.1f', p_size / 10.0) || ' h' END AS hours FROM part")
 def human_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_size % 2 = 0").select("p_partkey", tx.hours_label(F.col("p_size") / 20.0).alias("hours"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.hours_label(F.col("p_size") / 10.0).alias("hours"))
 
 
 @query("override_spec", "SELECT conv_id, turn, CAST(turn AS VARCHAR) AS value, 'int' AS kind FROM conversations UNION ALL SELECT conv_id, turn, role, 'text' FROM conversations")
