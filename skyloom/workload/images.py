@@ -113,7 +113,7 @@ def noise_weighted_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("palette_compose", f"""WITH {_P}, s AS (SELECT vec_id, median(v) AS med FROM p GROUP BY vec_id), d AS (SELECT vec_id, median(abs(v - med)) AS mad FROM p JOIN s USING (vec_id) GROUP BY vec_id),
 t AS (SELECT p.vec_id, x, y, v, med, mad FROM p JOIN s USING (vec_id) JOIN d USING (vec_id))
-SELECT h.vec_id, CAST(h.y AS INTEGER) AS y, CAST(h.x AS INTEGER) AS x, round(h.v, 6) AS r, round(o.v * h.mad / o.mad - h.mad / o.mad * o.med + h.med, 5) AS g FROM t h JOIN t o ON o.vec_id = h.vec_id + 1 AND o.x = h.x AND o.y = h.y""")
+SELECT h.vec_id, CAST(h.y AS INTEGER) AS y, CAST(h.x AS INTEGER) AS x, round(h.v, 6) + 0e0 AS r, round(o.v * h.mad / o.mad - h.mad / o.mad * o.med + h.med, 5) + 0e0 AS g FROM t h JOIN t o ON o.vec_id = h.vec_id + 1 AND o.x = h.x AND o.y = h.y""")
 def palette_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image and the next as narrowband channels of one palette, the second matched in median and spread: a join of images, not of pixels."""
     im = images(spark, sf_dir).select("vec_id", "px", px.quantile(F.col("px"), 0.5).alias("med"), px.mad_of(F.col("px")).alias("mad"))
@@ -122,7 +122,7 @@ def palette_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = h.join(o, "vec_id")
     g = F.transform("o_px", lambda v: px.normalize_to(v, F.col("o_med"), F.col("o_mad"), F.col("med"), F.col("mad")))
     rows = both.select("vec_id", F.posexplode(F.arrays_zip(F.col("px").alias("r"), g.alias("g"))).alias("i", "z"))
-    return rows.select("vec_id", F.expr("cast(i div 8 as int)").alias("y"), F.expr("cast(i % 8 as int)").alias("x"), F.round("z.r", 6).alias("r"), F.round("z.g", 5).alias("g"))
+    return rows.select("vec_id", F.expr("cast(i div 8 as int)").alias("y"), F.expr("cast(i % 8 as int)").alias("x"), (F.round("z.r", 6) + 0.0).alias("r"), (F.round("z.g", 5) + 0.0).alias("g"))
 
 
 @query("blend_screen", f"WITH {_P}, n AS (SELECT *, 1 / (1 + exp(-v)) AS u FROM p) SELECT vec_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(1 - (1 - u) * (1 - power(u, 2.0)), 6) AS v FROM n")
