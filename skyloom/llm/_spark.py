@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,32 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut as materialize
+from ..sources.scratch import fresh_path as scratch_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none, as in tests on one machine, a local
-    folder is made and set.
-    """
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    named = sc.getConf().get("spark.checkpoint.dir") or (have.get() if have.isDefined() else None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="scratch-")
-    if not have.isDefined():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["connected_components", "drop_path", "materialize", "partitions", "scratch_path", "summed_table", "table_rows"]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -40,12 +40,12 @@ CELLS, TABLE_BLOCKS = 1 << 15, 8
 EFFECTIVE, TRUST, ADDRESS_TRUST, WEIGHT, SALTS = 40, 0.9, 0.8, 5.0, 16
 
 _HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_SYLLABIC = re.compile(rb"&#?\w+;")
+_ENTITY = re.compile(rb"&#?\w+;")
 
 
 def visible(html: bytes) -> bytes:
     """The text between tags, without scripts, styles and comments."""
-    return _SYLLABIC.sub(b" ", _HIDDEN.sub(b" ", html))
+    return _ENTITY.sub(b" ", _HIDDEN.sub(b" ", html))
 
 
 def _cells(column: pa.Array):
