@@ -118,3 +118,17 @@ def from_tangent_plane(x: Column, y: Column, ra0: Column, dec0: Column) -> tuple
     low = F.cos(b) - y * F.sin(b)
     ra = F.pmod(ra0 + F.degrees(F.atan2(x, low)), F.lit(360.0))
     return ra, F.degrees(F.atan2(F.sin(b) + y * F.cos(b), F.hypot(x, low)))
+
+
+def sun(at_us: Column) -> tuple[Column, Column]:
+    """The sun's right ascension and declination, good to about a hundredth of a degree."""
+    days = at_us / F.lit(86_400e6) - F.lit(10_957.5)
+    anomaly = F.radians(F.pmod(F.lit(357.529) + F.lit(0.98560028) * days, F.lit(360.0)))
+    longitude = F.radians(F.pmod(F.lit(280.459) + F.lit(0.98564736) * days + 1.915 * F.sin(anomaly) + 0.020 * F.sin(2 * anomaly), F.lit(360.0)))
+    tilt = F.radians(F.lit(23.439) - F.lit(0.00000036) * days)
+    return F.pmod(F.degrees(F.atan2(F.cos(tilt) * F.sin(longitude), F.cos(longitude))), F.lit(360.0)), F.degrees(F.asin(F.sin(tilt) * F.sin(longitude)))
+
+
+def sun_altitude(at_us: Column, lat: Column, lon: Column) -> Column:
+    ra, dec = sun(at_us)
+    return altitude(ra, dec, lat, sidereal(at_us, lon))

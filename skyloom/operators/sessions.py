@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def ordered(keys: Sequence[str], order: Sequence[str | Column]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -86,3 +88,23 @@ def spread_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: i
 def collapse_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], superseded: Column) -> DataFrame:
     """Drop rows that are superseded by a following row of the key."""
     return df.withColumn("_next", F.lead(F.lit(1)).over(ordered(keys, order))).filter(~(superseded & F.col("_next").isNotNull())).drop("_next")
+
+
+def stable_ids(overlaps: DataFrame) -> DataFrame:
+    """``cluster, old``: one-to-one, greatest overlap first, for rows ``cluster, old, overlap``.
+
+    The greedy choice in the total order (overlap, smaller old, smaller cluster)
+    is found in rounds: a pair that is the best of both its sides is taken, and
+    what it touches leaves.  Each round is two aggregates and two anti-joins,
+    and takes at least the best pair of every connected group.
+    """
+    left = cut(overlaps.filter("overlap > 0").groupBy("cluster", "old").agg(F.max("overlap").alias("overlap")))
+    taken = None
+    while not left.isEmpty():
+        rank = F.struct("overlap", -F.col("old"), -F.col("cluster"))
+        by_cluster = left.groupBy("cluster").agg(F.max_by("old", rank).alias("old"))
+        by_old = left.groupBy("old").agg(F.max_by("cluster", rank).alias("cluster"))
+        both = cut(by_cluster.join(by_old, ["cluster", "old"]))
+        taken = both if taken is None else taken.unionByName(both)
+        left = cut(left.join(both.select("cluster"), "cluster", "left_anti").join(both.select("old"), "old", "left_anti"))
+    return overlaps.select("cluster", "old").limit(0) if taken is None else taken.select("cluster", "old")

@@ -172,3 +172,15 @@ def enrich(header: Column, name: Column) -> Column:
     m = master_fields(name)
     add = F.map_filter(F.create_map(F.lit("EXPTIME"), m["exposure"].cast("string"), F.lit("GAIN"), m["gain"].cast("string"), F.lit("DET-TEMP"), m["temp"].cast("string")), lambda k, v: v.isNotNull())
     return F.map_zip_with(add, header, lambda k, a, b: F.coalesce(b, a))
+
+
+def encode_images(images: DataFrame) -> DataFrame:
+    """``img, content``: each image row (``img, c, h, w, px``) as the bytes of a FITS file, for a binary sink."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            data = [write_fits(np.asarray(r["px"], np.float32).reshape(r["c"], r["h"], r["w"])[0 if r["c"] == 1 else slice(None)]) for r in rows]
+            yield pa.RecordBatch.from_pydict({"img": pa.array([r["img"] for r in rows], pa.string()), "content": pa.array(data, pa.binary())})
+
+    return images.select("img", "c", "h", "w", "px").mapInArrow(run, "img string, content binary")

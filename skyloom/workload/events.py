@@ -257,3 +257,10 @@ def overlap_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = numbered(spark, sf_dir).select((F.col("user_id") * 10_000 + F.col("session_no")).alias("cluster"), (F.col("user_id") * 10_000 + F.expr("at_us div 172800000000") % 1000).alias("old"))
     n = s.groupBy("cluster", "old").agg(F.count(F.lit(1)).alias("overlap"))
     return n.groupBy("cluster").agg(F.max_by("old", F.struct("overlap", -F.col("old"))).alias("best_old"), F.max("overlap").alias("overlap"))
+
+
+@query("stable_session_ids")
+def stable_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New clusters keep the id of the old session that they share most frames with, one to one."""
+    s = numbered(spark, sf_dir).select((F.col("user_id") * 10_000 + F.col("session_no")).alias("cluster"), (F.col("user_id") * 10_000 + F.expr("at_us div 172800000000") % 1000).alias("old"))
+    return op.stable_ids(s.groupBy("cluster", "old").agg(F.count(F.lit(1)).alias("overlap")))

@@ -158,3 +158,24 @@ def test_tangent_plane_round_trip(spark):
     for r in df.withColumn("x", x).withColumn("y", y).withColumn("r2", ra).withColumn("d2", dec).collect():
         assert r.r2 == pytest.approx(r.ra) and r.d2 == pytest.approx(r.dec)
     assert one(spark, sphere.tangent_plane(F.lit(190.0), F.lit(-20.0), F.lit(10.0), F.lit(20.0))[0]) is None
+
+
+def test_stable_ids_are_greedy(spark):
+    rng = np.random.default_rng(9)
+    pairs = {(int(a), int(b)): int(n) for a, b, n in zip(rng.integers(0, 12, 60), rng.integers(0, 9, 60), rng.integers(1, 5, 60), strict=True)}
+    want, seen = {}, set()
+    for (c, o), _ in sorted(pairs.items(), key=lambda kv: (-kv[1], kv[0][1], kv[0][0])):
+        if c not in want and o not in seen:
+            want[c] = o
+            seen.add(o)
+    df = spark.createDataFrame([(c, o, n) for (c, o), n in pairs.items()], "cluster long, old long, overlap long")
+    assert {r.cluster: r.old for r in sessions.stable_ids(df).collect()} == want
+    assert sessions.stable_ids(df.limit(0)).count() == 0
+
+
+def test_sun_and_boxes(spark):
+    ra, dec = sphere.sun(F.lit(1_718_916_660_000_000))  # the June solstice of 2024
+    assert one(spark, dec) == pytest.approx(23.44, abs=0.01) and one(spark, ra) == pytest.approx(90, abs=0.05)
+    assert one(spark, sphere.sun_altitude(F.lit(1_718_884_800_000_000), F.lit(0.0), F.lit(0.0))) == pytest.approx(90 - 23.44, abs=0.7)
+    a = np.arange(20.0).reshape(4, 5)
+    assert pixels.box_mean(a, 3)[0, 0] == a[:3, :3].mean() and pixels.box_mean(a, 3).shape == (2, 3)

@@ -82,3 +82,10 @@ def test_alerts_come_once_per_ttl(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, s long, event_type string").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"), "event_type").write.parquet(src)
     got = jobs.run_once(jobs.alerts_once(jobs.read_events(spark, src), 60), "t-alerts", "append")
     assert sorted(r.event_id for r in got.collect()) == [0, 3, 4]
+
+
+def test_images_encode_to_fits(spark, tmp_path):
+    a = files(tmp_path)
+    im = spark.createDataFrame([("x", 1, 3, 4, [float(v) for v in a.ravel()])], "img string, c int, h int, w int, px array<float>")
+    header, data = next(fits.units(fits.encode_images(im).first().content))
+    assert header["NAXIS"] == "2" and np.allclose(data, a)
