@@ -65,6 +65,8 @@ class Windows:
         self.seen[(hashes >> t.U(44)).astype(np.int64)] = True
         #: positioned shingles of each window by width: (code, window, offset)
         self.base = len(self.words) + 1
+        while self.base**shingle >= 1 << 63:  # codes of shingles stay exact in 64 bits
+            shingle -= 1
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         rows: dict[int, list[tuple[int, int, int]]] = {}
         for w, seq in enumerate(self.windows):

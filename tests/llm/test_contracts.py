@@ -351,3 +351,11 @@ def test_language(spark):
     got = identify(odd).collect()
     assert len(got) == 4 and {r.named for r in got if r.page_id is None} == {"de"} and {(r.declared, r.named) for r in got if r.page_id == 2} == {("en", "de")}
     assert identify(odd.limit(0)).count() == 0
+
+
+def test_codes_fit_64_bits():
+    from skyloom.llm.decontaminate import Windows
+
+    # with this width the codes of these words would not fit
+    many = Windows([(1, " ".join(f"w{i}" for i in range(40)))], 30, shingle=20)
+    assert max(many.grams) == 11 and many.base**11 < 1 << 63 <= many.base**12
