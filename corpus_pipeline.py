@@ -16,12 +16,14 @@ from skyloom.llm.jaccard import one_of_each
 from skyloom.llm.mixing import mix
 from skyloom.llm.quality import classify_quality, held_out_of
 from skyloom.llm.suffix_dedup import remove_repeats
+from skyloom.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; those without words have nothing to reject and stay."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = classify_quality(docs, labels, learn=lambda key: ~held_out_of(key, 3, 1), keep=COLUMNS)
     return scored.filter((F.col("predicted") == 1) | (F.coalesce(F.trim("text"), F.lit("")) == "")).select(*COLUMNS)
@@ -29,11 +31,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five words, Jaccard of 0.8 or more."""
+    ship(spark)
     return one_of_each(docs, k=5, p=80, q=100).select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document has are cut; a document of which nothing is left goes."""
+    ship(spark)
     cut = remove_repeats(docs, length=50, keep=COLUMNS, with_text=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     kept = cut.filter((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
@@ -42,12 +46,14 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    ship(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items, window=10, keep=COLUMNS).filter(F.col("n_hit") == 0).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document with its ``repeats``; those that the mix does not take go."""
+    ship(spark)
     mixed = mix(docs, keep=COLUMNS)
     return mixed.filter(F.col("repeats") > 0).select(*COLUMNS, "size", "source_size", "target", "repeats", "taken")
 
