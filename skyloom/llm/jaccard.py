@@ -17,10 +17,9 @@ document's shingles and keep the documents that occur at least T times.
 4. Each block gets the whole sets of its members.  A block of more than
    ``SLICE`` members is dealt as pairs of slices, each of which is a bounded
    task.  In a block, each set queries the inverted lists with DivideSkip: the
-   ``L`` longest lists are set aside, the short ones are merged as sorted runs,
-   those that occur ``T - L`` times are probed in the long lists by binary
-   search, and those that reach ``T`` are links.  Documents that are connected
-   already are not probed again, so a block gives a spanning forest of its
+   ``L`` longest lists are set aside, the short ones are merged, those that
+   occur ``T - L`` times are probed in the long lists by binary search, and
+   those that reach ``T`` are links.  A block gives a spanning forest of its
    links and never all pairs.
 5. The components of all forests are found by alternating stars.
 
@@ -32,7 +31,9 @@ it has an id; very long texts are whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ COUNTERS, COUNTER_BLOCKS = 1 << 20, 32
 SLICE = 512
 #: Bits of the filter that texts pass before they are dealt to blocks.
 FILTER_BITS = 24
+#: So many postings at most are merged by a heap, more by a merge sort.
+HEAP_STEPS = 256
 #: DivideSkip's weight of a probe against a merge step when choosing how many lists are long.
 MU = 0.0085
 
@@ -251,6 +254,24 @@ class Forest:
             r = s
 
 
+def merge_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The members of sorted lists, ascending, and in how many lists each is.
+
+    Short lists are merged by a heap; where that would take many steps, their
+    sorted runs are merged at once by a merge sort, with the same result.
+    """
+    if sum(map(len, lists)) <= HEAP_STEPS:
+        member, count = [], []
+        for x, same in groupby(heapq.merge(*(a.tolist() for a in lists))):
+            member.append(x)
+            count.append(sum(1 for _ in same))
+        return np.array(member, np.int64), np.array(count, np.int64)
+    merged = np.concatenate(lists)
+    merged.sort(kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
+    return merged[at], np.diff(np.append(at, len(merged)))
+
+
 def divide_skip(lists: list[np.ndarray], want: int) -> tuple[np.ndarray, np.ndarray]:
     """Members that occur in at least ``want`` of the sorted lists, and how often.
 
@@ -263,12 +284,7 @@ def divide_skip(lists: list[np.ndarray], want: int) -> tuple[np.ndarray, np.ndar
     longest = len(lists[-1])
     n_long = min(want - 1, int(want / (MU * np.log2(max(2, longest)) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    merged = np.concatenate(short)
-    merged.sort(kind="stable")  # sorted runs: one merge
-    lead = np.ones(len(merged), bool)
-    lead[1:] = merged[1:] != merged[:-1]
-    at = np.flatnonzero(lead)
-    member, count = merged[at], np.diff(np.append(at, len(merged)))
+    member, count = merge_counts(short)
     keep = count >= want - n_long
     member, count = member[keep], count[keep]
     for i, probe in enumerate(long):

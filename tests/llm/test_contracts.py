@@ -359,3 +359,16 @@ def test_codes_fit_64_bits():
     # with this width the codes of these words would not fit
     many = Windows([(1, " ".join(f"w{i}" for i in range(40)))], 30, shingle=20)
     assert max(many.grams) == 11 and many.base**11 < 1 << 63 <= many.base**12
+
+
+def test_divide_skip(monkeypatch):
+    from skyloom.llm import jaccard as mod
+
+    rng = np.random.default_rng(11)
+    lists = [np.sort(rng.choice(60, int(rng.integers(1, 40)), replace=False)) for _ in range(25)]
+    n = np.bincount(np.concatenate(lists), minlength=60)
+    for steps in (0, 10_000):  # by merge sort, by heap
+        monkeypatch.setattr(mod, "HEAP_STEPS", steps)
+        for want in (1, 5, 9, 14, 25):
+            member, count = mod.divide_skip(list(lists), want)
+            assert member.tolist() == np.flatnonzero(n >= want).tolist() and count.tolist() == n[n >= want].tolist()
