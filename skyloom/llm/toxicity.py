@@ -1,23 +1,24 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the words that go with the label (chi-square on the labelled
-examples); a text's vector is ``(1 + ln tf) idf`` over them, with document
-frequencies counted over all documents.  The examples are ordered so that alike
-ones share blocks, and for each term and block the index keeps the largest
-weight.  A query's bound for a block is its dot product with these; blocks are
-opened from the highest bound down until no bound can reach the k-th best
-cosine, so the k nearest are exact.  They vote with the weight of their
-nearness, and a logistic curve fitted on leave-one-out votes of the examples
-calibrates the score.  The nearest examples and the terms are the evidence.
+Terms are all words of the labelled examples; a text's vector is
+``(1 + ln tf) idf (1 + chi)`` over them, with document frequencies counted over
+all documents and ``chi`` the root of the word's chi-square with the label over the
+examples, so that words that go with the label weigh more and none is dropped.
+The examples are ordered so that alike ones share blocks, and for each term and
+block the index keeps the largest weight (for the commonest terms, all weights).
+A query's bound for a block is its dot product with these; blocks are opened
+from the highest bound down until no bound can reach the k-th best cosine, so the
+k nearest are exact.  They vote with the weight of their nearness, and a logistic
+curve fitted on leave-one-out votes of the examples calibrates the score.  The nearest examples and the terms are the evidence.
 
 ``max_labelled`` bounds the labelled rows used as examples (those with the
 smallest seeded hashes); everything else covers all documents.
 
-Defined cases: null and empty texts and texts without any term have no
-neighbours and the smoothed rate of examples without terms; ties in cosine go to
-the smaller example; labels that are null, or neither 0 nor 1, or without a
-document are left out; without labels of both kinds every score is the smoothed
-share; repeated documents get one row each; very long texts are read whole.
+Defined cases: null and empty texts and texts without any word of an example
+have no neighbours and the smoothed rate of examples without words; ties in
+cosine go to the smaller example; labels that are null, or neither 0 nor 1, or
+without a document are left out; without labels of both kinds every score is the
+smoothed share; repeated documents get one row each; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -30,9 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
+from ._spark import summed_table, table_rows
 from .quality import held_out_of, labelled_sample
 
 BLOCK = 64
+COUNT_BLOCKS = 16
+#: At most so many lists are rows of the table.
+TABLE_ROWS = 512
 
 
 def _words(buf: np.ndarray, offs: np.ndarray):
@@ -43,100 +48,154 @@ def _words(buf: np.ndarray, offs: np.ndarray):
 
 
 class Terms:
-    """The chosen words by hash, with how many documents have them."""
+    """All words of the examples by hash, with how much each one weighs."""
 
-    def __init__(self, hashes: np.ndarray, words: list[str]) -> None:
-        order = np.argsort(hashes)
-        self.hash, self.words = hashes[order], [words[i] for i in order]
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.hash >> t.U(48)).astype(np.int64)] = True
-        self.idf = np.ones(len(hashes))
+    def __init__(self, hashes: np.ndarray, words: pa.Array, weight: np.ndarray) -> None:
+        self.hash, self.words, self.weight = hashes, words, weight
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.hash >> t.U(44)).astype(np.int64)] = True
 
     def counts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, term and how often, ascending."""
-        docs, terms = [], []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(self.hash):
             for a, _, _, _, _, first, h in _words(buf, offs):
-                may = np.flatnonzero(self.seen[(h >> t.U(48)).astype(np.int64)])
+                may = np.flatnonzero(self.seen[(h >> t.U(44)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(self.hash, h[may]), len(self.hash) - 1)
                 ok = self.hash[at] == h[may]
-                docs.append(np.searchsorted(first, may[ok], "right") - 1 + a)
-                terms.append(at[ok])
-        if not docs:
+                doc = np.searchsorted(first, may[ok], "right") - 1 + a
+                key, n = np.unique(doc * len(self.hash) + at[ok], return_counts=True)
+                out.append((key // len(self.hash), key % len(self.hash), n))
+        if not out:
             return (np.empty(0, np.int64),) * 3
-        key, n = np.unique(np.concatenate(docs) * len(self.hash) + np.concatenate(terms), return_counts=True)
-        return key // len(self.hash), key % len(self.hash), n
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def vectors(self, buf: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Unit vectors: the terms of each document and their weights."""
-        doc, term, n = self.counts(buf, offs)
-        weight = (1 + np.log(np.maximum(n, 1))) * self.idf[term]
-        norm = np.sqrt(np.bincount(doc, weight * weight, minlength=len(offs) - 1))
-        cut = np.searchsorted(doc, np.arange(len(offs)))
+        return self.unit(*self.counts(buf, offs), len(offs) - 1)
+
+    def unit(self, doc: np.ndarray, term: np.ndarray, n: np.ndarray, docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        weight = (1 + np.log(np.maximum(n, 1))) * self.weight[term]
+        norm = np.sqrt(np.bincount(doc, weight * weight, minlength=docs))
+        cut = np.searchsorted(doc, np.arange(docs + 1))
         weight = weight / norm[doc]
         return [(term[a:b], weight[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def choose_terms(examples: list[tuple[int, np.ndarray, list[str]]], min_docs: int = 6, min_chi: float = 30.0, most: int = 4096) -> Terms:
-    """Words whose presence goes with the label, by chi-square; ``examples`` have a label, distinct word hashes and words."""
-    y = np.array([e[0] for e in examples], np.float64)
-    if not len(y):
-        return Terms(np.empty(0, np.uint64), [])
-    every = np.concatenate([e[1] for e in examples])
-    label = np.repeat(y, [len(e[1]) for e in examples])
-    hashes, first, back = np.unique(every, return_index=True, return_inverse=True)
-    n, n1 = np.bincount(back).astype(np.float64), np.bincount(back, label)
-    total, total1 = len(y), y.sum()
+def chi_square(n: np.ndarray, n1: np.ndarray, total: int, total1: float) -> np.ndarray:
+    """How far words go with the label: ``n`` of ``total`` examples have a word, ``n1`` of them among the ``total1`` of label 1."""
     expect = n * total1 / total
-    spread = np.maximum(expect * (1 - total1 / total) * (total - n) / max(1, total - 1), 1e-12)
-    chi = np.maximum(np.abs(n1 - expect) - 0.5, 0) ** 2 / spread
-    good = np.flatnonzero((np.maximum(n1, n - n1) >= min_docs) & (n >= min_docs) & (chi >= min_chi))
-    good = good[np.lexsort((hashes[good], -chi[good]))][:most]
-    flat = [w for e in examples for w in e[2]]
-    return Terms(hashes[good], [flat[first[i]] for i in good.tolist()])
+    spread = expect * (1 - total1 / total) * (total - n) / max(1, total - 1)
+    return np.where(spread > 0, np.maximum(np.abs(n1 - expect) - 0.5, 0) ** 2 / np.maximum(spread, 1e-12), 0.0)
+
+
+def all_terms(hashes: list[np.ndarray], words: list[pa.Array], y: np.ndarray) -> Terms:
+    """Every word of the examples, weighed by 1 and the root of its chi-square."""
+    if not len(y):
+        return Terms(np.empty(0, np.uint64), pa.array([], pa.string()), np.empty(0))
+    every, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    n = np.bincount(back, minlength=len(every)).astype(np.float64)
+    n1 = np.bincount(back, np.repeat(y, [len(h) for h in hashes]), minlength=len(every))
+    return Terms(every, pa.concat_arrays(words).take(pa.array(first)), 1 + np.sqrt(chi_square(n, n1, len(y), y.sum())))
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions in the ranges, and which range each is of."""
+    n = end - start
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) + (start - np.cumsum(n) + n)[which], which
 
 
 class BlockMax:
-    """Inverted lists of the examples in blocks, with each term's largest weight per block."""
+    """Inverted lists of the examples in blocks.
+
+    The lists of the commonest terms, in a twelfth of the examples or more, are
+    rows of a table over all examples, so that a product gives their part of every
+    cosine.  Each other term has a cell, with its largest weight, for each block
+    that it is in.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], names: np.ndarray, labels: np.ndarray, n_terms: int) -> None:
         keep = [i for i, (term, _) in enumerate(vectors) if len(term)]
-        lead = [int(vectors[i][0][np.argmax(vectors[i][1])]) for i in keep]
-        keep = [keep[i] for i in np.lexsort((names[keep], lead))] if keep else []
+        if keep:  # alike: the same commonest word, so mostly one language, and sizes
+            often = np.bincount(np.concatenate([vectors[i][0] for i in keep]), minlength=n_terms)
+            lead = [int(vectors[i][0][np.argmax(often[vectors[i][0]])]) for i in keep]
+            keep = [keep[i] for i in np.lexsort((names[keep], [len(vectors[i][0]) for i in keep], lead))]
         self.names, self.labels = names[keep], labels[keep].astype(np.float64)
         self.blocks = -(-len(keep) // BLOCK)
-        self.vectors = [vectors[i] for i in keep]
-        post: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        self.top = np.zeros((n_terms, max(1, self.blocks)))
-        for e, (term, weight) in enumerate(self.vectors):
-            for x, w in zip(term.tolist(), weight.tolist(), strict=True):
-                post[x].append((e, w))
-                self.top[x, e // BLOCK] = max(self.top[x, e // BLOCK], w)
-        self.member = [np.array([e for e, _ in p], np.int64) for p in post]
-        self.weight = [np.array([w for _, w in p]) for p in post]
-        self.start = [np.searchsorted(m, np.arange(self.blocks + 1) * BLOCK) for m in self.member]
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        self.vectors, self.n_terms = [vectors[i] for i in keep], n_terms
+        if not keep:
+            return
+        common = np.argsort(-often, kind="stable")[:TABLE_ROWS]
+        common = common[often[common] * 12 >= len(keep)]
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        term, weight = (np.concatenate([v[i] for v in self.vectors]) for i in (0, 1))
+        member = np.repeat(np.arange(len(keep)), [len(x) for x, _ in self.vectors])
+        row = self.row[term]
+        self.table = np.zeros((len(common), self.blocks * BLOCK))
+        self.table[row[row >= 0], member[row >= 0]] = weight[row >= 0]
+        term, weight, member = term[row < 0], weight[row < 0], member[row < 0]
+        order = np.lexsort((member, term))
+        term, self.member, self.weight = term[order], member[order], weight[order]
+        cell = term * self.blocks + self.member // BLOCK
+        lead = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.block, self.top = self.member[lead] // BLOCK, np.maximum.reduceat(self.weight, lead) if len(lead) else weight
+        self.post = np.append(lead, len(cell))
+        self.cells = np.searchsorted(term[lead], np.arange(n_terms + 1))
+
+    def __reduce__(self):
+        """Only the vectors are sent; who gets them builds the lists anew."""
+        sizes = np.array([len(x) for x, _ in self.vectors], np.int64)
+        term, weight = (np.concatenate([v[i] for v in self.vectors]) if len(sizes) else np.empty(0) for i in (0, 1))
+        return _sent, (term.astype(np.int32), weight, sizes, self.names, self.labels, self.n_terms)
+
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the commonest terms add to each query's cosine with every example."""
+        if not self.blocks:
+            return np.zeros((len(vectors), 0))
+        query = np.zeros((len(vectors), len(self.table)))
+        for q, (term, weight) in zip(query, vectors, strict=True):
+            row = self.row[term]
+            q[row[row >= 0]] = weight[row >= 0]
+        return query @ self.table
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the highest cosine over 0 (ties: the smaller name) and their cosines."""
-        bound = weight @ self.top[term]
-        best = np.empty(0, np.int64)
-        score = np.empty(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < score[-1] - 1e-12):
-                break
-            cos = np.zeros(BLOCK)
-            for x, w in zip(term.tolist(), weight.tolist(), strict=True):
-                lo, hi = self.start[x][b], self.start[x][b + 1]
-                if lo < hi:
-                    cos[self.member[x][lo:hi] - b * BLOCK] += w * self.weight[x][lo:hi]
-            found = np.flatnonzero(cos > 0) + b * BLOCK
-            found = found[found != skip]
-            best, score = np.concatenate([best, found]), np.concatenate([score, cos[found - b * BLOCK]])
-            order = np.lexsort((self.names[best], -np.round(score, 12)))[:k]
-            best, score = best[order], score[order]
+        best, score = np.empty(0, np.int64), np.empty(0)
+        if not self.blocks:
+            return best, score
+        common = self.common([(term, weight)])[0] if common is None else common
+        at, which = _ranges(self.cells[term], self.cells[term + 1])
+        block, weight = self.block[at], weight[which]
+        bound = common.reshape(-1, BLOCK).max(1) + np.bincount(block, weight * self.top[at], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        done, step, end = 0, 4, int((bound > 0).sum())
+        while done < end and (len(best) < k or bound[order[done]] >= score[-1] - 2e-12):
+            now = order[done : min(done + step, end)]
+            done, step = done + step, 2 * step
+            opened = np.zeros(self.blocks, bool)
+            opened[now] = True
+            some = np.flatnonzero(opened[block])
+            post, cell = _ranges(self.post[at[some]], self.post[at[some] + 1])
+            cos = common + np.bincount(self.member[post], weight[some][cell] * self.weight[post], minlength=len(common))
+            found = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = found[(cos[found] > 0) & (found != skip)]
+            best, score = np.concatenate([best, found]), np.concatenate([score, np.round(cos[found], 12)])
+            if len(best) > k:
+                some = score >= np.partition(score, len(score) - k)[len(score) - k]
+                best, score = best[some], score[some]
+            first = np.lexsort((self.names[best], -score))[:k]
+            best, score = best[first], score[first]
         return best, score
 
 
+def _sent(term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, names: np.ndarray, labels: np.ndarray, n_terms: int) -> BlockMax:
+    cut = np.cumsum(sizes)[:-1]
+    vectors = list(zip(np.split(term.astype(np.int64), cut), np.split(weight, cut), strict=True)) if len(sizes) else []
+    return BlockMax(vectors, names, labels, n_terms)
+
+
 class Votes:
     """Distance-weighted votes and their calibration."""
 
@@ -147,8 +206,11 @@ class Votes:
         self.both = len(np.unique(labels)) == 2
         self.a, self.b = 4.0, -2.0
         if self.both and len(index.names) >= 20:
-            left_out = np.array([self._vote(*index.nearest(term, weight, k, skip=e)) for e, (term, weight) in enumerate(index.vectors)])
-            self._fit(left_out, index.labels)
+            left_out = []
+            for a in range(0, len(index.vectors), BLOCK):
+                own = index.vectors[a : a + BLOCK]
+                left_out += [self._vote(*index.nearest(*x, k, skip=a + i, common=c)) for i, (x, c) in enumerate(zip(own, index.common(own), strict=True))]
+            self._fit(np.array(left_out), index.labels)
 
     def _vote(self, who: np.ndarray, cos: np.ndarray) -> float:
         cos = np.minimum(cos, 1.0)
@@ -169,13 +231,15 @@ class Votes:
         if p[0] > 0:
             self.a, self.b = p
 
-    def score(self, term: np.ndarray, weight: np.ndarray) -> tuple[float, list[int]]:
-        if not self.both:
-            return float(self.prior), []
-        who, cos = self.index.nearest(term, weight, self.k) if len(term) and len(self.index.names) else ((), ())
-        if not len(who):
-            return float(self.bare), []
-        return float(1 / (1 + np.exp(-np.clip(self.a * self._vote(who, cos) + self.b, -30, 30)))), self.index.names[who].tolist()
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[int]]]:
+        for a in range(0, len(vectors), BLOCK):
+            own = vectors[a : a + BLOCK]
+            for x, c in zip(own, self.index.common(own), strict=True):
+                who, cos = self.index.nearest(*x, self.k, common=c) if self.both and len(x[0]) else ((), ())
+                if len(who):
+                    yield float(1 / (1 + np.exp(-np.clip(self.a * self._vote(who, cos) + self.b, -30, 30)))), self.index.names[who].tolist()
+                else:
+                    yield float(self.bare if self.both else self.prior), []
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Callable[[Column], Column] | None = None, max_labelled: int = 6000, k: int = 15) -> DataFrame:
@@ -185,55 +249,57 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"hashes": [], "words": []}
+            out: dict[str, list] = {"hashes": [], "times": [], "words": []}
             for _, _, part, starts, ends, first, h in _words(*t.ragged(batch.column("_text"))):
                 raw = part.tobytes()
                 for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    u, at = np.unique(h[i:j], return_index=True)
+                    u, at, n = np.unique(h[i:j], return_index=True, return_counts=True)
                     out["hashes"].append(u.tobytes())
-                    out["words"].append(b" ".join(raw[starts[i + x] : ends[i + x]] for x in at.tolist()).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("_key"), "y": batch.column("_y"), "hashes": pa.array(out["hashes"], pa.binary()), "words": pa.array(out["words"], pa.string())})
-
-    seen = sample.select("_key", "_y", "_text").mapInArrow(read, "key long, y int, hashes binary, words string")
-    rows = sorted(seen.collect(), key=lambda r: (r.key, r.y, bytes(r.hashes)))
-    terms = choose_terms([(r.y, np.frombuffer(bytes(r.hashes), np.uint64), r.words.split(" ") if r.words else []) for r in rows])
-    del rows
+                    out["times"].append(n.astype(np.int32).tobytes())
+                    out["words"].append([raw[starts[i + x] : ends[i + x]].decode("utf-8", "replace") for x in at.tolist()])
+            kinds = (("hashes", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.string())))
+            yield pa.RecordBatch.from_pydict({"key": batch.column("_key"), "y": batch.column("_y")} | {c: pa.array(out[c], kind) for c, kind in kinds})
+
+    seen = sample.select("_key", "_y", "_text").mapInArrow(read, "key long, y int, hashes binary, times binary, words array<string>").toArrow()
+    hashes, times = ([np.frombuffer(x, kind) for x in seen.column(c).to_pylist()] for c, kind in (("hashes", np.uint64), ("times", np.int32)))
+    keys, labelled = seen.column("key").to_pylist(), seen.column("y").to_pylist()
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], labelled[i], hashes[i].tobytes(), times[i].tobytes()))
+    hashes, times, y = [hashes[i] for i in order], [times[i] for i in order], np.array([labelled[i] for i in order], np.float64)
+    names = np.array([keys[i] for i in order], np.int64)
+    terms = all_terms(hashes, [c.flatten() for c in seen.column("words").take(pa.array(order, pa.int64())).chunks], y)
+    del seen
     chosen = sc.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(len(chosen.value.hash), np.int64), 0
+        n = np.zeros(len(chosen.value.hash) + 1)
         for batch in batches:
             _, term, _ = chosen.value.counts(*t.ragged(batch.column(0)))
-            n += np.bincount(term, minlength=len(n))
-            total += batch.num_rows
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(at, -1)), "n": pa.array(np.append(n[at], total))})
-
-    found = dict(docs.select(text).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # at most the terms
-    total = found.pop(-1, 0) or 0
-    for i in range(len(terms.hash)):
-        terms.idf[i] = np.log((1 + total) / (1 + found.get(i, 0))) + 1
+            n[:-1] += np.bincount(term, minlength=len(n) - 1)
+            n[-1] += batch.num_rows
+        if n[-1]:
+            yield table_rows(n, COUNT_BLOCKS)
+
+    found = summed_table(docs.select(text).mapInArrow(frequencies, "block int, sums binary"), COUNT_BLOCKS)
+    found = found if len(found) else np.zeros(len(terms.hash) + 1)
+    chosen.unpersist()
+    terms.weight *= np.log((1 + found[-1]) / (1 + found[:-1])) + 1
     weighed = sc.broadcast(terms)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = weighed.value.vectors(*t.ragged(batch.column("_text")))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("_key"), "y": batch.column("_y"), "term": pa.array([x.astype(np.int64).tobytes() for x, _ in own], pa.binary()), "weight": pa.array([w.tobytes() for _, w in own], pa.binary())})
-
-    rows = sorted(sample.select("_key", "_y", "_text").mapInArrow(vectors, "key long, y int, term binary, weight binary").collect(), key=lambda r: (r.key, r.y, bytes(r.term)))
-    own = [(np.frombuffer(bytes(r.term), np.int64), np.frombuffer(bytes(r.weight))) for r in rows]
-    y = np.array([r.y for r in rows], np.float64)
-    index = BlockMax(own, np.array([r.key for r in rows], np.int64), y, len(terms.hash))
-    votes = sc.broadcast(Votes(index, y[[len(x) == 0 for x, _ in own]] if len(y) else y, y, k))
+    sizes = [len(h) for h in hashes]
+    place = np.searchsorted(terms.hash, np.concatenate(hashes)) if hashes else np.empty(0, np.int64)
+    own = terms.unit(np.repeat(np.arange(len(y)), sizes), place, np.concatenate(times) if times else place, len(y))
+    index = BlockMax(own, names, y, len(terms.hash))
+    votes = sc.broadcast(Votes(index, y[[not n for n in sizes]] if len(y) else y, y, k))
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = weighed.value.vectors(*t.ragged(batch.column("_text")))
-            got = [votes.value.score(*x) for x in own]
+            got = list(votes.value.scores(own))
+            cut = np.concatenate(([0], np.cumsum([len(x) for x, _ in own]))).astype(np.int32)
+            flat = weighed.value.words.take(pa.array(np.concatenate([x for x, _ in own]) if own else cut[:0], pa.int64()))
             yield pa.RecordBatch.from_pydict({
                 "_id": batch.column("_id"), "score": pa.array([s for s, _ in got], pa.float64()), "neighbours": pa.array([n for _, n in got], pa.list_(pa.int64())),
-                "terms": pa.array([[weighed.value.words[i] for i in x.tolist()] for x, _ in own], pa.list_(pa.string())),
+                "terms": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), flat),
             })
 
     kind = plain.schema["_id"].dataType.simpleString()

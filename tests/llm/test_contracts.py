@@ -320,6 +320,34 @@ def test_block_max_is_exact(monkeypatch):
         assert [(round(-c, 9), n) for c, n in zip(cos.tolist(), index.names[who].tolist(), strict=True)] == [(round(s, 9), n) for s, n in want]
 
 
+def test_toxicity_takes_all_words(spark):
+    texts = [f"a{i} b{i} c{i}" for i in range(30)]  # no word is in two examples
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(100 + i, x) for i, x in enumerate(texts)] + [(999, "unlike all")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score_toxicity(docs, labels).collect()}
+    for i, x in enumerate(texts):
+        r = got[100 + i]
+        assert r.neighbours == [i] and r.predicted == int(i % 3 == 0) and set(r.terms) == set(x.split())
+    assert got[999].neighbours == [] and got[999].terms == []
+
+
+@pytest.mark.parametrize("table_rows", [0, 3, 512])
+def test_block_max_lists_and_table(monkeypatch, table_rows):
+    from skyloom.llm import toxicity as mod
+
+    monkeypatch.setattr(mod, "BLOCK", 4)
+    monkeypatch.setattr(mod, "TABLE_ROWS", table_rows)
+    rng = np.random.default_rng(9)
+    dense = rng.random((70, 40)) * (rng.random((70, 40)) < rng.random(40) * 0.4)
+    unit = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    index = BlockMax([(np.flatnonzero(r), r[r > 0]) for r in unit], np.arange(70), np.zeros(70), 40)
+    own = [(np.flatnonzero(q), q[q > 0]) for q in unit]
+    for q, x, c in zip(unit, own, index.common(own), strict=True):
+        sims = (unit @ q).round(9)
+        want = [i for _, i in sorted((-s, i) for i, s in enumerate(sims) if s > 0)[:6]]
+        assert index.names[index.nearest(*x, 6, common=c)[0]].tolist() == want
+
+
 # 8, 10 -----------------------------------------------------------------------------------------
 
 
