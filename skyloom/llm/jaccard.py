@@ -171,6 +171,30 @@ def _shared_at_least(n: np.ndarray, m: np.ndarray, p: int, q: int) -> np.ndarray
     return np.maximum(1, needed(n, m, p, q) - needed_self(np.maximum(n, m), p, q) + 1)
 
 
+def _least_shared(group: np.ndarray, n: np.ndarray, p: int, q: int) -> np.ndarray:
+    """For each row the least of :func:`_shared_at_least` over the compatible sizes of its group; rows ascend by group and size.
+
+    Up to n it grows with the other size, so the smallest has the least.  Beyond,
+    it falls by ``p / q - p / (p + q)`` a step, but for the ceilings: it is at most
+    one less than at the largest size, and that only at sizes within the inverse
+    of the slope, which are looked up if they are few.
+    """
+    wide = int(n.max()) + 1
+    base = group * (wide + 1)
+    code = base + n
+    low = n[np.searchsorted(code, base + needed_self(n, p, q))]
+    high = n[np.searchsorted(code, base + np.minimum(n * q // p, wide), "right") - 1]
+    least = np.minimum(_shared_at_least(n, low, p, q), _shared_at_least(n, high, p, q))
+    near = q * (p + q) // (p * p)
+    if near > 64:
+        return np.maximum(1, least - 1)
+    for d in range(1, near + 1):
+        m = np.maximum(high - d, n)
+        there = code[np.searchsorted(code, base + m)] == base + m
+        least = np.where(there, np.minimum(least, _shared_at_least(n, m, p, q)), least)
+    return least
+
+
 def _meetings(p: int, q: int):
     """Sets of compatible sizes that share a prefix shingle, with the smallest among them.
 
@@ -204,12 +228,7 @@ def _meetings(p: int, q: int):
         name, n, pivot, group = name[many], n[many], pivot[many], group[many]
         if not len(name):
             return
-        # the smallest and the largest compatible sizes in the group: the further, the fewer shared shingles are needed
-        wide = int(n.max()) + 1
-        code = group * (wide + 1) + n
-        low = n[np.searchsorted(code, group * (wide + 1) + needed_self(n, p, q))]
-        high = n[np.searchsorted(code, group * (wide + 1) + np.minimum(n * q // p, wide), "right") - 1]
-        least = np.minimum(_shared_at_least(n, low, p, q), _shared_at_least(n, high, p, q))
+        least = _least_shared(group, n, p, q)
         order = np.lexsort((least, pivot, name))
         name, n, pivot, least = name[order], n[order], pivot[order], least[order]
         lead = np.ones(len(name), bool)

@@ -251,6 +251,27 @@ def test_jaccard_brute(spark, monkeypatch):
     assert {c for d, _, c in brute_components(data, 5, 80, 100) if d != "None"} == {str(d) for d in stay if d is not None}
 
 
+def test_jaccard_third_set_of_a_group(spark):
+    s, z = [f"s{i}" for i in range(17)], [f"z{i}" for i in range(19)]
+    data = [(1, [*s, "x1", "x2"]), (2, [*s, "y1"]), (3, [s[0], *z])]  # sizes 19, 18 and 20; s0 is rare
+    data += [(10 + i, [*s[1:], *z, *(f"l{i}-{j}" for j in range(40))]) for i in range(3)]
+    data = [(d, " ".join(x)) for d, x in data]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_components(docs, k=1, p=85).collect())
+    assert got == brute_components(data, 1, 85, 100) and ("2", 18, "1") in got
+
+
+@pytest.mark.parametrize(("p", "q"), [(85, 100), (80, 100), (50, 100), (95, 100), (2, 3)])
+def test_least_shared(p, q):
+    from skyloom.llm.jaccard import _least_shared, _shared_at_least
+
+    rng = np.random.default_rng(p)
+    groups = [np.sort(rng.integers(1, 60, int(rng.integers(1, 9)))) + int(rng.integers(0, 90)) for _ in range(400)] + [np.array([18, 19, 20]), np.array([13, 14, 15])]
+    got = _least_shared(np.repeat(np.arange(len(groups)), [len(g) for g in groups]), np.concatenate(groups), p, q)
+    want = [_shared_at_least(np.full(1, n), g[(q * g >= p * n) & (p * g <= q * n)], p, q).min() for g in groups for n in g]
+    assert got.tolist() == want
+
+
 def test_jaccard_defined_cases(spark):
     assert jaccard_components(nothing(spark)).count() == 0
     got = jaccard_components(awkward(spark)).collect()
