@@ -62,23 +62,26 @@ def family(identifier: str) -> str:
     return next((label for prefix, label in FAMILIES if name.startswith(prefix)), re.split(r"[.\-+:]\d", name)[0])
 
 
-def tokens(text: str) -> list[str]:
-    """The tokens of the expression that ``text`` begins with: as far as operands and operators alternate."""
+def tokens(text: str, at: int = 0) -> list[str]:
+    """The tokens of the expression at ``at``: as far as operands and operators alternate.
+
+    A line break ends it unless a bracket is open or an operand is due.
+    """
     out: list[str] = []
-    at, operand = 0, True
+    depth, operand = 0, True
     while m := _TOKEN.match(text, at):
         token = m[1]
         low = token.lower()
-        if "\n" in m[0] and out:
+        if "\n" in m[0] and not operand and not depth:
             break
         if operand and token == "(":
-            pass
+            depth += 1
         elif operand and token != ")" and low not in _RANK:
             operand = False
         elif not operand and low in _RANK:
             operand = True
-        elif not operand and token == ")" and out.count("(") > out.count(")"):
-            pass
+        elif not operand and token == ")" and depth:
+            depth -= 1
         else:
             break
         out.append(low if low in _RANK else token)
@@ -140,7 +143,7 @@ class Scanner:
 
     def expressions(self, text: str) -> list[list[str]]:
         """The expressions after identifier tags in the original text."""
-        return [e for m in re.finditer(r"(?i)spdx[^0-9a-z]+license[^0-9a-z]+identifier[ \t]*:?", text) if (e := tokens(text[m.end() : m.end() + 4096]))]
+        return [e for m in re.finditer(r"(?i)spdx[^0-9a-z]+license[^0-9a-z]+identifier[ \t]*:?", text) if (e := tokens(text, m.end()))]
 
     def scan(self, raw: bytes) -> dict:
         words = raw.translate(_TO_WORDS).split()

@@ -298,6 +298,14 @@ def test_licenses(spark):
     assert scan_licenses(nothing(spark)).count() == 0
 
 
+def test_license_expressions_are_whole():
+    scan = lambda x: Scanner(BASE, NOTICES, TAGS).scan(x.encode())["labels"].split(",")
+    tag = "SPDX-License-Identifier: "
+    assert set(scan(tag + "MIT OR " * 700 + "Apache-2.0")) == {"mit", "apache"}
+    assert scan(tag + " " * 4094 + "Apache-2.0") == ["apache"]
+    assert set(scan(tag + "(MIT OR\n  Apache-2.0\n  OR ISC) AND\nMPL-2.0\nand BSD")) == {"mit", "apache", "isc", "mpl"}
+
+
 # 7, 9 ------------------------------------------------------------------------------------------
 
 
