@@ -14,19 +14,26 @@ document's shingles and keep the documents that occur at least T times.
    These prefixes are dealt by shingle; sets of compatible sizes that share one
    meet in the block of the smallest fingerprint among them.  A set whose shared
    prefix shingles are too few for a link with any set that it met is left out.
-4. Each block gets the whole sets of its members.  A block of more than
-   ``SLICE`` members is dealt as pairs of slices, each of which is a bounded
-   task.  In a block, each set queries the inverted lists with DivideSkip: the
-   ``L`` longest lists are set aside, the short ones are merged, those that
-   occur ``T - L`` times are probed in the long lists by binary search, and
-   those that reach ``T`` are links.  A block gives a spanning forest of its
-   links and never all pairs.
+4. Each block gets the whole sets of its members.  In a block, each set queries
+   the inverted lists with DivideSkip: the ``L`` longest lists are set aside, the
+   short ones are merged, those that occur ``T - L`` times are probed in the long
+   lists by binary search, and those that reach ``T`` are links.  A block gives a
+   spanning forest of its links and never all pairs.  A block of more than
+   ``SLICE`` members is first searched slice by slice, then among one
+   representative of each component that this left it with.  Only where it still
+   has several components are slices held against each other, and none against
+   one of the same component: a large group of near copies costs what its size
+   is, and pairs of slices are what is left to its unlike members.
 5. The components of all forests are found by alternating stars.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a
-text of fewer than ``k`` words is one shingle; rows with equal ids are one node;
-a row without id takes the component of its set's class, null if no member of
-it has an id; very long texts are whole; an empty table gives an empty result.
+text of fewer than ``k`` words is one shingle; rows that repeat an id are judged
+by their own texts (equal ones are one class, unlike ones may get different
+components); a row without id takes the component of its set's class, null if
+no member of it has an id, and links nothing by itself; ties do not arise, as a
+component is named by its smallest id; very long texts are whole; an empty table
+gives an empty result; further columns, whatever their names, are ignored by
+:func:`jaccard_components` and carried by :func:`one_of_each`.
 """
 
 from __future__ import annotations
@@ -37,14 +44,17 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _text as t
 from ._spark import connected_components, materialize, partitions, summed_table, table_rows
 
 COUNTERS, COUNTER_BLOCKS = 1 << 20, 32
 SLICE = 512
+#: Shingles of all sets per task.
+TASK_SHINGLES = 6_000_000
 #: Bits of the filter that texts pass before they are dealt to blocks.
 FILTER_BITS = 24
 #: So many postings at most are merged by a heap, more by a merge sort.
@@ -93,8 +103,8 @@ def _fingerprints(val: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (run[at[1:]] - run[at[:-1]]).view(np.int64), (other[at[1:]] - other[at[:-1]]).view(np.int64)
 
 
-def _named(k: int):
-    """``_id, n, k1, k2``: the size and fingerprint of each document's set."""
+def _named(k: int, keep: tuple[str, ...] = ()):
+    """``_id, n, k1, k2`` and the columns of ``keep``: the size and fingerprint of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +115,8 @@ def _named(k: int):
                 k1.append(x)
                 k2.append(y)
             if n:
-                yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "n": pa.array(np.concatenate(n), pa.int64()), "k1": pa.array(np.concatenate(k1)), "k2": pa.array(np.concatenate(k2))})
+                out = {"_id": batch.column("_id"), "n": pa.array(np.concatenate(n), pa.int64()), "k1": pa.array(np.concatenate(k1)), "k2": pa.array(np.concatenate(k2))}
+                yield pa.RecordBatch.from_pydict(out | {c: batch.column(c) for c in keep})
 
     return run
 
@@ -383,7 +394,7 @@ def _block_search(p: int, q: int):
             return batch
 
         for batch in batches:
-            for k, i, j, d, s, x in zip(*(batch.column(c).to_pylist() for c in ("pivot", "i", "j", "_doc", "side", "shingles")), strict=True):
+            for k, i, j, d, s, x in zip(*(batch.column(c).to_pylist() for c in ("pivot", "i", "j", "node", "side", "shingles")), strict=True):
                 if (k, i, j) != key:
                     close()
                     key, ids, sets, side = (k, i, j), [], [], []
@@ -399,16 +410,69 @@ def _block_search(p: int, q: int):
     return run
 
 
-def _blocks(meet: DataFrame) -> DataFrame:
-    """Per representative the blocks it goes to: ``(pivot, i, j, side)``, slices of large blocks against each other."""
-    sized = meet.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    rows = meet.join(sized, "pivot").withColumn("s", F.ceil(F.col("m") / SLICE).cast("int")).withColumn("own", F.pmod(F.xxhash64("_doc"), F.col("s").cast("long")).cast("int"))
-    one = F.array(F.struct("pivot", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("s") - 1),
-        lambda o: F.struct(F.col("pivot"), F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(o == F.col("own"), 2).when(F.col("own") < o, 0).otherwise(1).alias("side")),
-    )
-    return rows.select("_doc", F.explode(F.when(F.col("s") <= 1, one).otherwise(pairs)).alias("x")).groupBy("_doc").agg(F.collect_list("x").alias("blocks"))
+_BLOCK = "array<struct<pivot:bigint,i:int,j:int,side:int>>"
+
+
+def _one_block(pivot: Column, i: Column) -> Column:
+    """A block of its own: all its members are held against each other."""
+    return F.array(F.struct(pivot.alias("pivot"), i.cast("int").alias("i"), i.cast("int").alias("j"), F.lit(2).alias("side"))).cast(_BLOCK)
+
+
+def _sliced(members: DataFrame) -> DataFrame:
+    """Members ``node, k1, _doc, pivot`` with the number ``m`` of their pivot's members and the blocks of the first round."""
+    sized = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
+    slices = F.ceil(F.col("m") / SLICE).cast("long")
+    return members.join(sized, "pivot").withColumn("blocks", _one_block(F.col("pivot"), F.pmod(F.xxhash64("node"), slices)))
+
+
+def _pairs(rows: DataFrame, own: Column, slices: Column) -> DataFrame:
+    """Rows ``node, k1, _doc, pivot`` dealt to pairs of their pivot's slices: one of slice ``own`` meets those of ``slices`` (an array)."""
+    block = lambda o: F.struct(F.col("pivot"), F.least(own, o).cast("int").alias("i"), F.greatest(own, o).cast("int").alias("j"), F.when(o == own, 2).when(own < o, 0).otherwise(1).alias("side"))
+    return rows.withColumn("blocks", F.transform(slices, block).cast(_BLOCK))
+
+
+def _of_components(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the pivots that have several components, with their ``comp``."""
+    rows = large.join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("component", "node")).drop("_n", "component")
+    mixed = rows.groupBy("pivot").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter(F.col("_a") < F.col("_b"))
+    return rows.join(mixed, "pivot", "left_semi")
+
+
+def _representatives(mixed: DataFrame) -> DataFrame:
+    """One member of each component of a pivot, all of a pivot against each other."""
+    reps = mixed.groupBy("pivot", "comp").agg(F.min(F.struct("node", "k1", "_doc")).alias("x")).select("pivot", "x.*")
+    sized = reps.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("long").alias("s"))
+    rows = reps.join(sized, "pivot").withColumn("own", F.pmod(F.xxhash64("node"), F.col("s")))
+    return _pairs(rows, F.col("own"), F.sequence(F.lit(0).cast("long"), F.col("s") - 1))
+
+
+def _apart(mixed: DataFrame) -> DataFrame:
+    """Members of different components against each other.
+
+    A component of ``SLICE`` members or more has slices of its own, which never
+    meet each other; the smaller ones share slices.
+    """
+    count = mixed.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("c"))
+    pool = count.groupBy("pivot").agg(F.ceil(F.sum(F.when(F.col("c") < SLICE, F.col("c")).otherwise(0)) / SLICE).cast("long").alias("pool"))
+    w = Window.partitionBy("pivot").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)  # at most m / SLICE rows of a pivot
+    own = F.ceil(F.col("c") / SLICE).cast("long")
+    big = count.filter(F.col("c") >= SLICE).withColumn("of", own).withColumn("before", F.coalesce(F.sum("of").over(w), F.lit(0).cast("long")))
+    total = pool.join(big.groupBy("pivot").agg(F.sum("of").alias("own")), "pivot", "left").select("pivot", "pool", (F.col("pool") + F.coalesce("own", F.lit(0).cast("long"))).alias("all"))
+    rows = mixed.join(big.select("pivot", "comp", "of", "before"), ["pivot", "comp"], "left").join(total, "pivot")
+    h = F.xxhash64("node")
+    rows = rows.withColumn("lo", F.col("pool") + F.col("before")).withColumn("own", F.when(F.col("of").isNull(), F.pmod(h, F.greatest(F.col("pool"), F.lit(1)))).otherwise(F.col("lo") + F.pmod(h, F.col("of"))))
+    mine = lambda o: F.col("of").isNotNull() & (o >= F.col("lo")) & (o < F.col("lo") + F.col("of"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda o: ~mine(o))
+    return _pairs(rows, F.col("own"), others)
+
+
+def _search_blocks(plain: DataFrame, rows: DataFrame, k: int, p: int, q: int, n_parts: int) -> DataFrame:
+    """The links ``a, b`` (nodes) of the blocks that ``rows`` names: ``node, k1, _doc, blocks``."""
+    blocks = materialize(rows.groupBy("_doc", "node", "k1").agg(F.flatten(F.collect_list("blocks")).alias("blocks")))
+    some = plain.withColumn("_h", F.xxhash64("_id")).mapInArrow(_pass(_wanted(blocks)), "_id long, _text string")
+    texts = some.join(blocks, F.col("_id") == F.col("_doc")).select("node", "k1", "blocks", "_text")
+    members = texts.mapInArrow(_members(k), "pivot long, i int, j int, node long, side int, shingles binary")
+    return members.repartition(n_parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_block_search(p, q), "a long, b long")
 
 
 def _wanted(blocks: DataFrame):
@@ -433,53 +497,92 @@ def _pass(table):
 
 
 def _members(k: int):
-    """The whole sets of documents, one row for each block they go to."""
+    """The whole sets of documents, one row for each block they go to; other texts of the same id are left out."""
+    kinds = (("pivot", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("side", pa.int32()), ("shingles", pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, ids = batch.column("blocks").to_pylist(), batch.column("_doc").to_pylist()
+            blocks, nodes, names = (batch.column(c).to_pylist() for c in ("blocks", "node", "k1"))
             for a, b, val, at in _sets(batch, "_text", k):
-                rows = [(x["pivot"], x["i"], x["j"], ids[r], x["side"], val[at[r - a] : at[r - a + 1]].tobytes()) for r in range(a, b) for x in blocks[r]]
-                kinds = (("pivot", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("_doc", pa.int64()), ("side", pa.int32()), ("shingles", pa.binary()))
+                k1, _ = _fingerprints(val, at)
+                own = [r for r in range(a, b) if k1[r - a] == names[r]]
+                rows = [(x["pivot"], x["i"], x["j"], nodes[r], x["side"], val[at[r - a] : at[r - a + 1]].tobytes()) for r in own for x in blocks[r]]
                 yield pa.RecordBatch.from_pydict({c: pa.array([r[z] for r in rows], kind) for z, (c, kind) in enumerate(kinds)})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id``; two documents link at Jaccard ``>= p / q``.
+def _found(plain: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """Per row of ``plain`` (``_id, _text``): ``_id, n, k1, k2, group, component``.
 
-    ``component_id`` is the smallest id that links reach, the document's own included.
+    ``group`` names the component (null for empty sets), ``component`` is its smallest id.
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    n_parts = partitions(spark)
+    spark = plain.sparkSession
     sketch = materialize(plain.mapInArrow(_named(k), "_id long, n long, k1 long, k2 long"))
+    n_parts = max(partitions(spark), -(-(sketch.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES))
     named = sketch.filter(F.col("n") > 0)
     classes = named.groupBy("k1", "k2", "n").agg(F.min("_id").alias("rep"))
     rank = spark.sparkContext.broadcast(_frequencies(plain, k))
     dealt = plain.filter(F.col("_id").isNotNull()).mapInArrow(_prefixes(rank, k, p, q, 4 * n_parts), "bucket int, sets binary, sizes binary, counts binary, tokens binary")
     meet = materialize(dealt.repartition(n_parts, "bucket").mapInArrow(_meetings(p, q), "k1 long, pivot long, least long, groups long"))
-    ids = classes.filter(F.col("rep").isNotNull()).select("k1", F.col("rep").alias("_doc"))
-    blocks = materialize(_blocks(_enough(meet).join(ids, "k1").select("_doc", "pivot").distinct()))
-    some = plain.withColumn("_h", F.xxhash64("_id")).mapInArrow(_pass(_wanted(blocks)), "_id long, _text string")
-    texts = some.join(blocks, F.col("_id") == F.col("_doc")).select("_doc", "blocks", "_text")
-    members = texts.mapInArrow(_members(k), "pivot long, i int, j int, _doc long, side int, shingles binary")
-    blocks = members.repartition(n_parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    links = blocks.mapInArrow(_block_search(p, q), "a long, b long")
+    # a class's node is its smallest id, or a number of its own if unlike texts share that id
+    shared = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("_c"), F.min("k1").alias("_first")).filter(F.col("_c") > 1)
+    nodes = (
+        classes.filter(F.col("rep").isNotNull()).join(shared.withColumnRenamed("rep", "_r"), F.col("rep") == F.col("_r"), "left")
+        .select("k1", "k2", "n", "rep", F.when(F.col("_first") < F.col("k1"), F.xxhash64("k1", "k2", "n")).otherwise(F.col("rep")).alias("node"))
+    )
+    ids = nodes.select("k1", "node", F.col("rep").alias("_doc"))
+    members = materialize(_sliced(_enough(meet).join(ids, "k1").select("pivot", "k1", "node", "_doc").distinct()))
+    links = materialize(_search_blocks(plain, members, k, p, q, n_parts))
     parts = connected_components(links)
-    found = classes.join(parts, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.col("n").alias("_n"), F.coalesce("component", "rep").alias("component"))
-    full = named.select("_id", "n", F.col("k1").alias("_1"), F.col("k2").alias("_2")).join(found, (F.col("_1") == F.col("k1")) & (F.col("_2") == F.col("k2")) & (F.col("n") == F.col("_n")))
-    whole = full.select("_id", "n", "component").unionByName(sketch.filter(F.col("n") == 0).select("_id", "n", F.col("_id").alias("component")))
-    return whole.select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    large = members.filter(F.col("m") > SLICE).drop("blocks", "m")
+    for deal in (_representatives, _apart):
+        mixed = materialize(_of_components(large, parts)) if not large.isEmpty() else large
+        if mixed.isEmpty():
+            break
+        links = links.unionByName(materialize(_search_blocks(plain, deal(mixed), k, p, q, n_parts)))
+        parts = connected_components(links)
+    group = nodes.join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("k1", "k2", "n", "rep", F.coalesce("component", "node").alias("group"))
+    least = group.groupBy("group").agg(F.min("rep").alias("component")).withColumnRenamed("group", "_g")
+    group = group.join(least, F.col("group") == F.col("_g")).select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.col("n").alias("_n"), "group", "component")
+    full = named.join(group, (F.col("_1") == F.col("k1")) & (F.col("_2") == F.col("k2")) & (F.col("n") == F.col("_n")), "left").select("_id", "n", "k1", "k2", "group", "component")
+    return full.unionByName(sketch.filter(F.col("n") == 0).select("_id", "n", "k1", "k2", F.lit(None).cast("long").alias("group"), F.col("_id").alias("component")))
+
+
+def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id``; two documents link at Jaccard ``>= p / q``.
+
+    ``component_id`` is the smallest id that links reach, the document's own included.
+    """
+    found = _found(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), k, p, q)
+    return found.select(F.col("_id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """The documents that stand for their groups (the smallest ids; one row each), and rows of no group."""
-    found = jaccard_components(docs, doc_id=doc_id, text=text, k=k, p=p, q=q)
-    stay = found.filter(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(doc_id) == F.col("_stay"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    """One row of each group of near duplicates, and the rows of no group, with all columns of ``docs``.
+
+    A group's row is the one of its smallest id; of several rows with that id,
+    the first by text and then by the other columns.  Rows of one id with unlike
+    texts are in different groups, so each of them stays; rows without words stay
+    but for repeats of id and text; rows without id stay.
+    """
+    names = docs.columns
+    found = materialize(_found(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), k, p, q))
+    named = found.filter(F.col("_id").isNotNull())
+    many = named.groupBy("_id").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > 1).select(F.col("_id").alias("_many"))
+    stay = named.filter(F.col("_id") == F.col("component")).select(F.col("_id").alias("_stay")).distinct()
+    kept = docs.join(stay, F.col(doc_id) == F.col("_stay"), "left_semi").join(many, F.col(doc_id) == F.col("_many"), "left_anti").unionByName(docs.filter(F.col(doc_id).isNull()))
+    if many.isEmpty():
+        return kept
+    # rows that repeat an id: each one's group by its own text
+    rows = docs.join(many, F.col(doc_id) == F.col("_many"), "left_semi").select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.struct(*names).alias("_row"))
+    own = found.join(many, F.col("_id") == F.col("_many"), "left_semi").select(F.col("_id").alias("_i"), F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.col("n").alias("_n"), "group", "component").distinct()
+    kinds = StructType([StructField(c, LongType()) for c in ("_id", "n", "k1", "k2")] + [rows.schema[c] for c in ("_text", "_row")])
+    sets = rows.mapInArrow(_named(k, ("_text", "_row")), kinds)
+    judged = sets.join(own, (F.col("_id") == F.col("_i")) & (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("n") == F.col("_n"))).filter(F.col("component") == F.col("_id"))
+    order = F.struct("_text", *(F.col(f"_row.{c}") for c in names if docs.schema[c].dataType.typeName() not in ("map", "variant")))
+    first = judged.groupBy("_id", "group", F.when(F.col("n") == 0, F.col("_text")).alias("_t")).agg(F.min_by("_row", order).alias("_row"))
+    return kept.unionByName(first.select("_row.*"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

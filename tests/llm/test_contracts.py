@@ -205,6 +205,7 @@ def test_topk_brute(spark, monkeypatch):
 
 
 def brute_components(data, k, p, q):
+    """Rows by their own texts; a component is named by its smallest id."""
     sets = []
     for _, x in data:
         w = re.findall(rb"[^\x20\x09-\x0d]+", lower(x))
@@ -218,7 +219,7 @@ def brute_components(data, k, p, q):
 
     for i in range(len(data)):
         for j in range(i):
-            if (sets[i] and sets[j] and q * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j])) or (data[i][0] is not None and data[i][0] == data[j][0]):
+            if sets[i] and sets[j] and q * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j]):
                 up[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(data):
@@ -272,6 +273,35 @@ def test_least_shared(p, q):
     assert got.tolist() == want
 
 
+@pytest.mark.parametrize("size", [4, 16])
+def test_jaccard_large_group(spark, monkeypatch, size):
+    """One pivot with a large component, a middle one, bridges between slices and sets that are unlike all others."""
+    from skyloom.llm import jaccard as mod
+
+    monkeypatch.setattr(mod, "SLICE", size)
+    rng = np.random.default_rng(2)
+    base, data = [f"b{i}" for i in range(60)], []
+    for i in range(70):  # a chain of small steps: neighbours link, the ends do not
+        base = [f"c{i}" if j == i % 60 else x for j, x in enumerate(base)]
+        data.append(list(base))
+    data += [[f"b{i}" for i in range(20)] + [f"u{j}-{i}" for i in range(40)] for j in range(30)]
+    data += [[f"b{i}" for i in range(20)] + [f"m-{i}" for i in range(40)] + [f"z{j}"] for j in range(25)]
+    data = [(int(i), " ".join(x)) for i, x in zip(rng.permutation(len(data)), data, strict=True)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(mod, "_enough", lambda meet: meet.select("k1", mod.F.lit(7).cast("long").alias("pivot")).distinct())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_components(docs, k=1, p=85).collect())
+    assert got == brute_components(data, 1, 85, 100)
+
+
+def test_one_of_each_keeps_unlike_texts_of_an_id(spark):
+    a, b = "one text that is quite long and has its own words", "another text with nothing in common at all with it"
+    data = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (1, a + " ", "y"), (2, a, "x"), (5, b + " too", "x"), (5, "and a third one that nobody else has in here", "x"), (7, None, "x"), (7, "", "x"), (7, "", "x"), (None, a, "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    want = [(1, a, "x"), (1, b, "w"), (5, data[6][1], "x"), (7, None, "x"), (7, "", "x"), (None, a, "x")]
+    for n in (1, 3):
+        assert sorted(map(str, map(tuple, one_of_each(docs.repartition(n), k=2, p=80).collect()))) == sorted(map(str, want))
+
+
 def test_jaccard_defined_cases(spark):
     assert jaccard_components(nothing(spark)).count() == 0
     got = jaccard_components(awkward(spark)).collect()
