@@ -4,7 +4,8 @@ One automaton holds the notice phrases and the identifier tags, as words with
 single blanks between and around, and runs once over each text's words.  Notice
 phrases label the document directly.  An identifier tag is followed by a license
 expression (``MIT OR (Apache-2.0 AND GPL-2.0-only WITH Classpath-exception-2.0)``):
-it is read from the original text, parsed by the shunting-yard algorithm with
+it is read from the original text behind the tag's last word, whose number the
+automaton's place gives, and parsed by the shunting-yard algorithm with
 ``WITH`` binding tighter than ``AND`` and that tighter than ``OR``, and evaluated
 to the labels that hold whichever alternative is chosen (required) and those that
 hold for one (possible); both are labels.
@@ -16,7 +17,10 @@ text they are; 0 without any.
 Defined cases: null and empty texts have no words and score 0; overlapping
 phrases all count; unbalanced or empty expressions give the labels of the
 identifiers read so far, and unknown identifiers their family name in lower
-case; very long texts are scanned whole; repeated rows get one row each.
+case; very long texts and expressions of any length are read whole; repeated
+rows, and rows with equal or null ids, get one row each; ties do not arise, as
+all places count and labels are sorted; an empty table gives an empty result;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -55,11 +59,14 @@ FAMILIES = (("apache", "apache"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("gpl", "g
 _TO_WORDS = bytes(int(t.LOWER[b]) if t.ALNUM[t.LOWER[b]] else 32 for b in range(256))
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-:]*)")
 _RANK = {"with": 3, "and": 2, "or": 1}
+_WORD = re.compile(rb"[^ ]+")
+_COLON = re.compile(r"[ \t]*:?")
 
 
 def family(identifier: str) -> str:
+    """A family's name ends where the identifier's letters do, but for a version's ``v``: ``GPLv2`` is one of ``gpl``, ``MITNFA`` none of ``mit``."""
     name = identifier.lower().rstrip("+")
-    return next((label for prefix, label in FAMILIES if name.startswith(prefix)), re.split(r"[.\-+:]\d", name)[0])
+    return next((label for prefix, label in FAMILIES if name.startswith(prefix) and re.match(r"v?\d|[^a-z]|$", name[len(prefix) :])), re.split(r"[.\-+:]\d", name)[0])
 
 
 def tokens(text: str, at: int = 0) -> list[str]:
@@ -141,18 +148,22 @@ class Scanner:
         self.automaton.make_automaton()
         self.base, self.notices, self.tags = base, notices, frozenset(tags)
 
-    def expressions(self, text: str) -> list[list[str]]:
-        """The expressions after identifier tags in the original text."""
-        return [e for m in re.finditer(r"(?i)spdx[^0-9a-z]+license[^0-9a-z]+identifier[ \t]*:?", text) if (e := tokens(text, m.end()))]
+    def expressions(self, raw: bytes, tags: list[int]) -> list[list[str]]:
+        """The expressions behind the words with the numbers ``tags``, in the original text."""
+        text = raw.decode("latin-1")  # one character a byte
+        ends = [m.end() for m in _WORD.finditer(raw.translate(_TO_WORDS))]
+        return [e for w in tags if (e := tokens(text, _COLON.match(text, ends[w]).end()))]
 
     def scan(self, raw: bytes) -> dict:
         words = raw.translate(_TO_WORDS).split()
         joined = " " + b" ".join(words).decode("latin-1") + " "
-        at, base, labels, tagged, covered = [], set(), set(), False, 0
-        n_base = 0
+        at, base, labels, tagged, covered = [], set(), set(), [], 0
+        n_base, seen, number = 0, 0, 0
         for end, phrase in self.automaton.iter(joined):
             if phrase in self.tags:
-                tagged = True
+                number += joined.count(" ", seen, end)  # blanks before the closing one: words up to the tag's last
+                seen = end
+                tagged.append(number - 1)
                 continue
             if phrase in self.base:
                 at.append(end - len(phrase) - 1)
@@ -163,7 +174,7 @@ class Scanner:
         places = [joined.count(" ", 0, x) for x in {min(at), max(at)}] if at else []
         found = []
         if tagged:
-            for items in self.expressions(raw.decode("utf-8", "replace")):
+            for items in self.expressions(raw, tagged):
                 every, some = evaluate(to_postfix(items))
                 found.append({"expression": " ".join(items), "required": sorted(every), "possible": sorted(some)})
                 labels |= some
