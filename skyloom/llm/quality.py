@@ -2,22 +2,26 @@
 
 Random indexing gives each word a fixed sparse random index vector; a word's
 meaning vector is the sum of the index vectors of its neighbours over *all*
-documents.  Words share ``ROWS`` hashed rows, so the table has one size whatever
-the corpus, and each task sums its part before the shuffle.  Next to its
-spelling every word also has a shape word (case, symbols, digits, length,
-whether it repeats its predecessor), which gets a vector in the same way.  A
-document is the mean of its words' and of its shapes' vectors; a two-layer numpy
-network scores it, and a temperature fitted on rows that the network has not
-seen calibrates the probability.
-
-``max_labelled`` bounds the labelled rows that the network is fitted on (those
+documents.  Words are runs of letters and digits as they are written, and runs of
+other signs; a word that repeats the one before it is read as a ditto, a word of
+its own.  All others share ``ROWS`` hashed rows, so the table has one size whatever
+the corpus, and each task sums its part before the shuffle.  A document is the
+mean of its words' vectors and nothing else; a two-layer numpy network scores
+it, and a temperature fitted on rows that the network has not seen calibrates
+the probability.
+
+``max_labelled`` bounds the labelled texts that the network is fitted on (those
 with the smallest seeded hashes); everything else covers all documents.
 
 Defined cases: null and empty texts have the zero vector and its score; labels
 that are null, or neither 0 nor 1, or without a document are left out; a
-document with several labels counts once for each; without labels of both kinds
-the score is the smoothed share of label 1; repeated documents get one row each;
-a null id is not held out and has no label.
+document with several labels counts once for each, and of rows that repeat an
+id each different text counts once; without labels of both kinds the score is
+the smoothed share of label 1; repeated documents get one row each; a null id is
+not held out and has no label; ties in the sample's hash go to the smaller id,
+label and text hash; very long texts are pooled whole, chunk by chunk of
+documents; an empty table gives an empty result; further columns, whatever
+their names, are ignored, or carried if ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -32,90 +36,93 @@ from pyspark.sql import functions as F
 from . import _text as t
 from ._spark import summed_table, table_rows
 
-ROWS, SHAPES, DIM, BLOCKS = 1 << 14, 3 * 4 * 2 * 6 * 2, 32, 16
+ROWS, DIM, BLOCKS, REACH = 1 << 14, 32, 16, 2
 _rng = np.random.default_rng(7)
-_AT = _rng.integers(0, DIM, (ROWS + SHAPES, 2))
-_SIGN = _rng.choice([-1, 1], (ROWS + SHAPES, 2)).astype(np.float64)
-
-_UPPER = np.zeros(256, np.int32)
-_UPPER[65:91] = 1
-_DIGIT = np.zeros(256, np.int32)
-_DIGIT[48:58] = 1
-_SYMBOL = np.ones(256, np.int32)
-_SYMBOL[48:58] = _SYMBOL[65:91] = _SYMBOL[97:123] = _SYMBOL[128:] = 0
-
-
-def units(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the words and of their shapes, and each document's first word."""
-    starts, ends, first = t.words(part, offs, t.NONSPACE)
-    h = t.word_hashes(t.LOWER[part], starts, ends)
-
-    def count(table: np.ndarray) -> np.ndarray:
-        run = np.concatenate(([0], np.cumsum(table[part], dtype=np.int32)))
-        return run[ends] - run[starts]
-
-    size = ends - starts
-    up, sym, dig = count(_UPPER), count(_SYMBOL), count(_DIGIT)
-    same = np.zeros(len(h), np.int64)
-    same[1:] = h[1:] == h[:-1]
-    same[first[:-1][np.diff(first) > 0]] = 0
-    kind = np.where(sym == size, 3, np.minimum(sym, 2))
-    shape = (((np.minimum(up, 2) * 4 + kind) * 2 + (dig > 0)) * 6 + np.minimum(size // 4, 5)) * 2 + same
-    return (h % t.U(ROWS)).astype(np.int64), shape + ROWS, first
-
-
-def _neighbours(word: np.ndarray, shape: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_AT = _rng.integers(0, DIM, (1 << 20, 2))
+_SIGN = _rng.choice([-1, 1], (1 << 20, 2)).astype(np.float64)
+
+#: Kinds of bytes: 0 white space, 1 letters, digits and bytes of non-ASCII characters, 2 other signs.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[~t.NONSPACE] = 0
+_KIND[t.ALNUM] = _KIND[65:91] = 1
+
+
+def units(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the words, which are runs of one kind of bytes, and each document's first word.
+
+    A word that repeats the one before it (signs aside) is read as the ditto, the last row.
+    """
+    if not len(part):
+        return np.empty(0, np.int64), np.zeros(len(offs), np.int64)
+    kind = _KIND[part]
+    new = np.ones(len(part) + 1, bool)
+    new[1:-1] = kind[1:] != kind[:-1]
+    new[offs] = True
+    at = np.flatnonzero(new)
+    starts, ends = at[:-1], at[1:]
+    some = kind[starts] > 0
+    starts, ends = starts[some], ends[some]
+    first = np.searchsorted(starts, offs)
+    h = t.word_hashes(part, starts, ends)
+    word = (h % t.U(ROWS)).astype(np.int64)
+    plain = np.flatnonzero(kind[starts] == 1)
+    again = np.flatnonzero(h[plain[1:]] == h[plain[:-1]]) + 1
+    doc = np.searchsorted(first, plain, "right")
+    word[plain[again[doc[again] == doc[again - 1]]]] = ROWS
+    return word, first
+
+
+def _neighbours(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cells of the table and what to add there, for every pair of neighbours."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    to, by = [word], [shape]
-    for rows, reach in ((word, 2), (shape, 1)):
-        for gap in range(1, reach + 1):
-            ok = doc[gap:] == doc[:-gap]
-            a, b = rows[:-gap][ok], rows[gap:][ok]
-            to += [a, b]
-            by += [b, a]
+    to, by = [], []
+    for gap in range(1, REACH + 1):
+        ok = doc[gap:] == doc[:-gap]
+        a, b = word[:-gap][ok], word[gap:][ok]
+        to += [a, b]
+        by += [b, a]
     to, by = np.concatenate(to), np.concatenate(by)
     return np.concatenate([to * DIM + _AT[by, 0], to * DIM + _AT[by, 1]]), np.concatenate([_SIGN[by, 0], _SIGN[by, 1]])
 
 
 def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
-    """The meaning vectors of all rows, from every document; a table of fixed size (about 2 MB)."""
-    cells = (ROWS + SHAPES) * DIM
+    """The meaning vectors of all rows, from every document; a table of fixed size (2 MB)."""
+    cells = (ROWS + 1) * DIM
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, some = np.zeros(cells), False
         for batch in batches:
             buf, offs = t.ragged(batch.column(0))
             for a, b in t.chunks(offs, t.CHUNK // 2):
-                word, shape, first = units(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                word, first = units(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 if len(word):
-                    at, add = _neighbours(word, shape, first)
+                    at, add = _neighbours(word, first)
                     table += np.bincount(at, add, minlength=cells)
                     some = True
             t.release()
         if some:
             yield table_rows(table, BLOCKS)
 
-    table = summed_table(docs.select(text).mapInArrow(gather, "block int, sums binary"), BLOCKS).reshape(-1, DIM)
-    if not len(table):
-        table = np.zeros((ROWS + SHAPES, DIM))
+    return normalised(summed_table(docs.select(text).mapInArrow(gather, "block int, sums binary"), BLOCKS))
+
+
+def normalised(table: np.ndarray) -> np.ndarray:
+    """Unit vectors less their mean, weighed by how often the words are."""
+    table = table.reshape(-1, DIM) if len(table) else np.zeros((ROWS + 1, DIM))
     norm = np.linalg.norm(table, axis=1, keepdims=True)
     mean = table.sum(0) / max(1.0, norm.sum())
-    centred = table / np.maximum(norm, 1e-9) - mean * (norm > 0)
-    return centred.astype(np.float32)
+    return (table / np.maximum(norm, 1e-9) - mean * (norm > 0)).astype(np.float32)
 
 
 def pooled(vectors: np.ndarray, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """One row per document: the means of its words' and of its shapes' vectors."""
-    out = np.zeros((len(offs) - 1, 2 * DIM), np.float32)
+    """One row per document: the mean of its words' vectors."""
+    out = np.zeros((len(offs) - 1, DIM), np.float32)
     for a, b in t.chunks(offs, t.CHUNK // 2):
-        word, shape, first = units(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        word, first = units(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
         n = np.diff(first)
         some = np.flatnonzero(n)
         if len(some):
-            at = first[:-1][some]
-            out[a + some, :DIM] = np.add.reduceat(vectors[word], at, axis=0) / n[some, None]
-            out[a + some, DIM:] = np.add.reduceat(vectors[shape], at, axis=0) / n[some, None]
+            out[a + some] = np.add.reduceat(vectors[word], first[:-1][some], axis=0) / n[some, None]
     return out
 
 
@@ -166,11 +173,17 @@ class Network:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learn: Callable[[Column], Column], limit: int) -> DataFrame:
-    """Texts and labels of the at most ``limit`` learnable rows with the smallest seeded hashes."""
+    """``_key, _y, _text``: at most ``limit`` different learnable texts with their labels, those with the smallest seeded hashes.
+
+    The bound holds for the labels before the join, so that they are a bounded
+    broadcast, and again for the texts after it, as an id may have many rows.
+    """
     key = F.col(doc_id)
-    rows = labels.filter(key.isNotNull() & F.col(label).isin(0, 1) & learn(key)).select(key.alias("_key"), F.col(label).cast("int").alias("_y"))
-    chosen = rows.orderBy(F.xxhash64(F.lit("sample"), "_key"), "_key", "_y").limit(limit)  # at most `limit` small rows: a bounded broadcast
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_key"))
+    rows = labels.filter(key.isNotNull() & F.col(label).isin(0, 1) & learn(key)).select(key.alias("_key"), F.col(label).cast("int").alias("_y")).distinct()
+    chosen = rows.orderBy(F.xxhash64(F.lit("sample"), "_key"), "_key", "_y").limit(limit)
+    found = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_key"))
+    texts = found.select("_key", "_y", "_text", F.xxhash64("_text").alias("_h")).dropDuplicates(["_key", "_y", "_h"])
+    return texts.orderBy(F.xxhash64(F.lit("sample"), "_key"), "_key", "_y", "_h").limit(limit).select("_key", "_y", "_text")
 
 
 def held_out_of(key: Column, parts: int, which: int) -> Column:
@@ -191,7 +204,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_i
 
     sample = labelled_sample(docs, labels, doc_id, text, label, learn or (lambda _: F.lit(True)), max_labelled)
     rows = sorted(sample.select("_text", "_y", F.xxhash64("_key").alias("_k")).mapInArrow(features, "x binary, y int, k long").collect(), key=lambda r: (r.k, r.y, bytes(r.x)))
-    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(-1, 2 * DIM)
+    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(-1, DIM)
     net = sc.broadcast(Network(x, np.array([r.y for r in rows], np.float64)))
     plain = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("_id"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)))
     names = [c for c in plain.columns if c != "_text"]
