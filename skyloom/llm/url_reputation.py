@@ -7,10 +7,12 @@ hosts, so the plan is an equi-join and a partial aggregate whatever the number
 of rules.
 
 The rules' outcomes label the pages: 1 where a rule blocks, 0 where one allows,
-and ``unruled`` (0, or None for no label) elsewhere.  The block rate of a host's
-labelled pages is shrunk by beta-binomial priors level by level: all pages, public suffix, registered domain, host.  The
+and ``unruled`` (None for no label, or 0) elsewhere.  The block rate of a host's
+labelled pages is shrunk by beta-binomial priors level by level: all pages,
+public suffix (one label, or two of ``TWO_LABELS``), registered domain, host.  The
 weight of a prior is its level's by the method of moments (how much the rates of
-its children differ, pre-aggregated per level, so a hot host is one row).  A page
+its children differ, pre-aggregated per level, so a hot host is one row); a child
+counts for its parent only as much as its pages tell of other children.  A page
 without a rule is blocked if the lower bound of its host's posterior rate is over
 ``limit``.
 
@@ -18,8 +20,10 @@ Native: only DataFrame functions.  Defined cases: a null url, or one without
 ``://``, has an empty host and path, no rule, and is judged by the reputation of
 the empty host; a null page id is carried; repeated pages get one row each and
 count once each; without labelled pages the prior is uniform and nothing is
-blocked; long urls are whole; rules with equal host and path keep the first by
-verdict (allow before block).
+blocked; very long urls are whole; rules with equal host and path keep the first
+by verdict (allow before block), and of fitting rules of one length the greater
+rule wins; an empty table gives an empty result; further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,13 @@ from pyspark.sql import functions as F
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
+#: Public suffixes of two labels.  All others are taken to be one label.
+TWO_LABELS = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "sch.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.nz", "org.nz", "ac.nz", "govt.nz",
+    "co.jp", "or.jp", "ne.jp", "ac.jp", "go.jp", "com.br", "org.br", "net.br", "gov.br", "co.in", "org.in", "net.in", "gov.in", "ac.in", "co.za", "org.za", "com.cn", "net.cn", "org.cn", "gov.cn",
+    "com.mx", "com.ar", "com.tr", "com.tw", "com.hk", "com.sg", "com.my", "co.kr", "or.kr", "co.il", "org.il", "com.ua", "com.pl", "com.co", "co.id", "co.th",
+)
+
 SALTS = 16
 
 
@@ -54,9 +65,15 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def public_suffix(host: Column) -> Column:
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*TWO_LABELS), two).otherwise(F.substring_index(host, ".", -1))
+
+
 def registered_domain(host: Column) -> Column:
-    """The last two labels; public suffixes are taken to be one label."""
-    return F.substring_index(host, ".", -2)
+    """The public suffix and the label before it."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _shrunk(parent: Column, weight: Column, bad: Column, n: Column) -> Column:
@@ -80,27 +97,30 @@ def _moments() -> Column:
 
 def reputations(judged: DataFrame, z: float) -> DataFrame:
     """Per host of ``judged`` (host, bad 0/1/null): the posterior block rate and its lower bound."""
-    hosts = judged.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("rate"))
-
-    def weight(level: DataFrame, name: str) -> DataFrame:
-        return level.filter(F.col("n") > 0).agg(_moments().alias(name))
-
-    # every right side of these cross joins is one row
-    s = suffixes.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(weight(suffixes, "w")))
-    s = s.select("suffix", _shrunk(F.col("rate"), F.col("w"), F.col("bad"), F.col("n")).alias("suffix_rate"))
-    d = domains.join(s, "suffix").crossJoin(F.broadcast(weight(domains, "w")))
-    d = d.select("domain", "suffix_rate", _shrunk(F.col("suffix_rate"), F.col("w"), F.col("bad"), F.col("n")).alias("domain_rate"))
-    h = hosts.join(d, "domain").crossJoin(F.broadcast(weight(hosts, "w")))
+
+    def weighed(level: DataFrame) -> DataFrame:
+        """The level with the weight ``w`` of its priors; the right side is one row."""
+        return level.crossJoin(F.broadcast(level.filter(F.col("n") > 0).agg(_moments().alias("w"))))
+
+    def over(children: DataFrame, *keys: str) -> DataFrame:
+        """A child of n pages tells as much of its parent's rate as n w / (n + w) pages of different children."""
+        share = F.col("w") / (F.col("w") + F.col("n"))
+        return children.groupBy(*keys).agg(F.sum(F.col("n") * share).alias("n"), F.sum(F.col("bad") * share).alias("bad"))
+
+    hosts = judged.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    hosts = weighed(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host"))))
+    domains = weighed(over(hosts, "domain", "suffix"))
+    suffixes = weighed(over(domains, "suffix"))
+    top = over(suffixes).select(((F.coalesce("bad", F.lit(0.0)) + 1) / (F.coalesce("n", F.lit(0.0)) + 2)).alias("rate"))
+
+    s = suffixes.crossJoin(F.broadcast(top)).select("suffix", _shrunk(F.col("rate"), F.col("w"), F.col("bad"), F.col("n")).alias("suffix_rate"))
+    d = domains.join(s, "suffix").select("domain", _shrunk(F.col("suffix_rate"), F.col("w"), F.col("bad"), F.col("n")).alias("domain_rate"))
     rate = _shrunk(F.col("domain_rate"), F.col("w"), F.col("bad"), F.col("n"))
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("w") + F.col("n") + 1))
-    return h.withColumn("rate", rate).select("host", F.col("n").alias("labelled"), "rate", F.greatest(F.lit(0.0), F.col("rate") - z * sd).alias("bound"))
+    return hosts.join(d, "domain").withColumn("rate", rate).select("host", F.col("n").alias("labelled"), "rate", F.greatest(F.lit(0.0), F.col("rate") - z * sd).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame | None = None, *, page_id: str = "page_id", url: str = "url", z: float = 1.645, limit: float = 0.5, unruled: int | None = 0) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame | None = None, *, page_id: str = "page_id", url: str = "url", z: float = 1.645, limit: float = 0.5, unruled: int | None = None) -> DataFrame:
     """Per page: ``page_id, host, path, rule, verdict, rate, bound``.
 
     ``rules`` has ``rule`` (``host/path``) and ``verdict`` (allow or block).
@@ -136,25 +156,33 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP8_SQL = r"""
+def _moments_sql(level: str) -> str:
+    return f"""SELECT coalesce(least(1000.0, greatest(1.0, CASE WHEN q - p * p - p * (1 - p) * g / t > 0 AND p * (1 - p) > 0 THEN p * (1 - p) / (q - p * p - p * (1 - p) * g / t) - 1 ELSE 1000.0 END)), 1000.0) AS w
+    FROM (SELECT count(*) AS g, sum(n) AS t, CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0.5 END AS p, sum(bad * bad / n) / sum(n) AS q FROM {level} WHERE n > 0)"""
+
+
+_TWO = ", ".join(f"'{x}'" for x in TWO_LABELS)
+
+OP8_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
 r(rh, rp, rule, verdict) AS (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')),
 f AS (SELECT p.page_id, p.host, p.path, max(struct_pack(s := length(r.rule), rule := r.rule, v := r.verdict)) AS best
       FROM p LEFT JOIN r ON (p.host = r.rh OR ends_with(p.host, '.' || r.rh)) AND starts_with(p.path, r.rp) GROUP BY ALL),
-j AS (SELECT page_id, host, path, best.rule AS rule, best.v AS v, CASE best.v WHEN 'block' THEN 1 ELSE 0 END AS bad FROM f),
-h AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix FROM j GROUP BY host),
-d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
-s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
-m AS (SELECT lvl, count(*) AS g, sum(n) AS t, CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0.5 END AS p, sum(bad * bad / n) / sum(n) AS q
-      FROM (SELECT 'h' AS lvl, n, bad FROM h UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 's', n, bad FROM s) WHERE n > 0 GROUP BY lvl),
-w AS (SELECT lvl, least(1000.0, greatest(1.0, CASE WHEN q - p * p - p * (1 - p) * g / t > 0 AND p * (1 - p) > 0 THEN p * (1 - p) / (q - p * p - p * (1 - p) * g / t) - 1 ELSE 1000.0 END)) AS w FROM m),
-wt AS (SELECT coalesce(max(CASE WHEN lvl = 'h' THEN w END), 1000.0) AS wh, coalesce(max(CASE WHEN lvl = 'd' THEN w END), 1000.0) AS wd, coalesce(max(CASE WHEN lvl = 's' THEN w END), 1000.0) AS ws FROM w),
-top AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS rate FROM s),
-sr AS (SELECT suffix, (ws * rate + bad) / (ws + n) AS rate FROM s, top, wt),
-dr AS (SELECT domain, (wd * sr.rate + bad) / (wd + n) AS rate FROM d JOIN sr USING (suffix), wt),
-hr AS (SELECT host, n, wh, (wh * dr.rate + bad) / (wh + n) AS rate FROM h JOIN dr USING (domain), wt)
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.v, CASE WHEN hr.rate - 1.645 * sqrt(hr.rate * (1 - hr.rate) / (hr.wh + hr.n + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+j AS (SELECT page_id, host, path, best.rule AS rule, best.v AS v, CASE best.v WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad FROM f),
+h AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, two IN ({_TWO}) AS pair, string_split(host, '.') AS labels,
+             CASE WHEN pair THEN array_to_string(list_slice(labels, -3, -1), '.') ELSE two END AS domain, CASE WHEN pair THEN two ELSE list_extract(labels, -1) END AS suffix
+      FROM (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two FROM j) GROUP BY host, two),
+wh AS ({_moments_sql("h")}),
+d AS (SELECT domain, suffix, sum(n * w / (w + n)) AS n, sum(bad * w / (w + n)) AS bad FROM h, wh GROUP BY ALL),
+wd AS ({_moments_sql("d")}),
+s AS (SELECT suffix, sum(n * w / (w + n)) AS n, sum(bad * w / (w + n)) AS bad FROM d, wd GROUP BY ALL),
+ws AS ({_moments_sql("s")}),
+top AS (SELECT (coalesce(sum(bad * w / (w + n)), 0) + 1) / (coalesce(sum(n * w / (w + n)), 0) + 2) AS rate FROM s, ws),
+sr AS (SELECT suffix, (w * rate + bad) / (w + n) AS rate FROM s, top, ws),
+dr AS (SELECT domain, (w * sr.rate + bad) / (w + n) AS rate FROM d JOIN sr USING (suffix), wd),
+hr AS (SELECT host, n, w, (w * dr.rate + bad) / (w + n) AS rate FROM h JOIN dr USING (domain), wh)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.v, CASE WHEN hr.rate - 1.645 * sqrt(hr.rate * (1 - hr.rate) / (hr.w + hr.n + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM j JOIN hr ON hr.host = j.host
 """
