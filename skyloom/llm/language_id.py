@@ -1,6 +1,8 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
-For each page the log-posterior of a language adds up
+The languages are those that at least ``LEAST_SHARE`` of the pages with a
+declaration declare (a grouped aggregate; so at most ``1 / LEAST_SHARE`` of them),
+or the ones given.  For each page the log-posterior of a language adds up
 
 * the text: naive Bayes over hashed words of the visible text, whose counts per
   declared language (where the address does not contradict it) are one table of
@@ -16,9 +18,12 @@ For each page the log-posterior of a language adds up
 
 Defined cases: a null or empty html has no text and no declaration; a null url
 has the empty host and names nothing; without any evidence the languages'
-overall shares decide; ties go to the first language of ``languages``; languages
-declared or named outside ``languages`` are no evidence; repeated pages get one
-row each; very long pages are read whole; an empty table gives an empty result.
+overall shares decide; ties go to the first language in code order; languages
+declared or named outside the candidates are no evidence; without any candidate
+the language is null; repeated pages, and rows with equal or null ids, get one
+row each; very long pages are read whole in one pass, and what is not closed in
+their markup is read as text; an empty table gives an empty result; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,19 +38,39 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 from ._spark import summed_table, table_rows
-from .url_reputation import registered_domain, url_parts
+from .url_reputation import public_suffix, registered_domain, url_parts
 
-LANGUAGES = ("en", "de", "fr", "es")
 CELLS, TABLE_BLOCKS = 1 << 15, 8
+LEAST_SHARE = 0.005
 EFFECTIVE, TRUST, ADDRESS_TRUST, WEIGHT, SALTS = 40, 0.9, 0.8, 5.0, 16
 
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _ENTITY = re.compile(rb"&#?\w+;")
+_RAW = re.compile(rb"<(script|style)\b", re.I)
 
 
 def visible(html: bytes) -> bytes:
-    """The text between tags, without scripts, styles and comments."""
-    return _ENTITY.sub(b" ", _HIDDEN.sub(b" ", html))
+    """The text between tags, without scripts, styles and comments, in one pass.
+
+    Each search goes on from where the last one ended, and one that finds
+    nothing is not repeated, so hostile markup costs no more than its length.
+    """
+    low, out, at = html.lower(), [], 0
+    ends = {b"-->": True, b"</script": True, b"</style": True}  # whether there may be one further on
+    while (start := html.find(b"<", at)) >= 0:
+        out.append(html[at:start])
+        raw = _RAW.match(html, start)
+        close = b"-->" if html.startswith(b"<!--", start) else b"</" + raw[1].lower() if raw else None
+        end = -1
+        if close and ends[close]:
+            end = low.find(close, start + 4)
+            ends[close] = end >= 0
+        end = end + 2 if end >= 0 and close == b"-->" else html.find(b">", max(start, end))
+        if end < 0:
+            at = start
+            break
+        at = end + 1
+    out.append(html[at:])
+    return _ENTITY.sub(b" ", b" ".join(out))
 
 
 def _cells(column: pa.Array):
@@ -58,21 +83,36 @@ def _cells(column: pa.Array):
         yield a, b, (t.word_hashes(part, starts, ends) >> t.U(49)).astype(np.int64), first
 
 
+def declared_language(html: Column) -> Column:
+    """The code that the first ``<html>`` tag declares, or the empty text; no pattern here goes back over what it read."""
+    tag = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<html\b[^>]*+", 0)
+    return F.lower(F.regexp_extract(tag, r"(?is)[\s:\"']lang\s*+=\s*+[\"']?+([a-z]{2,3})\b", 1))
+
+
+def candidates(codes: DataFrame) -> tuple[str, ...]:
+    """The codes of at least ``LEAST_SHARE`` of the rows ``code`` that have one, in code order."""
+    count = codes.filter(F.col("code") != "").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    total = count.agg(F.sum("n").alias("all"))  # one row
+    often = count.crossJoin(F.broadcast(total)).filter(F.col("n") >= LEAST_SHARE * F.col("all"))
+    return tuple(sorted(r.code for r in often.select("code").collect()))  # at most 1 / LEAST_SHARE
+
+
 def _one_of(found: Column, languages: tuple[str, ...]) -> Column:
     """The position of a language, or -1."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, languages)), F.lower(found)).cast("int") - 1, F.lit(-1))
+    return F.coalesce(F.array_position(F.array(*map(F.lit, languages)).cast("array<string>"), F.lower(found)).cast("int") - 1, F.lit(-1))
 
 
 def _log(p: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, 1e-12))
 
 
-def identify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def identify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", languages: tuple[str, ...] | None = None) -> DataFrame:
     """Per page: ``page_id, language, confidence, declared, named, text_language, host``."""
-    size = len(languages)
     host, path = url_parts(F.col(url))
-    declared = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)^[^<]*(?:<!doctype[^>]*>)?\s*<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)
-    segment, suffix = F.regexp_extract(path, r"(?i)^/([a-z]{2})(?:/|$)", 1), F.substring_index(host, ".", -1)
+    declared = declared_language(F.col(html))
+    languages = candidates(pages.select(declared.alias("code"))) if languages is None else languages
+    size = max(1, len(languages))
+    segment, suffix = F.regexp_extract(path, r"(?i)^/([a-z]{2})(?:/|$)", 1), F.substring_index(host, ".", -1)  # the country is the last label
     named = F.when(_one_of(segment, languages) >= 0, _one_of(segment, languages)).otherwise(_one_of(suffix, languages))
     rows = pages.select(F.col(page_id).alias("_id"), host.alias("host"), _one_of(declared, languages).alias("declared"), named.alias("named"), F.col(html).cast("binary").alias("_html"))
     # what the words and the hosts are learned from: declarations that the address does not contradict
@@ -125,7 +165,7 @@ def identify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", ht
     prior = lambda i: F.log((F.col("counts")[i] - own(i) + WEIGHT * F.col("parent")[i]) / (F.col("n") - (F.col("sure") >= 0).cast("double") + WEIGHT))
     log_post = F.array(*(F.col("text")[i] + said("declared", TRUST)(i) + said("named", ADDRESS_TRUST)(i) + prior(i) for i in range(size)))
     out = joined.withColumn("post", log_post).withColumn("top", F.array_max("post"))
-    names = F.array(*map(F.lit, languages))
+    names = F.array(*map(F.lit, languages)).cast("array<string>")
     total = F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
     pick = lambda c: F.get(names, F.array_position(c, F.array_max(c)).cast("int") - 1)
     return out.select(
@@ -139,7 +179,7 @@ def host_priors(rows: DataFrame, size: int) -> DataFrame:
     """Per host: surely declared pages ``n``, their ``counts`` per language and the ``parent`` prior of its domain."""
     one = [F.sum((F.col("sure") == i).cast("double")) for i in range(size)]
     hosts = rows.groupBy("host").agg(*(c.alias(f"c{i}") for i, c in enumerate(one)))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
+    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host")))
 
     def add(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(size)))
