@@ -334,6 +334,23 @@ def test_license_expressions_are_whole():
     assert set(scan(tag + "MIT OR " * 700 + "Apache-2.0")) == {"mit", "apache"}
     assert scan(tag + " " * 4094 + "Apache-2.0") == ["apache"]
     assert set(scan(tag + "(MIT OR\n  Apache-2.0\n  OR ISC) AND\nMPL-2.0\nand BSD")) == {"mit", "apache", "isc", "mpl"}
+    assert set(scan("é " + tag + "(" + "MIT OR\n" * 150_000 + "Apache-2.0)")) == {"mit", "apache"}  # over 1 MB
+    assert set(scan(f"SPDX -- license_Identifier MITNFA\nx {tag}GPLv2+\n{tag}BSD-3-Clause {tag} cc-by-nc-4.0")) == {"mitnfa", "gpl", "bsd", "cc-by-nc"}
+    assert scan("spdx license identifiers: MIT") == [""]
+
+
+def test_license_places_in_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    some = 0
+    for d in docs.collect():
+        words = [w.decode() for w in ALNUM.findall(lower(d.text))]
+        want = sorted((i, lab) for ph, lab in BASE.items() for i in range(len(words)) if words[i : i + len(ph.split())] == ph.split())
+        r, some = got[d.doc_id], some + bool(want)
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(want), ",".join(sorted({x for _, x in want})))
+        assert (r.first_word, r.last_word) == ((want[0][0], want[-1][0]) if want else (None, None))
+        assert not want or set(r.base_labels.split(",")) <= set(r.labels.split(","))
+    assert some > 5
 
 
 # 7, 9 ------------------------------------------------------------------------------------------
@@ -351,6 +368,25 @@ def test_held_out(spark, name, label, parts, which):
     assert len(out) > 300 and np.mean([a == b for a, b in out]) >= 0.97
 
 
+def test_quality_is_calibrated(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in registry.QUERIES["op7_quality"](spark, sf).filter("held_out").collect()}
+    y = [(got[x.doc_id].score, x.quality) for x in spark.read.parquet(f"{sf}/labels.parquet").collect() if x.doc_id in got and x.quality in (0, 1)]
+    score, label = np.array(y).T
+    bins = np.minimum((score * 10).astype(int), 9)
+    gap = sum(abs(score[bins == b].mean() - label[bins == b].mean()) * (bins == b).mean() for b in np.unique(bins))
+    assert gap < 0.03 and np.mean((score - label) ** 2) < 0.02
+
+
+def test_sample_is_bounded_in_texts(spark):
+    from skyloom.llm.quality import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i % 40}") for i in range(400)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, y int")
+    rows = lambda n: sorted(tuple(r) for r in labelled_sample(docs.repartition(3), labels, "doc_id", "text", "y", lambda _: F.lit(True), n).collect())
+    assert len(rows(1000)) == 41 and len(rows(7)) == 7 == len(set(rows(7))) and rows(7) == rows(7)
+
+
 def test_classifiers_defined_cases(spark):
     labels = spark.createDataFrame([(0, 1), (0, 1), (3, None), (8, 0), (None, 1), (999, 0), (5, 7)], "doc_id long, y int")
     for f in (classify_quality, score_toxicity):
@@ -420,24 +456,66 @@ def test_urls(spark):
     assert filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_judged_by_reputation(spark, duck):
+    """Pages without a rule go by the posterior of their host, its registered domain and suffix."""
+    urls = [f"http://a.example.com/de/{i}" for i in range(30)] + [f"http://x.org/fr/{i}" for i in range(30)] + ["http://a.example.com/en/", "http://b.example.com/", "http://x.org/en/", "http://new.io/", "http://y.co.uk/", "http://z.co.uk/"]
+    rules = spark.createDataFrame([("example.com/de/", "block"), ("org/fr/", "allow"), ("y.co.uk/bad", "block")], "rule string, verdict string")
+    urls += [f"http://y.co.uk/bad{i}" for i in range(30)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in filter_urls(pages, rules).collect()}
+    assert [got[i].rule for i in range(60, 66)] == [None] * 6
+    assert got[60].verdict == "block" and got[62].verdict == got[63].verdict == got[65].verdict == "allow" and got[64].verdict == "block"
+    assert got[61].bound > got[63].bound  # the domain's rate reaches a host without pages of its own
+    assert got[65].rate < 0.9 and got[65].bound < got[64].bound  # a suffix's tenants share its prior only
+
+
 def test_urls_run_no_python(spark):
     plan = registry.QUERIES["op8_url_reputation"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_language(spark):
-    sf = "/root/testdata/sf0.01"
-    got = registry.QUERIES["op10_language_id"](spark, sf).collect()
-    assert len(got) == 250 and np.mean([r.language == r.named for r in got]) > 0.98
-    html = spark.read.parquet(f"{sf}/pages.parquet")
-    # wrong declarations and addresses of a few are outvoted by the text
-    wrong = html.withColumn("html", F.when(F.col("page_id") % 10 == 0, F.regexp_replace("html", 'html lang="..', 'html lang="es')).otherwise(F.col("html")))
-    by = {r.page_id: r for r in identify(wrong).collect()}
-    assert np.mean([by[r.page_id].language == r.language for r in got]) > 0.98
-    odd = spark.createDataFrame([(1, None, None, "c"), (None, "http://x.de/", "", "c"), (2, "http://a.fr/de/", "<html lang=en-GB><p>", "c"), (2, "http://a.fr/de/", "<html lang=en-GB><p>", "c")], "page_id long, url string, html string, declared string")
-    got = identify(odd).collect()
-    assert len(got) == 4 and {r.named for r in got if r.page_id is None} == {"de"} and {(r.declared, r.named) for r in got if r.page_id == 2} == {("en", "de")}
-    assert identify(odd.limit(0)).count() == 0
+    """Pages planted from documents of known language, in markup that says nothing, something right or something wrong."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 80 AND lang IN ('en', 'de', 'fr', 'es')").orderBy("doc_id").limit(600).collect()
+    codes, pages, truth = ("de", "en", "es", "fr"), [], {}
+    for i, d in enumerate(docs):
+        says = {0: None, 1: None, 2: codes[i % 4]}.get(i % 7, d.lang)
+        where = f"http://h{i % 9}.example.com/" + (f"{codes[i % 4]}/" if i % 11 == 0 else f"{d.lang}/" if i % 3 else "")
+        pages.append((i, where, (f'<!-- <p> --><html class=x lang="{says}-XX">' if says else "<html>") + f"<script>the and of</script><p>{d.text}</p></html>"))
+        truth[i] = d.lang
+    got = identify(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == len(pages) and np.mean([r.language == truth[r.page_id] for r in got]) > 0.97
+    assert np.mean([r.language == truth[r.page_id] for r in got if r.page_id % 7 < 2]) > 0.95
+    assert np.mean([r.confidence for r in got if r.language == truth[r.page_id]]) > 0.9
+    whole = registry.QUERIES["op10_language_id"](spark, "/root/testdata/sf0.01").collect()
+    assert len(whole) == 250 and {r.language for r in whole} == set(codes)
+
+
+def test_language_defined_cases(spark):
+    odd = spark.createDataFrame([(1, None, None, "c"), (None, "http://x.de/", "", "c"), (2, "http://a.fr/de/", "<html lang=en-GB><p>", "c"), (2, "http://a.fr/de/", "<html lang=en-GB><p>", "c"), (3, "", '<?xml version="1"?> <!doctype html><HTML xml:lang="it">', "c")], "page_id long, url string, html string, declared string")
+    got = identify(odd, languages=("en", "de", "fr", "es")).collect()
+    assert len(got) == 5 and {r.named for r in got if r.page_id is None} == {"de"} and {(r.declared, r.named) for r in got if r.page_id == 2} == {("en", "de")}
+    assert {r.declared for r in identify(odd).collect()} == {None, "en", "it"}
+    assert identify(odd.limit(0)).count() == 0 and [r.language for r in identify(odd.limit(1)).collect()] == [None]
+    tied = spark.createDataFrame([(i, None, f"<html lang={c}>") for i, c in enumerate(["fr", "de"])] + [(9, None, None)], "page_id long, url string, html string")
+    assert {r.page_id: r.language for r in identify(tied).collect()} == {0: "fr", 1: "de", 9: "de"}
+
+
+def test_hostile_pages_are_read_in_one_pass(spark):
+    import time
+
+    from skyloom.llm.language_id import visible
+
+    n = 1 << 20
+    began = time.perf_counter()
+    for unit in (b"<!-- x", b"<script>", b"<", b"<style ", b"&a", b"<!--a-->", b"</script", b"<p", b" ", b"<!-- <script>"):
+        visible(unit * (n // len(unit)))
+    assert time.perf_counter() - began < 8
+    assert visible(b"a<!-- x <b>--> b <Script>no</sCRIPT > c<style>no</style>d <p title=x>e&amp;f <open").split() == [b"a", b"b", b"c", b"d", b"e", b"f", b"<open"]
+    rows = [(i, "http://a.de/", unit * (n // len(unit))) for i, unit in enumerate(("<!-- x", " ", "<html lang ", "<html", "\n<", "lang=", "<!doctype html"))]
+    pages = spark.createDataFrame(rows + [(99, "http://a.de/", "<html lang=de>der die das")], "page_id long, url string, html string")
+    began = time.perf_counter()
+    assert len(identify(pages).collect()) == 8 and time.perf_counter() - began < 60
 
 
 def test_codes_fit_64_bits():
