@@ -10,7 +10,7 @@ from .language_id import op10_language_id
 from .licenses import op6_licenses
 from .mixing import OP2_SQL, op2_mixing
 from .quality import op7_quality
-from .suffix_dedup import op3_suffix_dedup
+from .suffix_dedup import OP3_SQL, op3_suffix_dedup
 from .topk_search import OP4_SQL, op4_topk_search
 from .toxicity import op9_toxicity
 from .url_reputation import OP8_SQL, op8_url_reputation
@@ -32,6 +32,7 @@ QUERIES = {
 ORACLE = {
     "op1_decontaminate": OP1_SQL,
     "op2_mixing": OP2_SQL,
+    "op3_suffix_dedup": OP3_SQL,
     "op5_jaccard": OP5_SQL,
     "op8_url_reputation": OP8_SQL,
     "op4_topk_search": OP4_SQL,

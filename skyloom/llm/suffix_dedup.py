@@ -10,10 +10,13 @@ one per 13 bytes).
 1. ``batches``: documents are dealt by id into batches of about ``BATCH_BYTES``;
    the three steps that need texts read this one shuffle.
 2. Each batch sends 32 bits of each distinct anchor to the anchor's bucket and
-   gets back a bit for each that another batch has too.
+   gets back a bit for each that another batch has too, and for a hot anchor
+   (about ``HOT_ROWS`` places or more) over how many parts it is split.
 3. Repeated anchors go to their buckets with the bytes around them that any
    string with this anchor can cover.  Surroundings that equal those of a smaller
-   id in the same batch are decided there, before the shuffle.
+   id in the same batch are decided there, before the shuffle.  A hot anchor's
+   places are dealt by the hashes of their strings, so that equal strings still
+   meet and no task gets all places of one anchor.
 4. A bucket sorts its suffixes: runs of one anchor and offset are merged by
    mergesort, two suffixes being compared by the longest common extension, which
    a binary search over prefix polynomial hashes finds in logarithmic steps.
@@ -22,13 +25,17 @@ one per 13 bytes).
 5. Batches get the starts that are to go and cut the texts.
 
 Groups of copies are runs in a sort, never pairs, and each batch sends one copy
-of equal surroundings.
+of equal surroundings.  Batches and buckets exchange packed rows, at most one for
+each pair that has something to say: a bucket is as large as three batches, and
+there are never more rows than anchors.
 
 Defined cases: null and empty texts are empty; a document without id neither
-loses bytes nor takes any from others; rows with equal ids don't act on each
-other, each gets its row; very long texts are hashed in overlapping pieces; an
-empty table gives an empty result; texts are judged on the input, not on what is
-left.
+loses bytes nor takes any from others; ids are numbers (others raise); rows with
+equal ids don't act on each other, each gets its row; strings of equal bytes tie
+in the sort and keep the order of ids; very long texts are hashed in overlapping
+pieces; an empty table gives an empty result; texts are judged on the input, not
+on what is left; further columns, whatever their names, are ignored, or carried
+if ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -45,8 +52,10 @@ from pyspark.sql import functions as F
 from . import _text as t
 from ._spark import partitions
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
 PIECE = 1 << 19
+#: Places of an anchor beyond which it is split, and in a batch beyond which they are told.
+HOT_ROWS, TOLD = 1 << 15, 8
 #: Anchors that a bucket sorts at once; those of one hash stay together.
 SORT_ROWS = 1 << 14
 
@@ -61,6 +70,7 @@ class Shape:
         self.gram = (length + 2) // 2
         self.width = length - self.gram + 1  # grams of a string
         self.around = self.width - 1 + length  # bytes of all strings with one anchor
+        self.piece, self.hot, self.told = PIECE, HOT_ROWS, TOLD
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -80,17 +90,17 @@ def anchors(buf: np.ndarray, offs: np.ndarray, shape: Shape) -> tuple[np.ndarray
     """
     starts, ends = [], []
     for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-        while b - a > PIECE:
+        while b - a > shape.piece:
             starts.append(a)
-            ends.append(a + PIECE)
-            a += PIECE - shape.length + 1
+            ends.append(a + shape.piece)
+            a += shape.piece - shape.length + 1
         if b - a >= shape.length:
             starts.append(a)
             ends.append(b)
     at, hashes, lows, highs, i = [], [], [], [], 0
     while i < len(starts):
         j = i + 1
-        while j < len(starts) and ends[j] - starts[i] <= PIECE and starts[j] >= ends[j - 1]:
+        while j < len(starts) and ends[j] - starts[i] <= shape.piece and starts[j] >= ends[j - 1]:
             j += 1
         lo, hi = starts[i], ends[j - 1]
         p = t.prefix_hash(buf[lo:hi])
@@ -152,37 +162,62 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> t.U(32)) * t.U(buckets)) >> t.U(32)).astype(np.int64)
 
 
+HOT = np.dtype([("i", "<u4"), ("n", "<u4")])
+
+
 def _announce(shape: Shape, buckets: int):
+    """Of each bucket's anchors 32 bits, and how many places those have that have ``TOLD`` or more."""
+
     def run(table: pa.Table) -> pa.Table:
         batch = Batch(table, shape)
         b = _bucket(batch.distinct, buckets)
         low = (batch.distinct & t.U(0xFFFFFFFF)).astype(np.uint32)
+        times = np.bincount(batch.which.ravel(), minlength=len(low))
         cut = np.searchsorted(b, np.arange(buckets + 1))
         own = np.flatnonzero(np.diff(cut)).tolist()
         number = table.column("batch")[0].as_py()
+        many = []
+        for k in own:
+            at = np.flatnonzero(times[cut[k] : cut[k + 1]] >= shape.told)
+            hot = np.empty(len(at), HOT)
+            hot["i"], hot["n"] = at, times[cut[k] + at]
+            many.append(hot.tobytes())
         t.release()
-        return pa.table({"bucket": pa.array(own, pa.int32()), "batch": pa.array([number] * len(own), pa.int32()), "low": pa.array([low[cut[k] : cut[k + 1]].tobytes() for k in own], pa.binary())})
+        return pa.table({"bucket": pa.array(own, pa.int32()), "batch": pa.array([number] * len(own), pa.int32()), "low": pa.array([low[cut[k] : cut[k + 1]].tobytes() for k in own], pa.binary()), "many": pa.array(many, pa.binary())})
 
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """For each batch of a bucket a bit per anchor: another batch has it too."""
-    bucket, batches = table.column("bucket")[0].as_py(), table.column("batch").to_pylist()
-    parts = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
-    every = np.concatenate(parts)
-    value, back, n = np.unique(every, return_inverse=True, return_counts=True)
-    many = (n > 1)[back]
-    out = {"batch": [], "bucket": [], "bits": []}
-    at = 0
-    for b, x in zip(batches, parts, strict=True):
-        own = many[at : at + len(x)]
-        at += len(x)
-        if own.any():
-            out["batch"].append(b)
-            out["bucket"].append(bucket)
-            out["bits"].append(np.packbits(own).tobytes())
-    return pa.table({"batch": pa.array(out["batch"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "bits": pa.array(out["bits"], pa.binary())})
+def _repeated(shape: Shape):
+    """For each batch of a bucket a bit per anchor, that another batch has it too, and the parts of the hot ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, batches = table.column("bucket")[0].as_py(), table.column("batch").to_pylist()
+        parts = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
+        hot = [np.frombuffer(x, HOT) for x in table.column("many").to_pylist()]
+        every = np.concatenate(parts)
+        value, back, n = np.unique(every, return_inverse=True, return_counts=True)
+        many = (n > 1)[back]
+        places = n.copy()
+        for at, x in zip(np.cumsum([0, *map(len, parts)]).tolist(), hot, strict=False):
+            np.add.at(places, back[at + x["i"].astype(np.int64)], x["n"].astype(np.int64) - 1)
+        split = (-(-places // shape.hot))[back]
+        out = {"batch": [], "bucket": [], "bits": [], "split": []}
+        at = 0
+        for b, x in zip(batches, parts, strict=True):
+            own, of = many[at : at + len(x)], split[at : at + len(x)]
+            at += len(x)
+            if own.any():
+                big = np.flatnonzero(own & (of > 1))
+                cut = np.empty(len(big), HOT)
+                cut["i"], cut["n"] = big, of[big]
+                out["batch"].append(b)
+                out["bucket"].append(bucket)
+                out["bits"].append(np.packbits(own).tobytes())
+                out["split"].append(cut.tobytes())
+        return pa.table({"batch": pa.array(out["batch"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "bits": pa.array(out["bits"], pa.binary()), "split": pa.array(out["split"], pa.binary())})
+
+    return run
 
 
 def _starts(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -190,7 +225,8 @@ def _starts(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (t.U(2) << high.astype(np.uint64)) - (t.U(1) << low.astype(np.uint64))
 
 
-ROW = np.dtype([("id", "<i8"), ("doc", "<u4"), ("at", "<u4"), ("low", "u1"), ("high", "u1")])
+#: A place of an anchor; ``part`` of ``split`` parts, if its anchor is hot.
+ROW = np.dtype([("id", "<i8"), ("doc", "<u4"), ("at", "<u4"), ("low", "u1"), ("high", "u1"), ("part", "<u4"), ("split", "<u4")])
 GONE = np.dtype([("doc", "<u4"), ("at", "<u4"), ("starts", "<u8")])
 _SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("decided", pa.bool_()), ("rows", pa.binary()), ("bytes", pa.binary())])
 
@@ -203,10 +239,12 @@ def _send(shape: Shape, buckets: int):
         if len(table):
             batch = Batch(table, shape)
             number = table.column("batch")[0].as_py()
-            repeated = np.zeros(len(batch.distinct), bool)
+            repeated, split = np.zeros(len(batch.distinct), bool), np.ones(len(batch.distinct), np.int64)
             cut = np.searchsorted(_bucket(batch.distinct, buckets), np.arange(buckets + 1))
-            for k, bits in zip(flags.column("bucket").to_pylist(), flags.column("bits").to_pylist(), strict=True):
+            for k, bits, hot in zip(*(flags.column(c).to_pylist() for c in ("bucket", "bits", "split")), strict=True):
                 repeated[cut[k] : cut[k + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8))[: cut[k + 1] - cut[k]].astype(bool)
+                hot = np.frombuffer(hot, HOT)
+                split[cut[k] + hot["i"].astype(np.int64)] = hot["n"]
             # those of several documents of this batch
             if len(batch.distinct):
                 least, most = np.full(len(batch.distinct), 1 << 62), np.full(len(batch.distinct), -1)
@@ -215,7 +253,7 @@ def _send(shape: Shape, buckets: int):
                 repeated |= least < most
             sel = np.flatnonzero(repeated[batch.which]) if len(batch.which) else np.empty(0, np.int64)
             if len(sel):
-                out = self_decided(batch, sel, shape, buckets, number)
+                out = self_decided(batch, sel, split[batch.which[sel]], shape, buckets, number)
             del batch
             t.release()
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
@@ -223,12 +261,29 @@ def _send(shape: Shape, buckets: int):
     return run
 
 
-def self_decided(batch: Batch, sel: np.ndarray, shape: Shape, buckets: int, number: int) -> list[tuple]:
+def _part_key(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The key of one part of a hot anchor."""
+    return t.mix(h ^ t.mix(part.astype(np.uint64) + t.U(1)))
+
+
+def _part_of(prefix: np.ndarray, start: np.ndarray, shape: Shape, split: np.ndarray) -> np.ndarray:
+    """The part that the string at ``start`` belongs to."""
+    return (t.mix(t.span_hash(prefix, start, start + shape.length)) % split.astype(np.uint64)).astype(np.int64)
+
+
+def _each_string(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every string of every place: the place's number, and how far before the anchor it starts."""
+    count = high - low + 1
+    item = np.repeat(np.arange(len(count)), count)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(count) - count - low, count)
+
+
+def self_decided(batch: Batch, sel: np.ndarray, split: np.ndarray, shape: Shape, buckets: int, number: int) -> list[tuple]:
     at, doc, h, low, high = batch.at[sel], batch.doc[sel], batch.hash[sel], batch.low[sel], batch.high[sel]
     prefix = t.prefix_hash(batch.buf)
     whole = t.mix(t.span_hash(prefix, at - high, at - low + shape.length)) ^ (high * 1009 + low).astype(np.uint64)
     order = np.lexsort((at, whole))  # `at` ascends with the id
-    at, doc, h, low, high, whole = at[order], doc[order], h[order], low[order], high[order], whole[order]
+    at, doc, h, low, high, whole, split = at[order], doc[order], h[order], low[order], high[order], whole[order], split[order]
     span = high - low + shape.length
     begin = at - high
     new = np.ones(len(at), bool)
@@ -248,11 +303,22 @@ def self_decided(batch: Batch, sel: np.ndarray, shape: Shape, buckets: int, numb
     if len(gone):
         out.append((number % buckets, number, True, gone.tobytes(), b""))
     keep = np.flatnonzero(~near)
-    keep = keep[np.argsort(h[keep], kind="stable")]
+    key, part = h[keep], np.zeros(len(keep), np.int64)
+    hot = np.flatnonzero(split[keep] > 1)
+    if len(hot):  # a hot anchor's place goes to the part of each of its strings
+        own = keep[hot]
+        item, r = _each_string(low[own], high[own])
+        parts = _part_of(prefix, at[own][item] - r, shape, split[own][item])
+        item, parts = np.divmod(np.unique(item * (int(split[own].max()) + 1) + parts), int(split[own].max()) + 1)
+        plain = np.flatnonzero(split[keep] == 1)
+        keep, part = np.concatenate([keep[plain], own[item]]), np.concatenate([part[plain], parts])
+        key = np.concatenate([h[keep[: len(plain)]], _part_key(h[own[item]], parts)])
+    order = np.argsort(key, kind="stable")
+    keep, key, part = keep[order], key[order], part[order]
     rows = np.empty(len(keep), ROW)
     rows["id"], rows["doc"], rows["at"] = batch.ids[doc[keep]], doc[keep], at[keep] - batch.offs[doc[keep]]
-    rows["low"], rows["high"] = low[keep], high[keep]
-    cut = np.searchsorted(_bucket(h[keep], buckets), np.arange(buckets + 1))
+    rows["low"], rows["high"], rows["part"], rows["split"] = low[keep], high[keep], part, split[keep]
+    cut = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1))
     pack = zstandard.ZstdCompressor(level=3)  # surroundings shrink by a third more than in the shuffle's own code
     for k in np.flatnonzero(np.diff(cut)).tolist():
         a, b = cut[k], cut[k + 1]
@@ -385,9 +451,13 @@ def judge(rows: np.ndarray, h: np.ndarray, frame: np.ndarray, shape: Shape) -> n
     many[:-1] |= same
     rep = rep[many]
     if len(rep):
-        count = high[rep] - low[rep] + 1
-        item = np.repeat(rep, count)
-        r = np.arange(len(item)) - np.repeat(np.cumsum(count) - count - low[rep], count)
+        item, r = _each_string(low[rep], high[rep])
+        item = rep[item]
+        hot = np.flatnonzero(rows["split"][item] > 1)
+        if len(hot):  # of a hot anchor only the strings of its part
+            i = item[hot]
+            other = hot[_part_of(t.prefix_hash(buf), i * size + high[i] - r[hot], shape, rows["split"][i]) != rows["part"][i]]
+            item, r = np.delete(item, other), np.delete(r, other)
         srt = np.lexsort((rows["id"][item], r, h[item]))
         item, r = item[srt], r[srt]
         run = np.concatenate(([0], np.cumsum((h[item][1:] != h[item][:-1]) | (r[1:] != r[:-1]))))
@@ -424,7 +494,8 @@ def _judged(shape: Shape):
             for part in np.array_split(np.arange(len(every)), max(1, len(every) // SORT_ROWS)):
                 gram = t.prefix_hash(flat[begin[part[0]] : begin[part[-1]] + span[part[-1]]])
                 at = begin[part] - begin[part[0]] + every["high"][part]
-                h[part] = t.span_hash(gram, at, at + shape.gram)
+                h[part] = t.mix(t.span_hash(gram, at, at + shape.gram))
+            h = np.where(every["split"] > 1, _part_key(h, every["part"]), h)
             order = np.argsort(h, kind="stable")
             hashes, h = h, h[order]
             edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
@@ -501,12 +572,12 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     shape = Shape(length)
     plain = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)))
     size = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n = max(partitions(docs.sparkSession), -(-size // BATCH_BYTES))
+    n, buckets = (max(partitions(docs.sparkSession), -(-size // part)) for part in (BATCH_BYTES, BUCKET_BYTES))
     dealt = plain.withColumn("batch", F.pmod(F.xxhash64("_id", F.octet_length("_text")), F.lit(n)).cast("int")).repartition(n, "batch")
     names = ["_id", *(f"_k{i}" for i in range(len(keep)))]
-    said = dealt.groupBy("batch").applyInArrow(_announce(shape, n), "bucket int, batch int, low binary")
-    flags = said.groupBy("bucket").applyInArrow(_repeated, "batch int, bucket int, bits binary")
-    sent = dealt.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_send(shape, n), "bucket int, batch int, decided boolean, rows binary, bytes binary")
+    said = dealt.groupBy("batch").applyInArrow(_announce(shape, buckets), "bucket int, batch int, low binary, many binary")
+    flags = said.groupBy("bucket").applyInArrow(_repeated(shape), "batch int, bucket int, bits binary, split binary")
+    sent = dealt.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_send(shape, buckets), "bucket int, batch int, decided boolean, rows binary, bytes binary")
     gone = sent.groupBy("bucket").applyInArrow(_judged(shape), "batch int, gone binary")
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
@@ -516,3 +587,18 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=50)
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents),
+g AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - 49, 0))) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS f FROM g GROUP BY s),
+c AS (SELECT g.doc_id, g.i FROM g JOIN f USING (s) WHERE f.f < g.doc_id),
+m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM c),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m) GROUP BY doc_id, k),
+k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM r UNION ALL SELECT doc_id, max(b), NULL FROM r GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(CASE WHEN e IS NULL THEN substr(x, 2 * s + 1) ELSE substr(x, 2 * s + 1, 2 * (e - s)) END, '' ORDER BY s) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+z AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
