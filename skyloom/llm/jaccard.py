@@ -19,7 +19,7 @@ document's shingles and keep the documents that occur at least T times.
    short ones are merged, those that occur ``T - L`` times are probed in the long
    lists by binary search, and those that reach ``T`` are links.  A block gives a
    spanning forest of its links and never all pairs.  A block of more than
-   ``SLICE`` members is first searched slice by slice, then among one
+   ``FIRST`` members is first searched slice by slice, then among one
    representative of each component that this left it with.  Only where it still
    has several components are slices held against each other, and none against
    one of the same component: a large group of near copies costs what its size
@@ -52,7 +52,8 @@ from . import _text as t
 from ._spark import connected_components, materialize, partitions, summed_table, table_rows
 
 COUNTERS, COUNTER_BLOCKS = 1 << 20, 32
-SLICE = 512
+#: Members of a block that are searched at once: of a large one's slices at first, and when slices meet.
+FIRST, SLICE = 128, 512
 #: Shingles of all sets per task.
 TASK_SHINGLES = 6_000_000
 #: Bits of the filter that texts pass before they are dealt to blocks.
@@ -421,7 +422,7 @@ def _one_block(pivot: Column, i: Column) -> Column:
 def _sliced(members: DataFrame) -> DataFrame:
     """Members ``node, k1, _doc, pivot`` with the number ``m`` of their pivot's members and the blocks of the first round."""
     sized = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    slices = F.ceil(F.col("m") / SLICE).cast("long")
+    slices = F.ceil(F.col("m") / FIRST).cast("long")
     return members.join(sized, "pivot").withColumn("blocks", _one_block(F.col("pivot"), F.pmod(F.xxhash64("node"), slices)))
 
 
@@ -535,7 +536,7 @@ def _found(plain: DataFrame, k: int, p: int, q: int) -> DataFrame:
     members = materialize(_sliced(_enough(meet).join(ids, "k1").select("pivot", "k1", "node", "_doc").distinct()))
     links = materialize(_search_blocks(plain, members, k, p, q, n_parts))
     parts = connected_components(links)
-    large = members.filter(F.col("m") > SLICE).drop("blocks", "m")
+    large = members.filter(F.col("m") > FIRST).drop("blocks", "m")
     for deal in (_representatives, _apart):
         mixed = materialize(_of_components(large, parts)) if not large.isEmpty() else large
         if mixed.isEmpty():

@@ -135,9 +135,11 @@ def brute_repeats(data, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("n", [16, 50])
-def test_repeats_brute(spark, n, monkeypatch):
+@pytest.mark.parametrize(("n", "hot"), [(16, 1 << 15), (50, 1 << 15), (16, 3), (50, 4)])
+def test_repeats_brute(spark, n, hot, monkeypatch):
     monkeypatch.setattr(sd, "PIECE", 256)
+    monkeypatch.setattr(sd, "HOT_ROWS", hot)  # anchors of more places are dealt by their strings
+    monkeypatch.setattr(sd, "TOLD", 2)
     rng = np.random.default_rng(5)
     parts = ["".join(rng.choice(list("abcde é"), int(k))) for k in rng.integers(5, 120, 12)]
     data = [(int(i), "".join(parts[j] for j in rng.integers(0, 12, int(rng.integers(0, 9))))) for i in rng.permutation(90)]
@@ -155,6 +157,26 @@ def test_repeats_defined_cases(spark):
     assert sd.remove_repeats(nothing(spark)).count() == 0
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    """One passage in every document, between words of its own: no part of its anchors keeps all places."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sd, "HOT_ROWS", 40)
+    monkeypatch.setattr(sd, "BATCH_BYTES", 4000)
+    docs = [(i, f"{i * 7919 % 1000:03d} own " * 3 + "the passage that stands in each and every document of this table" + f" tail {i * 31 % 977}") for i in range(400)]
+    got = sd.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=50).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats([(d, x.encode()) for d, x in docs], 50)
+    # the same by hand: all places in one batch, dealt to buckets
+    shape = sd.Shape(50)
+    table = pa.table({"_id": [d for d, _ in docs], "_text": pa.array([x.encode() for _, x in docs], pa.binary()), "batch": pa.array([0] * 400, pa.int32())})
+    batch = sd.Batch(table, shape)
+    split = np.full(len(batch.at), 8)
+    out = sd.self_decided(batch, np.arange(len(batch.at)), split, shape, 4, 0)
+    rows = [sd._rows(x[3]) for x in out if not x[2]]
+    parts = np.concatenate([r["part"] for r in rows])
+    assert set(np.concatenate([r["split"] for r in rows]).tolist()) == {8} and len(set(parts.tolist())) == 8 and np.bincount(parts).max() < 0.5 * len(parts)
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(3)
     buf = rng.integers(97, 99, 4000).astype(np.uint8)
@@ -231,6 +253,7 @@ def brute_components(data, k, p, q):
 def test_jaccard_brute(spark, monkeypatch):
     from skyloom.llm import jaccard as mod
 
+    monkeypatch.setattr(mod, "FIRST", 8)
     monkeypatch.setattr(mod, "SLICE", 16)  # so that groups are dealt as slices
     rng = np.random.default_rng(6)
     vocab = [f"w{i}" for i in range(400)]
@@ -278,6 +301,7 @@ def test_jaccard_large_group(spark, monkeypatch, size):
     """One pivot with a large component, a middle one, bridges between slices and sets that are unlike all others."""
     from skyloom.llm import jaccard as mod
 
+    monkeypatch.setattr(mod, "FIRST", size)
     monkeypatch.setattr(mod, "SLICE", size)
     rng = np.random.default_rng(2)
     base, data = [f"b{i}" for i in range(60)], []
