@@ -198,13 +198,14 @@ def test_topk_brute(spark, monkeypatch):
     monkeypatch.setattr(mod, "LEAF", 8)
     monkeypatch.setattr(mod, "BLOCK", 150)
     monkeypatch.setattr(mod, "GROUP", 10)
+    monkeypatch.setattr(mod, "TILE", 2)
     rng = np.random.default_rng(4)
     v = rng.normal(size=(600, 6)).round(1)
     v[100:250] = v[100]  # ties
     data = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
     data += [(600, None), (601, []), (602, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (603, [float("nan")] * 6), (604, [float("inf")] * 6), (605, [1.0, 2.0]), (None, [1.0] * 6), (606, [1e6] * 6)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    df = df.unionByName(df.filter("vec_id < 20"))
+    df = df.unionByName(df.filter("vec_id < 20")).withColumn("_id", F.lit("x")).withColumn("cell", F.lit("y")).withColumn("score", F.lit(None))
     q = np.zeros((607, 6), np.int64)
     ok = []
     for i, x in data:
@@ -223,6 +224,34 @@ def test_topk_brute(spark, monkeypatch):
     assert top_k(few.dropDuplicates(["vec_id"]), few.filter("vec_id = 0")).count() == 2
 
 
+def test_topk_prunes(spark, monkeypatch):
+    """On clustered vectors, pairs of blocks and groups are never made, and in a block most leaves are never opened."""
+    from skyloom.llm import topk_search as mod
+
+    monkeypatch.setattr(mod, "BLOCK", 200)
+    monkeypatch.setattr(mod, "GROUP", 20)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(8, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    v = centres[np.arange(2400) % 8] + rng.normal(scale=0.02, size=(2400, 16))
+    q = np.floor(1024 * v).astype(np.int64)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    blocks, groups, seeds, pairs = mod.plan(df, df.filter("vec_id % 30 = 0"))
+    made, possible = pairs.count() + seeds.count(), blocks.count() * groups.count()
+    assert blocks.count() >= 8 and made < 0.6 * possible
+    got = sorted(tuple(r) for r in top_k(df, df.filter("vec_id % 30 = 0")).collect())
+    want = []
+    for i in range(0, 2400, 30):
+        s = q @ q[i]
+        want += [(i, r + 1, j, int(s[j])) for r, j in enumerate(sorted((j for j in range(2400) if j != i), key=lambda j: (-s[j], j))[:10])]
+    assert got == sorted(want)
+    count = {}
+    ids = np.arange(2400)
+    some = mod.Index(ids[::97], q[::97], 1, 8)
+    best = mod.dual_search(some, mod.Index(ids, q, 11, 32), 10, np.full(len(some.ids), -np.inf), count)
+    assert count["made"] < 0.5 * count["possible"] and all(len(h) == 10 for h in best)
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
