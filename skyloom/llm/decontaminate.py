@@ -9,15 +9,21 @@ each window is looked up in the documents, length and positional bounds drop
 starts that cannot hold the window, and what is left is verified word by word
 and byte by byte over the item-sized window.
 
-The benchmark is used in blocks of at most ``BLOCK_BYTES`` of text, whatever its
+The benchmark is used in blocks of about ``BLOCK_BYTES`` of text, whatever its
 size: a block is a broadcast of proven bound, and each block scans the documents
-once for the frequencies and once for the search.
+once for the frequencies and once for the search.  What a block but the last
+finds is written as a narrow table of the documents with hits before its
+broadcasts are destroyed, so driver and workers hold one block at a time.
 
 Defined cases: null or empty texts have no words, no hits and no items; items
 without words have no windows; repeated item rows count as one item id each
 and items with equal texts all report; rows with a null item id take part in
-hits but not in ``n_items``; repeated documents get one row each; very long
-texts are one numpy buffer each.
+hits but not in ``n_items``; repeated documents, and rows with equal or null ids,
+get one row each, by their own texts; ties between rarest shingles go to the
+smaller code and offset and change no result; very long texts are one numpy
+buffer each, a longer item than a block is a block of its own; empty tables give
+an empty result, or no hits; further columns, whatever their names, are ignored,
+or carried if ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -31,62 +37,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
+from ._spark import materialize
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SHINGLE = 3
 
 
 class Windows:
-    """The distinct windows of a block of items, their shingles and their postings by prefix shingle."""
+    """The distinct windows of a block of items, as ranges of one sequence of word ids, and their shingles."""
 
     def __init__(self, items: list[tuple[object, str]], window: int, shingle: int = SHINGLE) -> None:
         data = [(x or "").encode() for _, x in items]
         buf = t.LOWER[np.frombuffer(b"".join(data), np.uint8)]
         offs = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
+        del data
         starts, ends, first = t.words(buf, offs, t.ALNUM)
         raw = buf.tobytes()
         vocab: dict[bytes, int] = {}
-        ids = [vocab.setdefault(raw[s:e], len(vocab)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        found: dict[tuple[int, ...], set] = {}
-        for d, (item, _) in enumerate(items):
-            seq = ids[first[d] : first[d + 1]]
-            for i in range(max(1, len(seq) - window + 1) if seq else 0):
-                found.setdefault(tuple(seq[i : i + window]), set()).add(item)
-        self.words = list(vocab)
-        self.windows = list(found)
-        self.items = [sorted(str(x) for x in found[w] if x is not None) for w in self.windows]
-        text = np.frombuffer(b"".join(self.words), np.uint8)
-        lens = np.array([len(x) for x in self.words], np.int64)
-        at = np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
-        hashes = t.word_hashes(text, at[:-1], at[1:]) if len(lens) else np.empty(0, np.uint64)
+        self.seq = np.fromiter((vocab.setdefault(raw[s:e], len(vocab)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.int32, len(starts))
+        self.text = np.frombuffer(b"".join(vocab), np.uint8)
+        self.at = np.concatenate(([0], np.cumsum([len(x) for x in vocab]))).astype(np.int64)
+        del vocab, raw
+        hashes = t.word_hashes(self.text, self.at[:-1], self.at[1:])
         order = np.argsort(hashes)
         self.hash, self.hash_id = hashes[order], order.astype(np.int64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(hashes >> t.U(44)).astype(np.int64)] = True
-        #: positioned shingles of each window by width: (code, window, offset)
-        self.base = len(self.words) + 1
+        # every place of a window: where it starts, its length, its item
+        n = np.diff(first)
+        count = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
+        item = np.repeat(np.arange(len(n)), count)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + first[item]
+        length = np.minimum(n, window)[item]
+        # the distinct ones, each as one of its places, and the items of each
+        self.names = [None if x is None else str(x) for x, _ in items]
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        pairs = [np.empty((0, 2), np.int64)]
+        for L in np.unique(length).tolist():
+            own = np.flatnonzero(length == L)
+            rows = np.ascontiguousarray(self.seq[start[own, None] + np.arange(L)]).view(np.dtype((np.void, 4 * L))).ravel()
+            _, lead, which = np.unique(rows, return_index=True, return_inverse=True)
+            pairs.append(np.unique(np.stack([which.ravel() + len(self.start), item[own]], 1), axis=0))
+            self.start = np.concatenate([self.start, start[own][lead]])
+            self.length = np.concatenate([self.length, np.full(len(lead), L)])
+        pairs = np.concatenate(pairs)
+        self.item, self.items_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.start) + 1))
+        self.base = len(self.at)
         while self.base**shingle >= 1 << 63:  # codes of shingles stay exact in 64 bits
             shingle -= 1
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        rows: dict[int, list[tuple[int, int, int]]] = {}
-        for w, seq in enumerate(self.windows):
-            k = min(shingle, len(seq))
-            for i in range(len(seq) - k + 1):
-                code = 0
-                for x in seq[i : i + k]:
-                    code = code * self.base + x + 1
-                rows.setdefault(k, []).append((code, w, i))
-        for k, xs in rows.items():
-            a = np.array(xs, dtype=np.int64)
-            self.grams[k] = (a[:, 0], a[:, 1], a[:, 2])
-        self.codes = {k: np.unique(g[0]) for k, g in self.grams.items()}
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        #: word ids of the windows of one length, and each window's row there
-        self.matrix, self.row = {}, np.zeros(len(self.windows), np.int64)
-        for L in np.unique(self.length).tolist():
-            own = np.flatnonzero(self.length == L)
-            self.row[own] = np.arange(len(own))
-            self.matrix[L] = np.array([self.windows[i] for i in own.tolist()], np.int64).reshape(len(own), L)
+        #: by width the code of the shingle at every place of the sequence (-1: it would leave its item)
+        self.grams: dict[int, np.ndarray] = {}
+        self.width = np.minimum(self.length, shingle)
+        for k in np.unique(self.width).tolist():
+            places, code = self.codes_at(self.seq.astype(np.int64), first, k)
+            self.grams[k] = np.full(len(self.seq), -1, np.int64)
+            self.grams[k][places] = code
+        self.codes = {k: np.unique(c[c >= 0]) for k, c in self.grams.items()}
+
+    def items(self, window: int) -> list[str]:
+        own = (self.names[i] for i in self.item[self.items_at[window] : self.items_at[window + 1]].tolist())
+        return [x for x in own if x is not None]
+
+    def same(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether words have the bytes that their ids have."""
+        size = ends - starts
+        good = size == self.at[ids + 1] - self.at[ids]
+        some = np.flatnonzero(good)
+        n = size[some]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        equal = raw[np.repeat(starts[some], n) + step] == self.text[np.repeat(self.at[ids[some]], n) + step]
+        good[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n) if len(some) else True
+        return good
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """The item vocabulary's id of each word hash, or -1."""
@@ -163,15 +184,20 @@ def _prefixes(win: Windows, freq: dict[int, np.ndarray]) -> dict[int, tuple[np.n
     A window with a shingle that no document has cannot occur and is left out.
     """
     out = {}
-    for k, (code, window, offset) in win.grams.items():
-        n = freq[k][np.searchsorted(win.codes[k], code)]
-        order = np.lexsort((offset, code, n, window))
-        lead = np.ones(len(order), bool)
-        lead[1:] = window[order][1:] != window[order][:-1]
-        pick = order[lead]
-        pick = pick[n[pick] > 0]
-        pick = pick[np.argsort(code[pick], kind="stable")]
-        out[k] = (code[pick], window[pick], offset[pick])
+    for k, codes in win.grams.items():
+        n = np.zeros(len(codes), np.int64)
+        n[codes >= 0] = freq[k][np.searchsorted(win.codes[k], codes[codes >= 0])]
+        own = np.flatnonzero(win.width == k)
+        start, last = win.start[own], win.length[own] - k
+        offset = np.zeros(len(own), np.int64)
+        for j in range(1, int(last.max(initial=0)) + 1):
+            here, best = start + np.minimum(j, last), start + offset
+            better = (j <= last) & ((n[here] < n[best]) | ((n[here] == n[best]) & (codes[here] < codes[best])))
+            offset[better] = j
+        at = start + offset
+        some = np.flatnonzero(n[at] > 0)
+        some = some[np.argsort(codes[at[some]], kind="stable")]
+        out[k] = (codes[at[some]], own[some], offset[some])
     return out
 
 
@@ -179,8 +205,7 @@ def _search(part, starts, ends, first, win: Windows, prefixes) -> tuple[np.ndarr
     """Occurrences: the position of a window's first word, and the window."""
     ids = win.ids(t.word_hashes(part, starts, ends))
     doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    raw = part.tobytes()
-    places, which = [], []
+    places, which = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for k, (codes, window, offset) in prefixes.items():
         at, code = win.codes_at(ids, first, k)
         lo, hi = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
@@ -200,15 +225,19 @@ def _search(part, starts, ends, first, win: Windows, prefixes) -> tuple[np.ndarr
         for L in np.unique(win.length[w]).tolist():
             own = win.length[w] == L
             b, x = begin[own], w[own]
-            want = np.array([win.windows[i] for i in range(len(win.windows))] if len(set(win.length.tolist())) == 1 else [win.windows[i] if len(win.windows[i]) == L else (0,) * L for i in range(len(win.windows))], np.int64)
-            good = np.ones(len(b), bool)
             for j in range(L):
-                good &= ids[b + j] == want[x, j]
-            for p, y in zip(b[good].tolist(), x[good].tolist(), strict=True):
-                if all(raw[starts[p + j] : ends[p + j]] == win.words[v] for j, v in enumerate(win.windows[y])):
-                    places.append(p)
-                    which.append(y)
-    return np.array(places, np.int64), np.array(which, np.int64)
+                good = ids[b + j] == win.seq[win.start[x] + j]
+                b, x = b[good], x[good]
+            places.append(b)
+            which.append(x)
+    places, which = np.concatenate(places), np.concatenate(which)
+    if len(places):  # byte by byte, each word once
+        size = win.length[which]
+        inside = np.unique(np.repeat(places, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        wrong = inside[~win.same(part, starts[inside], ends[inside], ids[inside])]
+        good = np.searchsorted(wrong, places) == np.searchsorted(wrong, places + size)
+        places, which = places[good], which[good]
+    return places, which
 
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list]:
@@ -222,46 +251,52 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list]:
     yield block
 
 
-def _step(shared, prefixes, text: str, names: list[str], first_block: bool, last_block: bool):
-    """Search one block in every document and merge with what earlier blocks found."""
+def _merged(flat: list[int]) -> list[int]:
+    """Ranges (start, end, start, end, ...) in order and joined where they touch."""
+    out: list[int] = []
+    for p, q in sorted(zip(flat[::2], flat[1::2], strict=True)):
+        if out and p <= out[-1]:
+            out[-1] = max(out[-1], q)
+        else:
+            out += [p, q]
+    return out
+
+
+def _step(shared, prefixes, names: list[str], hits_only: bool):
+    """Search one block in every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         win, pre = shared.value, prefixes.value
         for batch in batches:
-            n_words, hits, spans, items = [], [], [], []
-            old_spans = [[]] * batch.num_rows if first_block else batch.column("_spans").to_pylist()
-            old_items = [[]] * batch.num_rows if first_block else batch.column("_items").to_pylist()
-            for a, b, part, starts, ends, first in _tokenized(batch, text):
+            n_words, spans, items = [], [], []
+            for a, b, part, starts, ends, first in _tokenized(batch, "_text"):
                 places, which = _search(part, starts, ends, first, win, pre)
                 order = np.argsort(places, kind="stable")
                 places, which = places[order], which[order]
                 bounds = np.searchsorted(places, first)
                 for d in range(b - a):
-                    n_words.append(int(first[d + 1] - first[d]))
                     lo, hi = bounds[d], bounds[d + 1]
-                    flat, got = old_spans[a + d], old_items[a + d]
-                    if lo < hi:
-                        at = (places[lo:hi] - first[d]).tolist()
-                        pairs = sorted([(p, p + int(win.length[w])) for p, w in zip(at, which[lo:hi].tolist(), strict=True)] + list(zip(flat[::2], flat[1::2], strict=True)))
-                        flat = []
-                        for p, q in pairs:
-                            if flat and p <= flat[-1]:
-                                flat[-1] = max(flat[-1], q)
-                            else:
-                                flat += [p, q]
-                        got = sorted(set(got).union(*(win.items[w] for w in set(which[lo:hi].tolist()))))
-                    hits.append(sum(flat[1::2]) - sum(flat[::2]))
-                    spans.append(flat)
-                    items.append(got)
-            out = {c: batch.column(c) for c in names}
-            if not last_block:
-                out[text] = batch.column(text)
-            out |= {"_words": pa.array(n_words, pa.int64()), "_hit": pa.array(hits, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_pydict(out)
+                    at = places[lo:hi] - first[d]
+                    n_words.append(int(first[d + 1] - first[d]))
+                    spans.append(_merged(np.stack([at, at + win.length[which[lo:hi]]], 1).ravel().tolist()) if lo < hi else [])
+                    items.append(sorted({x for w in set(which[lo:hi].tolist()) for x in win.items(w)}))
+            out = {c: batch.column(c) for c in names} | {"_words": pa.array(n_words, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.string()))}
+            out = pa.RecordBatch.from_pydict(out)
+            yield out.filter(pa.array([bool(x) for x in spans])) if hits_only else out
 
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans and items of the last block and of those before it (a list for each) as one."""
+    for batch in batches:
+        spans, items, more_spans, more_items = (batch.column(c).to_pylist() for c in ("_spans", "_items", "_more_spans", "_more_items"))
+        spans = [_merged(x + [v for one in y or [] for v in one]) for x, y in zip(spans, more_spans, strict=True)]
+        items = [sorted(set(x).union(*(y or []))) for x, y in zip(items, more_items, strict=True)]
+        cols = {c: batch.column(c) for c in batch.schema.names if not c.startswith("_more")}
+        yield pa.RecordBatch.from_pydict(cols | {"_spans": pa.array(spans, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.string()))})
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: its words, the words inside any occurrence of a window, and the items with such windows.
 
@@ -269,26 +304,34 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     ``n_words``, ``n_hit``, ``hit_spans`` (start, end, start, end, ... in words)
     and ``item_ids`` (array<string>, sorted).
     """
-    spark = docs.sparkSession
-    # clear of any clashing names among the extra columns
-    plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)))
-    names = ["_id", *(f"_k{i}" for i in range(len(keep)))]
+    sc = docs.sparkSession.sparkContext
+    # clear of any clashing names among the extra columns; a row is known by its id and text
+    plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_h"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)))
+    carried = ["_id", "_h", *(f"_k{i}" for i in range(len(keep)))]
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
-    df, blocks = plain, list(_prepared(plain, items, item_id, item_text, window))
-    for i, (shared, prefixes) in enumerate(blocks):
-        last = i == len(blocks) - 1
-        schema = ", ".join(f"{c} {kinds[c]}" for c in ([*names] if last else [*names, "_text"])) + ", _words long, _hit long, _spans array<long>, _items array<string>"
-        df = df.mapInArrow(_step(shared, prefixes, "_text", names, i == 0, last), schema)
-    return df.select(F.col("_id").alias(doc_id), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep) if c != doc_id), F.col("_words").alias("n_words"), F.col("_hit").alias("n_hit"), F.col("_spans").alias("hit_spans"), F.col("_items").alias("item_ids"))
-
-
-def _prepared(plain: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int):
-    """The broadcasts of every block: its windows and their prefix postings."""
-    sc = plain.sparkSession.sparkContext
-    for block in _blocks(items, item_id, item_text):
+    found = "_words long, _spans array<long>, _items array<string>"
+    before: DataFrame | None = None
+    blocks = _blocks(items, item_id, item_text)
+    block = next(blocks)
+    while True:
         win = Windows(block, window)
         shared = sc.broadcast(win)
-        yield shared, sc.broadcast(_prefixes(win, _frequencies(plain, "_text", shared) if win.windows else {}))
+        prefixes = sc.broadcast(_prefixes(win, _frequencies(plain, "_text", shared) if len(win.start) else {}))
+        del win
+        block = next(blocks, None)
+        names = carried if block is None else carried[:2]
+        out = plain.mapInArrow(_step(shared, prefixes, names, block is not None), ", ".join(f"{c} {kinds[c]}" for c in names) + ", " + found)
+        if block is None:
+            break
+        part = materialize(out.dropDuplicates(["_id", "_h"]))
+        before = part if before is None else before.unionByName(part)
+        shared.destroy()
+        prefixes.destroy()
+    if before is not None:
+        more = before.groupBy(F.col("_id").alias("_i"), F.col("_h").alias("_g")).agg(F.collect_list("_spans").alias("_more_spans"), F.collect_list("_items").alias("_more_items"))  # a row a block
+        out = out.join(more, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").drop("_i", "_g").mapInArrow(_joined, ", ".join(f"{c} {kinds[c]}" for c in carried) + ", " + found)
+    hit = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["n"] + x * s["sign"]).alias("n"), (-s["sign"]).alias("sign")))["n"]
+    return out.select(F.col("_id").alias(doc_id), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep) if c != doc_id), F.col("_words").alias("n_words"), hit.alias("n_hit"), F.col("_spans").alias("hit_spans"), F.col("_items").alias("item_ids"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
