@@ -13,10 +13,9 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def workers_have_it(spark: SparkSession) -> bool:
-    """Whether the workers' own path leads here already."""
+    """Whether the workers' own path leads here already: only a local session's workers have the driver's."""
     paths = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    master = spark.sparkContext.master
-    return ROOT in paths or (master.split("[")[0] == "local" and Path.cwd() == ROOT)
+    return spark.sparkContext.master.split("[")[0] == "local" and (ROOT in paths or Path.cwd() == ROOT)
 
 
 def ship(spark: SparkSession) -> None:
