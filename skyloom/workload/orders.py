@@ -37,7 +37,7 @@ def target_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_target_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n = _t(spark, sf_dir, "orders", "customer", "nation")
     rich = c.filter("c_acctbal > 0")
-    return o.join(rich, o.o_custkey == rich.c_custkey, "left").join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"), "left").select("o_orderkey", "c_name", "n_name")
+    return o.join(rich, o.o_custkey == rich.c_custkey, "left").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("o_orderkey", "c_name", "n_name")
 
 
 @query("junction_join", "SELECT o_orderstatus, p_brand, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size > 25 GROUP BY ALL")
@@ -168,8 +168,8 @@ def nulls_last_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("newest_group", "SELECT c_custkey, arg_max(o_orderkey, epoch_us(o_orderdate) * 1000 + o_orderkey % 1000) AS newest FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' GROUP BY c_custkey")
 def newest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, n, r = _t(spark, sf_dir, "customer", "orders", "nation", "region")
-    nations = n.join(F.broadcast(r.filter("r_name = 'ASIA'")), n.n_regionkey == r.r_regionkey)
-    who = c.join(F.broadcast(nations), c.c_nationkey == n.n_nationkey)
+    nations = n.join(r.filter("r_name = 'ASIA'"), n.n_regionkey == r.r_regionkey)
+    who = c.join(nations, c.c_nationkey == n.n_nationkey)
     return who.join(o, who.c_custkey == o.o_custkey).groupBy("c_custkey").agg(F.max_by("o_orderkey", F.struct(micros("o_orderdate"), F.col("o_orderkey") % 1000)).alias("newest"))
 
 
@@ -349,10 +349,10 @@ def snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).filter("day >= '1997-01-01'").distinct()
 
 
-@query("target_image_pointer", "SELECT c_nationkey AS canonical, arg_max(c_custkey, c_acctbal) AS project_id FROM customer WHERE c_nationkey <> 5 GROUP BY c_nationkey")
+@query("target_image_pointer", "SELECT c_nationkey AS canonical, arg_max(c_custkey, struct_pack(b := c_acctbal, k := -c_custkey)) AS project_id FROM customer WHERE c_nationkey <> 5 GROUP BY c_nationkey")
 def target_image_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image per object: upserted, or deleted when taken back (object 5)."""
     c = table(spark, sf_dir, "customer")
     old = c.select(F.col("c_nationkey").alias("canonical"), F.lit(-1).cast("long").alias("project_id")).distinct()
-    new = c.groupBy(F.col("c_nationkey").alias("canonical")).agg(F.max_by("c_custkey", "c_acctbal").alias("project_id"))
+    new = c.groupBy(F.col("c_nationkey").alias("canonical")).agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("project_id"))
     return dml.upsert(old, new, ["canonical"]).filter("canonical <> 5")

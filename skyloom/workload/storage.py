@@ -54,11 +54,11 @@ SELECT entry, bytes, CAST(freed AS BIGINT) AS freed_before FROM c WHERE freed <
 def evict_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans first, bulk before kept, longest unused first, until the budget holds."""
     e, u = entries(spark, sf_dir), uses(spark, sf_dir)
-    x = op.owners(e, u, "entry", "project").join(u.groupBy("entry").agg(F.max("at_us").alias("used")), "entry", "left")
+    x = op.owners(e, u, "entry", "project", at="at_us")
     total = e.agg(F.expr("sum(bytes) div 2").alias("excess"))  # one row
     x = x.crossJoin(F.broadcast(total))
     order = [F.col("owners") > 0, ~F.col("bulk"), F.col("used").isNull(), F.col("used"), F.col("entry")]
-    return op.evict(x, order, "bytes", F.col("excess"), buckets=8).select("entry", "bytes", "freed_before")
+    return op.evict(x, order, "bytes", F.col("excess"), ["entry", "bytes"], e.count())
 
 
 @query("cleanup_age_then_space", """WITH s AS (SELECT o_orderkey AS id, CAST(o_custkey AS BIGINT) AS bytes, epoch_us(o_orderdate) AS at_us FROM orders),
@@ -68,7 +68,7 @@ def cleanup_age_then_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything too old; then the oldest of the rest while space is low."""
     s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("bytes"), micros("o_orderdate").alias("at_us"))
     old = s.filter("at_us < 820454400000000").select("id", F.lit("age").alias("rule"))
-    more = op.evict(s.filter("at_us >= 820454400000000"), [F.col("at_us"), F.col("id")], "bytes", F.lit(100_000), buckets=8)
+    more = op.evict(s.filter("at_us >= 820454400000000"), [F.col("at_us"), F.col("id")], "bytes", F.lit(100_000), ["id"], s.count())
     return old.unionByName(more.select("id", F.lit("space").alias("rule")))
 
 

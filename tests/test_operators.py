@@ -112,9 +112,9 @@ def test_dml(spark):
 
 def test_evict_stops_after_the_budget(spark):
     e = spark.createDataFrame([(i, 10) for i in range(10)], "id int, size long")
-    got = sorted(r.id for r in storage.evict(e, [F.col("id")], "size", F.lit(25), buckets=3).collect())
+    got = sorted(r.id for r in storage.evict(e, [F.col("id")], "size", F.lit(25), ["id"], 10).collect())
     assert got == [0, 1, 2]
-    assert storage.evict(e, [F.col("id")], "size", F.lit(0), buckets=3).count() == 0
+    assert storage.evict(e, [F.col("id")], "size", F.lit(0), ["id"], 10).count() == 0
 
 
 def test_pixels(spark):
