@@ -35,12 +35,42 @@ def canonical_id(name: Column) -> Column:
     return F.when(part(2) != "", F.concat_ws(" ", F.upper(part(1)), part(2), F.nullif(part(3), F.lit("")))).otherwise(name)
 
 
+#: Prefixes of foreign identifiers that people type.
+FOREIGN = ("sh ", "sh2-", "lbn ", "ldn ", "c ", "b ", "mel ", "vdb ", "rcw ", "abell ")
+
+
 def alias_keys(name: Column) -> Column:
-    """Spaced and joined, padded and unpadded spellings of an identifier, lower-cased."""
-    prefix, number = F.lower(F.regexp_extract(name, r"^([A-Za-z]+)", 1)), F.regexp_extract(name, r"(\d+)", 1)
-    plain = F.regexp_replace(number, r"^0+(?=\d)", "")
-    padded = F.lpad(plain, 9, "0")
-    return F.array_distinct(F.array(F.lower(name), F.concat_ws(" ", prefix, plain), F.concat(prefix, plain), F.concat_ws(" ", prefix, padded), F.concat(prefix, padded)))
+    """Spaced and joined spellings of an identifier, its number as it is, without leading zeros and in four digits, lower-cased."""
+    part = lambda i: F.lower(F.regexp_extract(name, r"^([A-Za-z]+)\s*(\d+)\s*([A-Za-z]*)$", i))
+    rest = F.when(part(3) != "", F.concat(F.lit(" "), part(3))).otherwise("")
+    plain = F.regexp_replace(part(2), r"^0+(?=\d)", "")
+    numbers = F.array(part(2), plain, F.lpad(plain, F.greatest(F.lit(4), F.length(plain)), F.lit("0")))
+    spelled = F.flatten(F.transform(numbers, lambda n: F.array(F.concat(part(1), F.lit(" "), n, rest), F.concat(part(1), n, F.trim(rest)))))
+    own = F.array(F.lower(name), F.replace(F.lower(name), F.lit(" "), F.lit("")))
+    return F.array_distinct(F.when(part(2) != "", F.concat(own, spelled)).otherwise(own))
+
+
+def numbered_aliases(prefix: str, number: Column) -> Column:
+    """``PREFIX n`` and ``PREFIXn`` of a cross-identification, with and without leading zeros; none for an empty number."""
+    raw = F.trim(F.coalesce(number, F.lit("")))
+    both = F.array(raw, F.regexp_replace(raw, r"^0+(?=\d)", ""))
+    spelled = F.flatten(F.transform(both, lambda n: F.array(F.concat(F.lit(f"{prefix.lower()} "), n), F.concat(F.lit(prefix.lower()), n))))
+    return F.when(raw != "", spelled).otherwise(F.array().cast("array<string>"))
+
+
+def foreign_aliases(identifiers: Column) -> Column:
+    """Spellings of the identifiers of a comma-separated list that begin with one of ``FOREIGN``."""
+    tokens = F.transform(F.split(F.lower(F.coalesce(identifiers, F.lit(""))), ","), lambda x: F.trim(x))
+    known = F.filter(tokens, lambda x: F.exists(F.array(*map(F.lit, FOREIGN)), lambda p: F.startswith(x, p)))
+
+    def spell(x: Column) -> Column:
+        head, number, tail = (F.regexp_extract(x, r"^(\D+?)\s*(\d+)(.*)$", i) for i in (1, 2, 3))
+        plain = F.concat(F.regexp_replace(number, r"^0+(?=\d)", ""), tail)
+        joined = F.when(F.rlike(head, F.lit("[a-z]$")), F.array(F.concat(head, plain))).otherwise(F.array().cast("array<string>"))
+        more = F.when(number != "", F.concat(F.array(F.concat(head, F.lit(" "), plain)), joined)).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(x, F.replace(x, F.lit(" "), F.lit(""))), more)
+
+    return F.flatten(F.transform(known, spell))
 
 
 def lookup_key(name: Column) -> Column:

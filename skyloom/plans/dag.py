@@ -316,7 +316,7 @@ for _k in (
     Kind("seq_stack", {"sequence": _SEQ}, {"image": _IMG}, {"method": "rej", "sigma_low": 3.0, "sigma_high": 3.0, "rejection_type": "w", "norm": "addscale"}, tier="keep"),
     Kind("combine_stacks", {"images": "images"}, {"image": _IMG}, {"weight": "noise", "min_for_rejection": 5}, version=5, tier="keep"),
     Kind("crop", {"image": _IMG}, {"image": _IMG}, {"enabled": True, "x": 0.0, "y": 0.0, "width": 0.0, "height": 0.0, "rotation": 0.0, "threshold": 0.001, "padding": 0}, {"x": 4, "y": 4, "width": 4, "height": 4, "rotation": 3}, version=5, tier="keep"),
-    Kind("stretch", {"image": _IMG}, {"image": _IMG}, {"method": "autostretch", "linked": True, "shadows_clip": -2.8, "target_bg": 0.25, "saturation": 1.0, "mtf_shadows": 0.0, "mtf_midtones": 0.25, "mtf_highlights": 1.0, "asinh_stretch": 10.0, "asinh_offset": 0.0}, {"shadows_clip": 3, "target_bg": 3, "saturation": 3, "mtf_shadows": 4, "mtf_midtones": 4, "mtf_highlights": 4, "asinh_stretch": 2, "asinh_offset": 4}, version=2, tier="keep"),
+    Kind("stretch", {"image": _IMG}, {"image": _IMG}, {"method": "autostretch", "linked": True, "shadows_clip": -2.8, "target_bg": 0.25, "saturation": 1.0, "mtf_shadows": 0.0, "mtf_midtones": 0.25, "mtf_highlights": 1.0, "asinh_stretch": 10.0, "asinh_offset": 0.0, "auto_object": 0.4, "auto_bg_min": 0.08, "auto_bg_max": 0.15}, {"shadows_clip": 3, "target_bg": 3, "auto_object": 3, "auto_bg_min": 3, "auto_bg_max": 3, "saturation": 3, "mtf_shadows": 4, "mtf_midtones": 4, "mtf_highlights": 4, "asinh_stretch": 2, "asinh_offset": 4}, version=2, tier="keep"),
     Kind("starnet_recombine", {"starless": _IMG, "stars": _IMG}, {"image": _IMG}, {"enabled": True, "blend": "add", "amount": 1.0}, {"amount": 3}, tier="keep"),
     Kind("narrowband_compose", {"ha": _IMG, "oiii": _IMG}, {"image": _IMG}, {"mode": "hoo"}, tier="keep"),
     Kind("color_balance", {"image": _IMG}, {"image": _IMG}, {"enabled": True, "amount": 0.85}, {"amount": 2}, tier="keep"),

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Callable, Sequence
 from pathlib import Path
 from typing import Any
 
-import numpy as np
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,21 +37,35 @@ def catalog_entries(raw: DataFrame, name: str, ra: str, dec: str, magnitude: str
 
 
 def alias_table(entries: DataFrame) -> DataFrame:
-    """``alias, canonical``: the first entry of an alias wins."""
-    every = entries.select(F.explode(text.alias_keys(F.col("canonical"))).alias("alias"), "canonical", "source_no")
+    """``alias, canonical``: the first entry of an alias wins.
+
+    Columns ``m``, ``ngc``, ``ic`` and ``identifiers`` of the entries, if there, are
+    cross-identifications: numbers of those catalogs, and a list of other names.
+    """
+    have = set(entries.columns)
+    keys = [text.alias_keys(F.col("canonical")), *(text.numbered_aliases(c, F.col(c)) for c in ("m", "ngc", "ic") if c in have), *([text.foreign_aliases(F.col("identifiers"))] if "identifiers" in have else [])]
+    every = entries.select(F.explode(F.array_distinct(F.concat(*keys))).alias("alias"), "canonical", "source_no")
     return every.groupBy("alias").agg(F.min(F.struct("source_no", "canonical")).alias("m")).select("alias", "m.canonical")
 
 
 def ranked_list(spark: SparkSession, path: str) -> DataFrame:
     """A JSON list of names as ``rank, name``."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("a"))
-    return raw.select(F.posexplode("a").alias("rank", "name"))
+    return ranked(spark.read.text(path, wholetext=True), "value")
+
+
+def ranked(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """``rank, name`` of the JSON lists in a column."""
+    return rows.select(*keep, F.posexplode(F.from_json(column, "array<string>")).alias("rank", "name"))
 
 
 def name_table(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of names as ``key, name``."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
-    return raw.select(F.explode("m").alias("key", "name"))
+    return named(spark.read.text(path, wholetext=True), "value")
+
+
+def named(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """``key, name`` of the JSON objects in a column."""
+    return rows.select(*keep, F.explode(F.from_json(column, "map<string,string>")).alias("key", "name"))
 
 
 def read_yaml(path: str | Path) -> list[dict[str, Any]]:
@@ -91,17 +102,3 @@ def migrate(tables: dict[str, DataFrame], version: int, steps: Sequence[Callable
     for step in steps[version:]:
         tables = step(dict(tables))
     return tables, len(steps)
-
-
-def png(a: np.ndarray) -> bytes:
-    """A 16-bit PNG of an image in [0, 1]: (h, w) grey or (3, h, w) colour."""
-    v = (np.clip(a, 0, 1) * 65535 + 0.5).astype(">u2")
-    colour = v.ndim == 3
-    v = v.transpose(1, 2, 0) if colour else v
-    h, w = v.shape[:2]
-    raw = b"".join(b"\0" + line.tobytes() for line in v)
-
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 16, 2 if colour else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")

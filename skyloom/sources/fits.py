@@ -1,20 +1,24 @@
 """FITS files: headers, pixels, completeness, listings, and a writer.
 
-A header is 80-byte cards in 2880-byte blocks.  Headers are read in
-``mapInPandas``-free Arrow batches over ``binaryFile`` rows; listings prune the
-content column, so they touch file metadata only.
+A header is 80-byte cards in 2880-byte blocks.  Headers are read in Arrow batches
+over rows of files, or from the first blocks of each listed file alone; listings
+prune the content column, so they touch file metadata only.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import png
+
 BLOCK, CARD = 2880, 80
 _DTYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 _KEY = re.compile(r"^[A-Z0-9_-]{1,8}$")
@@ -116,41 +120,99 @@ def changed(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(k, "path", "left").filter(~F.coalesce(same, F.lit(False))).select(*found.columns)
 
 
-def read_headers(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length, header (map), complete, sha256``; an unreadable file has a null header."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.lower("path").rlike(r"\.fits?$"))
+def header_rows(files: DataFrame) -> DataFrame:
+    """``path, length, header (map), complete, sha256`` of rows ``path, length, content``; an unreadable file has a null header."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, ok = [], []
-            for data in batch.column("content"):
-                data = data.as_py() or b""
-                try:
-                    header, begin = parse_header(data)
-                    heads.append(list(header.items()))
-                    ok.append(complete(len(data), header, begin))
-                except ValueError:
-                    heads.append(None)
-                    ok.append(False)
-            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "length": batch.column("length"), "header": pa.array(heads, pa.map_(pa.string(), pa.string())), "complete": pa.array(ok), "sha256": batch.column("sha256")})
+            heads, ok = _headers(batch.column("content").to_pylist(), batch.column("length").to_pylist())
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "length": batch.column("length"), "header": heads, "complete": ok, "sha256": batch.column("sha256")})
 
-    return files.select("path", "length", "content", F.sha2("content", 256).alias("sha256")).mapInArrow(run, "path string, length long, header map<string,string>, complete boolean, sha256 string")
+    return files.select("path", "length", "content", F.sha2("content", 256).alias("sha256")).mapInArrow(run, f"{_HEADER}, sha256 string")
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """One row per image unit: ``path, idx, height, width, channels, px`` scaled to [0, 1] (a constant image is 0)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.lower("path").rlike(r"\.fits?$"))
+_HEADER = "path string, length long, header map<string,string>, complete boolean"
+
+
+def _headers(contents: list[bytes | None], lengths: list[int]) -> tuple[pa.Array, pa.Array]:
+    heads, ok = [], []
+    for data, length in zip(contents, lengths, strict=True):
+        try:
+            header, begin = parse_header(data or b"")
+            heads.append(list(header.items()))
+            ok.append(complete(length, header, begin))
+        except ValueError:
+            heads.append(None)
+            ok.append(False)
+    return pa.array(heads, pa.map_(pa.string(), pa.string())), pa.array(ok, pa.bool_())
+
+
+def read_headers(spark: SparkSession, root: str, hashed: bool = True) -> DataFrame:
+    """:func:`header_rows` of the files under a folder.
+
+    Without ``hashed`` only the blocks of each header are read, and nothing is hashed.
+    """
+    if hashed:
+        return header_rows(binary_files(spark, root))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, ok = _headers([head_of(p) for p in batch.column("path").to_pylist()], batch.column("length").to_pylist())
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "length": batch.column("length"), "header": heads, "complete": ok})
+
+    return listing(spark, root).select("path", "length").mapInArrow(run, _HEADER)
+
+
+def head_of(path: str, most: int = 400) -> bytes:
+    """The blocks of a file up to its END card, at most ``most``."""
+    fs, place = filesystem(path)
+    out = b""
+    with fs.open_input_stream(place) as f:
+        while len(out) < most * BLOCK:
+            block = f.read(BLOCK)
+            out += block
+            if len(block) < BLOCK or any(block[i : i + 8] == b"END     " for i in range(0, BLOCK, CARD)):
+                break
+    return out
+
+
+def filesystem(path: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    return pa_fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path else f"file://{path}")
+
+
+def binary_files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.lower("path").rlike(r"\.fits?$")).select("path", "length", "content")
+
+
+def frame_listing(files: DataFrame, prefix: str = "", suffix: str = "", artifacts: tuple[str, ...] = ("failed_", "stacked")) -> DataFrame:
+    """Rows of a listing whose file name has the prefix and suffix and is none of the instrument's by-products."""
+    name = F.lower(F.substring_index("path", "/", -1))
+    keep = name.startswith(prefix.lower()) & F.regexp_replace(name, r"\.fits?$", "").endswith(suffix.lower())
+    for a in artifacts:
+        keep = keep & ~name.startswith(a)
+    return files.filter(keep)
+
+
+def image_rows(files: DataFrame) -> DataFrame:
+    """One row per image unit of rows ``path, content``: ``path, idx, height, width, channels, px`` in [0, 1].
+
+    FITS values go from their least to their greatest (a constant image is 0),
+    PNG values by their depth.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [a for _, a in units(data or b"") if a is not None and a.ndim >= 2]
+                data = data or b""
+                if data[:4] == b"\x89PNG":
+                    rows = [png.decode(data)]
+                else:
+                    rows = [_scaled(a) for _, a in units(data) if a is not None and a.ndim >= 2]
                 out = []
                 for i, a in enumerate(rows):
-                    lo, hi = float(np.nanmin(a)), float(np.nanmax(a))
-                    a = (a - lo) / (hi - lo) if hi > lo else np.zeros_like(a)
                     planes = a if a.ndim == 3 else a[None]
-                    out.append((path, i, planes.shape[1], planes.shape[2], planes.shape[0], planes.astype(np.float32).ravel().tolist()))
+                    out.append((path, i, planes.shape[1], planes.shape[2], planes.shape[0], planes.astype(np.float32).ravel()))
                 if out:
                     kinds = (("path", pa.string()), ("idx", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("px", pa.list_(pa.float32())))
                     yield pa.RecordBatch.from_pydict({c: pa.array([r[z] for r in out], kind) for z, (c, kind) in enumerate(kinds)})
@@ -158,6 +220,41 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, idx int, height int, width int, channels int, px array<float>")
 
 
+def _scaled(a: np.ndarray) -> np.ndarray:
+    lo, hi = float(np.nanmin(a)), float(np.nanmax(a))
+    return (a - lo) / (hi - lo) if hi > lo else np.zeros_like(a)
+
+
+def read_images(spark: SparkSession, root: str) -> DataFrame:
+    """:func:`image_rows` of the files under a folder."""
+    return image_rows(binary_files(spark, root))
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write rows ``name, content`` as files of a shared folder, each whole or not at all; ``path, length`` of what is there.
+
+    Tasks write; a file that is there with the same length stays (incremental copy).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        fs.create_dir(root)
+        for batch in batches:
+            paths, sizes = [], []
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                place = f"{root.rstrip('/')}/{name}"
+                if fs.get_file_info(place).size != len(data):
+                    part = f"{place}.{uuid.uuid4().hex}.part"
+                    with fs.open_output_stream(part) as f:
+                        f.write(data)
+                    fs.move(part, place)
+                paths.append(place)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "length": pa.array(sizes, pa.int64())})
+
+    return rows.select("name", "content").mapInArrow(run, "path string, length long")
+
+
 def master_fields(name: Column) -> Column:
     """Exposure, gain, binning, temperature and stack depth from a master's file name; absent ones null."""
     get = lambda pattern, kind: F.regexp_extract(name, pattern, 1).try_cast(kind)
@@ -174,13 +271,19 @@ def enrich(header: Column, name: Column) -> Column:
     return F.map_zip_with(add, header, lambda k, a, b: F.coalesce(b, a))
 
 
-def encode_images(images: DataFrame) -> DataFrame:
-    """``img, content``: each image row (``img, c, h, w, px``) as the bytes of a FITS file, for a binary sink."""
+def encode_images(images: DataFrame, header: dict[str, str] | None = None, kind: str = "fits") -> DataFrame:
+    """``img, content``: each image row (``img, c, h, w, px``) as the bytes of a FITS or 16-bit PNG file, for a binary sink.
+
+    ``header`` names FITS cards and the columns that they take their values from.
+    """
+    cards = header or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            data = [write_fits(np.asarray(r["px"], np.float32).reshape(r["c"], r["h"], r["w"])[0 if r["c"] == 1 else slice(None)]) for r in rows]
-            yield pa.RecordBatch.from_pydict({"img": pa.array([r["img"] for r in rows], pa.string()), "content": pa.array(data, pa.binary())})
+            data = []
+            for r in batch.to_pylist():
+                a = np.asarray(r["px"], np.float32).reshape(r["c"], r["h"], r["w"])[0 if r["c"] == 1 else slice(None)]
+                data.append(png.encode(a) if kind == "png" else write_fits(a, {k: r[c] for k, c in cards.items() if r[c] is not None}))
+            yield pa.RecordBatch.from_pydict({"img": pa.array([str(x) for x in batch.column("img").to_pylist()], pa.string()), "content": pa.array(data, pa.binary())})
 
-    return images.select("img", "c", "h", "w", "px").mapInArrow(run, "img string, content binary")
+    return images.select(*dict.fromkeys(["img", "c", "h", "w", "px", *cards.values()])).mapInArrow(run, "img string, content binary")

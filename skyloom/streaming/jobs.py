@@ -44,15 +44,15 @@ def _streak(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
     """Consecutive failures per user; a purchase starts over.  The state is one number."""
     n = state.get[0] if state.exists else 0
     rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    out = []
-    for event, kind in zip(rows["event_id"], rows["event_type"], strict=True):
-        n = 0 if kind == "purchase" else n + (kind == "error")
-        out.append((event, key[0], n))
-    state.update((n,))
-    yield pd.DataFrame(out, columns=["event_id", "user_id", "streak"])
+    failed, over = (rows["event_type"] == "error").cumsum(), rows["event_type"] == "purchase"
+    since = failed.where(over).ffill()  # failures before the last purchase
+    streak = (failed - since.fillna(-n)).astype("int64")
+    state.update((int(streak.iloc[-1]),))
+    yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "streak": streak})
 
 
 def streaks(events: DataFrame) -> DataFrame:
+    """The state is one number a user and is kept: a streak has no end but the next purchase."""
     return events.groupBy("user_id").applyInPandasWithState(_streak, _STREAK_OUT, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -99,7 +99,7 @@ def verdicts(tallies: DataFrame, known: DataFrame, now_us: int, settle_us: int =
 def simulate(spark: SparkSession, nights: int, ticks: int, seed: int = 1) -> DataFrame:
     """Deterministic synthetic frames: a target per night and hour, failures by a hash."""
     n = spark.range(nights * ticks)
-    h = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long") % 1000
     return n.select(
         F.col("id").alias("event_id"), F.expr(f"cast(id div {ticks} as long)").alias("night"), (F.expr(f"(id % {ticks}) div 60") % 5).alias("user_id"),
         F.expr(f"timestamp_seconds(1704067200 + (id div {ticks}) * 86400 + (id % {ticks}) * 60)").alias("ts"),

@@ -259,7 +259,12 @@ def overlap_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("cluster").agg(F.max_by("old", F.struct("overlap", -F.col("old"))).alias("best_old"), F.max("overlap").alias("overlap"))
 
 
-@query("stable_session_ids")
+@query("stable_session_ids", f"""WITH RECURSIVE {_NUM}, c AS (SELECT user_id, user_id * 10000 + session_no AS cluster, user_id * 10000 + (at_us // (2 * 86400000000)) % 1000 AS old, count(*) AS overlap FROM s GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY overlap DESC, old, cluster) AS i FROM c),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS cs, CAST([] AS BIGINT[]) AS os FROM o UNION ALL
+SELECT r.user_id, o.i, CASE WHEN list_contains(cs, cluster) OR list_contains(os, old) THEN cs ELSE list_append(cs, cluster) END, CASE WHEN list_contains(cs, cluster) OR list_contains(os, old) THEN os ELSE list_append(os, old) END
+FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT unnest(cs) AS cluster, unnest(os) AS old FROM r WHERE i = (SELECT max(i) FROM o WHERE o.user_id = r.user_id)""")
 def stable_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New clusters keep the id of the old session that they share most frames with, one to one."""
     s = numbered(spark, sf_dir).select((F.col("user_id") * 10_000 + F.col("session_no")).alias("cluster"), (F.col("user_id") * 10_000 + F.expr("at_us div 172800000000") % 1000).alias("old"))

@@ -201,7 +201,10 @@ def calibrate_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
 
 
-@query("align_shift")
+@query("align_shift", f"""WITH {_P}, d AS (SELECT vec_id, y, x, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM p), s AS (SELECT unnest(range(0, 8)) AS dy), t AS (SELECT unnest(range(0, 8)) AS dx),
+c AS (SELECT a.vec_id, dy, dx, round(sum(a.v * b.v), 9) AS c FROM d a, s, t, d b WHERE b.vec_id = a.vec_id + 1 AND b.y = (a.y - dy + 8) % 8 AND b.x = (a.x - dx + 8) % 8 GROUP BY ALL),
+m AS (SELECT vec_id, arg_max(struct_pack(dy := dy, dx := dx), struct_pack(c := c, i := -(dy * 8 + dx))) AS w FROM c GROUP BY vec_id)
+SELECT vec_id AS key, CAST(CASE WHEN w.dy <= 4 THEN w.dy ELSE w.dy - 8 END AS INTEGER) AS dy, CAST(CASE WHEN w.dx <= 4 THEN w.dx ELSE w.dx - 8 END AS INTEGER) AS dx FROM m""")
 def align_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-pixel shifts between neighbouring images by FFT cross-correlation."""
     im = images(spark, sf_dir)

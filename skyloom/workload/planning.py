@@ -30,13 +30,13 @@ def planner_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pick_next_target", f"""WITH {_TGT}, g AS (SELECT *, {_LST.format(t=DUSK, lon=LON)} AS lst FROM tgt), a AS (SELECT tid, {_ALT.format(lat=LAT)} AS alt FROM g),
 s AS (SELECT tid, alt, (1 - sqrt((1 + abs(c_acctbal)) / (1 + abs(c_acctbal) + 3600))) * power(sin(radians(alt)), 2) AS score FROM a JOIN customer ON c_custkey = tid WHERE alt >= 25)
-SELECT tid, round(score, 9) AS score FROM s ORDER BY tid = 42 DESC, s.score DESC LIMIT 1""")
+SELECT tid, round(score, 9) AS score FROM s ORDER BY tid = 42 DESC, s.score DESC, tid LIMIT 1""")
 def pick_next_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incumbent while it is usable, else the most gain times the square of the altitude's sine."""
     alt = sp.altitude(F.col("ra"), F.col("dec"), F.lit(LAT), sp.sidereal(F.lit(DUSK), F.lit(LON)))
     gain = va.noise_drop(1 + F.abs("bal"), F.lit(3600.0))
     s = targets(spark, sf_dir).withColumn("alt", alt).filter("alt >= 25").withColumn("score", gain * F.pow(F.sin(F.radians("alt")), 2))
-    return s.orderBy(F.desc(F.col("tid") == 42), F.desc("score")).limit(1).select("tid", F.round("score", 9).alias("score"))
+    return s.orderBy(F.desc(F.col("tid") == 42), F.desc("score"), "tid").limit(1).select("tid", F.round("score", 9).alias("score"))
 
 
 @query("usable_targets", f"""WITH {_TGT}, g0 AS (SELECT *, {_LST.format(t=DUSK, lon=LON)} AS lst FROM tgt), a0 AS (SELECT tid, ra, dec, {_ALT.format(lat=LAT)} AS alt0 FROM g0),
@@ -94,7 +94,17 @@ def dag_must_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dag.must_run(_edges(spark, sf_dir), n.filter("node % 5 <> 0"), n.filter("node IN (17, 23)"))
 
 
-@query("dag_hashes")
+_EX = """e(id, port, src, out, wide, src_wide) AS (VALUES ('convert', 'lights', 'input', 'lights', TRUE, FALSE), ('calibrate', 'sequence', 'convert', 'sequence', TRUE, TRUE), ('stack', 'sequence', 'calibrate', 'sequence', TRUE, TRUE),
+('combine', 'images', 'stack', 'image', FALSE, TRUE), ('crop', 'image', 'combine', 'image', FALSE, FALSE), ('stretch', 'image', 'crop', 'image', FALSE, FALSE)), k(k) AS (VALUES ('night1'), ('night2'))"""
+
+
+@query("dag_hashes", """WITH k(k) AS (VALUES ('night1'), ('night2')), a AS (SELECT k, sha256('{"inputs":{"lights":"input:lights@' || k || '"},"kind":"convert_lights","params":{},"version":1}') AS a FROM k),
+b AS (SELECT k, sha256('{"inputs":{"sequence":"' || a || ':sequence"},"kind":"calibrate","params":{"exclude_uncalibratable":false},"version":2}') AS b FROM a),
+c AS (SELECT k, sha256('{"inputs":{"sequence":"' || b || ':sequence"},"kind":"seq_stack","params":{"method":"rej","norm":"addscale","rejection_type":"w","sigma_high":3.0,"sigma_low":3.0},"version":1}') AS c FROM b),
+d AS (SELECT sha256('{"inputs":{"images":[' || string_agg('"' || c || ':image"', ',' ORDER BY c) || ']},"kind":"combine_stacks","params":{"min_for_rejection":5,"weight":"noise"},"version":5}') AS d FROM c),
+f AS (SELECT sha256('{"inputs":{"image":"' || d || ':image"},"kind":"crop","params":{"enabled":true,"height":0.0,"padding":0,"rotation":0.0,"threshold":0.001,"width":0.0,"x":0.0,"y":0.0},"version":5}') AS f FROM d),
+g AS (SELECT sha256('{"inputs":{"image":"' || f || ':image"},"kind":"stretch","params":{"asinh_offset":0.0,"asinh_stretch":10.0,"auto_bg_max":0.15,"auto_bg_min":0.08,"auto_object":0.4,"linked":true,"method":"autostretch","mtf_highlights":1.0,"mtf_midtones":0.25,"mtf_shadows":0.0,"saturation":1.0,"shadows_clip":-2.8,"target_bg":0.25},"version":2}') AS g FROM f)
+SELECT 'convert@' || k AS node, a AS hash FROM a UNION ALL SELECT 'calibrate@' || k, b FROM b UNION ALL SELECT 'stack@' || k, c FROM c UNION ALL SELECT 'combine', d FROM d UNION ALL SELECT 'crop', f FROM f UNION ALL SELECT 'stretch', g FROM g""")
 def dag_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle hashes of the standard template, planned on the driver."""
     spec = dag.Template.from_dict(dag.EXAMPLE)
@@ -102,7 +112,8 @@ def dag_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(hashes.items()), "node string, hash string")
 
 
-@query("dag_expand")
+@query("dag_expand", f"""WITH {_EX} SELECT id || '@' || k AS node, port, CASE WHEN src_wide THEN src || '@' || k || '.' || out ELSE src || '.' || out || '@' || k END AS source FROM e, k WHERE wide
+UNION ALL SELECT id, port, src || '@' || k || '.' || out FROM e, k WHERE NOT wide AND src_wide UNION ALL SELECT id, port, src || '.' || out FROM e WHERE NOT wide AND NOT src_wide""")
 def dag_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-session fan-out and fan-in of the template's edges."""
     wide = dag.expand(dag.Template.from_dict(dag.EXAMPLE), ["night1", "night2"])

@@ -169,8 +169,12 @@ def noise_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("o_orderkey", "o.hours", F.round("o.noise_drop", 9).alias("noise_drop"))
 
 
-@query("healpix_bucket", f"WITH {_TGT}, x AS (SELECT tid, CAST(floor(ra / 22.5) AS BIGINT) AS x, CAST(floor((dec + 90) / 11.25) AS BIGINT) AS y FROM tgt) SELECT tid, " + " + ".join(f"((x >> {i}) & 1) * {1 << (2 * i)} + ((y >> {i}) & 1) * {1 << (2 * i + 1)}" for i in range(4)) + " AS code FROM x")
+@query("healpix_bucket", f"""WITH {_TGT}, a AS (SELECT tid, sin(radians(dec)) AS z, (ra - 360 * floor(ra / 360)) / 90 AS q FROM tgt),
+l AS (SELECT tid, z, q, CAST(floor(16 * (0.5 + q) - 12 * z) AS BIGINT) AS p, CAST(floor(16 * (0.5 + q) + 12 * z) AS BIGINT) AS m, least(3, CAST(floor(q) AS BIGINT)) AS c, 16 * sqrt(3 * (1 - abs(z))) AS s FROM a),
+f AS (SELECT *, least(15, CAST(floor((q - c) * s) AS BIGINT)) AS jp, least(15, CAST(floor((1 - (q - c)) * s) AS BIGINT)) AS jm FROM l),
+b AS (SELECT tid, CASE WHEN abs(z) > 2.0e0 / 3 THEN CASE WHEN z >= 0 THEN c ELSE c + 8 END WHEN p // 16 = m // 16 THEN (p // 16) % 4 + 4 WHEN p // 16 < m // 16 THEN p // 16 ELSE m // 16 + 8 END AS face,
+  CASE WHEN abs(z) > 2.0e0 / 3 THEN CASE WHEN z >= 0 THEN 15 - jm ELSE jp END ELSE m % 16 END AS x, CASE WHEN abs(z) > 2.0e0 / 3 THEN CASE WHEN z >= 0 THEN 15 - jp ELSE jm END ELSE 15 - p % 16 END AS y FROM f)
+SELECT tid, CAST(face * 256 + """ + " + ".join(f"((x >> {i}) & 1) * {1 << (2 * i)} + ((y >> {i}) & 1) * {1 << (2 * i + 1)}" for i in range(4)) + " AS BIGINT) AS code FROM b")
 def healpix_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nested (Morton) index of the position."""
-    x, y = F.floor(F.col("ra") / 22.5).cast("long"), F.floor((F.col("dec") + 90) / 11.25).cast("long")
-    return targets(spark, sf_dir).select("tid", sp.interleave(x, y, 4).alias("code"))
+    """The nested HEALPix index of each position, sixteen pixels a side."""
+    return targets(spark, sf_dir).select("tid", sp.healpix(F.col("ra"), F.col("dec"), 4).alias("code"))

@@ -40,7 +40,8 @@ def stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scheduler_sim")
+@query("scheduler_sim", """WITH e AS (SELECT i // 480 AS night, ((i % 480) // 60) % 5 AS user_id, CAST('0x' || substr(md5(CAST(i AS VARCHAR) || ':1'), 1, 8) AS BIGINT) % 1000 AS h FROM (SELECT unnest(range(0, 2400)) AS i))
+SELECT night, user_id, CAST(count(*) FILTER (h < 150) AS BIGINT) AS error, CAST(count(*) FILTER (h >= 150 AND h < 200) AS BIGINT) AS purchase, CAST(count(*) FILTER (h >= 200) AS BIGINT) AS view FROM e GROUP BY ALL""")
 def scheduler_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated nights, counted by target and outcome."""
     s = jobs.simulate(spark, 5, 480)

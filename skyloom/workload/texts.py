@@ -39,7 +39,7 @@ def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = first.select(F.col("key").alias("k1"), F.col("n_name").alias("name1"))
     b = first.select(F.replace("key", F.lit(" "), F.lit("")).alias("k2"), F.col("n_name").alias("name2"))
     key = tx.lookup_key(F.col("raw"))
-    x = c.join(F.broadcast(a), key == F.col("k1"), "left").join(F.broadcast(b), F.replace(key, F.lit(" "), F.lit("")) == F.col("k2"), "left")
+    x = c.join(a, key == F.col("k1"), "left").join(b, F.replace(key, F.lit(" "), F.lit("")) == F.col("k2"), "left")
     return x.select("c_custkey", F.coalesce("name1", "name2").alias("canonical"))
 
 
@@ -59,7 +59,7 @@ def filter_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.canonical_filter(raw).alias("filter"))
 
 
-@query("alias_expand", "WITH c AS (SELECT n_nationkey, 'NGC' || lpad(CAST(n_nationkey + 7 AS VARCHAR), 4, '0') AS name FROM nation) SELECT DISTINCT n_nationkey, unnest([lower(name), 'ngc ' || CAST(n_nationkey + 7 AS VARCHAR), 'ngc' || CAST(n_nationkey + 7 AS VARCHAR), 'ngc ' || lpad(CAST(n_nationkey + 7 AS VARCHAR), 9, '0'), 'ngc' || lpad(CAST(n_nationkey + 7 AS VARCHAR), 9, '0')]) AS alias, 'NGC ' || CAST(n_nationkey + 7 AS VARCHAR) AS canonical FROM c")
+@query("alias_expand", "WITH c AS (SELECT n_nationkey, 'NGC' || lpad(CAST(n_nationkey + 7 AS VARCHAR), 4, '0') AS name FROM nation) SELECT DISTINCT n_nationkey, unnest(['ngc ' || CAST(n_nationkey + 7 AS VARCHAR), 'ngc' || CAST(n_nationkey + 7 AS VARCHAR), 'ngc ' || lpad(CAST(n_nationkey + 7 AS VARCHAR), 4, '0'), 'ngc' || lpad(CAST(n_nationkey + 7 AS VARCHAR), 4, '0')]) AS alias, 'NGC ' || CAST(n_nationkey + 7 AS VARCHAR) AS canonical FROM c")
 def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("NGC"), F.lpad((F.col("n_nationkey") + 7).cast("string"), 4, "0"))
     return table(spark, sf_dir, "nation").select("n_nationkey", F.explode(tx.alias_keys(name)).alias("alias"), tx.canonical_id(name).alias("canonical"))

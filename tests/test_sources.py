@@ -27,6 +27,43 @@ def test_fits_round_trip(spark, tmp_path):
     assert np.allclose(np.array(im["a.FITS"].px).reshape(3, 4), a / 11) and set(im["b.fit"].px) == {0.0}
 
 
+def test_heads_alone(spark, tmp_path):
+    files(tmp_path)
+    whole = {r.path: (r.header, r.complete) for r in fits.read_headers(spark, str(tmp_path)).collect()}
+    heads = fits.read_headers(spark, str(tmp_path), hashed=False)
+    assert {r.path: (r.header, r.complete) for r in heads.collect()} == whole
+    assert "sha256" not in heads.columns and fits.head_of(str(tmp_path / "b.fit")) == (tmp_path / "b.fit").read_bytes()[:2880]
+
+
+def test_files_are_written_whole_and_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a.bin", b"12"), ("b.bin", b"")], "name string, content binary")
+    out = tmp_path / "out"
+    assert sorted((r.path.rsplit("/", 1)[1], r.length) for r in fits.write_files(rows, str(out)).collect()) == [("a.bin", 2), ("b.bin", 0)]
+    at = (out / "a.bin").stat().st_mtime_ns
+    fits.write_files(rows, str(out)).collect()
+    assert (out / "a.bin").stat().st_mtime_ns == at and sorted(p.name for p in out.iterdir()) == ["a.bin", "b.bin"]
+
+
+def test_scratch(spark):
+    import gc
+    import os
+    import time
+
+    from skyloom.sources import scratch
+
+    df = scratch.cut(spark.range(10))
+    place = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().split(":", 1)[1]
+    assert os.path.isdir(place) and df.count() == 10
+    del df
+    for _ in range(40):  # the files go once nothing refers to them
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+        if not os.path.isdir(place):
+            break
+    assert not os.path.isdir(place)
+
+
 def test_listing_and_incremental(spark, tmp_path):
     files(tmp_path)
     found = fits.listing(spark, str(tmp_path))
