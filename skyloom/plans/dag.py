@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import warnings
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -237,14 +238,48 @@ class Store:
         place, fs = self._fs(f"{self.root}/{address}/_done")
         return fs.exists(place)
 
+    def manifest(self, address: str) -> dict[str, Any]:
+        """What an entry's last file says: its ports and the warnings of its run."""
+        place, fs = self._fs(f"{self.root}/{address}/_done")
+        stream = fs.open(place)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text else {"ports": [], "warnings": []}
+
+    def reserve(self, address: str) -> bool:
+        """Whether this caller may write the entry: only one holds it at a time, and none once it is whole."""
+        if self.has(address):
+            return False
+        place, fs = self._fs(f"{self.root}/{address}/_held")
+        fs.mkdirs(place.getParent())
+        return fs.createNewFile(place)
+
+    def release(self, address: str) -> None:
+        place, fs = self._fs(f"{self.root}/{address}/_held")
+        fs.delete(place, False)
+
+    def mark(self, address: str) -> None:
+        """Note that the entry is used now, for eviction by age."""
+        place, fs = self._fs(f"{self.root}/{address}/_done")
+        if fs.exists(place):
+            fs.setTimes(place, self.spark.sparkContext._jvm.System.currentTimeMillis(), -1)
+
     def load(self, address: str, ports: Iterable[str]) -> dict[str, DataFrame]:
         return {p: self.spark.read.parquet(self._path(address, p)) for p in ports}
 
-    def commit(self, address: str, outputs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    def commit(self, address: str, outputs: Mapping[str, DataFrame], warned: Iterable[str] = ()) -> dict[str, DataFrame]:
+        """Write the outputs, then the manifest, under another name until it is whole."""
         for port, df in outputs.items():
             df.write.mode("overwrite").parquet(self._path(address, port))
         place, fs = self._fs(f"{self.root}/{address}/_done")
-        fs.create(place, True).close()
+        part, _ = self._fs(f"{self.root}/{address}/_done.part")
+        stream = fs.create(part, True)
+        stream.write(bytearray(json.dumps({"ports": sorted(outputs), "warnings": list(warned)}).encode()))
+        stream.close()
+        fs.delete(place, False)
+        fs.rename(part, place)
         return self.load(address, outputs)
 
     def evict(self, address: str) -> None:
@@ -263,7 +298,10 @@ def run(t: Template, store: Store, inputs: Mapping[str, DataFrame], external: Ma
         if n.id not in todo:
             if store.has(address[n.id]):
                 made[n.id] = store.load(address[n.id], kind.outputs)
+                store.mark(address[n.id])
                 events({"type": "node_cached", "node": n.id})
+                for text in store.manifest(address[n.id])["warnings"]:
+                    events({"type": "node_warning", "node": n.id, "message": text})
             continue
         if kind.body is None:
             raise NotImplementedError(f"{n.kind} needs an external program")
@@ -274,11 +312,50 @@ def run(t: Template, store: Store, inputs: Mapping[str, DataFrame], external: Ma
                 raise ValueError(f"{n.id}: input {port} is missing")
             args[port] = found if want in LIST_TYPES else (found[0] if found else None)
         events({"type": "node_started", "node": n.id})
-        made[n.id] = store.commit(address[n.id], kind.body(**args, **parameters(n, profile or {}, overrides)))
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            outputs = kind.body(**args, **parameters(n, profile or {}, overrides))
+        warned = [str(w.message) for w in said if issubclass(w.category, NodeWarning)]
+        made[n.id] = store.commit(address[n.id], outputs, warned)
+        for text in warned:
+            events({"type": "node_warning", "node": n.id, "message": text})
         events({"type": "node_done", "node": n.id})
     return {name: made[src][port] for name, (src, port) in t.outputs.items()}
 
 
+class NodeWarning(UserWarning):
+    """What a node's body has to say about its result; kept with it and told again when it is reused."""
+
+
+def run_node(kind: str, store: Store, inputs: Mapping[str, DataFrame | list[DataFrame]], external: Mapping[str, str | list[str]], params: Mapping[str, Any] | None = None) -> tuple[str, bool, dict[str, DataFrame]]:
+    """One node by itself: its address, whether the store had it, and its outputs.
+
+    ``external`` names each input's content, as hashes do; the address is the one
+    that the node would have in a template with these inputs.
+    """
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind}")
+    spec = KINDS[kind]
+    if extra := sorted(set(inputs) - set(spec.inputs)):
+        raise ValueError(f"{kind}: no input port {extra[0]}")
+    if lacking := sorted(p for p in spec.inputs if p not in inputs and p not in spec.optional):
+        raise ValueError(f"{kind}: input {lacking[0]} is missing")
+    flat, known, refs = {}, {}, {}
+    for port, value in inputs.items():
+        names = external[port]
+        if isinstance(value, list) != (spec.inputs[port] in LIST_TYPES) or isinstance(value, list) != isinstance(names, list):
+            raise ValueError(f"{kind}: input {port} takes {'a list' if spec.inputs[port] in LIST_TYPES else 'one'}")
+        pairs = list(zip(value, names, strict=True)) if isinstance(value, list) else [(value, names)]
+        for i, (df, name) in enumerate(pairs):
+            flat[f"{port}{i}"], known[f"{port}{i}"] = df, name
+        refs[port] = tuple(("input", f"{port}{i}") for i in range(len(pairs)))
+    resolved(spec, params or {})
+    t = Template(f"one_{kind}", (Node("node", kind, dict(params or {}), refs),), {p: ("node", p) for p in spec.outputs})
+    address = hashes(t, known)["node"]
+    hit = store.has(address)
+    return address, hit, run(t, store, flat, known)
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """``node, level``: the longest path from a node without sources, for edges ``src, dst``.
 

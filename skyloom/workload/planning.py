@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sphere as sp
 from ..functions import values as va
+from ..operators import scheduling
 from ..operators import sessions as op
-from ..plans import dag, nodes  # noqa: F401  (registers the bodies)
+from ..plans import dag, jobs, nodes  # noqa: F401  (registers the bodies)
 from ..registry import query
 from ..sources.tables import micros, table
 from .sky import _ALT, _GRID, _LST, _TGT, DUSK, LAT, LON, _grid, targets
@@ -133,3 +134,58 @@ def target_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("at_us", micros("ts"))
     w = op.ordered(["user_id"], ["at_us", "event_id"])
     return e.withColumn("prev", F.lag("event_type").over(w)).groupBy("user_id").agg(F.count_if(~F.col("event_type").eqNullSafe(F.col("prev"))).alias("switches"))
+
+
+_REP = """n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_id, user_id, ts, event_type, n, CAST(n // 6 AS BIGINT) AS job, 'T' || CAST(n // 9 AS VARCHAR) AS target, row_number() OVER (PARTITION BY user_id, n // 6 ORDER BY n) AS captured,
+  CAST(count(*) FILTER (event_type IN ('error', 'view')) OVER (PARTITION BY user_id, n // 6 ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS failed, CASE WHEN user_id % 3 = 0 THEN 0.6e0 ELSE 0.1e0 END AS share FROM n),
+l AS (SELECT *, lag(target) OVER o AS t0, coalesce(lag(captured) OVER o, 0) AS c0, coalesce(lag(failed) OVER o, 0) AS f0, lag(job) OVER o AS j0 FROM r WINDOW o AS (PARTITION BY user_id ORDER BY n)),
+b AS (SELECT *, coalesce(target <> t0, FALSE) AS other, captured < c0 OR coalesce(job <> j0, FALSE) AS began FROM l),
+d AS (SELECT *, failed - CASE WHEN began THEN 0 WHEN other THEN failed ELSE f0 END AS lost, captured - CASE WHEN began THEN 0 WHEN other THEN captured ELSE c0 END AS more FROM b),
+w AS (SELECT *, more - lost AS won, more - lost > 0 OR (lost > 0 AND share >= 0.5) AS ends FROM d),
+g AS (SELECT *, sum(CASE WHEN other THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n) + coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM w),
+a AS (SELECT event_id, user_id, ts, event_type, target, CAST(lost AS BIGINT) AS fresh_failed, CAST(won AS BIGINT) AS accepted, CAST(greatest(0, won + round_even(lost * share, 0)) AS BIGINT) AS credit,
+  CAST(CASE WHEN ends THEN 0 ELSE sum(lost) OVER (PARTITION BY user_id, run ORDER BY n ROWS UNBOUNDED PRECEDING) END AS BIGINT) AS streak FROM g)"""
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user is a scope whose events are status reports: six to a job, nine to a target."""
+    e = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(op.ordered(["user_id"], ["ts", "event_id"])))
+    job = F.expr("cast(n div 6 as long)")
+    w = op.ordered(["user_id", "job"], ["n"])
+    e = e.withColumn("job", job).withColumn("captured", F.row_number().over(w).cast("long")).withColumn("failed", F.count_if(F.col("event_type").isin("error", "view")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return e.select("event_id", "user_id", "ts", "event_type", "n", "job", F.concat(F.lit("T"), F.expr("cast(n div 9 as string)")).alias("target"), "captured", "failed", F.when(F.col("user_id") % 3 == 0, 0.6).otherwise(0.1).alias("share"))
+
+
+@query("target_accounting", f"WITH {_REP} SELECT event_id, target, fresh_failed, accepted, credit, streak FROM a")
+def target_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New frames, credit and failed frames in a row of every status report."""
+    return scheduling.account(_reports(spark, sf_dir), "user_id", ["n"]).select("event_id", "target", "fresh_failed", "accepted", "credit", "streak")
+
+
+@query("scheduler_decisions", f"""WITH {_REP}, s AS (SELECT *, extract(hour FROM ts) AS h FROM a)
+SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'wait' WHEN NOT (h >= 18 OR h < 6) THEN CASE WHEN event_type <> 'purchase' THEN 'stop' ELSE 'park' END WHEN event_id % 13 = 0 THEN 'stop'
+ WHEN event_type <> 'purchase' THEN CASE WHEN streak >= 3 OR event_id % 19 = 0 OR event_id % 11 = 0 THEN 'leave' ELSE 'capture' END ELSE 'pick' END AS step FROM s""")
+def scheduler_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scheduler's step at every status report."""
+    r = scheduling.account(_reports(spark, sf_dir), "user_id", ["n"])
+    hour, k = F.hour("ts"), F.col("event_id")
+    facts = {"in_window": (hour >= 18) | (hour < 6), "busy": k % 17 == 0, "job_failed": k % 13 == 0, "capturing": F.col("event_type") != "purchase", "usable": k % 11 != 0, "done": k % 19 == 0}
+    return scheduling.decide(r.withColumns(facts), fail_streak=3).select("event_id", "step")
+
+
+_JOB = """li AS (SELECT l_suppkey AS session, count(*) FILTER (l_returnflag <> 'A') AS lights FROM lineitem GROUP BY l_suppkey), s AS (SELECT s_suppkey AS session, s_nationkey FROM supplier),
+ok AS (SELECT session, s_nationkey FROM s JOIN li USING (session) WHERE lights >= 3)"""
+
+
+@query("job_inputs", f"""WITH {_JOB} SELECT 'convert@' || CAST(session AS VARCHAR) || '.lights' AS key, 'lights/' || CAST(session AS VARCHAR) AS source FROM ok
+UNION ALL SELECT 'calibrate@' || CAST(session AS VARCHAR) || '.' || k.kind, 'master/' || k.kind || '/' || CAST(CASE k.kind WHEN 'dark' THEN s_nationkey ELSE s_nationkey + 100 END AS VARCHAR) FROM ok, (VALUES ('dark'), ('flat')) k(kind) WHERE k.kind = 'dark' OR s_nationkey % 2 = 0""")
+def job_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inputs of a job over all suppliers as sessions: their lights, and the darks and flats matched to them."""
+    s = table(spark, sf_dir, "supplier")
+    sessions = s.select(F.col("s_suppkey").alias("session"), F.lit("DWARF 3").alias("instrument"), F.lit(30.0).alias("exptime"), F.lit(60).alias("gain"), F.lit(1).alias("binning"))
+    lights = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), F.when(F.col("l_returnflag") == "A", "failed").otherwise("good").alias("quality"), F.lit(False).alias("rescued"))
+    n = F.col("s_nationkey")
+    kind = lambda k, no, path: s.select(F.col("s_suppkey").alias("session"), F.lit(k).alias("kind"), F.concat(F.lit(f"master/{k}/"), no.cast("string")).alias("path"))
+    matches = kind("dark", n, "").unionByName(kind("flat", n + 100, "").filter("cast(substring_index(path, '/', -1) as int) % 2 = 0"))
+    return jobs.inputs(dag.Template.from_dict(dag.EXAMPLE), sessions, lights, matches)

@@ -126,3 +126,22 @@ def test_images_encode_to_fits(spark, tmp_path):
     im = spark.createDataFrame([("x", 1, 3, 4, [float(v) for v in a.ravel()])], "img string, c int, h int, w int, px array<float>")
     header, data = next(fits.units(fits.encode_images(im).first().content))
     assert header["NAXIS"] == "2" and np.allclose(data, a)
+
+
+def test_accounts_in_the_stream(spark, tmp_path):
+    """The stream's account of status reports is the batch's, over several batches."""
+    from skyloom.operators import scheduling
+    from skyloom.workload.planning import _reports
+    from tests.conftest import SF
+
+    columns = ["event_id", "user_id", "n", "job", "target", "captured", "failed", "share"]
+    r = _reports(spark, SF).select(*columns)
+    src = str(tmp_path / "src")
+    for k in range(3):
+        r.filter((F.col("n") > 5 * k) & (F.col("n") <= 5 * (k + 1))).coalesce(1).write.mode("append").parquet(src)
+    kind = "event_id long, user_id long, n int, job long, target string, captured long, failed long, share double"
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(src)
+    got = jobs.run_once(scheduling.account_stream(stream, "user_id", ["n"], kind), "t-account", "append")
+    want = scheduling.account(r.filter("n <= 15"), "user_id", ["n"])
+    pick = ["event_id", *scheduling.ACCOUNT]
+    assert sorted(map(tuple, got.select(*pick).collect())) == sorted(map(tuple, want.select(*pick).collect()))
