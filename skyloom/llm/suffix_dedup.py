@@ -26,7 +26,7 @@ one per 13 bytes).
 
 Groups of copies are runs in a sort, never pairs, and each batch sends one copy
 of equal surroundings.  Batches and buckets exchange packed rows, at most one for
-each pair that has something to say: a bucket is as large as three batches, and
+each pair that has something to say: a bucket is as large as two batches, and
 there are never more rows than anchors.
 
 Defined cases: null and empty texts are empty; a document without id neither
@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from . import _text as t
 from ._spark import partitions
 
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 PIECE = 1 << 19
 #: Places of an anchor beyond which it is split, and in a batch beyond which they are told.
 HOT_ROWS, TOLD = 1 << 15, 8
@@ -573,15 +573,15 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     plain = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)))
     size = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n, buckets = (max(partitions(docs.sparkSession), -(-size // part)) for part in (BATCH_BYTES, BUCKET_BYTES))
-    dealt = plain.withColumn("batch", F.pmod(F.xxhash64("_id", F.octet_length("_text")), F.lit(n)).cast("int")).repartition(n, "batch")
+    dealt = plain.withColumn("batch", F.pmod(F.xxhash64("_id", F.octet_length("_text")), F.lit(n)).cast("int")).repartitionById(n, "batch")  # one batch a task
     names = ["_id", *(f"_k{i}" for i in range(len(keep)))]
     said = dealt.groupBy("batch").applyInArrow(_announce(shape, buckets), "bucket int, batch int, low binary, many binary")
-    flags = said.groupBy("bucket").applyInArrow(_repeated(shape), "batch int, bucket int, bits binary, split binary")
-    sent = dealt.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_send(shape, buckets), "bucket int, batch int, decided boolean, rows binary, bytes binary")
-    gone = sent.groupBy("bucket").applyInArrow(_judged(shape), "batch int, gone binary")
+    flags = said.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated(shape), "batch int, bucket int, bits binary, split binary")
+    sent = dealt.groupBy("batch").cogroup(flags.repartitionById(n, "batch").groupBy("batch")).applyInArrow(_send(shape, buckets), "bucket int, batch int, decided boolean, rows binary, bytes binary")
+    gone = sent.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_judged(shape), "batch int, gone binary")
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    out = dealt.groupBy("batch").cogroup(gone.groupBy("batch")).applyInArrow(_cut(shape, names, with_text), schema)
+    out = dealt.groupBy("batch").cogroup(gone.repartitionById(n, "batch").groupBy("batch")).applyInArrow(_cut(shape, names, with_text), schema)
     return out.select(F.col("_id").alias(doc_id), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep) if c != doc_id), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []))
 
 
