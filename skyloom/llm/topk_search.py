@@ -162,6 +162,17 @@ class Index:
         self.ids = [ids[order[a : min(b, a + most)]] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         self.tree = CoverTree(self.points.astype(np.float64), leaf)
 
+    def __getstate__(self) -> dict:
+        """Without the tree's copy of the points, which are sent as 32 bits where they fit."""
+        small = np.abs(self.points).max(initial=0) < 2**31
+        tree = {k: v for k, v in self.tree.__dict__.items() if k not in ("points", "centre", "radius")}
+        return {"points": self.points.astype(np.int32) if small else self.points, "ids": self.ids, "tree": tree}
+
+    def __setstate__(self, state: dict) -> None:
+        self.points, self.ids = state["points"].astype(np.int64), state["ids"]
+        self.tree = CoverTree.__new__(CoverTree)
+        self.tree.__dict__ |= state["tree"] | {"points": self.points.astype(np.float64)}
+
     def widened(self, dim: int) -> Index:
         if self.points.shape[1] < dim:
             self.points, tree = _wide(self.points, dim), self.tree
@@ -355,13 +366,14 @@ def plan(candidates: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", v
     n = x.count()
     if not n or q.isEmpty():
         return None
+    # few queries are few groups, as each group meets every block that it cannot rule out
     some = x.orderBy(F.xxhash64(F.lit("centre"), "_id"), "_id").limit(min(CENTRES, -(-n // BLOCK))).select("_v").collect()  # bounded
     centres = np.zeros((len(some), max(len(r._v) for r in some)))
     for i, r in enumerate(some):
         centres[i, : len(r._v)] = r._v
     row = "{0} string, centre array<double>, radius double, {0}_index binary"
     blocks = materialize(_dealt(x, centres, BLOCK).groupBy("cell", "part").applyInArrow(_indexed(scale, k + 1, LEAF, "block"), row.format("block")))
-    groups = materialize(_dealt(q, centres, GROUP).groupBy("cell", "part").applyInArrow(_indexed(scale, 1, LEAF, "group"), row.format("group")))
+    groups = materialize(_dealt(q, centres[: -(-q.count() // GROUP)], GROUP).groupBy("cell", "part").applyInArrow(_indexed(scale, 1, LEAF, "group"), row.format("group")))
     tiles = -(-blocks.count() // TILE)
     near = _tiled(blocks, groups.select("group", "centre"), tiles).applyInArrow(_nearest, "group string, block string, gap double")
     first = near.groupBy("group").agg(F.min(F.struct("gap", "block")).getField("block").alias("block"))
