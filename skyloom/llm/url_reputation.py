@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import materialize
+
 #: rule (``host/path``) and verdict
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -96,27 +98,32 @@ def _moments() -> Column:
 
 
 def reputations(judged: DataFrame, z: float) -> DataFrame:
-    """Per host of ``judged`` (host, bad 0/1/null): the posterior block rate and its lower bound."""
+    """Per host of ``judged`` (host, bad 0/1/null): the posterior block rate and its lower bound.
+
+    The hosts' counts are cut once; what the levels say as a whole are single numbers.
+    """
 
-    def weighed(level: DataFrame) -> DataFrame:
-        """The level with the weight ``w`` of its priors; the right side is one row."""
-        return level.crossJoin(F.broadcast(level.filter(F.col("n") > 0).agg(_moments().alias("w"))))
+    def weight(level: DataFrame) -> Column:
+        return F.lit(level.filter(F.col("n") > 0).agg(_moments().alias("w")).first()["w"])
 
-    def over(children: DataFrame, *keys: str) -> DataFrame:
+    def over(children: DataFrame, w: Column, *keys: str) -> DataFrame:
         """A child of n pages tells as much of its parent's rate as n w / (n + w) pages of different children."""
-        share = F.col("w") / (F.col("w") + F.col("n"))
+        share = w / (w + F.col("n"))
         return children.groupBy(*keys).agg(F.sum(F.col("n") * share).alias("n"), F.sum(F.col("bad") * share).alias("bad"))
 
-    hosts = judged.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    hosts = weighed(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host"))))
-    domains = weighed(over(hosts, "domain", "suffix"))
-    suffixes = weighed(over(domains, "suffix"))
-    top = over(suffixes).select(((F.coalesce("bad", F.lit(0.0)) + 1) / (F.coalesce("n", F.lit(0.0)) + 2)).alias("rate"))
-
-    s = suffixes.crossJoin(F.broadcast(top)).select("suffix", _shrunk(F.col("rate"), F.col("w"), F.col("bad"), F.col("n")).alias("suffix_rate"))
-    d = domains.join(s, "suffix").select("domain", _shrunk(F.col("suffix_rate"), F.col("w"), F.col("bad"), F.col("n")).alias("domain_rate"))
-    rate = _shrunk(F.col("domain_rate"), F.col("w"), F.col("bad"), F.col("n"))
-    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("w") + F.col("n") + 1))
+    counts = judged.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    hosts = materialize(counts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host"))))
+    wh = weight(hosts)
+    domains = over(hosts, wh, "domain", "suffix")
+    wd = weight(domains)
+    suffixes = over(domains, wd, "suffix")
+    ws = weight(suffixes)
+    n, bad = over(suffixes, ws).select(F.coalesce("n", F.lit(0.0)), F.coalesce("bad", F.lit(0.0))).first() or (0.0, 0.0)
+
+    s = suffixes.select("suffix", _shrunk(F.lit((bad + 1) / (n + 2)), ws, F.col("bad"), F.col("n")).alias("suffix_rate"))
+    d = domains.join(s, "suffix").select("domain", _shrunk(F.col("suffix_rate"), wd, F.col("bad"), F.col("n")).alias("domain_rate"))
+    rate = _shrunk(F.col("domain_rate"), wh, F.col("bad"), F.col("n"))
+    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (wh + F.col("n") + 1))
     return hosts.join(d, "domain").withColumn("rate", rate).select("host", F.col("n").alias("labelled"), "rate", F.greatest(F.lit(0.0), F.col("rate") - z * sd).alias("bound"))
 
 
