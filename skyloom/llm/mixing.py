@@ -13,8 +13,11 @@ depends on its hash and its source's threshold alone, so reruns agree.
 
 Defined cases: a null or empty text has size 0 (it is taken with its repeats,
 which add no words); a null source is a source of its own, the last; rows with
-equal ids share their fate; an empty table gives an empty result; sources whose
-texts are all empty have target 0.
+equal ids, and all rows without id, have one hash and so share their fate in a
+source; documents whose hashes tie go together; very long texts are counted
+whole; an empty table gives an empty result; sources whose texts are all empty
+have target 0; further columns, whatever their names, are ignored, or carried if
+``keep`` names them.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize
+from ._spark import materialize, partitions
 
-#: Beyond so many sources the per-source table is joined by a shuffle.
+#: Beyond so many sources the per-source table is joined, and ordered, by a shuffle.
 BROADCAST_SOURCES = 50_000
 BITS, LEVELS, HASH_BITS = 10, 2, 60
 
@@ -63,6 +66,18 @@ def _with_sources(rows: DataFrame, sources: DataFrame, n: int, how: str = "inner
     return rows.join(F.broadcast(right) if n <= BROADCAST_SOURCES else right, cond if on is None else cond & on, how).drop("_s")
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """Sources with their ``rank`` from 0 in code-point order, null last; many are ordered in ranges, none of which is all of them."""
+    order = F.col("_source").asc_nulls_last()
+    if per.count() <= BROADCAST_SOURCES:
+        return per.withColumn("rank", F.row_number().over(Window.orderBy(order)) - 1)
+    ranged = materialize(per.repartitionByRange(partitions(per.sparkSession), order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("_part").orderBy(order)
+    return ranged.join(base, "_part").withColumn("rank", F.col("_base") + F.row_number().over(inner) - 1).drop("_part", "_base")
+
+
 def _thresholds(sized: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """Per source: ``whole`` passes, and the hash below which documents are in the fractional pass."""
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -104,11 +119,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), text_size(F.col(text)).alias("_size"), seeded_hash(F.col(doc_id), seed).alias("_h"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)))
     sized = materialize(plain.select("_id", "_source", "_size", "_h"))
-    per = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"))
-    # one row per source: the only ordering over all of them
-    rank = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1
+    per = materialize(sized.groupBy("_source").agg(F.sum("_size").alias("source_size")))
     cycle = F.array(*(F.lit(float(x)) for x in weights))
-    sources = materialize(per.withColumn("weight", F.get(cycle, (rank % len(weights)).cast("int"))))
+    sources = materialize(_ranked(per).select("_source", "source_size", F.get(cycle, (F.col("rank") % len(weights)).cast("int")).alias("weight")))
     targets, n = water_fill(sources, share, epochs)
     limits = materialize(_thresholds(sized, targets, n))
     out = _with_sources(plain if keep else sized, limits, n, "left")

@@ -17,8 +17,11 @@ smallest seeded hashes); everything else covers all documents.
 Defined cases: null and empty texts and texts without any word of an example
 have no neighbours and the smoothed rate of examples without words; ties in
 cosine go to the smaller example; labels that are null, or neither 0 nor 1, or
-without a document are left out; without labels of both kinds every score is the
-smoothed share; repeated documents get one row each; very long texts are read whole.
+without a document are left out; of examples that repeat an id each different
+text counts once; without labels of both kinds every score is the smoothed share;
+repeated documents, and rows with equal or null ids, get one row each; ids of
+examples are numbers (others raise); very long texts are read whole; an empty
+table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

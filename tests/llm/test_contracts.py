@@ -95,7 +95,7 @@ def test_decontaminate_in_blocks(spark, monkeypatch):
 # 2 ---------------------------------------------------------------------------------------------
 
 
-def test_mix(spark):
+def test_mix(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 37), ["a", "b", "c", None][min(3, i % 7)]) for i in range(4000)], "doc_id long, text string, source string")
     got = mix(docs).collect()
     assert sorted(r.doc_id for r in got) == list(range(4000))
@@ -109,6 +109,11 @@ def test_mix(spark):
         assert total == size and abs(taken - target) <= 40 and target <= 2 * size
     assert sum(t for _, t in by) == pytest.approx(1.5 * sum(s for s, _ in by))
     assert sorted(map(str, got)) == sorted(map(str, mix(docs.repartition(7)).collect()))
+    from skyloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)  # sources are ordered in ranges and joined by a shuffle
+    assert sorted(map(str, got)) == sorted(map(str, mix(docs).collect()))
+    monkeypatch.undo()
     odd = mix(awkward(spark), keep=("text",)).collect()
     assert len(odd) == 17 and all(r.size == 0 for r in odd if not (r.text or "").strip())
     assert mix(nothing(spark)).count() == 0
