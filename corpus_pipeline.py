@@ -2,7 +2,13 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run`
 writes each stage's result as Parquet in the shared folder and reads it again as
-the next stage's ``docs``.
+the next stage's ``docs``.  A stage's folder goes when the next one is written; the
+last one holds the result and stays.
+
+Defined cases of all stages: ``docs`` may hold nulls in any column, empty and very
+long texts (read whole), ties, repeated rows and further columns of any name, which
+are left out; an empty table gives an empty result with the columns of
+``documents``.  What a stage does with each is in its docstring.
 """
 
 from __future__ import annotations
@@ -22,7 +28,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; those without words have nothing to reject and stay."""
+    """Documents that the classifier rejects go; those without words have nothing to reject and stay.
+
+    Null texts and ids stay as they are; repeated rows share their fate, as a score is
+    the text's alone; a score of exactly a half is kept.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = classify_quality(docs, labels, learn=lambda key: ~held_out_of(key, 3, 1), keep=COLUMNS)
@@ -30,13 +40,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five words, Jaccard of 0.8 or more."""
+    """One document of each group of near duplicates stays: five words, Jaccard of 0.8 or more.
+
+    It is the one of the smallest id; of rows that repeat an id, each group that their
+    own texts are in keeps the first by text and then by the other columns.  Null and
+    empty texts are in no group and stay (but for repeats of id and text), and so do
+    rows without id.
+    """
     ship(spark)
     return one_of_each(docs, k=5, p=80, q=100).select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that an earlier document has are cut; a document of which nothing is left goes."""
+    """Strings of 50 bytes that an earlier document has are cut; a document of which nothing is left goes.
+
+    Earlier is a smaller id: rows of one id, and rows without id, cut nothing from each
+    other.  Null and empty texts stay as they are; ``n_chars`` is counted anew where
+    bytes went.
+    """
     ship(spark)
     cut = remove_repeats(docs, length=50, keep=COLUMNS, with_text=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
@@ -45,14 +66,22 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go.
+
+    Null and empty texts hold none and stay; repeated rows share their fate; an empty
+    benchmark, or items without words, take nothing away.
+    """
     ship(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items, window=10, keep=COLUMNS).filter(F.col("n_hit") == 0).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document with its ``repeats``; those that the mix does not take go."""
+    """The mix: each document with its ``repeats``; those that the mix does not take go.
+
+    A null source is one of its own; null and empty texts have size 0 and are repeated
+    as their hash says, adding no words; rows with equal ids share their fate in a source.
+    """
     ship(spark)
     mixed = mix(docs, keep=COLUMNS)
     return mixed.filter(F.col("repeats") > 0).select(*COLUMNS, "size", "source_size", "target", "repeats", "taken")
