@@ -132,3 +132,31 @@ def sun(at_us: Column) -> tuple[Column, Column]:
 def sun_altitude(at_us: Column, lat: Column, lon: Column) -> Column:
     ra, dec = sun(at_us)
     return altitude(ra, dec, lat, sidereal(at_us, lon))
+
+
+def tile_path(order: int, pixel: Column) -> Column:
+    """Where a sky survey keeps the tile of a HEALPix pixel."""
+    return F.format_string(f"Norder{order}/Dir%d/Npix%d.jpg", (F.floor(pixel / 10_000) * 10_000).cast("long"), pixel.cast("long"))
+
+
+def wrapped(angle: Column) -> Column:
+    """An angle in [0, 360), a full turn but for rounding being none."""
+    a = F.pmod(angle, F.lit(360.0))
+    return F.when(F.abs(a - 360) < 1e-9, 0.0).otherwise(a)
+
+
+def canvas_box(height: Column, cx: Column, cy: Column, width: Column, box_height: Column, turn: Column) -> Column:
+    """A box as it is drawn (lines downwards, degrees clockwise) on the canvas (lines upwards, radians anticlockwise)."""
+    return F.struct(cx.alias("cx"), (height - cy).alias("cr"), width.alias("width"), box_height.alias("height"), (-F.radians(turn)).alias("theta"))
+
+
+def display_box(height: Column, box: Column) -> Column:
+    """A canvas box as it is drawn."""
+    return F.struct(box["cx"].alias("cx"), (height - box["cr"]).alias("cy"), box["width"].alias("width"), box["height"].alias("height"), wrapped(F.degrees(-box["theta"])).alias("angle"))
+
+
+def canvas_of_sky(ra: Column, dec: Column, ra0: Column, dec0: Column, degrees_per_pixel: Column, turn: Column, cx: Column, cr: Column) -> tuple[Column, Column]:
+    """Where a position lies on a canvas: the tangent plane about its centre, turned and scaled (east to the left at turn 0)."""
+    x, y = tangent_plane(ra, dec, ra0, dec0)
+    t = F.radians(turn)
+    return cx + (-x * F.cos(t) + y * F.sin(t)) / degrees_per_pixel, cr + (x * F.sin(t) + y * F.cos(t)) / degrees_per_pixel

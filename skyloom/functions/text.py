@@ -128,3 +128,14 @@ def typed(value: Column) -> Column:
         F.when(F.lower(value).isin("null", "none", ""), "null").when(F.lower(value).isin("true", "false"), "bool")
         .when(value.try_cast("long").isNotNull() & value.rlike(r"^[+-]?\d+$"), "int").when(value.try_cast("double").isNotNull(), "float").otherwise("text")
     )
+
+
+def spaced_name(name: Column) -> Column:
+    """A catalog name with a blank after its prefix: ``M33`` as ``M 33``."""
+    return F.regexp_replace(name, r"^(Sh2-|NGC|IC|M|C|B)(?=[^\sA-Za-z])", "$1 ")
+
+
+def label_value(value: Column) -> Column:
+    """A metric label's value with backslashes, line breaks and quotes escaped."""
+    plain = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(plain, F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"'))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,45 @@ def elect(df: DataFrame, group: str, rank: Sequence[Column], member: str) -> Dat
     """Each group's member with the greatest rank, and every member with its keeper."""
     best = df.groupBy(group).agg(F.max_by(member, F.struct(*rank)).alias("keeper"))
     return df.join(best, group)
+
+
+def upsert_changed(old: DataFrame, new: DataFrame, keys: Sequence[str], same: Sequence[str]) -> DataFrame:
+    """As :func:`upsert`, but a row whose ``same`` columns (nulls equal) did not change stays as it is."""
+    o = old.select(*(F.col(c).alias(f"_k_{c}") for c in keys), *(F.col(c).alias(f"_o_{c}") for c in same))
+    cond = [F.col(c) == F.col(f"_k_{c}") for c in keys] + [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in same]
+    both = cond[0]
+    for c in cond[1:]:
+        both = both & c
+    return upsert(old, new.join(o, both, "left_anti"), keys)
+
+
+def reassign(sessions: DataFrame, targets: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions moved to targets by name: those that exist are reused, others made, and targets left empty go.
+
+    ``sessions`` has ``session, target``; ``targets`` ``target, name``; ``moves``
+    ``session, name``.  New targets are numbered after the greatest, by name.
+    """
+    had = sessions.select("target").distinct()
+    lacking = moves.select("name").distinct().join(targets, "name", "left_anti")
+    top = targets.agg(F.coalesce(F.max("target"), F.lit(0)).alias("top"))  # one row
+    w = Window.orderBy("name")  # names that a request makes
+    made = lacking.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(w)).alias("target"), "name")
+    every = targets.select("target", "name").unionByName(made)
+    to = moves.join(every, "name").select("session", F.col("target").alias("_to"))
+    moved = sessions.join(to, "session", "left").select("session", F.coalesce("_to", "target").alias("target"))
+    empty = had.join(moved.select("target").distinct(), "target", "left_anti")
+    return moved, every.join(empty, "target", "left_anti")
+
+
+def merge_keys(rows: DataFrame, keepers: DataFrame, key: str, member: str) -> DataFrame:
+    """Rows whose key is ``<member>|<rest>`` under their keeper's name, those that collide dropped.
+
+    ``keepers`` has ``member`` and ``keeper``.  Of rows that come to one key the
+    keeper's own stays, else that of the smallest member.
+    """
+    k = keepers.select(F.col(member).alias("_m"), F.col("keeper").alias("_k"))
+    moved = rows.join(k, F.col(member) == F.col("_m"), "left").withColumn("_to", F.coalesce("_k", member))
+    moved = moved.withColumn("_new", F.concat_ws("|", F.col("_to").cast("string"), F.substring(key, F.instr(F.col(key), "|") + 1, F.length(key))))
+    best = F.min_by(F.struct(*rows.columns, "_to"), F.struct(F.col(member) != F.col("_to"), F.col(member)))
+    kept = moved.groupBy("_new").agg(best.alias("_r"))
+    return kept.select(*(F.col("_new").alias(c) if c == key else F.col("_r._to").alias(c) if c == member else F.col(f"_r.{c}").alias(c) for c in rows.columns))
