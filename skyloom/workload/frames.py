@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import dag, nodes
 from ..registry import query
+from ..sources.scratch import fresh_path
 from ..sources.tables import table
 
 _P = "p AS (SELECT vec_id, label, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i] AS f, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
@@ -246,3 +247,35 @@ def node_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_save_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The values that each frame's PNG file holds."""
     return _out(run("save_image", image=frames(spark, sf_dir))["image"])
+
+
+_TEMPLATE = {
+    "name": "two_nights",
+    "nodes": [
+        {"id": "convert", "kind": "convert_lights", "inputs": {"lights": "input.lights"}, "per_session": True},
+        {"id": "stack", "kind": "seq_stack", "params": {"method": "median", "norm": "no"}, "inputs": {"sequence": "convert.sequence"}, "per_session": True},
+        {"id": "combine", "kind": "combine_stacks", "params": {"weight": "none"}, "inputs": {"images": ["stack.image"]}},
+    ],
+    "outputs": {"final": "combine.image"},
+}
+
+
+@query("template_run", f"""WITH {_P}, n AS (SELECT label < 5 AS night, y, x, CAST(CAST(median(v) AS FLOAT) AS DOUBLE) AS v FROM p GROUP BY ALL), s AS (SELECT y, x, avg(v) AS v FROM n GROUP BY y, x),
+e(event, n) AS (VALUES ('node_cached', 5), ('node_done', 5), ('node_started', 5)) SELECT o.*, (SELECT string_agg(event || '=' || CAST(n AS VARCHAR), ',' ORDER BY event) FROM e) AS events FROM ({_one("v", "s")}) o""")
+def template_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template over two nights: its first run makes all five nodes, its second finds them in the store."""
+    f, store, seen = frames(spark, sf_dir), dag.Store(spark, fresh_path(spark, "store")), []
+    t = dag.expand(dag.Template.from_dict(_TEMPLATE), ["a", "b"])
+    lights = {"lights@a": f.filter("temp < -5"), "lights@b": f.filter("temp >= -5")}
+    for _ in range(2):
+        out = dag.run(t, store, lights, {"lights@a": "a", "lights@b": "b"}, events=seen.append)
+    kinds = sorted({e["type"] for e in seen})
+    return _image(out["final"]).withColumn("events", F.lit(",".join(f"{k}={sum(e['type'] == k for e in seen)}" for k in kinds)))
+
+
+@query("node_by_address", f"WITH {_P}, d AS (SELECT vec_id, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM p GROUP BY vec_id, p.y // 2, p.x // 2) SELECT *, 'false,true' AS hits FROM ({_sql('v', 'd')})")
+def node_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One node by itself, twice: made, then found by its address."""
+    store, f = dag.Store(spark, fresh_path(spark, "store")), frames(spark, sf_dir)
+    runs = [dag.run_node("downscale", store, {"image": f}, {"image": "frames"}, {"target_size_px": 4}) for _ in range(2)]
+    return _out(runs[-1][2]["image"]).withColumn("hits", F.lit(",".join(str(hit).lower() for _, hit, _ in runs)))
