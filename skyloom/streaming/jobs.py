@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import dml
-from ..sources.scratch import fresh_path
+from ..operators import sessions as ordered_events
+from ..sources.scratch import cut, fresh_path
+from ..sources.tables import micros
 
 _STREAK_OUT = "event_id long, user_id long, streak long"
 
@@ -79,6 +81,23 @@ def run_once(df: DataFrame, name: str, mode: str, each: Callable[[DataFrame, int
     return spark.read.schema(df.schema).parquet(out)
 
 
+def run_updates(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Process all that is there in update mode, each batch's rows replacing those of their keys, and return the table.
+
+    With a watermark the state holds open windows only; closed ones live in the
+    table, whose versions are numbered by batch.
+    """
+    spark, out, last = df.sparkSession, fresh_path(df.sparkSession, name), [-1]
+
+    def each(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{out}/v={number - 1}") if number else spark.createDataFrame([], batch.schema)
+        dml.upsert(before, batch, keys).write.mode("overwrite").parquet(f"{out}/v={number}")
+        last[0] = number
+
+    df.writeStream.outputMode("update").option("checkpointLocation", f"{out}/marks").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+    return spark.read.parquet(f"{out}/v={last[0]}") if last[0] >= 0 else spark.createDataFrame([], df.schema)
+
+
 def tail(events: DataFrame, cursor: int, sink: Callable[[DataFrame, int], None], marks: str):
     """Hand every micro-batch of events after ``cursor`` to ``sink``, in order of id."""
     return events.filter(F.col("event_id") > cursor).writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(lambda b, n: sink(b.orderBy("event_id"), n)).start()
@@ -126,3 +145,50 @@ def _latch(ttl_s: float):
 def alerts_once(events: DataFrame, ttl_s: float) -> DataFrame:
     """The first event of each (user, type), and then no other for ``ttl_s`` seconds."""
     return events.groupBy("user_id", "event_type").applyInPandasWithState(_latch(ttl_s), "event_id long, user_id long, event_type string", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+class Sessions:
+    """Sessions of a growing event log that keep their ids: every batch re-clusters the users that it touches.
+
+    The folder holds the frames seen (appended) and numbered versions of the
+    assignment ``event_id, user_id, session``; the last version is the state, so a
+    batch that fails half-way is done again from the one before.  A late frame may
+    move a session's start or join two; a cluster keeps the id of the session that
+    it shares most frames with, one to one, and others get new ids.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, gap_us: int) -> None:
+        self.spark, self.root, self.gap = spark, root, gap_us
+
+    def _version(self, n: int) -> DataFrame:
+        if n < 0:
+            return self.spark.createDataFrame([], "event_id long, user_id long, session long")
+        return self.spark.read.parquet(f"{self.root}/sessions/v={n}")
+
+    def step(self, batch: DataFrame, number: int) -> None:
+        batch = batch.select("event_id", "user_id", micros("ts").alias("at_us"))
+        batch.write.mode("overwrite").parquet(f"{self.root}/frames/batch={number}")
+        seen = self.spark.read.parquet(*(f"{self.root}/frames/batch={i}" for i in range(number + 1)))
+        users, known = cut(batch.select("user_id").distinct()), self._version(number - 1)
+        own = ordered_events.number_gaps(seen.join(users, "user_id", "left_semi").dropDuplicates(["event_id"]), ["user_id"], "at_us", "event_id", self.gap)
+        first = own.groupBy("user_id", "session_no").agg(F.min("event_id").alias("cluster"))  # names the cluster in this batch
+        own = cut(own.join(first, ["user_id", "session_no"]).select("event_id", "user_id", "cluster"))
+        overlap = own.join(known.select("event_id", F.col("session").alias("old")), "event_id").groupBy("cluster", "old").agg(F.count(F.lit(1)).alias("overlap"))
+        kept = cut(ordered_events.stable_ids(overlap))
+        top = known.agg(F.coalesce(F.max("session"), F.lit(-1)).alias("top"))  # one row
+        fresh = own.select("cluster").distinct().join(kept, "cluster", "left_anti")
+        fresh = fresh.crossJoin(F.broadcast(top)).select("cluster", (F.col("top") + F.row_number().over(Window.orderBy("cluster"))).alias("session"))  # one row a new session of a batch
+        ids = kept.select("cluster", F.col("old").alias("session")).unionByName(fresh)
+        now = own.join(ids, "cluster").select("event_id", "user_id", "session")
+        known.join(users, "user_id", "left_anti").unionByName(now).write.mode("overwrite").parquet(f"{self.root}/sessions/v={number}")
+
+    def run(self, events: DataFrame) -> DataFrame:
+        """All that is there, batch by batch; the assignment after the last."""
+        last = [-1]
+
+        def each(batch: DataFrame, number: int) -> None:
+            self.step(batch, number)
+            last[0] = number
+
+        events.writeStream.option("checkpointLocation", f"{self.root}/marks").trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
+        return self._version(last[0])

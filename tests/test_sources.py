@@ -145,3 +145,21 @@ def test_accounts_in_the_stream(spark, tmp_path):
     want = scheduling.account(r.filter("n <= 15"), "user_id", ["n"])
     pick = ["event_id", *scheduling.ACCOUNT]
     assert sorted(map(tuple, got.select(*pick).collect())) == sorted(map(tuple, want.select(*pick).collect()))
+
+
+def test_sessions_keep_their_ids(spark, tmp_path):
+    """A late frame that joins two sessions leaves the larger one's id; sessions of untouched users stay."""
+    minute = 60
+    state = jobs.Sessions(spark, str(tmp_path), 10 * minute * 1_000_000)
+
+    def step(number, rows):
+        state.step(spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts")), number)
+        return {r.event_id: r.session for r in state._version(number).collect()}
+
+    one = step(0, [(0, 1, 0), (1, 1, minute), (2, 1, 18 * minute), (3, 2, 0)])
+    assert one[0] == one[1] and len({one[0], one[2], one[3]}) == 3
+    two = step(1, [(4, 1, 9 * minute), (5, 1, 90 * minute)])
+    assert two[0] == two[1] == two[2] == two[4] == one[0] and two[3] == one[3] and two[5] not in one.values()
+    three = step(2, [(6, 2, -5 * minute)])
+    assert three[6] == three[3] == one[3] and all(three[k] == v for k, v in two.items())
+    assert step(2, [(6, 2, -5 * minute)]) == three  # a batch that is done again
