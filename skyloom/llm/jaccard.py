@@ -29,8 +29,8 @@ document's shingles and keep the documents that occur at least T times.
 Defined cases: null and empty texts have empty sets and link with nothing; a
 text of fewer than ``k`` words is one shingle; rows that repeat an id are judged
 by their own texts (equal ones are one class, unlike ones may get different
-components); a row without id takes the component of its set's class, null if
-no member of it has an id, and links nothing by itself; ties do not arise, as a
+components); ids are numbers (others raise); a row without id takes the component
+of its set's class, null if no member of it has an id, and links nothing by itself; ties do not arise, as a
 component is named by its smallest id; very long texts are whole; an empty table
 gives an empty result; further columns, whatever their names, are ignored by
 :func:`jaccard_components` and carried by :func:`one_of_each`.
