@@ -55,7 +55,9 @@ def migrate_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of values by position as a map by name."""
     ids = F.array(F.lit("a"), F.lit("b"))
-    x = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")  # as many of each as there are names
+    x = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("r")).filter("r <= 2")
+    x = x.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
     n = F.least(F.size("l"), F.lit(2))
     m = F.map_from_arrays(F.slice(ids, F.lit(1), n), F.slice("l", F.lit(1), n))
     return x.withColumn("m", m).select("o_custkey", F.try_element_at("m", F.lit("a")).alias("a"), F.try_element_at("m", F.lit("b")).alias("b"))
