@@ -11,8 +11,9 @@ from the highest bound down until no bound can reach the k-th best cosine, so th
 k nearest are exact.  They vote with the weight of their nearness, and a logistic
 curve fitted on leave-one-out votes of the examples calibrates the score.  The nearest examples and the terms are the evidence.
 
-``max_labelled`` bounds the labelled rows used as examples (those with the
-smallest seeded hashes); everything else covers all documents.
+``max_labelled`` bounds the labelled texts used as examples (those with the
+smallest seeded hashes), from which one task chooses the terms and one fits the
+index and the votes; everything else covers all documents.
 
 Defined cases: null and empty texts and texts without any word of an example
 have no neighbours and the smoothed rate of examples without words; ties in
@@ -26,6 +27,7 @@ table gives an empty result; further columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
-from ._spark import summed_table, table_rows
+from ._spark import materialize, summed_table, table_rows
 from .quality import held_out_of, labelled_sample
 
 BLOCK = 64
@@ -92,14 +94,14 @@ def chi_square(n: np.ndarray, n1: np.ndarray, total: int, total1: float) -> np.n
     return np.where(spread > 0, np.maximum(np.abs(n1 - expect) - 0.5, 0) ** 2 / np.maximum(spread, 1e-12), 0.0)
 
 
-def all_terms(hashes: list[np.ndarray], words: list[pa.Array], y: np.ndarray) -> Terms:
-    """Every word of the examples, weighed by 1 and the root of its chi-square."""
+def all_terms(hashes: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the examples, and 1 and the root of its chi-square."""
     if not len(y):
-        return Terms(np.empty(0, np.uint64), pa.array([], pa.string()), np.empty(0))
-    every, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        return np.empty(0, np.uint64), np.empty(0)
+    every, back = np.unique(np.concatenate(hashes), return_inverse=True)
     n = np.bincount(back, minlength=len(every)).astype(np.float64)
     n1 = np.bincount(back, np.repeat(y, [len(h) for h in hashes]), minlength=len(every))
-    return Terms(every, pa.concat_arrays(words).take(pa.array(first)), 1 + np.sqrt(chi_square(n, n1, len(y), y.sum())))
+    return every, 1 + np.sqrt(chi_square(n, n1, len(y), y.sum()))
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,38 +247,84 @@ class Votes:
                     yield float(self.bare if self.both else self.prior), []
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Callable[[Column], Column] | None = None, max_labelled: int = 6000, k: int = 15) -> DataFrame:
-    """Per document: ``doc_id, score, predicted``, its nearest examples (``neighbours``) and its ``terms``."""
-    sc = docs.sparkSession.sparkContext
-    sample = labelled_sample(docs, labels, doc_id, text, label, learn or (lambda _: F.lit(True)), max_labelled)
+class Packed:
+    """A pickled object that is unpacked where it is first used."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.made = data, None
+
+    def __reduce__(self):
+        return Packed, (self.data,)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def get(self):
+        if self.made is None:
+            self.made = pickle.loads(self.data)
+        return self.made
+
+
+class Examples:
+    """The bounded sample in one task: ids, labels, word hashes and counts, in one order whatever the order of the rows."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
+        keys, y, hashes, times, self.word = [], [], [], [], {}
         for batch in batches:
-            out: dict[str, list] = {"hashes": [], "times": [], "words": []}
+            keys += batch.column("_key").to_pylist()
+            y += batch.column("_y").to_pylist()
             for _, _, part, starts, ends, first, h in _words(*t.ragged(batch.column("_text"))):
                 raw = part.tobytes()
+                u, at = np.unique(h, return_index=True)
+                for x, i in zip(u.tolist(), at.tolist(), strict=True):
+                    if x not in self.word:
+                        self.word[x] = raw[starts[i] : ends[i]].decode("utf-8", "replace")
                 for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    u, at, n = np.unique(h[i:j], return_index=True, return_counts=True)
-                    out["hashes"].append(u.tobytes())
-                    out["times"].append(n.astype(np.int32).tobytes())
-                    out["words"].append([raw[starts[i + x] : ends[i + x]].decode("utf-8", "replace") for x in at.tolist()])
-            kinds = (("hashes", pa.binary()), ("times", pa.binary()), ("words", pa.list_(pa.string())))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("_key"), "y": batch.column("_y")} | {c: pa.array(out[c], kind) for c, kind in kinds})
-
-    seen = sample.select("_key", "_y", "_text").mapInArrow(read, "key long, y int, hashes binary, times binary, words array<string>").toArrow()
-    hashes, times = ([np.frombuffer(x, kind) for x in seen.column(c).to_pylist()] for c, kind in (("hashes", np.uint64), ("times", np.int32)))
-    keys, labelled = seen.column("key").to_pylist(), seen.column("y").to_pylist()
-    order = sorted(range(len(keys)), key=lambda i: (keys[i], labelled[i], hashes[i].tobytes(), times[i].tobytes()))
-    hashes, times, y = [hashes[i] for i in order], [times[i] for i in order], np.array([labelled[i] for i in order], np.float64)
-    names = np.array([keys[i] for i in order], np.int64)
-    terms = all_terms(hashes, [c.flatten() for c in seen.column("words").take(pa.array(order, pa.int64())).chunks], y)
-    del seen
-    chosen = sc.broadcast(terms)
+                    u, n = np.unique(h[i:j], return_counts=True)
+                    hashes.append(u)
+                    times.append(n.astype(np.int32))
+        order = sorted(range(len(keys)), key=lambda i: (keys[i], y[i], hashes[i].tobytes(), times[i].tobytes()))
+        self.keys, self.y = np.array([keys[i] for i in order], np.int64), np.array([y[i] for i in order], np.float64)
+        self.hashes, self.times = [hashes[i] for i in order], [times[i] for i in order]
+
+
+def _in_one_task(sample: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> dict:
+    """The one row that ``run`` makes of all rows of the sample, which its bound lets one task hold."""
+    rows = sample.repartition(1).mapInArrow(run, schema).toArrow().to_pylist()
+    return rows[0] if rows else next(run(iter(()))).to_pylist()[0]  # a plan without rows may have no task
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    e = Examples(batches)
+    every, weight = all_terms(e.hashes, e.y)
+    yield pa.RecordBatch.from_pydict({"hashes": [every.tobytes()], "weight": [weight.tobytes()], "words": pa.array([[e.word[x] for x in every.tolist()]], pa.list_(pa.string()))})
+
+
+def _fit(weighed, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, terms = Examples(batches), weighed.value
+        sizes = np.array([len(h) for h in e.hashes], np.int64)
+        place = np.searchsorted(terms.hash, np.concatenate(e.hashes)) if len(sizes) else np.empty(0, np.int64)
+        own = terms.unit(np.repeat(np.arange(len(sizes)), sizes), place, np.concatenate(e.times) if len(sizes) else place, len(sizes))
+        votes = Votes(BlockMax(own, e.keys, e.y, len(terms.hash)), e.y[sizes == 0], e.y, k)
+        data = pickle.dumps(votes)
+        del e, own, votes
+        t.release()
+        yield pa.RecordBatch.from_pydict({"votes": pa.array([data], pa.binary())})
+
+    return run
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Callable[[Column], Column] | None = None, max_labelled: int = 6000, k: int = 15) -> DataFrame:
+    """Per document: ``doc_id, score, predicted``, its nearest examples (``neighbours``) and its ``terms``."""
+    sc = docs.sparkSession.sparkContext
+    sample = materialize(labelled_sample(docs, labels, doc_id, text, label, learn or (lambda _: F.lit(True)), max_labelled))
+    chosen = _in_one_task(sample, _choose, "hashes binary, weight binary, words array<string>")
+    terms = Terms(np.frombuffer(chosen["hashes"], np.uint64), pa.array(chosen["words"], pa.string()), np.frombuffer(chosen["weight"]).copy())
+    del chosen
+    known = sc.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(chosen.value.hash) + 1)
+        n = np.zeros(len(known.value.hash) + 1)
         for batch in batches:
-            _, term, _ = chosen.value.counts(*t.ragged(batch.column(0)))
+            _, term, _ = known.value.counts(*t.ragged(batch.column(0)))
             n[:-1] += np.bincount(term, minlength=len(n) - 1)
             n[-1] += batch.num_rows
         if n[-1]:
@@ -284,20 +332,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
 
     found = summed_table(docs.select(text).mapInArrow(frequencies, "block int, sums binary"), COUNT_BLOCKS)
     found = found if len(found) else np.zeros(len(terms.hash) + 1)
-    chosen.unpersist()
+    known.unpersist()
     terms.weight *= np.log((1 + found[-1]) / (1 + found[:-1])) + 1
     weighed = sc.broadcast(terms)
-    sizes = [len(h) for h in hashes]
-    place = np.searchsorted(terms.hash, np.concatenate(hashes)) if hashes else np.empty(0, np.int64)
-    own = terms.unit(np.repeat(np.arange(len(y)), sizes), place, np.concatenate(times) if times else place, len(y))
-    index = BlockMax(own, names, y, len(terms.hash))
-    votes = sc.broadcast(Votes(index, y[[not n for n in sizes]] if len(y) else y, y, k))
+    del terms
+    votes = sc.broadcast(Packed(_in_one_task(sample, _fit(weighed, k), "votes binary")["votes"]))
+    t.release()
     plain = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = weighed.value.vectors(*t.ragged(batch.column("_text")))
-            got = list(votes.value.scores(own))
+            got = list(votes.value.get().scores(own))
             cut = np.concatenate(([0], np.cumsum([len(x) for x, _ in own]))).astype(np.int32)
             flat = weighed.value.words.take(pa.array(np.concatenate([x for x, _ in own]) if own else cut[:0], pa.int64()))
             yield pa.RecordBatch.from_pydict({

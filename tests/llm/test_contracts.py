@@ -484,6 +484,42 @@ def test_toxicity_takes_all_words(spark):
     assert got[999].neighbours == [] and got[999].terms == []
 
 
+def test_neighbours_of_documents_brute(spark):
+    """The nearest examples of every document, by cosines over all their words counted here anew."""
+    from collections import Counter
+    from math import log, sqrt
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic in (0, 1)}
+    texts = {r.doc_id: Counter(ALNUM.findall(lower(r.text))) for r in docs.collect()}
+    train = [d for d in sorted(labels) if d in texts]
+    y = {d: labels[d] for d in train}
+    n, bad = len(train), sum(y.values())
+    weight = {}
+    df = Counter(w for c in texts.values() for w in c)
+    for w in {w for d in train for w in texts[d]}:
+        have, hit = sum(w in texts[d] for d in train), sum(y[d] for d in train if w in texts[d])
+        spread = have * bad / n * (1 - bad / n) * (n - have) / max(1, n - 1)
+        chi = max(abs(hit - have * bad / n) - 0.5, 0) ** 2 / max(spread, 1e-12) if spread > 0 else 0.0
+        weight[w] = (1 + sqrt(chi)) * (log((1 + len(texts)) / (1 + df[w])) + 1)
+
+    def unit(c):
+        v = {w: (1 + log(k)) * weight[w] for w, k in c.items() if w in weight}
+        norm = sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = {d: unit(texts[d]) for d in train}
+    none = 0
+    for r in score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect():
+        v = unit(texts[r.doc_id])
+        cos = {d: round(sum(x * e[w] for w, x in v.items() if w in e), 9) for d, e in examples.items()}
+        want = sorted((d for d in train if cos[d] > 0), key=lambda d: (-cos[d], d))[:15]
+        none += not want
+        assert len(r.neighbours) == len(want) and [cos[d] for d in r.neighbours] == pytest.approx([cos[d] for d in want], abs=2e-9)
+        assert set(r.terms) == {w.decode() for w in v}
+    assert none < 0.1 * len(texts)
+
+
 @pytest.mark.parametrize("table_rows", [0, 3, 512])
 def test_block_max_lists_and_table(monkeypatch, table_rows):
     from skyloom.llm import toxicity as mod
