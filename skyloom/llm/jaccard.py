@@ -246,7 +246,10 @@ def _meetings(p: int, q: int):
         lead = np.ones(len(name), bool)
         lead[1:] = (name[1:] != name[:-1]) | (pivot[1:] != pivot[:-1]) | (least[1:] != least[:-1])
         at = np.flatnonzero(lead)
-        yield pa.RecordBatch.from_pydict({"k1": pa.array(name[at]), "pivot": pa.array(pivot[at]), "least": pa.array(least[at]), "groups": pa.array(np.diff(np.append(at, len(name))))})
+        out = pa.RecordBatch.from_pydict({"k1": pa.array(name[at]), "pivot": pa.array(pivot[at]), "least": pa.array(least[at]), "groups": pa.array(np.diff(np.append(at, len(name))))})
+        del name, n, tok, order, fresh, new, at, size, pivot, group, many, least, lead
+        t.release()
+        yield out
 
     return run
 

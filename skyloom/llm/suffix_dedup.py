@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from . import _text as t
 from ._spark import partitions
 
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
 PIECE = 1 << 19
 #: Places of an anchor beyond which it is split, and in a batch beyond which they are told.
 HOT_ROWS, TOLD = 1 << 15, 8
@@ -266,9 +266,21 @@ def _part_key(h: np.ndarray, part: np.ndarray) -> np.ndarray:
     return t.mix(h ^ t.mix(part.astype(np.uint64) + t.U(1)))
 
 
-def _part_of(prefix: np.ndarray, start: np.ndarray, shape: Shape, split: np.ndarray) -> np.ndarray:
+def _span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of a buffer, by prefix hashes of a piece of it at a time."""
+    out = np.empty(len(start), np.uint64)
+    order = np.argsort(start, kind="stable")
+    piece = start[order] // PIECE
+    for own in np.split(order, np.flatnonzero(piece[1:] != piece[:-1]) + 1) if len(order) else []:
+        at = start[own[0]]
+        prefix = t.prefix_hash(buf[at : int(end[own].max())])
+        out[own] = t.span_hash(prefix, start[own] - at, end[own] - at)
+    return out
+
+
+def _part_of(buf: np.ndarray, start: np.ndarray, shape: Shape, split: np.ndarray) -> np.ndarray:
     """The part that the string at ``start`` belongs to."""
-    return (t.mix(t.span_hash(prefix, start, start + shape.length)) % split.astype(np.uint64)).astype(np.int64)
+    return (t.mix(_span_hashes(buf, start, start + shape.length)) % split.astype(np.uint64)).astype(np.int64)
 
 
 def _each_string(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,8 +292,7 @@ def _each_string(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def self_decided(batch: Batch, sel: np.ndarray, split: np.ndarray, shape: Shape, buckets: int, number: int) -> list[tuple]:
     at, doc, h, low, high = batch.at[sel], batch.doc[sel], batch.hash[sel], batch.low[sel], batch.high[sel]
-    prefix = t.prefix_hash(batch.buf)
-    whole = t.mix(t.span_hash(prefix, at - high, at - low + shape.length)) ^ (high * 1009 + low).astype(np.uint64)
+    whole = t.mix(_span_hashes(batch.buf, at - high, at - low + shape.length)) ^ (high * 1009 + low).astype(np.uint64)
     order = np.lexsort((at, whole))  # `at` ascends with the id
     at, doc, h, low, high, whole, split = at[order], doc[order], h[order], low[order], high[order], whole[order], split[order]
     span = high - low + shape.length
@@ -308,7 +319,7 @@ def self_decided(batch: Batch, sel: np.ndarray, split: np.ndarray, shape: Shape,
     if len(hot):  # a hot anchor's place goes to the part of each of its strings
         own = keep[hot]
         item, r = _each_string(low[own], high[own])
-        parts = _part_of(prefix, at[own][item] - r, shape, split[own][item])
+        parts = _part_of(batch.buf, at[own][item] - r, shape, split[own][item])
         item, parts = np.divmod(np.unique(item * (int(split[own].max()) + 1) + parts), int(split[own].max()) + 1)
         plain = np.flatnonzero(split[keep] == 1)
         keep, part = np.concatenate([keep[plain], own[item]]), np.concatenate([part[plain], parts])
@@ -456,7 +467,7 @@ def judge(rows: np.ndarray, h: np.ndarray, frame: np.ndarray, shape: Shape) -> n
         hot = np.flatnonzero(rows["split"][item] > 1)
         if len(hot):  # of a hot anchor only the strings of its part
             i = item[hot]
-            other = hot[_part_of(t.prefix_hash(buf), i * size + high[i] - r[hot], shape, rows["split"][i]) != rows["part"][i]]
+            other = hot[_part_of(buf, i * size + high[i] - r[hot], shape, rows["split"][i]) != rows["part"][i]]
             item, r = np.delete(item, other), np.delete(r, other)
         srt = np.lexsort((rows["id"][item], r, h[item]))
         item, r = item[srt], r[srt]
@@ -526,7 +537,7 @@ def _cut(shape: Shape, names: list[str], with_text: bool):
     def run(table: pa.Table, gone: pa.Table) -> pa.Table:
         batch = Batch(table, shape, find=False)
         buf, offs = batch.buf, batch.offs
-        change = np.zeros(len(buf) + 1, np.int64)
+        change = np.zeros(len(buf) + 1, np.int32)
         for x in gone.column("gone").to_pylist():
             x = np.frombuffer(x, GONE)
             at = offs[x["doc"]] + x["at"]
@@ -534,7 +545,9 @@ def _cut(shape: Shape, names: list[str], with_text: bool):
                 begin = at[((x["starts"] >> t.U(r)) & t.U(1)) == 1] - r
                 np.add.at(change, begin, 1)
                 np.add.at(change, begin + shape.length, -1)
-        away = np.cumsum(change)[: len(buf)] > 0
+        np.cumsum(change, out=change)
+        away = change[: len(buf)] > 0
+        del change
         n_removed, n_spans, digest, texts = [], [], [], []
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             out, part = away[a:b], buf[a:b]
