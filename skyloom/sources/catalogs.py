@@ -7,7 +7,7 @@ from pathlib import Path
 from typing import Any
 
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sphere, text
@@ -89,10 +89,13 @@ def factory_masters(listing: DataFrame, root: str) -> DataFrame:
 
 
 def sequence_size(frames: DataFrame) -> DataFrame:
-    """Per sequence: bytes, frames, and the pixel depth of the first frame that tells it."""
-    w = Window.partitionBy("seq").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    told = frames.withColumn("depth", F.first(F.col("header")["BITPIX"].try_cast("int"), ignorenulls=True).over(w))
-    return told.groupBy("seq").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("frames"), F.first("depth").alias("depth"))
+    """Per sequence: bytes, frames, and the pixel depth of the first frame that tells it.
+
+    ``path`` is any value that orders a sequence's frames; where it ties, which
+    frame is the first is left open.
+    """
+    depth = F.col("header")["BITPIX"].try_cast("int")
+    return frames.groupBy("seq").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("frames"), F.min_by(depth, F.when(depth.isNotNull(), F.col("path"))).alias("depth"))
 
 
 def migrate(tables: dict[str, DataFrame], version: int, steps: Sequence[Callable[[dict[str, DataFrame]], dict[str, DataFrame]]]) -> tuple[dict[str, DataFrame], int]:

@@ -159,9 +159,12 @@ def named_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sequence_sizes", "SELECT l_orderkey AS seq, CAST(sum(l_quantity) AS DOUBLE) AS bytes, count(*) AS frames, CAST(arg_min(CASE WHEN l_partkey % 2 = 0 THEN 16 ELSE -32 END, l_linenumber) FILTER (l_linenumber >= 2) AS INTEGER) AS depth FROM lineitem GROUP BY l_orderkey")
 def sequence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes and frames of each sequence, and the depth of its first frame that tells it."""
+    """Bytes and frames of each sequence, and the depth of its first frame that tells it.
+
+    Frames of one number go by their places in the table's files.
+    """
     told = F.when(F.col("l_linenumber") >= 2, F.create_map(F.lit("BITPIX"), F.when(F.col("l_partkey") % 2 == 0, "16").otherwise("-32"))).otherwise(F.create_map(F.lit("GAIN"), F.lit("1")))
-    frames = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("path"), F.col("l_quantity").alias("length"), told.alias("header"))
+    frames = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), F.struct("l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("path"), F.col("l_quantity").alias("length"), told.alias("header"))
     return catalogs.sequence_size(frames).select("seq", F.col("bytes").cast("double").alias("bytes"), "frames", "depth")
 
 

@@ -187,3 +187,21 @@ def test_masters_sizes_migrations_png(spark):
     with pytest.raises(ValueError):
         catalogs.migrate({}, 3, steps)
     assert png.encode(np.zeros((2, 3)))[:8] == b"\x89PNG\r\n\x1a\n"
+
+
+def test_sequence_sizes_by_storage(spark, tmp_path):
+    """Frames of one number go by file and row, whatever the order in which files are read (large ones first)."""
+    import duckdb
+
+    from skyloom.queries import ORACLE, QUERIES
+
+    (tmp_path / "lineitem.parquet").mkdir()
+    rows = "SELECT range // 4 AS l_orderkey, CAST(1 + range % 2 * 2 AS INTEGER) AS l_linenumber, range * {k} + {odd} AS l_partkey, 1.0e0 AS l_quantity FROM range({n})"
+    for name, k, odd, n in (("part-0", 2, 0, 40), ("part-1", 2, 1, 4000)):
+        duckdb.sql(f"COPY ({rows.format(k=k, odd=odd, n=n)}) TO '{tmp_path}/lineitem.parquet/{name}.parquet' (FORMAT parquet)")
+    c = duckdb.connect()
+    c.sql("SET threads = 1")
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(c.sql(ORACLE["sequence_sizes"]).fetchall())
+    assert [r[3] for r in want[:11]] == [16] * 10 + [-32]
+    assert sorted(tuple(r) for r in QUERIES["sequence_sizes"](spark, str(tmp_path)).collect()) == want
