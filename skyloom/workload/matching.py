@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as op
 from ..registry import query
+from ..sources.scratch import cut
 from ..sources.tables import micros, table
 
+#: Rows of picks up to which they are broadcast: two to three MB.
+PICKS = 1 << 16
+
 _SESSION = "s AS (SELECT o_orderkey AS sid, 'Brand#' || CAST(1 + o_orderkey % 5 AS VARCHAR) || CAST(1 + o_custkey % 5 AS VARCHAR) AS instrument, CAST(o_orderkey % 60 AS DOUBLE) - 5 AS temp, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE p.camera END AS camera FROM orders CROSS JOIN (SELECT 'cam' AS camera) p)"
 _MASTER = "m AS (SELECT p_partkey AS mid, p_brand AS instrument, CAST(p_size AS DOUBLE) - 5 AS temp, CAST(floor(p_retailprice) AS BIGINT) AS depth, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'cam' END AS camera FROM part)"
 
@@ -78,15 +82,20 @@ SELECT frame, pos FROM r WHERE r = 1""")
 def frame_dark_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-frame dark: equal gain (an unknown one fits all), nearest temperature, first seen.
 
-    Darks alike in gain and temperature are reduced to the first seen.  The
-    wildcard is a value of the equi-join key: darks of unknown gain are copied to
-    every gain, so there is no theta join.
+    Darks and frames are each reduced to one per gain and temperature before they
+    meet.  The wildcard is a value of the equi-join key, so there is no theta join.
+    What was found goes back to the frames as a broadcast if it has no more than
+    ``PICKS`` rows; frames of one number take the best of theirs.
     """
-    f = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame"), (F.col("l_quantity").cast("long") % 10).alias("gain"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("temp"))
+    f = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame"), (F.rint("l_quantity").cast("long") % 10).alias("gain"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("temp"))
     d = table(spark, sf_dir, "part").groupBy(F.when(F.col("p_partkey") % 13 != 0, F.col("p_partkey") % 10).alias("d_gain"), F.col("p_size").cast("double").alias("d_temp")).agg(F.min("p_partkey").alias("pos"))
-    d = d.withColumn("gain", F.explode(F.when(F.col("d_gain").isNull(), F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).otherwise(F.array("d_gain"))))
-    rank = F.struct(F.coalesce(F.abs(F.col("temp") - F.col("d_temp")), op.infinity()), F.col("pos"))
-    return f.join(d, "gain").groupBy("frame").agg(F.min_by("pos", rank).alias("pos"))
+    d = d.withColumn("key", F.coalesce(F.col("d_gain").cast("string"), F.lit("*")))
+    asked = f.select("gain", "temp").distinct().withColumn("key", F.explode(F.array(F.col("gain").cast("string"), F.lit("*"))))
+    rank = F.struct(F.coalesce(F.abs(F.col("temp") - F.col("d_temp")), op.infinity()).alias("far"), F.col("pos"))
+    picks = cut(asked.join(d, "key").groupBy(F.col("gain").alias("p_gain"), F.col("temp").alias("p_temp")).agg(F.min(rank).alias("best")))
+    picks = F.broadcast(picks) if picks.count() <= PICKS else picks
+    x = f.join(picks, F.col("gain").eqNullSafe(F.col("p_gain")) & F.col("temp").eqNullSafe(F.col("p_temp")))
+    return x.groupBy("frame").agg(F.min("best").alias("best")).select("frame", F.col("best.pos").alias("pos"))
 
 
 @query("master_by_kind", "SELECT o_orderkey AS sid, p_partkey AS mid, p_name AS path FROM orders JOIN part ON p_partkey = o_custkey WHERE p_size = 10")

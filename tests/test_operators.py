@@ -56,6 +56,25 @@ def test_nearest_master(spark, t, masters, want, delta):
     assert far.best.id == (want or 1) and far.best.fallback == (want is None)
 
 
+def test_frame_dark_pick_is_its_sql(spark, tmp_path, monkeypatch):
+    """Unknown and negative gains meet the darks of unknown gain; frames of one number; frames and darks that are alike."""
+    import duckdb
+
+    from skyloom.queries import ORACLE, QUERIES
+    from skyloom.workload import matching as workload
+
+    duckdb.sql(f"COPY (SELECT range % 40 AS l_orderkey, CAST(1 + range % 7 AS INTEGER) AS l_linenumber, CASE WHEN range % 11 <> 0 THEN CAST(range % 60 AS DOUBLE) - 10.5 END AS l_quantity FROM range(400)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    duckdb.sql(f"COPY (SELECT range AS p_partkey, CAST(range % 9 * 5 AS INTEGER) AS p_size FROM range(120)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    c = duckdb.connect()
+    for t in ("lineitem", "part"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = sorted(c.sql(ORACLE["frame_dark_pick"]).fetchall())
+    assert len(want) == 280
+    for most in (workload.PICKS, 0):
+        monkeypatch.setattr(workload, "PICKS", most)
+        assert sorted(tuple(r) for r in QUERIES["frame_dark_pick"](spark, str(tmp_path)).collect()) == want
+
+
 def test_temperature_bins_truncate(spark):
     assert [one(spark, matching.temperature_bin(F.lit(x), 2.0)) for x in (-1.0, 1.0, 2.0, -2.5)] == [1.0, 1.0, 3.0, -1.0]
 
