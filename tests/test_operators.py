@@ -94,6 +94,52 @@ def test_radius_join_is_brute_force(spark):
         assert got == sorted((p[0], q[0]) for p in a for q in b if sep(p, q) <= tol)
 
 
+def test_first_within_is_brute_force(spark):
+    """Sparse and dense places, poles, the seam, equal positions, equal keys, nulls; few cells' pairs are made."""
+    rng = np.random.default_rng(2)
+    sky = lambda n: list(zip(rng.uniform(0, 360, n), np.degrees(np.arcsin(rng.uniform(-1, 1, n))), strict=True))
+    knot = lambda n, ra, dec, wide: list(zip((ra + rng.normal(0, wide, n)) % 360, np.clip(dec + rng.normal(0, wide, n), -90, 90), strict=True))
+    places = lambda: sky(150) + knot(150, 0.0, 5.0, 0.4) + knot(100, 80.0, 89.5, 0.5) + knot(60, 200.0, -89.9, 0.05) + [(10.0, 10.0)] * 12 + [(0.0, 90.0), (77.0, -90.0)]
+    a, b = [(i % 470, float(r), float(d)) for i, (r, d) in enumerate(places())], [(i, float(r), float(d)) for i, (r, d) in enumerate(places())]
+    x, y = spark.createDataFrame([*a, (999, None, 1.0), (None, 5.0, 5.0)], "a int, ra double, dec double"), spark.createDataFrame([*b, (999, 1.0, None)], "b int, r_ double, d_ double")
+    pairs = x.crossJoin(y).withColumn("sep", sphere.separation(F.col("ra"), F.col("dec"), F.col("r_"), F.col("d_"))).select("a", "b", "sep").collect()
+    for tol, k, minutes in ((20.0, 10, False), (8.0, 1, False), (12.0, 5, True)):
+        rank = (lambda p: (float(np.rint(p.sep * 60)), p.b % 3 == 0, p.sep, p.b)) if minutes else (lambda p: (p.sep, p.b))
+        order = [*([F.rint(F.col("separation") * 60), F.col("b") % 3 == 0] if minutes else []), "separation", "b"]
+        got = spatial.first_within(x, y, "a", ("ra", "dec"), ("r_", "d_"), tol, k, order, 1 / 60 + 1e-9 if minutes else 0.0)
+        of: dict = {}
+        for p in pairs:
+            if p.sep is not None and p.sep <= tol:
+                of.setdefault(p.a, []).append(p)
+        want = [(str(key), n + 1, p.b) for key, own in of.items() for n, p in enumerate(sorted(own, key=rank)[:k])]
+        assert sorted((str(r.a), r.r, r.b) for r in got.collect()) == sorted(want)
+
+
+def test_first_within_makes_few_pairs(spark):
+    """A dense sky: pairs are made within the nearest cells, not within the tolerance."""
+    place = lambda n, step: spark.range(n).select(F.col("id"), (F.col("id") * 137.508 % 360).alias("ra"), (F.col("id") * step / n - 60).alias("dec"))
+    x, y = place(2000, 119.0).withColumnRenamed("id", "a"), place(20000, 120.0).toDF("b", "r_", "d_")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            seen.add(len(r))
+            yield r
+
+    real = spatial._pairs
+
+    def counted(*args):
+        pairs = real(*args)
+        return pairs.mapInArrow(count, pairs.schema)
+
+    spatial._pairs = counted
+    try:
+        got = spatial.first_within(x, y, "a", ("ra", "dec"), ("r_", "d_"), 20.0, 10, ["separation", "b"]).collect()
+    finally:
+        spatial._pairs = real
+    assert len(got) == 20000 and seen.value < 2000 * 200  # some 600 of 20000 are within 20 degrees
+
+
 def test_sphere(spark):
     assert one(spark, sphere.cell_key(F.lit(37.2), F.lit(121.9))) == "35/120"
     assert one(spark, sphere.cell_key(F.lit(10.0), F.lit(-0.1))) == "10/355"
