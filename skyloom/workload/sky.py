@@ -45,9 +45,9 @@ def nearest_sky(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT tid, id, r FROM (SELECT tid, id, CAST(row_number() OVER (PARTITION BY tid ORDER BY round_even(sep * 60, 0), id % 3 = 0, sep, id) AS INTEGER) AS r FROM p) WHERE r <= 5""")
 def nearby_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything within the tolerance: by whole arcminute (half to even), named first, distance, id."""
-    x = spatial.radius_join(targets(spark, sf_dir).select("tid", "ra", "dec"), catalog(spark, sf_dir).select("id", "c_ra", "c_dec"), ("ra", "dec"), ("c_ra", "c_dec"), 12.0)
-    w = Window.partitionBy("tid").orderBy(F.rint(F.col("separation") * 60), F.col("id") % 3 == 0, "separation", "id")
-    return x.withColumn("r", F.row_number().over(w)).filter("r <= 5").select("tid", "id", "r")
+    order = [F.rint(F.col("separation") * 60), F.col("id") % 3 == 0, "separation", "id"]
+    x = spatial.first_within(targets(spark, sf_dir), catalog(spark, sf_dir).select("id", "c_ra", "c_dec"), "tid", ("ra", "dec"), ("c_ra", "c_dec"), 12.0, 5, order, slack=1 / 60 + 1e-9)
+    return x.select("tid", "id", "r")
 
 
 @query("resolve_cascade", f"""WITH {_CAT}, {_TGT}, n AS (SELECT t.*, s.s_suppkey AS by_name FROM tgt t LEFT JOIN supplier s ON s.s_suppkey = t.tid AND s.s_suppkey % 2 = 0),
