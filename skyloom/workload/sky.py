@@ -66,10 +66,8 @@ def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("reassign_candidates", f"""WITH {_CAT}, {_TGT}, p AS (SELECT t.tid, c.id, {_S} AS sep FROM tgt t JOIN cat c ON {_S} <= 20.0)
 SELECT tid, id, r FROM (SELECT tid, id, CAST(row_number() OVER (PARTITION BY tid ORDER BY sep, id) AS INTEGER) AS r FROM p) WHERE r <= 10""")
 def reassign_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = targets(spark, sf_dir).select("tid", "ra", "dec")
-    x = spatial.radius_join(t, catalog(spark, sf_dir).select("id", "c_ra", "c_dec"), ("ra", "dec"), ("c_ra", "c_dec"), 20.0)
-    w = Window.partitionBy("tid").orderBy("separation", "id")
-    return x.withColumn("r", F.row_number().over(w)).filter("r <= 10").select("tid", "id", "r")
+    x = spatial.first_within(targets(spark, sf_dir), catalog(spark, sf_dir).select("id", "c_ra", "c_dec"), "tid", ("ra", "dec"), ("c_ra", "c_dec"), 20.0, 10, ["separation", "id"])
+    return x.select("tid", "id", "r")
 
 
 @query("circular_centroid", f"WITH {_TGT}, g AS (SELECT tgt.*, c_nationkey AS grp FROM tgt JOIN customer ON c_custkey = tid) SELECT grp, CASE WHEN count(*) >= 3 THEN round((degrees(atan2(avg(sin(radians(ra))), avg(cos(radians(ra))))) + 360) % 360, 6) END AS ra, CASE WHEN count(*) >= 3 THEN round(median(dec), 6) END AS dec FROM g GROUP BY grp")
