@@ -116,13 +116,21 @@ def anchors(buf: np.ndarray, offs: np.ndarray, shape: Shape) -> tuple[np.ndarray
         padded = np.zeros(n + shape.width - 1, np.uint32)
         padded[shape.width - 1 : shape.width - 1 + len(least)] = least
         own = np.flatnonzero(h == _sliding(padded, shape.width, np.maximum))
+        # an anchor's strings are a stretch of starts with one least hash: one of the few stretches that begin or go on in its window
+        edge = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        until, value = np.append(edge[1:], len(least)), least[edge]
         low, high, mine = np.full(len(own), shape.width), np.zeros(len(own), np.int64), h[own]
-        for r in range(shape.width):
-            begin = own - r
-            here = least[np.clip(begin, 0, len(least) - 1)] == mine
-            here &= (begin >= 0) & (begin < len(least))
-            high[here] = r
-            low[here & (low > r)] = r
+        k = np.searchsorted(edge, np.maximum(own - shape.width + 1, 0), "right") - 1
+        todo = np.arange(len(own))
+        while len(todo):
+            here = value[k] == mine[todo]
+            found, of = todo[here], k[here]
+            high[found] = np.minimum(own[found] - edge[of], shape.width - 1)
+            low[found] = np.maximum(own[found] - until[of] + 1, 0)
+            todo, k = todo[~here], k[~here] + 1
+            go_on = k < len(edge)
+            go_on[go_on] = edge[k[go_on]] <= own[todo[go_on]]
+            todo, k = todo[go_on], k[go_on]
         at.append(own + lo)
         hashes.append(t.mix(full[own]))
         lows.append(low)
@@ -381,12 +389,28 @@ class Suffixes:
         return np.where(end, or_equal, self.buf[x + z] < self.buf[y + z])
 
     def sort(self, at: np.ndarray, run: np.ndarray) -> np.ndarray:
-        """The order of suffixes within runs (``run`` ascends): bottom-up mergesort of all runs at once.
+        """The order of suffixes within runs (``run`` ascends): by their first bytes, then bottom-up mergesort of all runs at once.
 
         Each round merges neighbouring sorted pieces of every run: an item's
         place is its own rank plus its rank in the other piece, which a binary
-        search with suffix comparisons finds.
+        search with suffix comparisons finds.  Runs that are of one hash, such as
+        copies, are in order already.
         """
+        n = len(at)
+        if not n:
+            return np.arange(0)
+        first = np.ascontiguousarray(self.buf[at[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
+        by_first = np.lexsort((first, run))
+        at, run, first = at[by_first], run[by_first], first[by_first]
+        new = np.ones(n, bool)
+        new[1:] = (run[1:] != run[:-1]) | (first[1:] != first[:-1])
+        heads = np.flatnonzero(new)
+        whole = (self.prefix[at + self.limit] - self.prefix[at]) * self.inverse[at]
+        one = np.minimum.reduceat(whole, heads) == np.maximum.reduceat(whole, heads)
+        run = np.cumsum(new | np.repeat(one, np.diff(np.append(heads, n))))
+        return by_first[self._merged(at, run)]
+
+    def _merged(self, at: np.ndarray, run: np.ndarray) -> np.ndarray:
         n = len(at)
         order = np.arange(n)
         start = np.searchsorted(run, run, "left")

@@ -194,6 +194,19 @@ def test_suffix_sort():
     assert new.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(900)]
 
 
+def test_suffix_sort_compares_little(monkeypatch):
+    """Copies and suffixes that differ in their first bytes are not compared one by one."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, 60).astype(np.uint8)
+    buf = np.concatenate([np.tile(text, 300), rng.integers(97, 123, 18000).astype(np.uint8), np.zeros(60, np.uint8)])
+    at, run = np.arange(600) * 60, np.zeros(600, np.int64)
+    compared, real = [], sd.Suffixes._same
+    monkeypatch.setattr(sd.Suffixes, "_same", lambda self, x, y, n: compared.append(len(x)) or real(self, x, y, n))
+    order, new = sd.Suffixes(buf, 60).classes(at, run)
+    assert order.tolist() == sorted(range(600), key=lambda i: (bytes(buf[i * 60 : i * 60 + 60]), i)) and new.sum() == 301
+    assert sum(compared) < 2 * 600
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 
