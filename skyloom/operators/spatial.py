@@ -11,6 +11,9 @@ row starts at the deepest level whose cell about it holds enough right rows.  If
 its circle there holds too few, it looks again two levels up: any two points of a
 cell are nearer than 3.6 of its own radii, so that circle, four times as wide,
 has the cell's rows.
+
+No side is broadcast: Spark's estimates of a size leave out what ``explode``
+adds, so a side that is copied to cells and levels would pass for a small one.
 """
 
 from __future__ import annotations
@@ -42,6 +45,11 @@ def _cell(ra: Column, n: Column) -> Column:
     return F.least(n - 1, F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * n).cast("long"))
 
 
+def shuffled(x: DataFrame) -> DataFrame:
+    """``x`` as a side of a join that is sorted and merged, whatever its estimated size."""
+    return x.hint("merge")
+
+
 def _in_cells(x: DataFrame, pos: tuple[str, str], tol: Column) -> DataFrame:
     return x.withColumn("_b", _band(F.col(pos[1]), tol)).withColumn("_c", _cell(F.col(pos[0]), _cells_in(F.col("_b"), tol)))
 
@@ -65,7 +73,7 @@ def _pairs(x: DataFrame, y: DataFrame, cells: Sequence[str], left_pos: tuple[str
     far = lambda c: (u[c] - v[c]) * (u[c] - v[c])
     near = far("x") + far("y") + far("z") <= F.col("_far")
     x = x.withColumn("_u", vector(*map(F.col, left_pos))).withColumn("_far", F.pow(F.radians(tol) + 1e-12, F.lit(2.0)))
-    pairs = x.join(y.withColumn("_v", vector(*map(F.col, right_pos))), cells).filter(near)
+    pairs = x.join(shuffled(y.withColumn("_v", vector(*map(F.col, right_pos)))), cells).filter(near)
     return pairs.withColumn("separation", separation(*map(F.col, (*left_pos, *right_pos)))).filter(F.col("separation") <= tol).drop("_u", "_v", "_far")
 
 
@@ -92,8 +100,8 @@ def first_within(left: DataFrame, right: DataFrame, left_key: str, left_pos: tup
         fine = sorted(r[0] for r in dense.select("_l").distinct().collect())
     x = left.withColumn("_l", F.lit(0))
     if fine:
-        found = _in_cells(at_levels(left, fine), left_pos, tol).join(dense, cell, "left_semi").groupBy(*own).agg(F.max("_l").alias("_l"))
-        x = left.join(found, own, "left").withColumn("_l", F.coalesce("_l", F.lit(0)))
+        found = _in_cells(at_levels(left, fine), left_pos, tol).join(shuffled(dense), cell, "left_semi").groupBy(*own).agg(F.max("_l").alias("_l"))
+        x = left.join(shuffled(found), own, "left").withColumn("_l", F.coalesce("_l", F.lit(0)))
 
     def firsts(x: DataFrame, levels: Sequence[int]) -> DataFrame:
         """Within the circles of the rows' levels; a row's pairs stay in the task of its cell."""
@@ -105,7 +113,7 @@ def first_within(left: DataFrame, right: DataFrame, left_key: str, left_pos: tup
         w = Window.partitionBy(*cell, *own)
         enough = (F.col("_l") == 0) | ((F.count(F.lit(1)).over(w) == k) & (F.max("separation").over(w) <= tol - slack))
         out = cut(out.withColumn("_done", enough).drop("_b", "_c")).filter("_done").drop("_done")
-        rest = x.filter("_l > 0").join(out.filter("r = 1").select(*own), own, "left_anti").withColumn("_l", F.greatest(F.col("_l") - 2, F.lit(0)))
+        rest = x.filter("_l > 0").join(shuffled(out.filter("r = 1").select(*own)), own, "left_anti").withColumn("_l", F.greatest(F.col("_l") - 2, F.lit(0)))
         out = out.drop("_l").unionByName(firsts(rest, sorted({max(0, n - 2) for n in fine})).drop(*cell))
     else:
         out = out.drop(*cell)
@@ -115,4 +123,4 @@ def first_within(left: DataFrame, right: DataFrame, left_key: str, left_pos: tup
 def nearest(left: DataFrame, right: DataFrame, left_key: str, left_pos: tuple[str, str], right_pos: tuple[str, str], right_id: str, tolerance: float) -> DataFrame:
     """Every left row with its nearest right row within the tolerance (ties: the smaller id), or nulls."""
     best = first_within(left, right, left_key, left_pos, right_pos, tolerance, 1, ["separation", right_id])
-    return left.join(best.select(left_key, F.col(right_id).alias("nearest"), "separation"), left_key, "left")
+    return left.join(shuffled(best.select(left_key, F.col(right_id).alias("nearest"), "separation")), left_key, "left")

@@ -57,9 +57,9 @@ def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By name first; positions only of those without one."""
     t, c = targets(spark, sf_dir).select("tid", "ra", "dec"), catalog(spark, sf_dir)
     names = c.filter("id % 2 = 0").select(F.col("id").alias("by_name"))
-    named = t.join(names, F.col("tid") == F.col("by_name"), "left")
+    named = t.join(spatial.shuffled(names), F.col("tid") == F.col("by_name"), "left")
     found = spatial.nearest(named.filter("by_name IS NULL").select("tid", "ra", "dec"), c.select("id", "c_ra", "c_dec"), "tid", ("ra", "dec"), ("c_ra", "c_dec"), "id", 5.0).select("tid", "nearest")
-    x = named.join(found, "tid", "left")
+    x = named.join(spatial.shuffled(found), "tid", "left")
     return x.select("tid", F.coalesce("by_name", "nearest").alias("canonical"), F.when(F.col("by_name").isNotNull(), "name").when(F.col("nearest").isNotNull(), "position").alias("source"))
 
 

@@ -115,6 +115,16 @@ def test_first_within_is_brute_force(spark):
         assert sorted((str(r.a), r.r, r.b) for r in got.collect()) == sorted(want)
 
 
+def test_sky_joins_broadcast_nothing(spark, monkeypatch):
+    """Copies for cells and levels are not in Spark's estimates, by which it would take them for small."""
+    from skyloom.queries import QUERIES
+    from tests.conftest import SF
+
+    monkeypatch.setattr(spatial, "cut", lambda df: df)  # else the plan ends at the checkpoint
+    plan = QUERIES["resolve_cascade"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_first_within_makes_few_pairs(spark):
     """A dense sky: pairs are made within the nearest cells, not within the tolerance."""
     place = lambda n, step: spark.range(n).select(F.col("id"), (F.col("id") * 137.508 % 360).alias("ra"), (F.col("id") * step / n - 60).alias("dec"))
